@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quillspark.operators.facts import hot_score
+from quillspark.operators.ordering import with_row
 
 NOTE_COUNTERS = ["like_count", "collect_count", "comment_count", "share_count"]
 
@@ -80,7 +81,7 @@ def repair_batch(table: DataFrame, last_id: int, limit: int) -> DataFrame:
         return after
     again = table.select("id").orderBy("id").limit(limit)
     ahead = after.select(F.count("*").alias("_ahead"))
-    wrapped = again.join(F.broadcast(ahead), F.col("_ahead") == 0).select("id")  # one-row side
+    wrapped = with_row(again, ahead).where("_ahead = 0").select("id")
     return after.unionByName(wrapped)
 
 

@@ -101,6 +101,11 @@ def top_per_group(
     return df.withColumn(rank, F.row_number().over(window)).where(F.col(rank) <= limit)
 
 
+def with_row(df: DataFrame, row: DataFrame) -> DataFrame:
+    """Attach the columns of a one-row aggregate (no group columns) to every row."""
+    return df.join(F.broadcast(row), F.lit(True))
+
+
 def nearest_rank(
     df: DataFrame, keys: Sequence[str], value: str, quantiles: dict[str, float]
 ) -> DataFrame:
@@ -114,7 +119,7 @@ def nearest_rank(
     if keys:
         joined = summed.join(totals, list(keys))
     else:
-        joined = summed.crossJoin(F.broadcast(totals))  # one row
+        joined = with_row(summed, totals)
     picks = []
     for name, q in quantiles.items():
         position = F.greatest(F.lit(1), F.ceil(F.round(F.col("_total") * q, 9)))

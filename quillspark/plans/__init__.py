@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["community"]
+MODULES = ["community", "evidence"]
 
 
 def load_all():

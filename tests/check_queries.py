@@ -98,7 +98,7 @@ def main() -> int:
         try:
             status, n, took, detail = compare(spark, con, registry, name, sf_dir)
         except Exception as error:  # report and go on
-            status, n, took, detail = "ERROR", 0, 0.0, f"{type(error).__name__}: {str(error)[:900]}"
+            status, n, took, detail = "ERROR", 0, 0.0, f"{type(error).__name__}: {str(error)[:500]}"
         bad += status in ("ERROR", "COLUMNS", "VALUES")
         print(f"{status:9} {name:44} rows={n:<7} {took:5.1f}s {detail}", flush=True)
     print(f"failures: {bad}")

@@ -34,6 +34,9 @@ THRESHOLDS = {"lexical": 0.30, "vector": 0.45, "hybrid": 0.60}
 DOCUMENT_TYPES = ["note", "note_media", "note_comment_cluster", "note_daily_fact", "user_daily_fact"]
 
 # Query phrases.
+QUERY_INSTRUCTION = (
+    "Instruct: Given a creator-content platform question, retrieve Chinese evidence passages that answer the query\nQuery: "
+)
 GENERIC_BIGRAMS = (
     "一个 一份 不能 不要 什么 以及 作者 依据 其中 分别 只要 只能 可以 如何 是否 最终 有关 根据 "
     "样本 每个 没有 然后 现在 相关 笔记 给出 记录 这个 这些 这份 那个 那些 里面 需要 问题"

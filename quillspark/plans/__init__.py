@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["community", "evidence"]
+MODULES = ["community", "evidence", "retrieval"]
 
 
 def load_all():

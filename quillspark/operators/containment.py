@@ -47,15 +47,18 @@ def containment(texts: DataFrame, anchors: DataFrame) -> DataFrame:
     must hold as five whole words in a row. A shorter anchor keys on its least common
     four-character gram. Equal keys only propose a pair; the text itself is then searched.
     """
-    words = _words(col("anchor"))
-    long_anchors = anchors.where(F.size(words) >= SHINGLE + 2)
-    short_anchors = anchors.where(F.size(words) < SHINGLE + 2)
+    # words become a column of their own: inside a lambda the split would run once per element
+    split = anchors.withColumn("words", _words(col("anchor")))
+    long_anchors = split.where(F.size("words") >= SHINGLE + 2)
+    short_anchors = split.where(F.size("words") < SHINGLE + 2).drop("words")
 
-    text_keys = texts.select("text_id", F.explode(F.array_distinct(_shingles(_words(col("text"))))).alias("key"))
+    text_words = texts.select("text_id", _words(col("text")).alias("words"))
+    text_keys = text_words.select("text_id", F.explode(_shingles(F.col("words"))).alias("key"))
     long_keys = long_anchors.select(
-        "anchor_id", F.xxhash64(F.array_join(F.slice(words, 2, SHINGLE), " ")).alias("key")
+        "anchor_id", F.xxhash64(F.array_join(F.slice("words", 2, SHINGLE), " ")).alias("key")
     )
-    proposed = text_keys.join(long_keys, "key").select("text_id", "anchor_id")
+    long_anchors = long_anchors.drop("words")
+    proposed = text_keys.join(long_keys, "key").select("text_id", "anchor_id").distinct()
     found = _checked(proposed, texts, long_anchors)
 
     # anchors are few against the texts' grams: keep only grams some anchor has, count those

@@ -84,3 +84,15 @@ DEVELOPMENT_GATES = {
 }
 ANSWERABILITY_KAPPA_GATE = 0.80
 RELEVANCE_KAPPA_GATE = 0.70
+
+# Tasks and their query templates.
+TASKS = [
+    "semantic_paraphrase", "typo_robustness", "temporal_conflict",
+    "cross_note_compare", "no_answer", "authorization_boundary",
+]
+CASE_TEMPLATES = {
+    "semantic_paraphrase": "如果我的情况接近{audience}，关于{subject}最稳妥的结论是什么？记录线索是“{metric}”。",
+    "typo_robustness": "对{audience}来说，材料里提到的“{typo}”最后建议是什么？对应记录线索是“{metric}”。",
+    "temporal_conflict": "{subject}中提到“{metric}”，这能否直接外推成长期普遍结论？应保留什么时间边界？",
+    "no_answer": "现有关于{subject}的材料只有“{metric}”，能否证明它对全国所有用户具有确定的长期因果效果？",
+}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["community", "evidence", "retrieval"]
+MODULES = ["community", "evidence", "retrieval", "review"]
 
 
 def load_all():

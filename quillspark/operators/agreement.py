@@ -110,27 +110,29 @@ def adjudication_queue(pairs: DataFrame, adjudicated: DataFrame) -> DataFrame:
     )
 
 
-def label_violations(adjudicated: DataFrame) -> DataFrame:
+def label_violations(judgments: DataFrame) -> DataFrame:
     """Adjudicated cases whose label contradicts the task.
 
-    Input: case_id, task_type, answerability, grades (array of int).
+    Input: one row per judgment with case_id, task_type, answerability, grade. Only counts
+    per case are kept.
     """
-    high = F.size(F.filter("grades", lambda g: g >= 2))
-    related = F.size(F.filter("grades", lambda g: g >= 1))
-    answer = F.col("answerability")
+    cases = judgments.groupBy("case_id", "task_type", "answerability").agg(
+        F.count_if(F.col("grade") >= 2).alias("high_grades"), F.count_if(F.col("grade") >= 1).alias("_related")
+    )
+    high, answer = F.col("high_grades"), F.col("answerability")
     ok = (
         F.when(F.col("task_type").isin(C.NO_RELEVANT_TASKS), (answer == "no_relevant_document") & (high == 0))
-        .when(F.col("task_type") == C.INSUFFICIENT_TASK, (answer == "insufficient_evidence") & (high == 0) & (related > 0))
+        .when(F.col("task_type") == C.INSUFFICIENT_TASK, (answer == "insufficient_evidence") & (high == 0) & (F.col("_related") > 0))
         .otherwise((answer == "answerable") & (high > 0))
     )
-    return adjudicated.where(~ok).select("case_id", "task_type", "answerability", high.alias("high_grades"))
+    return cases.where(~ok).drop("_related")
 
 
 def approved_gold(judgments: DataFrame) -> DataFrame:
-    """Gold sources per case: grade 2 and up, 1 and up where evidence is insufficient by design.
+    """Gold sources, one row each: grade 2 and up, 1 and up where evidence is insufficient by design.
 
     Input: case_id, task_type, source_type, note_id, position, grade.
     """
     floor = F.when(F.col("task_type") == C.INSUFFICIENT_TASK, 1).otherwise(2)
     kept = judgments.where((F.col("grade") >= floor) & ~F.col("task_type").isin(C.NO_RELEVANT_TASKS))
-    return kept.groupBy("case_id").agg(F.sort_array(F.collect_set(F.struct("source_type", "note_id", "position"))).alias("gold"))
+    return kept.select("case_id", "source_type", "note_id", "position").distinct()

@@ -25,7 +25,9 @@ def in_window(df: DataFrame, column: str, start: dt.datetime, end: dt.datetime)
     """Half-open time window; the bounds reach the scan as pushed filters."""
     if not start < end:
         raise ValueError("the window must satisfy start < end")
-    return df.where((F.col(column) >= F.lit(start)) & (F.col(column) < F.lit(end)))
+    kind = df.schema[column].dataType  # a bound of the column's own type keeps the filter pushable
+    low, high = (F.lit(t.isoformat(sep=" ")).cast(kind) for t in (start, end))
+    return df.where((F.col(column) >= low) & (F.col(column) < high))
 
 
 def _count_of(types: list[str]) -> Column:

@@ -283,17 +283,16 @@ def comment_keyset_page(spark, sf):
 
 
 @query("ids_in_order", "J8", """
-    SELECT l.conv_id AS request_id, CAST(l.turn AS INTEGER) AS position, n.id, n.title
-    FROM (SELECT conv_id, turn, 1 + (conv_id * 37 + turn * 101) % 1000 AS id FROM conversations) l
+    SELECT l.doc_id AS request_id, CAST(l.i - 1 AS INTEGER) AS position, n.id, n.title
+    FROM (SELECT doc_id, i, 1 + (doc_id * 37 + i * 101) % 20000 AS id
+          FROM (SELECT doc_id, unnest(range(1, 2 + doc_id % 8)) AS i FROM documents)) l
     JOIN notes n ON n.id = l.id""")
 def ids_in_order(spark, sf):
-    """Each conversation asks for a list of notes; answers keep the list's order."""
-    requests = (
-        model.table(spark, sf, "conversations")
-        .groupBy(F.col("conv_id").alias("request_id"))
-        .agg(F.sort_array(F.collect_list(F.struct("turn", (F.lit(1) + (F.col("conv_id") * 37 + F.col("turn") * 101) % 1000).alias("id")))).alias("l"))
-        .select("request_id", F.col("l.id").alias("ids"))
-    )
+    """Each document asks for a short list of notes; answers keep the list's order."""
+    doc = F.col("doc_id")
+    requests = model.table(spark, sf, "documents").select(
+        doc.alias("request_id"),
+        F.transform(F.sequence(F.lit(1).cast("bigint"), F.lit(1) + doc % 8), lambda i: F.lit(1) + (doc * 37 + i * 101) % 20000).alias("ids"))
     return listing.in_given_order(requests, model.notes(spark, sf).select("id", "title"))
 
 

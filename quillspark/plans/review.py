@@ -225,46 +225,47 @@ ANSWER_SQL = "CASE {x} % 5 WHEN 0 THEN 'no_relevant_document' WHEN 1 THEN 'insuf
 @query("label_rules", "P11", f"""
     SELECT case_id, task_type, answerability, high AS high_grades FROM (
       SELECT case_id, {TASK_SQL.format(x="case_id")} AS task_type, {ANSWER_SQL.format(x="case_id")} AS answerability,
-             CAST(count(*) FILTER (WHERE grade_a >= 2) AS INTEGER) AS high, count(*) FILTER (WHERE grade_a >= 1) AS related FROM ratings GROUP BY 1)
+             count(*) FILTER (WHERE grade_a >= 2) AS high, count(*) FILTER (WHERE grade_a >= 1) AS related FROM ratings GROUP BY 1)
     WHERE NOT CASE WHEN task_type = 'no_relevant_document' THEN answerability = 'no_relevant_document' AND high = 0
                    WHEN task_type = 'insufficient_evidence' THEN answerability = 'insufficient_evidence' AND high = 0 AND related > 0
                    ELSE answerability = 'answerable' AND high > 0 END""")
 def label_rules(spark, sf):
-    rows = ratings(spark, sf).groupBy("case_id").agg(F.collect_list("grade_a").alias("grades")).withColumn(
-        "task_type", F.expr(TASK_SQL.format(x="case_id"))).withColumn("answerability", F.expr(ANSWER_SQL.format(x="case_id")))
+    rows = ratings(spark, sf).select(
+        "case_id", F.expr(TASK_SQL.format(x="case_id")).alias("task_type"), F.expr(ANSWER_SQL.format(x="case_id")).alias("answerability"),
+        F.col("grade_a").alias("grade"))
     return agreement.label_violations(rows)
 
 
 @query("approved_gold", "B14", f"""
-    SELECT case_id, list(DISTINCT source_id ORDER BY source_id) AS note_ids FROM (SELECT *, {TASK_SQL.format(x="case_id")} AS task FROM ratings)
-    WHERE grade_a >= CASE WHEN task = 'insufficient_evidence' THEN 1 ELSE 2 END AND task <> 'no_relevant_document' GROUP BY 1""")
+    SELECT DISTINCT case_id, source_id AS note_id FROM (SELECT *, {TASK_SQL.format(x="case_id")} AS task FROM ratings)
+    WHERE grade_a >= CASE WHEN task = 'insufficient_evidence' THEN 1 ELSE 2 END AND task <> 'no_relevant_document'""")
 def approved_gold(spark, sf):
     rows = ratings(spark, sf).select(
         "case_id", F.expr(TASK_SQL.format(x="case_id")).alias("task_type"), F.lit("note").alias("source_type"),
         F.col("source_id").alias("note_id"), F.lit(0).alias("position"), F.col("grade_a").alias("grade"))
-    return agreement.approved_gold(rows).select("case_id", F.col("gold.note_id").alias("note_ids"))
+    return agreement.approved_gold(rows).select("case_id", "note_id")
 
 
 @query("review_validation", "B11", """
     WITH reviews AS (
-      SELECT conv_id AS case_id, list('t' || turn ORDER BY turn) AS refs,
-             CASE WHEN conv_id % 10 = 3 THEN 'bob' ELSE 'ann' END AS reviewer_id, conv_id % 12 = 5 AS unanswered FROM conversations GROUP BY conv_id)
-    SELECT case_id, 'mixed_reviewers' AS violation FROM reviews WHERE reviewer_id = 'bob' AND case_id % 9 <> 4 UNION ALL
-    SELECT case_id, 'incomplete_review' FROM reviews WHERE unanswered AND case_id % 9 <> 4 UNION ALL
-    SELECT case_id, 'missing_review' FROM reviews WHERE case_id % 9 = 4 UNION ALL
-    SELECT case_id, 'judgment_count' FROM reviews WHERE case_id % 8 = 6 AND case_id % 9 <> 4 UNION ALL
-    SELECT case_id, 'grade_out_of_range' FROM reviews WHERE len(refs) >= 5 AND case_id % 9 <> 4 AND NOT (case_id % 8 = 6 AND len(refs) = 5) UNION ALL
-    SELECT case_id, 'reviewer_is_author' FROM reviews WHERE case_id % 7 = 2 AND reviewer_id = 'ann' AND case_id % 9 <> 4""")
+      SELECT doc_id AS case_id, 1 + doc_id % 6 AS n, CASE WHEN doc_id % 10 = 3 THEN 'bob' ELSE 'ann' END AS reviewer_id FROM documents WHERE doc_id % 9 <> 4)
+    SELECT case_id, 'mixed_reviewers' AS violation FROM reviews WHERE reviewer_id = 'bob' UNION ALL
+    SELECT case_id, 'incomplete_review' FROM reviews WHERE case_id % 12 = 5 UNION ALL
+    SELECT doc_id, 'missing_review' FROM documents WHERE doc_id % 9 = 4 UNION ALL
+    SELECT case_id, 'judgment_count' FROM reviews WHERE case_id % 8 = 6 UNION ALL
+    SELECT case_id, 'duplicate_judgment' FROM reviews WHERE case_id % 8 = 6 UNION ALL
+    SELECT case_id, 'grade_out_of_range' FROM reviews WHERE n >= 5 UNION ALL
+    SELECT case_id, 'reviewer_is_author' FROM reviews WHERE case_id % 7 = 2 AND reviewer_id = 'ann'""")
 def review_validation(spark, sf):
-    """Review sheets of every conversation with planted faults."""
-    sheets = model.table(spark, sf, "conversations").groupBy(F.col("conv_id").alias("case_id")).agg(
-        F.transform(F.sort_array(F.collect_list("turn")), lambda t: F.struct(F.concat(F.lit("t"), t.cast("string")).alias("ref"), t.cast("int").alias("grade"))).alias("all"))
+    """One review sheet per document with planted faults."""
     case = F.col("case_id")
+    sheets = model.table(spark, sf, "documents").select(F.col("doc_id").alias("case_id")).withColumn(
+        "all", F.transform(F.sequence(F.lit(0).cast("bigint"), case % 6), lambda t: F.struct(F.concat(F.lit("t"), t.cast("string")).alias("ref"), t.cast("int").alias("grade"))))
     expected = sheets.select("case_id", F.when(case % 7 == 2, "ann").otherwise("zed").alias("author_id"), F.col("all.ref").alias("refs"))
     reviews = sheets.where(case % 9 != 4).select(
         "case_id", F.when(case % 10 == 3, "bob").otherwise("ann").alias("reviewer_id"),
         F.when(case % 12 == 5, "").otherwise("answerable").alias("answerability"), F.timestamp_seconds(F.lit(model.EPOCH)).alias("reviewed_at"),
-        F.when(case % 8 == 6, F.slice("all", 1, F.greatest(F.lit(1), F.size("all") - 1))).otherwise(F.col("all")).alias("judgments"))
+        F.when(case % 8 == 6, F.concat("all", F.slice("all", 1, 1))).otherwise(F.col("all")).alias("judgments"))
     return agreement.review_violations(expected, reviews)
 
 
@@ -452,14 +453,16 @@ def blind_assignments(spark, sf):
 
 
 @query("candidate_resolution", "B9 J9 J4", """
-    SELECT conv_id AS case_id, 'note' AS source_type, 1 + (conv_id * 37 + turn * 101) % 1100 AS source_id, CAST(1 AS BIGINT) AS source_version,
-           EXISTS (SELECT 1 FROM docs d WHERE d.id = 1 + (conv_id * 37 + turn * 101) % 1100 AND d.status = 'published') AS in_snapshot,
-           EXISTS (SELECT 1 FROM docs d WHERE d.id = 1 + (conv_id * 37 + turn * 101) % 1100 AND d.status = 'published' AND d.category = 'en') AS cited,
-           EXISTS (SELECT 1 FROM docs d WHERE d.id = 1 + (conv_id * 37 + turn * 101) % 1100 AND d.status = 'published' AND d.category = 'en') AS resolved
-    FROM conversations""")
+    SELECT r.case_id, 'note' AS source_type, r.source_id, CAST(1 AS BIGINT) AS source_version, d.id IS NOT NULL AS in_snapshot,
+           coalesce(d.category = 'en', false) AS cited, coalesce(d.category = 'en', false) AS resolved
+    FROM (SELECT doc_id AS case_id, 1 + (doc_id * 37 + unnest(range(1, 2 + doc_id % 6)) * 101) % 1100 AS source_id FROM documents) r
+    LEFT JOIN docs d ON d.id = r.source_id AND d.status = 'published'""")
 def candidate_resolution(spark, sf):
-    refs = model.table(spark, sf, "conversations").groupBy(F.col("conv_id").alias("case_id")).agg(
-        F.to_json(F.collect_list(F.struct(F.lit("note").alias("source_type"), (F.lit(1) + (F.col("conv_id") * 37 + F.col("turn") * 101) % 1100).alias("source_id"), F.lit(1).alias("source_version")))).alias("candidate_refs"))
+    """Each document's case lists one to six references as JSON; some do not exist."""
+    doc = F.col("doc_id")
+    refs = model.table(spark, sf, "documents").select(doc.alias("case_id"), F.to_json(F.transform(
+        F.sequence(F.lit(1).cast("bigint"), F.lit(1) + doc % 6),
+        lambda i: F.struct(F.lit("note").alias("source_type"), (F.lit(1) + (doc * 37 + i * 101) % 1100).alias("source_id"), F.lit(1).alias("source_version")))).alias("candidate_refs"))
     live = ev.note_rows(spark, sf).where("status <> 'deleted'").select(F.lit("note").alias("source_type"), F.col("id").alias("source_id"), F.lit(1).cast("bigint").alias("source_version"), "category")
     return benchmark.resolve_candidates(refs, live, live.where("category = 'en'"))
 

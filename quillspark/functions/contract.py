@@ -96,3 +96,15 @@ CASE_TEMPLATES = {
     "temporal_conflict": "{subject}中提到“{metric}”，这能否直接外推成长期普遍结论？应保留什么时间边界？",
     "no_answer": "现有关于{subject}的材料只有“{metric}”，能否证明它对全国所有用户具有确定的长期因果效果？",
 }
+
+# Sections and figures of templated note bodies.
+SECTIONS = {
+    "days": "做了([0-9]+)天记录",
+    "records": "共完成([0-9]+)次记录",
+    "budget": "预算约([0-9]+)元",
+    "record": "样本记录[ ]*([0-9]+)",
+    "conclusion": "(?s)【先说结论】(.*?)【具体过程】",
+    "audience": "(?s)^.*?对(.{0,40}?)而言",
+}
+DEFAULT_AUDIENCE = "原文描述的目标读者"
+DRAFT_SHORT_TYPO = "方按"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from quillspark.functions.contract import GENERIC_BIGRAMS, PART_SEPARATOR, SHORT_TEXT_TYPO
+from quillspark.functions.contract import DEFAULT_AUDIENCE, GENERIC_BIGRAMS, PART_SEPARATOR, SECTIONS, SHORT_TEXT_TYPO
 
 HAN_RUN = r"^\p{IsHan}"
 TOKEN_RUNS = r"\p{IsHan}+|[\p{L}\p{Nd}&&[^\p{IsHan}]]+"
@@ -107,7 +107,7 @@ def gram_similarity(left: Column, right: Column) -> Column:
     return F.when(union > 0, shared / union).otherwise(F.lit(0.0))
 
 
-def typo_variant(text: Column | str) -> Column:
+def typo_variant(text: Column | str, short_suffix: str = SHORT_TEXT_TYPO) -> Column:
     """Drop the middle character; texts under three characters get a fixed suffix instead."""
     t = F.trim(col(text))
     size = F.char_length(t)
@@ -115,7 +115,7 @@ def typo_variant(text: Column | str) -> Column:
     return F.when(
         size >= 3,
         F.concat(F.substring(t, F.lit(1), middle), F.substring(t, middle + 2, size)),
-    ).otherwise(F.concat(col(text), F.lit(SHORT_TEXT_TYPO)))
+    ).otherwise(F.concat(col(text), F.lit(short_suffix)))
 
 
 def stable_index(key: Column | str, n: int | Column) -> Column:
@@ -130,3 +130,23 @@ def clamp(value: Column, low: float = 0.0, high: float = 1.0) -> Column:
 
 def round4(value: Column) -> Column:
     return F.round(value, 4)
+
+
+def _number(text: Column | str, pattern: str) -> Column:
+    found = F.regexp_extract(col(text), pattern, 1)
+    return F.when(found != "", found.cast("bigint")).otherwise(F.lit(0))
+
+
+def body_sections(body: Column | str, title: Column | str, fallback_text: Column | str, note_id: Column | str) -> dict[str, Column]:
+    """Figures and sections of templated bodies: days, records, budget, conclusion, audience, record number."""
+    conclusion = F.regexp_extract(col(body), SECTIONS["conclusion"], 1)
+    audience = F.trim(F.regexp_extract(col(body), SECTIONS["audience"], 1))
+    record = _number(title, SECTIONS["record"])
+    return {
+        "days": _number(body, SECTIONS["days"]),
+        "records": _number(body, SECTIONS["records"]),
+        "budget": _number(body, SECTIONS["budget"]),
+        "conclusion": F.trim(F.when(F.regexp_like(col(body), F.lit(SECTIONS["conclusion"])), conclusion).otherwise(col(fallback_text))),
+        "audience": F.when(audience != "", audience).otherwise(F.lit(DEFAULT_AUDIENCE)),
+        "record_number": F.when(record > 0, record).otherwise(col(note_id)),
+    }

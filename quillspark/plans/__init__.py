@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["community", "evidence", "retrieval", "review", "quality", "streams"]
+MODULES = ["community", "evidence", "retrieval", "review", "quality", "streams", "files"]
 
 
 def load_all():

@@ -13,7 +13,6 @@ from quillspark.sources import model
 
 query, define = REGISTRY.query, REGISTRY.define
 DATASET_VERSION, DATASET_VERSION_ID = 3, 11
-HOUR = F.expr("INTERVAL 1 HOUR")
 
 # Spark side --------------------------------------------------------------------------
 
@@ -55,8 +54,8 @@ def versioned(spark, sf):
         *versions.SOURCE_KEY, F.lit(2).cast("bigint").alias("source_version"), "visibility",
         hash_parts("content_hash", F.lit("edited")).alias("content_hash"),
         F.when(F.col("toxic") == 1, "deleted").otherwise("pending").alias("index_status"),
-        F.when(F.col("toxic") == 1, F.col("updated_at") + HOUR).alias("deleted_at"),
-        (F.col("updated_at") + HOUR).alias("updated_at"),
+        F.when(F.col("toxic") == 1, F.expr("updated_at + INTERVAL 1 HOUR")).alias("deleted_at"),
+        F.expr("updated_at + INTERVAL 1 HOUR").alias("updated_at"),
     )
     return first.unionByName(second)
 

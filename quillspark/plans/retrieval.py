@@ -257,7 +257,7 @@ def scope_resolution(spark, sf):
     return search.resolve_scope(asked, runs)
 
 
-@query("query_plans", "R5 F11 F12", """
+@query("query_plans", "R5 F11 F12 J15", """
     SELECT a.query_id, 'note' AS preferred_type, (SELECT list(term ORDER BY term_no) FROM q_terms t WHERE t.query_id = a.query_id) AS terms FROM access a""")
 def query_plans(spark, sf):
     return planned_cases(spark, sf).select("query_id", "preferred_type", "terms")
@@ -296,7 +296,7 @@ def lexical_candidates(spark, sf):
     return ranked.select("query_id", "chunk_key", F.round("fts_score", 6).alias("fts_score"))
 
 
-@query("lexical_rerank", "R10 F16", """
+@query("lexical_rerank", "R10 F16 F22", """
     SELECT query_id, chunk_key, round(coverage, 6) AS coverage, round(trigram_score, 6) AS trigram_score, round(score, 6) AS lexical_score
     FROM lexical_scored""")
 def lexical_rerank(spark, sf):

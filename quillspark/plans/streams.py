@@ -14,7 +14,12 @@ from quillspark.sources import model
 from quillspark.streaming import envelopes, pipeline, windows
 
 query, define = REGISTRY.query, REGISTRY.define
-NOW = F.to_timestamp(F.lit("2024-02-01"))
+
+
+def processing_time():
+    return F.to_timestamp(F.lit("2024-02-01"))
+
+
 NOTE_STATUS = "CASE WHEN {x} % 7 = 3 THEN 'deleted' ELSE 'published' END"
 
 
@@ -46,7 +51,7 @@ def note_list(spark, sf):
 def run_pipeline(spark, sf):
     root = workspace(spark)
     write_messages(spark, sf, f"{root}/source")
-    job = pipeline.EventPipeline(spark, root, note_list(spark, sf), NOW, 10)
+    job = pipeline.EventPipeline(spark, root, note_list(spark, sf), processing_time(), 10)
     following = pipeline.run_available(
         envelopes.envelope_stream(spark, f"{root}/source", 2), job.apply, f"{root}/checkpoint")
     job.drain(following, spark)
@@ -183,7 +188,7 @@ def stream_rate_limit(spark, sf):
     SELECT event_type, quantile_disc(lag, 0.5) AS p50_lag, quantile_disc(lag, 0.95) AS p95_lag FROM (
       SELECT event_type, CAST(floor(epoch(TIMESTAMP '2024-02-01')) - floor(epoch(occurred_at)) AS BIGINT) AS lag FROM behavior) GROUP BY 1""")
 def event_lag(spark, sf):
-    rows = envelopes.event_lag(model.behavior(spark, sf), NOW)
+    rows = envelopes.event_lag(model.behavior(spark, sf), processing_time())
     return nearest_rank(rows.select("event_type", "lag_seconds"), ["event_type"], "lag_seconds", {"p50_lag": 0.50, "p95_lag": 0.95})
 
 

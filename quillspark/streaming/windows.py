@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from quillspark.functions.contract import NOTE_VIEW_EVENTS
@@ -90,7 +90,7 @@ class FixedWindowLimit(StatefulProcessor):
         pass
 
 
-LIMIT_OUTPUT = T.StructType.fromDDL("key bigint, event_id bigint, hits bigint, remaining bigint, reset_ms bigint, allowed boolean")
+LIMIT_OUTPUT = "key bigint, event_id bigint, hits bigint, remaining bigint, reset_ms bigint, allowed boolean"
 
 
 def over_limit(events: DataFrame, key: str, limit: int, window_ms: int) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Column, functions as F
 from quillspark.functions.contract import DEFAULT_AUDIENCE, GENERIC_BIGRAMS, PART_SEPARATOR, SECTIONS, SHORT_TEXT_TYPO
 
 HAN_RUN = r"^\p{IsHan}"
+WORD_RUNS = r"[\p{L}\p{Nd}]+"
 TOKEN_RUNS = r"\p{IsHan}+|[\p{L}\p{Nd}&&[^\p{IsHan}]]+"
 
 
@@ -43,15 +44,26 @@ def _grams_of_run(run: Column) -> Column:
     return F.concat(singles, pairs)
 
 
+def lower(text: Column | str) -> Column:
+    """Lowercase letter by letter: two capitals whose lowercase Java makes depend on context are mapped first."""
+    return F.lower(F.translate(col(text), "Σİ", "σi"))
+
+
 def tokenize(text: Column | str) -> Column:
-    """Words lowercased; a Han run gives its characters and then its adjacent pairs."""
-    runs = F.regexp_extract_all(col(text), F.lit(TOKEN_RUNS), F.lit(0))
-    return F.flatten(
+    """Words lowercased; a Han run gives its characters and then its adjacent pairs.
+
+    Texts without Han characters, where runs are the tokens, skip the per-run work.
+    """
+    t = col(text)
+    runs = F.regexp_extract_all(t, F.lit(TOKEN_RUNS), F.lit(0))
+    mixed = F.flatten(
         F.transform(
             runs,
-            lambda run: F.when(run.rlike(HAN_RUN), _grams_of_run(run)).otherwise(F.array(F.lower(run))),
+            lambda run: F.when(run.rlike(HAN_RUN), _grams_of_run(run)).otherwise(F.array(lower(run))),
         )
     )
+    plain = F.regexp_extract_all(lower(t), F.lit(WORD_RUNS), F.lit(0))
+    return F.when(t.rlike(r"\p{IsHan}"), mixed).otherwise(plain)
 
 
 def byte_slice(text: Column | str, start: Column, end: Column) -> Column:

@@ -27,8 +27,15 @@ def write_occurrences(chunks: DataFrame, table: str, buckets: int) -> None:
     occurrences(chunks).write.bucketBy(buckets, "term").sortBy("term").mode("overwrite").saveAsTable(table)
 
 
-def _first_in_chunk(lexemes: Column, at: Column, term: Column) -> Column:
-    return F.array_position(lexemes, term) == at + 1
+def _counted_tokens(chunks: DataFrame, *columns: str) -> DataFrame:
+    """Every token once per occurrence and, flagged ``_chunk``, once per chunk it appears in.
+
+    Both come out of one pass over the chunk, so chunk frequencies need no distinct step.
+    """
+    both = chunks.select(
+        *columns, F.size("lexemes").alias("_n"), F.posexplode(F.concat("lexemes", F.array_distinct("lexemes"))).alias("_at", "term")
+    )
+    return both.select(*columns, "term", (F.col("_at") >= F.col("_n")).alias("_chunk"))
 
 
 def inverse_frequency(total: Column, frequency: Column) -> Column:
@@ -38,15 +45,13 @@ def inverse_frequency(total: Column, frequency: Column) -> Column:
 def term_statistics(chunks: DataFrame) -> DataFrame:
     """Chunk frequency, occurrence count and idf per project and term.
 
-    A token counts towards the chunk frequency only at its first place in the chunk, so no
-    distinct step is needed and one partially aggregated shuffle is enough.
+    One partially aggregated shuffle gives both frequencies.
     """
     totals = chunks.groupBy("project_id").agg(F.count("*").alias("_chunks"))
     counted = (
-        chunks.select("project_id", "lexemes", F.posexplode("lexemes").alias("_at", "term"))
-        .withColumn("_first", _first_in_chunk(F.col("lexemes"), F.col("_at"), F.col("term")))
+        _counted_tokens(chunks, "project_id")
         .groupBy("project_id", "term")
-        .agg(F.count_if("_first").alias("chunk_frequency"), F.count("*").alias("occurrence_count"))
+        .agg(F.count_if("_chunk").alias("chunk_frequency"), F.count_if(~F.col("_chunk")).alias("occurrence_count"))
     )
     return counted.join(totals, "project_id").select(
         "project_id", "term", "chunk_frequency", "occurrence_count",
@@ -66,12 +71,11 @@ def scoped_statistics(chunks: DataFrame, projects: DataFrame) -> DataFrame:
     )
     totals = marked.groupBy("project_id").agg(F.count("*").alias("_all"), F.count_if("_public").alias("_open_chunks"))
     counted = (
-        marked.select("project_id", "_public", "lexemes", F.posexplode("lexemes").alias("_at", "term"))
-        .withColumn("_first", _first_in_chunk(F.col("lexemes"), F.col("_at"), F.col("term")))
+        _counted_tokens(marked, "project_id", "_public")
         .groupBy("project_id", "term")
         .agg(
-            F.count_if("_first").alias("_df"), F.count("*").alias("_cf"),
-            F.count_if(F.col("_first") & F.col("_public")).alias("_pdf"), F.count_if("_public").alias("_pcf"),
+            F.count_if("_chunk").alias("_df"), F.count_if(~F.col("_chunk")).alias("_cf"),
+            F.count_if(F.col("_chunk") & F.col("_public")).alias("_pdf"), F.count_if(~F.col("_chunk") & F.col("_public")).alias("_pcf"),
         )
     )
     scope = F.array(

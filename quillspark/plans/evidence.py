@@ -18,7 +18,7 @@ DATASET_VERSION, DATASET_VERSION_ID = 3, 11
 
 
 def note_rows(spark, sf):
-    docs = model.documents(spark, sf)
+    docs = model.spread(model.documents(spark, sf))
     return docs.select(
         "id", "project_id", F.lit("").alias("title"), "body", "category", "visibility", "status",
         F.when(F.col("status") == "deleted", F.col("created_at")).alias("deleted_at"),

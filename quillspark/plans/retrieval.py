@@ -31,15 +31,17 @@ def dead_documents(spark, sf):
     return lexical.dead_documents(cites, close_older_versions(ev.versioned(spark, sf)))
 
 
-def search_chunks(spark, sf):
-    """The searchable chunks, written once because several branches of a search read them."""
-    rows = lexical.searchable(chunk_table(spark, sf), model.projects(spark, sf), dead_documents(spark, sf))
-    return materialize(rows.select(*lexical.CHUNK_COLUMNS, "project_id", "content", "lexemes", "content_hash", "segments", "start_byte", "end_byte"))
+def corpus(spark, sf):
+    """(all chunks, searchable chunks); the chunks are written once because several branches read them."""
+    columns = [c for c in lexical.CHUNK_COLUMNS if c != "project_open"]
+    rows = materialize(chunk_table(spark, sf).select(
+        *columns, "project_id", "lifecycle_status", "content", "lexemes", "content_hash", "segments", "start_byte", "end_byte"))
+    return rows, lexical.searchable(rows, model.projects(spark, sf), dead_documents(spark, sf))
 
 
 def gold_pairs(spark, sf):
     """Published notes that contain a benchmark passage word for word."""
-    texts = model.documents(spark, sf).where("status = 'published'").select(F.col("id").alias("text_id"), F.col("body").alias("text"))
+    texts = model.spread(model.documents(spark, sf).where("status = 'published'").select(F.col("id").alias("text_id"), F.col("body").alias("text")))
     anchors = model.query_table(spark, sf).select(F.col("query_id").alias("anchor_id"), F.col("query").alias("anchor"))
     return containment(texts, anchors).select(F.col("anchor_id").alias("query_id"), F.col("text_id").alias("note_id"))
 
@@ -80,15 +82,14 @@ def planned_cases(spark, sf, anonymous=False):
     return materialize(lexical.plan_queries(scoped))
 
 
-def statistics(spark, sf, chunks=None):
+def statistics(spark, sf, chunks):
     """Statistics cover all chunks of a project; the searchable ones only decide what is found."""
-    rows = chunks if chunks is not None else chunk_table(spark, sf)
-    return lexical.scoped_statistics(rows.select("project_id", "visibility", "lexemes"), model.projects(spark, sf))
+    return lexical.scoped_statistics(chunks.select("project_id", "visibility", "lexemes"), model.projects(spark, sf))
 
 
-def lexical_rows(spark, sf, planned, chunks, hybrid=False):
+def lexical_rows(spark, sf, planned, everything, chunks, hybrid=False):
     usable = planned.where("access_scope <> 'none' AND valid")
-    return search.lexical_candidates(usable, chunks, statistics(spark, sf), hybrid)
+    return search.lexical_candidates(usable, chunks, statistics(spark, sf, everything), hybrid)
 
 
 def vector_queries(planned, embedded):
@@ -273,13 +274,13 @@ def term_statistics(spark, sf):
 @query("scoped_statistics", "A12 R2", """
     SELECT project_id, access_scope, term, chunk_frequency, occurrence_count, round(idf, 6) AS idf FROM scope_stats""")
 def scoped_statistics(spark, sf):
-    return statistics(spark, sf).withColumn("idf", F.round("idf", 6))
+    return statistics(spark, sf, chunk_table(spark, sf)).withColumn("idf", F.round("idf", 6))
 
 
 @query("candidate_terms", "R6 K6", "SELECT query_id, term, CAST(term_rank AS BIGINT) AS term_rank FROM cand_terms")
 def candidate_terms(spark, sf):
     planned = planned_cases(spark, sf)
-    terms = lexical.candidate_terms(lexical.query_term_stats(planned, statistics(spark, sf)))
+    terms = lexical.candidate_terms(lexical.query_term_stats(planned, statistics(spark, sf, chunk_table(spark, sf))))
     return terms.select("query_id", "term", F.col("term_rank").cast("bigint").alias("term_rank"))
 
 
@@ -290,8 +291,9 @@ def dead_document_keys(spark, sf):
 
 @query("lexical_candidates", "R7 R8 R9 F13 F17 K5 U2", "SELECT query_id, chunk_key, round(fts_score, 6) AS fts_score FROM pre_ranked")
 def lexical_candidates(spark, sf):
-    planned, chunks = planned_cases(spark, sf), search_chunks(spark, sf)
-    terms = lexical.candidate_terms(lexical.query_term_stats(planned, statistics(spark, sf)))
+    planned = planned_cases(spark, sf)
+    everything, chunks = corpus(spark, sf)
+    terms = lexical.candidate_terms(lexical.query_term_stats(planned, statistics(spark, sf, everything)))
     ranked = lexical.rank_candidates(lexical.match_candidates(planned, terms, chunks), planned, chunks)
     return ranked.select("query_id", "chunk_key", F.round("fts_score", 6).alias("fts_score"))
 
@@ -300,14 +302,14 @@ def lexical_candidates(spark, sf):
     SELECT query_id, chunk_key, round(coverage, 6) AS coverage, round(trigram_score, 6) AS trigram_score, round(score, 6) AS lexical_score
     FROM lexical_scored""")
 def lexical_rerank(spark, sf):
-    rows = lexical_rows(spark, sf, planned_cases(spark, sf), search_chunks(spark, sf))
+    rows = lexical_rows(spark, sf, planned_cases(spark, sf), *corpus(spark, sf))
     return rows.select("query_id", "chunk_key", *[F.round(c, 6).alias(c) for c in ("coverage", "trigram_score", "lexical_score")])
 
 
 @query("lexical_search", "R1 R10 R16 R17 W9", """
     SELECT query_id, chunk_key, note_id, rank, round(confidence, 6) AS confidence FROM lexical_found""")
 def lexical_search(spark, sf):
-    rows = lexical_rows(spark, sf, planned_cases(spark, sf), search_chunks(spark, sf))
+    rows = lexical_rows(spark, sf, planned_cases(spark, sf), *corpus(spark, sf))
     found = search.select_diverse(search.lexical_results(rows), C.THRESHOLDS["lexical"])
     return found.select("query_id", "chunk_key", "note_id", F.col("rank").cast("bigint").alias("rank"), F.round("confidence", 6).alias("confidence"))
 
@@ -319,7 +321,7 @@ def lexical_search(spark, sf):
     FROM access a LEFT JOIN lexical_scored s USING (query_id) GROUP BY 1, 2""")
 def lexical_decisions(spark, sf):
     planned = planned_cases(spark, sf)
-    rows = search.lexical_results(lexical_rows(spark, sf, planned, search_chunks(spark, sf)))
+    rows = search.lexical_results(lexical_rows(spark, sf, planned, *corpus(spark, sf)))
     return search.decide(planned, rows, C.THRESHOLDS["lexical"]).withColumn("top_confidence", F.round("top_confidence", 6))
 
 
@@ -328,8 +330,8 @@ def lexical_decisions(spark, sf):
            CAST(c.document_end_byte AS INTEGER) AS document_end_byte, c.quote
     FROM lexical_found f JOIN citation_rows c USING (chunk_key)""")
 def result_citations(spark, sf):
-    chunks = search_chunks(spark, sf)
-    rows = lexical_rows(spark, sf, planned_cases(spark, sf), chunks)
+    everything, chunks = corpus(spark, sf)
+    rows = lexical_rows(spark, sf, planned_cases(spark, sf), everything, chunks)
     found = search.select_diverse(search.lexical_results(rows), C.THRESHOLDS["lexical"])
     cited = search.attach_citations(found.select("query_id", "rank", "chunk_key"), evidence.citations(chunks))
     return cited.select("query_id", F.col("rank").cast("bigint").alias("rank"), F.inline("citations")).select(
@@ -423,7 +425,7 @@ def embedding_norms(spark, sf):
     SELECT query_id, chunk_key, rank, round(confidence, 6) AS confidence FROM (
       {DIVERSE_SQL.format(rows="(SELECT *, 0 AS tie FROM (SELECT query_id, chunk_key, document_key, note_id, round(score, 12) AS score FROM vector_scored))", t="0.45::DOUBLE")}) WHERE rank <= 10""")
 def vector_search(spark, sf):
-    planned, chunks = planned_cases(spark, sf), search_chunks(spark, sf)
+    planned, (_, chunks) = planned_cases(spark, sf), corpus(spark, sf)
     rows = search.vector_results(vector_hits(spark, sf, planned, chunks), chunks, planned)
     found = search.select_diverse(rows, C.THRESHOLDS["vector"])
     return found.select("query_id", "chunk_key", F.col("rank").cast("bigint").alias("rank"), F.round("confidence", 6).alias("confidence"))
@@ -452,10 +454,10 @@ define("hybrid_scored", """
     SELECT query_id, chunk_key, rank, round(confidence, 6) AS confidence FROM (
       {DIVERSE_SQL.format(rows="(SELECT *, 0 AS tie FROM hybrid_scored)", t="0.60::DOUBLE")}) WHERE rank <= 10""")
 def hybrid_search(spark, sf):
-    planned, chunks = planned_cases(spark, sf), search_chunks(spark, sf)
-    lex = materialize(lexical_rows(spark, sf, planned, chunks, hybrid=True))
+    planned, (everything, chunks) = planned_cases(spark, sf), corpus(spark, sf)
+    lex = materialize(lexical_rows(spark, sf, planned, everything, chunks, hybrid=True))
     vec = search.vector_results(vector_hits(spark, sf, planned, chunks), chunks, planned)
-    rows = search.hybrid_results(lex, vec, planned, chunks, statistics(spark, sf))
+    rows = search.hybrid_results(lex, vec, planned, chunks, statistics(spark, sf, everything))
     found = search.select_diverse(rows, C.THRESHOLDS["hybrid"])
     return found.select("query_id", "chunk_key", F.col("rank").cast("bigint").alias("rank"), F.round("confidence", 6).alias("confidence"))
 

@@ -20,9 +20,9 @@ query, define = REGISTRY.query, REGISTRY.define
 def evaluated(spark, sf):
     """Case metrics of the lexical search, with the anonymous pass in the same run."""
     planned = rt.planned_cases(spark, sf, anonymous=True)
-    chunks = rt.search_chunks(spark, sf)
+    everything, chunks = rt.corpus(spark, sf)
     found = search.select_diverse(
-        search.lexical_results(rt.lexical_rows(spark, sf, planned, chunks)), C.THRESHOLDS["lexical"]
+        search.lexical_results(rt.lexical_rows(spark, sf, planned, everything, chunks)), C.THRESHOLDS["lexical"]
     ).select("query_id", "rank", "chunk_key", "note_id", "media_position")
     found = materialize(found)
     cites = evidence.citations(chunks).join(found.select("chunk_key").distinct(), "chunk_key", "left_semi")

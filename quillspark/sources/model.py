@@ -15,6 +15,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows dealt out to all cores when their few files would leave most cores idle.
+
+    Text work costs far more than moving the text once. Tables of at least as many files as
+    cores, which every large table has, are left where they are.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if len(rows.inputFiles()) < cores else rows
+
+
 # Behaviour events ------------------------------------------------------------------
 
 def behavior(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -194,7 +194,8 @@ def event_lag(spark, sf):
 
 @query("stream_source_changes", "T12 V3 W6", """
     WITH c AS (SELECT o_custkey AS source_id, o_orderkey AS no, o_orderstatus AS h, o_orderdate AS changed, o_orderpriority = '5-LOW' AS del FROM orders),
-    b AS (SELECT *, CASE WHEN NOT del AND h IS DISTINCT FROM lag(h) OVER (PARTITION BY source_id ORDER BY no) THEN 1 ELSE 0 END AS opens FROM c),
+    b AS (SELECT *, CASE WHEN NOT del AND (h IS DISTINCT FROM lag(h) OVER w OR lag(del) OVER w) THEN 1 ELSE 0 END AS opens FROM c
+          WINDOW w AS (PARTITION BY source_id ORDER BY no)),
     v AS (SELECT *, CAST(sum(opens) OVER (PARTITION BY source_id ORDER BY no) AS BIGINT) AS source_version FROM b),
     r AS (SELECT source_id, source_version, max(changed) FILTER (WHERE del) AS deleted_at FROM v WHERE opens = 1 OR del GROUP BY 1, 2)
     SELECT source_id, source_version, CASE WHEN source_version < max(source_version) OVER (PARTITION BY source_id) OR deleted_at IS NOT NULL THEN 'deleted' ELSE 'pending' END AS index_status FROM r""")

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from quillspark.functions.contract import NOTE_VIEW_EVENTS
+from quillspark.operators.ordering import running, shifted
 from quillspark.operators.versions import SOURCE_KEY
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -107,17 +108,18 @@ def apply_changes(stored: DataFrame, changes: DataFrame) -> DataFrame:
     """New registry rows of one batch of inserts, updates and deletes (SCD-2).
 
     ``changes``: the source key, change_no, operation, content_hash, visibility, changed_at;
-    a batch may hold several changes of a key. A content change opens the next version, a
-    delete only closes. ``stored`` gives the latest version and hash per key.
+    a batch may hold several changes of a key. New content, or any update after a delete,
+    opens the next version; a delete only closes. ``stored`` holds the rows of earlier batches.
     """
-    from quillspark.operators.ordering import running, shifted
-
     latest = stored.groupBy(*SOURCE_KEY).agg(
-        F.max("source_version").alias("_version"), F.max_by("content_hash", "source_version").alias("_hash"))
+        F.max("source_version").alias("_version"), F.max_by("content_hash", "change_no").alias("_hash"),
+        F.max_by(F.col("deleted_at").isNotNull(), "change_no").alias("_gone"))
     ranked = running(changes, SOURCE_KEY, ["change_no"], "_step")
-    stepped = shifted(ranked, SOURCE_KEY, "_step", {"_previous": "content_hash"}).join(latest, SOURCE_KEY, "left")
-    before = F.when(F.col("_step") == 1, F.col("_hash")).otherwise(F.col("_previous"))
-    opens = (F.col("operation") != "delete") & ~F.col("content_hash").eqNullSafe(before)
+    stepped = shifted(ranked, SOURCE_KEY, "_step", {"_previous": "content_hash", "_operation": "operation"}).join(latest, SOURCE_KEY, "left")
+    first = F.col("_step") == 1
+    before = F.when(first, F.col("_hash")).otherwise(F.col("_previous"))
+    gone = F.when(first, F.coalesce("_gone", F.lit(False))).otherwise(F.col("_operation") == "delete")
+    opens = (F.col("operation") != "delete") & (gone | ~F.col("content_hash").eqNullSafe(before))
     numbered = running(stepped.withColumn("_opens", opens.cast("bigint")), SOURCE_KEY, ["change_no"], rank=None, sums={"_opened": F.col("_opens")})
     versions = numbered.withColumn("source_version", F.coalesce("_version", F.lit(0)) + F.col("_opened"))
     return versions.where((F.col("_opens") == 1) | (F.col("operation") == "delete")).select(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import sys
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,10 +15,12 @@ from pyspark.sql import DataFrame, functions as F
 from quillspark.functions import contract as C
 from quillspark.operators.manifest import compare_manifests
 from quillspark.operators.ordering import top_per_group, with_row
+from quillspark.session import scratch_dir
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 QUERY_BLOCK = 2048
+HITS = "query_id bigint, chunk_key string, vector_score double"
 
 
 def embed(
@@ -61,23 +64,25 @@ def vector_candidates(queries: DataFrame, chunks: DataFrame, k: int = C.CANDIDAT
     neither pairs nor the chunk table are ever shuffled whole.
     """
     columns = ["query_id", "embedding", "project_id", "access_scope", "document_types", "hints", "preferred_position"]
-    wanted = queries.select(*columns)
-    total = wanted.count()
-    blocks = max(1, math.ceil(total / QUERY_BLOCK))
-    tagged = wanted.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(2 * blocks))) if blocks > 1 else wanted.withColumn("_block", F.lit(0))
     fields = ["chunk_key", "embedding", "project_id", "project_open", "visibility", "document_type", "note_id", "media_position"]
-    result = None
-    for number in range(2 * blocks if blocks > 1 else 1):
-        block = tagged.where(F.col("_block") == number).drop("_block").toPandas()
+    spark, points = chunks.sparkSession, chunks.select(*fields)
+    total = queries.count()
+    blocks = 1 if total <= QUERY_BLOCK else 2 * math.ceil(total / QUERY_BLOCK)
+    wanted = queries.select(*columns, F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("_block"))
+    found = None
+    path = f"{scratch_dir(spark)}/quillspark/{uuid.uuid4().hex}"
+    for number in range(blocks):
+        block = wanted.where(F.col("_block") == number).drop("_block").toPandas()
         if block.empty:
             continue
-        scored = chunks.select(*fields).mapInPandas(
-            _block_scorer(block, k), "query_id bigint, chunk_key string, vector_score double"
-        )
-        result = scored if result is None else result.unionByName(scored)
-    if result is None:
-        result = chunks.sparkSession.createDataFrame([], "query_id bigint, chunk_key string, vector_score double")
-    return top_per_group(result, ["query_id"], [F.desc("vector_score"), "chunk_key"], k, "vector_rank")
+        found = points.mapInPandas(_block_scorer(block, k), HITS)
+        if blocks > 1:  # one finished table instead of a plan that grows with the blocks
+            found.write.mode("append").parquet(path)
+    if found is None:
+        found = spark.createDataFrame([], HITS)
+    elif blocks > 1:
+        found = spark.read.schema(HITS).parquet(path)
+    return top_per_group(found, ["query_id"], [F.desc("vector_score"), "chunk_key"], k, "vector_rank")
 
 
 def _unit(rows: np.ndarray) -> np.ndarray:

@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
-from quillspark.operators.counters import note_counts
 from quillspark.operators.facts import hot_score
 from quillspark.operators.ordering import top_per_group
 from quillspark.streaming.envelopes import dead_letters, parse, split_attempts
@@ -18,17 +17,26 @@ from quillspark.streaming.envelopes import dead_letters, parse, split_attempts
 FACT_COLUMNS = [
     "source_event_id", "project_id", "user_id", "note_id", "comment_id", "event_type", "event_payload", "occurred_at",
 ]
-KIND_OF = {"note_liked": "like", "note_collected": "collect", "comment_created": "comment", "note_shared": "share"}
+# event types that raise and lower each counter
+COUNTED = {
+    "like_count": ("note_liked", "note_unliked"), "collect_count": ("note_collected", "note_uncollected"),
+    "comment_count": ("comment_created", "comment_deleted"), "share_count": ("note_shared", None),
+}
+COUNTERS = ["view_count", *COUNTED]
+UNDATED = "1970-01-01"
 
 
 class BatchTable:
-    """A Parquet directory with one partition per micro-batch."""
+    """A Parquet directory with one partition per micro-batch, and by one more column if wanted."""
 
-    def __init__(self, spark: SparkSession, path: str, schema: StructType | str):
-        self.spark, self.path, self.schema = spark, path, schema
+    def __init__(self, spark: SparkSession, path: str, schema: StructType | str, split_by: str | None = None):
+        self.spark, self.path, self.schema, self.split_by = spark, path, schema, split_by
 
     def write(self, rows: DataFrame, batch_id: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{self.path}/batch_id={batch_id}")
+        writer = rows.write.mode("overwrite")
+        if self.split_by:
+            writer = writer.partitionBy(self.split_by)
+        writer.parquet(f"{self.path}/batch_id={batch_id}")
 
     def read(self, before: int | None = None) -> DataFrame:
         """All rows, or those of batches before one (partition-pruned)."""
@@ -40,6 +48,9 @@ class BatchTable:
             rows = self.spark.createDataFrame([], self._with_batch())
         return rows if before is None else rows.where(F.col("batch_id") < before)
 
+    def of_batch(self, batch_id: int) -> DataFrame:
+        return self.read().where(F.col("batch_id") == batch_id)
+
     def _with_batch(self) -> StructType:
         base = self.schema if isinstance(self.schema, StructType) else StructType.fromDDL(self.schema)
         return StructType(list(base.fields)).add("batch_id", "long")
@@ -56,12 +67,11 @@ class EventPipeline:
         self.notes, self.now, self.ranking_size = notes, now, ranking_size
         fact_ddl = (
             "source_event_id string, project_id bigint, user_id bigint, note_id bigint, comment_id bigint, "
-            "event_type string, event_payload string, occurred_at timestamp"
+            "event_type string, event_payload string, occurred_at timestamp, event_date date"
         )
-        self.facts = BatchTable(spark, f"{root}/facts", fact_ddl)
+        self.facts = BatchTable(spark, f"{root}/facts", fact_ddl, split_by="event_date")
         self.counters = BatchTable(
-            spark, f"{root}/counters",
-            "note_id bigint, view_count bigint, like_count bigint, collect_count bigint, comment_count bigint, share_count bigint, hot_score double",
+            spark, f"{root}/counters", "note_id bigint, " + ", ".join(f"{c} bigint" for c in COUNTERS) + ", hot_score double"
         )
         self.rankings = BatchTable(spark, f"{root}/rankings", "category string, ids array<bigint>")
         self.retries = BatchTable(spark, f"{root}/retries", "message_hash string, value string, attempts int")
@@ -72,7 +82,7 @@ class EventPipeline:
 
     def apply(self, messages: DataFrame, batch_id: int) -> None:
         """One micro-batch: retry what failed last time together with the new messages."""
-        due = self.retries.read(batch_id).where(F.col("batch_id") == batch_id - 1)
+        due = self.retries.of_batch(batch_id - 1)
         parsed = parse(messages.select("value").unionByName(due.select("value"))).persist()
         try:
             self._record(parsed.where("failure IS NULL"), batch_id)
@@ -86,21 +96,36 @@ class EventPipeline:
         self._derive(batch_id)
 
     def _record(self, valid: DataFrame, batch_id: int) -> None:
-        """Facts of events not seen before: the fact table is its own ledger of event ids."""
-        fresh = valid.dropDuplicates(["source_event_id"]).join(
-            self.facts.read(batch_id).select("source_event_id"), "source_event_id", "left_anti"
-        )
-        rows = fresh.withColumn("occurred_at", F.coalesce("occurred_at", self.now)).select(*FACT_COLUMNS)
+        """Facts of events not seen before: the fact table is its own ledger of event ids.
+
+        An envelope never changes, so a repeated one carries the same date; only the days
+        this batch speaks of are read from the ledger.
+        """
+        dated = valid.withColumn("event_date", F.coalesce(F.to_date("occurred_at"), F.lit(UNDATED).cast("date")))
+        days = [r["event_date"] for r in dated.select("event_date").distinct().collect()]
+        ledger = self.facts.read(batch_id).where(F.col("event_date").isin(days)).select("source_event_id")
+        fresh = dated.dropDuplicates(["source_event_id"]).join(ledger, "source_event_id", "left_anti")
+        rows = fresh.withColumn("occurred_at", F.coalesce("occurred_at", self.now)).select(*FACT_COLUMNS, "event_date")
         self.facts.write(rows, batch_id)
 
     def _derive(self, batch_id: int) -> None:
-        """Recount only the notes this batch touched, then refresh the rankings they belong to."""
-        everything = self.facts.read(batch_id + 1)
-        if everything.where(F.col("batch_id") == batch_id).isEmpty():
-            return
-        touched = everything.where((F.col("batch_id") == batch_id) & F.col("note_id").isNotNull()).select("note_id").distinct()
-        self.counters.write(count_notes(everything.join(touched, "note_id", "left_semi"), self.notes), batch_id)
-        categories = self.notes.join(touched, F.col("id") == F.col("note_id"), "left_semi").select("category").distinct()
+        """Add this batch's facts to the counters of the notes it touched, then refresh their rankings.
+
+        Facts are unique, so sums do not depend on the order or the cut of the batches.
+        """
+        added = count_notes(self.facts.of_batch(batch_id), self.notes).persist()
+        try:
+            if added.isEmpty():
+                return
+            earlier = self.counters.read(batch_id).join(added.select("note_id"), "note_id", "left_semi")
+            before = current(earlier, "note_id").select("note_id", *[F.col(c).alias(f"_{c}") for c in COUNTERS])
+            totals = added.join(before, "note_id", "left").select(
+                "note_id", *[(F.col(c) + F.coalesce(f"_{c}", F.lit(0))).alias(c) for c in COUNTERS]
+            )
+            self.counters.write(totals.withColumn("hot_score", hot_score()), batch_id)
+            categories = self.notes.join(added, F.col("id") == F.col("note_id"), "left_semi").select("category").distinct()
+        finally:
+            added.unpersist()
         members = self.notes.where("status = 'published'").join(categories, "category", "left_semi")
         scored = members.select("category", F.col("id").alias("note_id")).join(
             current(self.counters.read(batch_id + 1), "note_id"), "note_id"
@@ -114,22 +139,25 @@ class EventPipeline:
     def drain(self, batch_id: int, spark: SparkSession) -> int:
         """Run further rounds without new messages until no retry is pending; returns the next batch id."""
         empty = spark.createDataFrame([], "value string")
-        while not self.retries.read().where(F.col("batch_id") == batch_id - 1).isEmpty():
+        while not self.retries.of_batch(batch_id - 1).isEmpty():
             self.apply(empty, batch_id)
             batch_id += 1
         return batch_id
 
 
 def count_notes(facts: DataFrame, notes: DataFrame) -> DataFrame:
-    """Counters of the notes in ``facts``; views count for published notes only."""
-    kind = F.create_map(*[F.lit(x) for pair in KIND_OF.items() for x in pair])
-    counts = note_counts(facts.where(F.col("event_type").isin(list(KIND_OF))).select(
-        "note_id", F.element_at(kind, F.col("event_type")).alias("kind"), F.lit(1).alias("status")))
-    views = facts.where("event_type = 'note_viewed'").groupBy("note_id").agg(F.count("*").alias("views")).join(
-        notes.where("status = 'published'").select(F.col("id").alias("note_id")), "note_id", "left_semi")
-    rows = facts.select("note_id").distinct().join(counts, "note_id", "left").join(views, "note_id", "left").fillna(0).withColumnRenamed("views", "view_count")
-    return rows.withColumn("hot_score", hot_score()).select(
-        "note_id", "view_count", "like_count", "collect_count", "comment_count", "share_count", "hot_score")
+    """What ``facts`` add to each note's counters; views count for published notes only."""
+    kind = F.col("event_type")
+    sums = {
+        name: F.count_if(kind == up) - (F.count_if(kind == down) if down else F.lit(0)) for name, (up, down) in COUNTED.items()
+    }
+    counts = facts.where("note_id IS NOT NULL").groupBy("note_id").agg(
+        F.count_if(kind == "note_viewed").alias("_views"), *[expr.alias(name) for name, expr in sums.items()]
+    )
+    published = notes.where("status = 'published'").select(F.col("id").alias("note_id"), F.lit(True).alias("_published"))
+    return counts.join(published, "note_id", "left").select(
+        "note_id", F.when(F.col("_published"), F.col("_views")).otherwise(0).alias("view_count"), *COUNTED
+    )
 
 
 def current(rows: DataFrame, key: str) -> DataFrame:

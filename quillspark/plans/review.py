@@ -139,8 +139,10 @@ define("ratings", """
            l_orderkey AS case_id, l_partkey AS source_id FROM lineitem""")
 KAPPA_SQL = """
     SELECT {stratum} AS task_type, sum(n)::BIGINT AS judgment_count, round(sum(n) FILTER (WHERE a = b) / sum(n), 4) AS exact_agreement,
-           round((sum(n) FILTER (WHERE a = b) / sum(n) - any_value(e)) / (1 - any_value(e)), 4) AS kappa,
-           round(1 - sum(n * (a - b) * (a - b)) / sum(n) / any_value(w), 4) AS quadratic_kappa
+           CASE WHEN any_value(e) = 1 THEN CASE WHEN sum(n) FILTER (WHERE a <> b) > 0 THEN 0.0::DOUBLE ELSE 1 END
+                ELSE round((coalesce(sum(n) FILTER (WHERE a = b), 0) / sum(n) - any_value(e)) / (1 - any_value(e)), 4) END AS kappa,
+           CASE WHEN any_value(w) = 0 THEN CASE WHEN sum(n) FILTER (WHERE a <> b) > 0 THEN 0.0::DOUBLE ELSE 1 END
+                ELSE round(1 - sum(n * (a - b) * (a - b)) / sum(n) / any_value(w), 4) END AS quadratic_kappa
     FROM (SELECT {stratum_in} AS s, {a} AS a, {b} AS b, count(*)::DOUBLE AS n FROM {rows} GROUP BY 1, 2, 3) c
     JOIN (SELECT x.s, sum(CASE WHEN x.v = y.v THEN x.p * y.p ELSE 0 END) AS e, sum((x.v - y.v) * (x.v - y.v) * x.p * y.p) AS w
           FROM (SELECT s, v, n / sum(n) OVER (PARTITION BY s) AS p FROM (SELECT {stratum_in} AS s, {a} AS v, count(*)::DOUBLE AS n FROM {rows} GROUP BY 1, 2)) x

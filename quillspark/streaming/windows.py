@@ -67,7 +67,12 @@ def sustained(rates: DataFrame, threshold: float, windows: int, slide_seconds: i
 
 
 class FixedWindowLimit(StatefulProcessor):
-    """Counts hits per key in a fixed window that starts at the first hit."""
+    """Counts hits per key in a fixed window that starts at the first hit.
+
+    A window depends on the hits before it, so a key's rows of one micro-batch are taken in
+    time order together. Their number is bounded by the source's trigger limit
+    (``maxFilesPerTrigger`` or ``maxBytesPerTrigger``), which jobs with hot keys must set.
+    """
 
     def __init__(self, limit: int, window_ms: int):
         self.limit, self.window_ms = limit, window_ms

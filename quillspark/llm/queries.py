@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import minhash, mixing, packing, pii, tokens
+from quillspark.llm import minhash, mixing, packing, pii, tokens, toxicity
 from quillspark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,6 +39,11 @@ def op4_source_mixing(spark, sf):
     return mixing.mix_documents(table(spark, sf, "documents"))
 
 
+@query("op6_toxicity")
+def op6_toxicity(spark, sf):
+    return toxicity.score(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
 @query("op8_personal_data")
 def op8_personal_data(spark, sf):
     return pii.digest(table(spark, sf, "documents"))

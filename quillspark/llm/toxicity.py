@@ -28,7 +28,8 @@ CUT = 0.7
 POSITIVE, NEGATIVE, LONGEST = 1500, 2500, 12_000
 #: A hash bucket is trained if so many sampled texts hold it.
 SEEN = 3
-EPOCHS, BATCH, RATE, SEED = 6, 32, 0.1, 7
+#: Passes over the sample and steps, each at least.
+EPOCHS, STEPS, BATCH, RATE, SEED = 6, 600, 32, 0.1, 7
 #: Words per scoring step, and words whose filters' parts a worker keeps.
 STEP, KEPT = 1 << 17, 150_000
 
@@ -40,27 +41,16 @@ FUNCTION_WORDS = {
     "es": "el los las y que con para una del por no se",
 }
 
+LANGUAGES = {lang: frozenset(ws.split()) for lang, ws in FUNCTION_WORDS.items()}
+
 
 def words_of(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
-def language(words: list[str]) -> str:
-    counts = {lang: sum(map(words.count, ws.split())) for lang, ws in FUNCTION_WORDS.items()} if len(words) < 200 else _counted(words)
-    best = max(counts, key=counts.get)
-    return best if counts[best] else ""
-
-
-def _counted(words: list[str]) -> dict[str, int]:
-    counts = dict.fromkeys(FUNCTION_WORDS, 0)
-    owner: dict[str, list[str]] = {}
-    for lang, ws in FUNCTION_WORDS.items():
-        for w in ws.split():
-            owner.setdefault(w, []).append(lang)
-    for w in words:
-        for lang in owner.get(w, ()):
-            counts[lang] += 1
-    return counts
+def marks(word: str) -> list[float]:
+    """Which languages a word is a function word of."""
+    return [float(word in ws) for ws in LANGUAGES.values()]
 
 
 def buckets(word: str) -> list[int]:
@@ -105,9 +95,11 @@ class Scorer:
     def __init__(self, model: Model):
         self.model, self.all_parts = model, model.parts.astype(np.float32)
         self.known: dict[str, int] = {}
-        self.table = np.zeros((KEPT, self.all_parts.shape[1]), np.float32)
+        self.columns = self.all_parts.shape[1]
+        #: Per known word its parts of all filters, then its language marks.
+        self.table = np.zeros((KEPT, self.columns + len(LANGUAGES)), np.float32)
 
-    def parts(self, words: list[str]) -> np.ndarray:
+    def rows(self, words: list[str]) -> np.ndarray:
         fresh = [w for w in dict.fromkeys(words) if w not in self.known]
         if len(self.known) + len(fresh) > KEPT:
             self.known.clear()
@@ -115,24 +107,30 @@ class Scorer:
         if fresh:
             begin = len(self.known)
             rows = np.array([buckets(w) for w in fresh])
-            self.table[begin:begin + len(fresh)] = self.model.embedding[rows].sum(1) @ self.all_parts
+            self.table[begin:begin + len(fresh), :self.columns] = self.model.embedding[rows].sum(1) @ self.all_parts
+            self.table[begin:begin + len(fresh), self.columns:] = [marks(w) for w in fresh]
             self.known.update(zip(fresh, range(begin, begin + len(fresh))))
         return self.table[np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))]
 
-    def logits(self, texts: list[list[str]]) -> np.ndarray:
+    def measure(self, texts: list[list[str]]) -> tuple[np.ndarray, list[str]]:
+        """Logit and guessed language of every text."""
         pooled = np.zeros((len(texts), len(self.model.weights)), np.float32)
+        marked = np.zeros((len(texts), len(LANGUAGES)))
         overlap = max(WIDTHS) - 1
-        pieces = [(i, ws[a:a + STEP // 2 + overlap]) for i, ws in enumerate(texts) for a in range(0, len(ws), STEP // 2)]
         gap = [""] * overlap  # an empty word adds nothing, so no filter sees two texts
-        for begin, end in runs([len(ws) + overlap for _, ws in pieces], STEP):
-            flat = [w for _, ws in pieces[begin:end] for w in [*ws, *gap]]
-            values = self.model.convolved(self.parts(flat))
-            starts = np.cumsum([0, *[len(ws) + overlap for _, ws in pieces[begin:end]]])
-            # The padding words are left out of the maximum.
+        pieces = [(i, a, min(len(ws), a + STEP // 2)) for i, ws in enumerate(texts) for a in range(0, len(ws), STEP // 2)]
+        for begin, end in runs([b - a + 2 * overlap for _, a, b in pieces], STEP):
+            group = [(i, texts[i][a:b + overlap]) for i, a, b in pieces[begin:end]]
+            rows = self.rows([w for _, ws in group for w in [*ws, *gap]])
+            starts = np.cumsum([0, *[len(ws) + overlap for _, ws in group]])
+            values = self.model.convolved(rows[:, :self.columns])
             values[(starts[1:, None] - 1 - np.arange(overlap)).ravel()] = -np.inf
-            best = np.maximum.reduceat(values, starts[:-1], axis=0) + self.model.offsets
-            np.maximum.at(pooled, [i for i, _ in pieces[begin:end]], best)
-        return pooled @ self.model.weights + self.model.bias
+            owner = [i for i, _ in group]
+            np.maximum.at(pooled, owner, np.maximum.reduceat(values, starts[:-1], axis=0) + self.model.offsets)
+            np.add.at(marked, owner, np.add.reduceat(rows[:, self.columns:], starts[:-1], axis=0))
+        names = [*LANGUAGES]
+        langs = [names[k] if row[k] else "" for row, k in zip(marked, marked.argmax(1))]
+        return pooled @ self.model.weights + self.model.bias, langs
 
 
 def train(texts: list[str], labels: list[int]) -> Model:
@@ -159,14 +157,17 @@ def train(texts: list[str], labels: list[int]) -> Model:
     used = held >= SEEN
     used[BUCKETS - 1] = False
     model.embedding[~used] = 0
-    squares = [np.full_like(a, 1e-3) for a in (model.embedding, *model.filters.values(), model.offsets, model.weights)]
+    embedding_square = np.full_like(model.embedding, 1e-3)
+    squares = [np.full_like(a, 1e-3) for a in (*model.filters.values(), model.offsets, model.weights)]
     bias_square = 1e-3
 
     calibration = random.random(len(texts)) < 0.2
     order = np.flatnonzero(~calibration)
-    for epoch in range(EPOCHS):
+    weight = np.where(y == 1, ((y == 0).sum() / (y == 1).sum()) ** 0.5, 1).astype(np.float32)
+    epochs = max(EPOCHS, -(-STEPS * BATCH // max(1, len(order))))
+    for epoch in range(epochs):
         random.shuffle(order)
-        rate = RATE / (1 + epoch)
+        rate = RATE / (1 + EPOCHS * epoch / epochs)
         for at in range(0, len(order), BATCH):
             chosen = order[at:at + BATCH]
             overlap = max(WIDTHS) - 1
@@ -180,7 +181,7 @@ def train(texts: list[str], labels: list[int]) -> Model:
             peak = np.take_along_axis(values, best, 0) if len(values) else values
             pooled = np.maximum(peak, 0)
             error = 1 / (1 + np.exp(-np.clip(pooled @ model.weights + model.bias, -30, 30))) - y[chosen]
-            error = (error / len(chosen)).astype(np.float32)
+            error = (error * weight[chosen] / len(chosen)).astype(np.float32)
             to_pooled = error[:, None] * model.weights * (peak > 0)
             gradients = {w: np.zeros_like(f) for w, f in model.filters.items()}
             to_vector = np.zeros_like(vectors)
@@ -190,17 +191,22 @@ def train(texts: list[str], labels: list[int]) -> Model:
                     place = back[np.minimum(best[:, columns] + k, len(back) - 1)]
                     gradients[width][k] += np.einsum("df,dfs->sf", to_pooled[:, columns], vectors[place])
                     np.add.at(to_vector, place, to_pooled[:, columns, None] * model.filters[width][k].T)
-            to_embedding = np.zeros_like(model.embedding)
-            np.add.at(to_embedding, rows[unique], to_vector[:, None, :])
-            to_embedding[~used] = 0
-            steps = [to_embedding, *gradients.values(), to_pooled.sum(0), error @ pooled]
-            for value, gradient, square in zip((model.embedding, *model.filters.values(), model.offsets, model.weights), steps, squares):
+            moved = np.flatnonzero(to_vector.any(1))
+            touched, where = np.unique(rows[unique[moved]], return_inverse=True)
+            to_embedding = np.zeros((len(touched), SIZE), np.float32)
+            np.add.at(to_embedding, where.reshape(-1, 1 + len(PREFIXES)), to_vector[moved][:, None, :])
+            to_embedding[~used[touched]] = 0
+            embedding_square[touched] += to_embedding**2
+            model.embedding[touched] -= rate * to_embedding / np.sqrt(embedding_square[touched])
+            steps = [*gradients.values(), to_pooled.sum(0), error @ pooled]
+            for value, gradient, square in zip((*model.filters.values(), model.offsets, model.weights), steps, squares):
                 square += gradient**2
                 value -= rate * gradient / np.sqrt(square)
             bias_square += float(error.sum()) ** 2
             model.bias -= rate * float(error.sum()) / bias_square**0.5
     held_out = np.flatnonzero(calibration)
-    model.thresholds = calibrated(Scorer(model).logits([split[i] for i in held_out]), y[held_out], [language(split[i]) for i in held_out])
+    logits, langs = Scorer(model).measure([split[i] for i in held_out])
+    model.thresholds = calibrated(logits, y[held_out], langs)
     return model
 
 
@@ -255,7 +261,8 @@ def score(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
         scorer = per_process(key, lambda: Scorer(model))
         for batch, texts in batches(source):
             split = [words_of(t) for t in texts]
-            scores = model.score(scorer.logits(split).astype(np.float64), [language(ws) for ws in split])
+            logits, langs = scorer.measure(split)
+            scores = model.score(logits.astype(np.float64), langs)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))

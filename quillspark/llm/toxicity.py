@@ -245,6 +245,18 @@ def training_sample(docs: DataFrame, labels: DataFrame) -> tuple[list[str], list
     return [t for t, _ in rows], [y for _, y in rows]
 
 
+def fitted(docs: DataFrame, labels: DataFrame) -> tuple[Model, str]:
+    """The model of a table, and a name for it."""
+    model = train(*training_sample(docs, labels))
+    return model, f"toxicity:{zlib.crc32(model.embedding.tobytes())}:{model.bias}"
+
+
+def scores_of(texts: list[str], model: Model, key: str) -> np.ndarray:
+    scorer = per_process(key, lambda: Scorer(model))
+    logits, langs = scorer.measure([words_of(t) for t in texts])
+    return model.score(logits.astype(np.float64), langs)
+
+
 def score(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``doc_id, held_out, score, predicted`` of every row of ``docs``.
 
@@ -254,18 +266,25 @@ def score(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
     are constant. An empty table gives an empty result.
     """
     narrow = docs.select(docs[id_column].cast("long").alias("doc_id"), docs[text_column].alias("text"))
-    model = train(*training_sample(narrow, labels))
-    key = f"toxicity:{zlib.crc32(model.embedding.tobytes())}:{model.bias}"
+    model, key = fitted(narrow, labels)
 
     def predict(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = per_process(key, lambda: Scorer(model))
         for batch, texts in batches(source):
-            split = [words_of(t) for t in texts]
-            logits, langs = scorer.measure(split)
-            scores = model.score(logits.astype(np.float64), langs)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64())], names=["doc_id", "score"])
+            scores = pa.array(scores_of(texts, model, key), pa.float64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), scores], names=["doc_id", "score"])
 
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
     return narrow.mapInArrow(predict, "doc_id long, score double").select(
         "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted")
     )
+
+
+def rejecting(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``docs`` (with doc_id and text) without the rows predicted toxic; one pass, no shuffle of texts."""
+    model, key = fitted(docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text"), labels)
+
+    def keep(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in batches(source):
+            yield batch.filter(pa.array(scores_of(texts, model, key) < CUT))
+
+    return docs.mapInArrow(keep, docs.schema)

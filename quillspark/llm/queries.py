@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import minhash, mixing, packing, pii, tokens, toxicity
+from quillspark.llm import minhash, mixing, nndescent, packing, pii, tokens, toxicity
 from quillspark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,6 +34,11 @@ def op2_minhash_near_duplicates(spark, sf):
     return minhash.deduplicate(table(spark, sf, "documents"))
 
 
+@query("op3_embedding_near_duplicates")
+def op3_embedding_near_duplicates(spark, sf):
+    return nndescent.near_duplicates(table(spark, sf, "embeddings"))
+
+
 @query("op4_source_mixing")
 def op4_source_mixing(spark, sf):
     return mixing.mix_documents(table(spark, sf, "documents"))

@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillspark.llm import minhash, mixing, nndescent, packing, pii, tokens, toxicity
+from quillspark.llm import minhash, mixing, nndescent, packing, pii, tokens, topk, toxicity
 from quillspark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,6 +49,22 @@ def op6_toxicity(spark, sf):
     return toxicity.score(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
 
+@query("op7_exact_top_k", """
+    WITH numbers AS (
+        SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+        WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ), scored AS (
+        SELECT q.vec_id AS query_id, c.vec_id,
+               CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+        FROM numbers q JOIN numbers c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+    )
+    SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+    FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 5
+""")
+def op7_exact_top_k(spark, sf):
+    return topk.search(table(spark, sf, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 @query("op8_personal_data")
 def op8_personal_data(spark, sf):
     return pii.digest(table(spark, sf, "documents"))

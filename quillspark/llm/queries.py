@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillspark.llm import minhash, mixing, nndescent, packing, pii, tokens, topk, toxicity
+from quillspark.llm import minhash, mixing, nndescent, packing, pii, tokens, toolcalls, topk, toxicity
 from quillspark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,6 +44,12 @@ def op4_source_mixing(spark, sf):
     return mixing.mix_documents(table(spark, sf, "documents"))
 
 
+@query("op5_tool_call_linking", toolcalls.ORACLE)
+def op5_tool_call_linking(spark, sf):
+    conversations = table(spark, sf, "conversations")
+    return toolcalls.link(toolcalls.calls_of(conversations), toolcalls.results_of(conversations), toolcalls.SCHEMAS)
+
+
 @query("op6_toxicity")
 def op6_toxicity(spark, sf):
     return toxicity.score(table(spark, sf, "documents"), table(spark, sf, "labels"))

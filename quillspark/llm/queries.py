@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillspark.llm import minhash, mixing, nndescent, packing, pii, tokens, toolcalls, topk, toxicity
+from quillspark.llm import licenses, minhash, mixing, nndescent, packing, pii, tokens, toolcalls, topk, toxicity
 from quillspark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,6 +76,11 @@ def op8_personal_data(spark, sf):
     return pii.digest(table(spark, sf, "documents"))
 
 
+@query("op9_license_sentences", licenses.oracle())
+def op9_license_sentences(spark, sf):
+    return licenses.scan(table(spark, sf, "documents"))
+
+
 @query("op10_packing")
 def op10_packing(spark, sf):
     return packing.pack(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))

@@ -252,7 +252,8 @@ def counted(placed: DataFrame, threshold: float) -> DataFrame:
         )
     )
     inside = members.join(sizes, "component_id")
-    core_counts = inside.where("core").select("node", (F.col("core_rows") - F.col("copies")).alias("linked"))
+    # A row is linked with the other rows of its core, or at least with the other copies of itself.
+    own_counts = inside.select("node", (F.when(F.col("core"), F.col("core_rows")).otherwise(F.col("copies")) - 1).alias("linked"))
     # Fringe nodes meet all others, block by block.
     open_ = inside.where("fringe > 0").withColumn("blocks", F.ceil(F.col("all") / MEMBERS).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     columns = ["component_id", "node", "unit", "copies", "core"]
@@ -273,7 +274,7 @@ def counted(placed: DataFrame, threshold: float) -> DataFrame:
         return pd.DataFrame({"node": np.concatenate([left["node"], right["node"].to_numpy()[core]]), "linked": np.concatenate([forward, backward])}).astype("int64")
 
     fringe_counts = asking.unionByName(asked).groupBy("component_id", "i", "j").applyInPandas(meet, "node long, linked long")
-    return core_counts.unionByName(fringe_counts).groupBy("node").agg(F.sum("linked").alias("linked"))
+    return own_counts.unionByName(fringe_counts).groupBy("node").agg(F.sum("linked").alias("linked"))
 
 
 def near_duplicates(

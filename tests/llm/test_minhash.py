@@ -57,6 +57,7 @@ def test_components_of_all_links(spark):
 
 def test_large_group_searched_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK", 8)
+    monkeypatch.setattr(minhash, "SHINGLES", 300)
     texts = corpus(2, 3, 60)
     assert result(minhash.deduplicate(documents(spark, texts))) == brute(texts)
 

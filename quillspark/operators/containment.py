@@ -24,10 +24,10 @@ def _shingles(words: Column) -> Column:
     ).otherwise(F.array().cast("array<bigint>"))
 
 
-def _char_grams(text: Column) -> Column:
+def _char_grams(text: Column, size: int = GRAM) -> Column:
     return F.when(
-        F.char_length(text) >= GRAM,
-        F.transform(F.sequence(F.lit(1), F.char_length(text) - GRAM + 1), lambda i: F.xxhash64(F.substring(text, i, F.lit(GRAM)))),
+        F.char_length(text) >= size,
+        F.transform(F.sequence(F.lit(1), F.char_length(text) - size + 1), lambda i: F.xxhash64(F.substring(text, i, F.lit(size)))),
     ).otherwise(F.array().cast("array<bigint>"))
 
 
@@ -41,16 +41,18 @@ def _checked(pairs: DataFrame, texts: DataFrame, anchors: DataFrame) -> DataFram
 def containment(texts: DataFrame, anchors: DataFrame) -> DataFrame:
     """All pairs ``(text_id, anchor_id)`` with the anchor inside the text, exactly.
 
-    ``texts``: text_id, text. ``anchors``: anchor_id, anchor (at least four characters).
+    ``texts``: text_id, text. ``anchors``: anchor_id, anchor. An empty anchor is in no text.
 
     An anchor of seven or more words keys on words two to six, which any containing text
     must hold as five whole words in a row. A shorter anchor keys on its least common
-    four-character gram. Equal keys only propose a pair; the text itself is then searched.
+    four-character gram; one of fewer than four characters is its own gram. Equal keys only
+    propose a pair; the text itself is then searched.
     """
     # words become a column of their own: inside a lambda the split would run once per element
     split = anchors.withColumn("words", _words(col("anchor")))
     long_anchors = split.where(F.size("words") >= SHINGLE + 2)
-    short_anchors = split.where(F.size("words") < SHINGLE + 2).drop("words")
+    short_anchors = split.where((F.size("words") < SHINGLE + 2) & (F.char_length("anchor") >= GRAM)).drop("words")
+    tiny_anchors = split.where((F.size("words") < SHINGLE + 2) & F.char_length("anchor").between(1, GRAM - 1)).drop("words")
 
     text_words = texts.select("text_id", _words(col("text")).alias("words"))
     text_keys = text_words.select("text_id", F.explode(_shingles(F.col("words"))).alias("key"))
@@ -71,4 +73,10 @@ def containment(texts: DataFrame, anchors: DataFrame) -> DataFrame:
         F.min_by("key", F.struct(F.coalesce("n", F.lit(0)), "key")).alias("key")
     )
     proposed_short = text_grams.join(rarest, "key").select("text_id", "anchor_id")
-    return found.unionByName(_checked(proposed_short, texts, short_anchors))
+    found = found.unionByName(_checked(proposed_short, texts, short_anchors))
+    if tiny_anchors.isEmpty():  # spares the texts a pass
+        return found
+    tiny_keys = tiny_anchors.select("anchor_id", F.xxhash64("anchor").alias("key"))
+    tiny_grams = F.concat(*[_char_grams(col("text"), size) for size in range(1, GRAM)])
+    proposed_tiny = texts.select("text_id", F.explode(F.array_distinct(tiny_grams)).alias("key")).join(tiny_keys, "key").select("text_id", "anchor_id")
+    return found.unionByName(_checked(proposed_tiny, texts, tiny_anchors))

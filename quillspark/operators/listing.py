@@ -114,18 +114,20 @@ def note_details(notes: DataFrame, media: DataFrame, users: DataFrame) -> DataFr
     )
 
 
-def thread_roots(comments: DataFrame, max_rounds: int = 40) -> DataFrame:
+def thread_roots(comments: DataFrame) -> DataFrame:
     """Root and depth of every comment; a top-level comment has root 0.
 
     Pointer jumping: each round doubles the distance covered, so a thread of depth d
     takes about log2(d) joins. A reply whose parent is missing keeps that parent as root.
+    Comments that are each other's parents have no root: still moving after more rounds than
+    any thread of so many comments needs, they are an error.
     """
     links = materialize(
         comments.select(
-            "id", F.col("parent_id").alias("top"), F.when(F.col("parent_id") > 0, 1).otherwise(0).alias("depth")
+            "id", F.col("parent_id").alias("top"), F.when(F.col("parent_id") > 0, 1).otherwise(0).cast("bigint").alias("depth")
         )
     )
-    for _ in range(max_rounds):
+    for left in range(links.count().bit_length() + 1, -1, -1):
         parents = links.select(
             F.col("id").alias("_id"), F.col("top").alias("_top"), F.col("depth").alias("_depth")
         ).where("_top > 0")
@@ -137,6 +139,8 @@ def thread_roots(comments: DataFrame, max_rounds: int = 40) -> DataFrame:
         )
         stepped = materialize(stepped)
         links = stepped.drop("moved")
-        if stepped.where("moved").limit(1).isEmpty():
+        if stepped.where("moved").isEmpty():
             break
+        if not left:
+            raise ValueError("some comments are their own ancestors")
     return links.select("id", F.col("top").alias("root_id"), F.col("depth").cast("bigint").alias("depth"))

@@ -2,24 +2,23 @@
 
 from __future__ import annotations
 
-import math
 import sys
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
 from quillspark.functions import contract as C
 from quillspark.operators.manifest import compare_manifests
 from quillspark.operators.ordering import top_per_group, with_row
-from quillspark.session import scratch_dir
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-QUERY_BLOCK = 2048
+#: Queries and chunks of a block at most.
+QUERY_BLOCK, POINT_BLOCK = 512, 4096
 HITS = "query_id bigint, chunk_key string, vector_score double"
 
 
@@ -53,35 +52,62 @@ def embed(
     return rows.select(key, text).mapInPandas(run, f"{key} {kind}, embedding array<float>, error string")
 
 
+def _blocks(rows: DataFrame, size: int) -> DataFrame:
+    """``rows`` as blocks: one row per at most ``size`` rows of a task, every column an array."""
+    columns = rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[pa.RecordBatch] = []
+
+        def block() -> pa.RecordBatch:
+            table = pa.Table.from_batches(kept).combine_chunks()
+            ends = pa.array([0, table.num_rows], pa.int32())
+            kept.clear()
+            return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(ends, table.column(c).combine_chunks()) for c in columns], names=columns)
+
+        for batch in batches:
+            for start in range(0, batch.num_rows, size):
+                part = batch.slice(start, size)
+                if sum(b.num_rows for b in kept) + part.num_rows > size:
+                    yield block()
+                kept.append(part)
+        if kept:
+            yield block()
+
+    return rows.mapInArrow(run, ", ".join(f"{f.name} array<{f.dataType.simpleString()}>" for f in rows.schema))
+
+
 def vector_candidates(queries: DataFrame, chunks: DataFrame, k: int = C.CANDIDATE_LIMIT) -> DataFrame:
     """Exact cosine top ``k`` per query among the chunks its filters allow.
 
     ``queries``: query_id bigint, embedding, project_id, access_scope, document_types, hints,
     preferred_position. ``chunks``: chunk_key, embedding and the filter columns.
 
-    The query side is taken in blocks of at most ``QUERY_BLOCK`` vectors (a few megabytes).
-    Each task scores its chunks against a block and keeps only the best ``k`` per query, so
-    neither pairs nor the chunk table are ever shuffled whole.
+    Both sides are packed into blocks (a few megabytes), which meet through an equi-join on a
+    salt: every query block goes to every salt, a chunk block to one. A pair of blocks returns
+    the best ``k`` chunks per query. One plan serves any number of queries, and none of them
+    passes through the driver.
     """
     columns = ["query_id", "embedding", "project_id", "access_scope", "document_types", "hints", "preferred_position"]
     fields = ["chunk_key", "embedding", "project_id", "project_open", "visibility", "document_type", "note_id", "media_position"]
-    spark, points = chunks.sparkSession, chunks.select(*fields)
-    total = queries.count()
-    blocks = 1 if total <= QUERY_BLOCK else 2 * math.ceil(total / QUERY_BLOCK)
-    wanted = queries.select(*columns, F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("_block"))
-    found = None
-    path = f"{scratch_dir(spark)}/quillspark/{uuid.uuid4().hex}"
-    for number in range(blocks):
-        block = wanted.where(F.col("_block") == number).drop("_block").toPandas()
-        if block.empty:
-            continue
-        found = points.mapInPandas(_block_scorer(block, k), HITS)
-        if blocks > 1:  # one finished table instead of a plan that grows with the blocks
-            found.write.mode("append").parquet(path)
-    if found is None:
-        found = spark.createDataFrame([], HITS)
-    elif blocks > 1:
-        found = spark.read.schema(HITS).parquet(path)
+    salts = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    points = _blocks(chunks.select(*fields), POINT_BLOCK).select(
+        F.struct(*fields).alias("points"), F.pmod(F.xxhash64(F.element_at("chunk_key", 1)), F.lit(salts)).alias("salt"))
+    asked = _blocks(queries.select(*columns).repartition("query_id"), QUERY_BLOCK).select(
+        F.struct(*columns).alias("asked"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))).alias("salt"))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                yield from _block_scorer(pd.DataFrame(row["asked"]), k)([pd.DataFrame(row["points"])])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for hits in score(batches):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(hits["query_id"], pa.int64()), pa.array(hits["chunk_key"], pa.string()), pa.array(hits["vector_score"], pa.float64())],
+                names=["query_id", "chunk_key", "vector_score"])
+
+    found = points.join(asked, "salt").select("asked", "points").mapInArrow(run, HITS)
     return top_per_group(found, ["query_id"], [F.desc("vector_score"), "chunk_key"], k, "vector_rank")
 
 

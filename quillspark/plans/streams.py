@@ -98,8 +98,7 @@ def stream_rankings(spark, sf):
 
 def event_stream(spark, sf):
     """The events table as a stream source."""
-    stored = model.table(spark, sf, "events").schema
-    raw = spark.readStream.schema(stored).option("pathGlobFilter", "events.parquet").parquet(sf)
+    raw = model.stream_table(spark, sf, "events")
     note = F.get_json_object("props", "$.k").cast("bigint")
     return raw.select(
         "event_id", F.col("event_id").cast("string").alias("source_event_id"), (F.lit(1) + note % 3).alias("project_id"), "user_id",
@@ -201,9 +200,7 @@ def event_lag(spark, sf):
     SELECT source_id, source_version, CASE WHEN source_version < max(source_version) OVER (PARTITION BY source_id) OR deleted_at IS NOT NULL THEN 'deleted' ELSE 'pending' END AS index_status FROM r""")
 def stream_source_changes(spark, sf):
     """Orders as a change log of their customers: status is the content, low priority deletes."""
-    stored = model.table(spark, sf, "orders").schema
-    raw = spark.readStream.schema(stored).option("pathGlobFilter", "orders.parquet").parquet(sf)
-    changes = raw.select(
+    changes = model.stream_table(spark, sf, "orders").select(
         F.lit(1).cast("bigint").alias("project_id"), F.lit("note").alias("source_type"), F.col("o_custkey").alias("source_id"),
         F.col("o_orderkey").alias("change_no"), F.when(F.col("o_orderpriority") == "5-LOW", "delete").otherwise("update").alias("operation"),
         F.col("o_orderstatus").alias("content_hash"), F.lit("public").alias("visibility"), F.col("o_orderdate").alias("changed_at"))

@@ -29,14 +29,26 @@ def local_session(app: str = "quillspark", cpus: str | int = "*", partitions: in
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a fresh local one only where it is unset."""
+    """The folder all executors share, named by ``spark.checkpoint.dir``.
+
+    A local session without one gets a temporary folder; on a cluster, where executors would
+    not see each other's, the missing setting is an error.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", configured)
     return configured.rstrip("/")
 
 
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove what this library wrote to the shared folder; call it when no result is needed any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{scratch_dir(spark)}/quillspark")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared scratch folder and read it back.
 

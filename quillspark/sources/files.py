@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import StructType
 
 CORRUPT = "_corrupt_record"
@@ -14,14 +14,21 @@ def read_json_lines(spark: SparkSession, path: str, schema: str | StructType) ->
 
 
 def quarantine_json_lines(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
-    """(good rows, bad lines with their file, line number inside the split, and text)."""
+    """(good rows, bad lines with their file, line number in the file, and text).
+
+    A task reads a split of a file in one go, so its rows have consecutive row ids. A line's
+    number is its distance from the split's first row plus the lines of the file's earlier splits.
+    """
     lines = spark.read.text(path).select(
         "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block_start"),
-        (F.expr("monotonically_increasing_id() & ((1L << 33) - 1)") + 1).alias("line_in_split"))
+        F.monotonically_increasing_id().alias("row_id"))
+    splits = lines.groupBy("file", "block_start").agg(F.min("row_id").alias("first"), F.count("*").alias("lines"))
+    before = Window.partitionBy("file").orderBy("block_start").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select("file", "block_start", (F.col("first") - F.coalesce(F.sum("lines").over(before), F.lit(0)) - 1).alias("shift"))
     parsed = lines.withColumn("row", F.from_json("value", f"{schema}, {CORRUPT} string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}))
     broken = F.col("row").isNull() | F.col(f"row.{CORRUPT}").isNotNull()
     good = parsed.where(~broken).select("row.*").drop(CORRUPT)
-    bad = parsed.where(broken).select("file", "block_start", "line_in_split", F.col("value").alias("line"))
+    bad = parsed.where(broken).join(splits, ["file", "block_start"]).select("file", (F.col("row_id") - F.col("shift")).alias("line_number"), F.col("value").alias("line"))
     return good, bad
 
 

@@ -15,14 +15,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table as a stream source, be it one file or a folder of part files.
+
+    A stream refuses a path that names a file, but takes a pattern that matches one or a folder.
+    """
+    return spark.readStream.schema(table(spark, sf_dir, name).schema).parquet(f"{sf_dir}/{name}.parque[t]")
+
+
 def spread(rows: DataFrame) -> DataFrame:
-    """Rows dealt out to all cores when their few files would leave most cores idle.
+    """Rows dealt out to all cores when their scan has too few parts to use them.
 
-    Text work costs far more than moving the text once. Tables of at least as many files as
-    cores, which every large table has, are left where they are.
+    Text work costs far more than moving the text once. Scans of at least as many parts as
+    cores, which every large table has, are left as they are.
     """
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if len(rows.inputFiles()) < cores else rows
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
 # Behaviour events ------------------------------------------------------------------

@@ -78,6 +78,12 @@ def test_fact_text(spark):
         evidence.fact_text("other")
 
 
+def test_thread_roots_refuse_loops(spark):
+    rows = spark.createDataFrame([(1, 2), (2, 1), (3, 0)], "id bigint, parent_id bigint")
+    with pytest.raises(ValueError, match="ancestors"):
+        listing.thread_roots(rows)
+
+
 def test_thread_roots_with_an_orphan(spark):
     rows = spark.createDataFrame([(1, 0), (2, 1), (3, 2), (4, 3), (5, 0), (6, 5), (7, 99)], "id bigint, parent_id bigint")
     got = {r["id"]: (r["root_id"], r["depth"]) for r in listing.thread_roots(rows).collect()}

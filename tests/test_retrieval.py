@@ -111,6 +111,7 @@ def test_fusion_adds_both_ranks(spark):
 
 def test_nearest_neighbours_match_brute_force_over_several_blocks(spark, monkeypatch):
     monkeypatch.setattr(vector, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(vector, "POINT_BLOCK", 11)
     rng = np.random.default_rng(5)
     points = [(f"c{i:03d}", rng.normal(size=8).tolist(), i % 2, True, "public" if i % 3 else "project", "note" if i % 4 else "note_media", i % 10, i % 3) for i in range(200)]
     queries = [(q, rng.normal(size=8).tolist(), q % 2, ["member", "public", "none"][q % 3], ["note"] if q % 2 else None, [1, 3, 5] if q == 4 else None, 2 if q == 5 else None) for q in range(10)]
@@ -166,3 +167,9 @@ def test_candidate_terms_order(spark):
 def test_weights_of_the_contract():
     assert sum(C.HYBRID_WEIGHTS.values()) == pytest.approx(1.0)
     assert sum(C.LEXICAL_WEIGHTS.values()) == pytest.approx(1.0)
+
+
+def test_containment_of_tiny_anchors(spark):
+    texts = spark.createDataFrame([(1, "abc def"), (2, "x"), (3, ""), (4, "éé")], "text_id int, text string")
+    anchors = spark.createDataFrame([(1, "abc"), (2, "x"), (3, "é"), (4, "zz"), (5, ""), (6, "c d")], "anchor_id int, anchor string")
+    assert {tuple(r) for r in containment(texts, anchors).collect()} == {(1, 1), (2, 2), (4, 3), (1, 6)}

@@ -110,7 +110,22 @@ def test_bad_json_line_fails_or_is_set_aside(spark, tmp_path):
         files.read_json_lines(spark, str(tmp_path), "a int").collect()
     good, bad = files.quarantine_json_lines(spark, str(tmp_path), "a int")
     assert sorted(r["a"] for r in good.collect()) == [1, 3]
-    assert [(r["line_in_split"], r["line"]) for r in bad.collect()] == [(2, '{"a": ')]
+    assert [(r["line_number"], r["line"]) for r in bad.collect()] == [(2, '{"a": ')]
+
+
+def test_bad_lines_are_numbered_per_file(spark, tmp_path):
+    from quillspark.sources import files
+
+    for n in range(3):
+        (tmp_path / f"{n}.jsonl").write_text('{"a": 1}\n{"a": 2}\n{"a": \n{"a": 3}\n')
+    (tmp_path / "long.jsonl").write_text('{"a": 1}\n' * 5000 + "{\n")
+    for most in ("128m", "4k"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", most)
+        try:
+            _, bad = files.quarantine_json_lines(spark, str(tmp_path), "a int")
+            assert sorted((r["file"].rsplit("/", 1)[1], r["line_number"]) for r in bad.collect()) == [("0.jsonl", 3), ("1.jsonl", 3), ("2.jsonl", 3), ("long.jsonl", 5001)]
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
 def test_existing_run_is_refused(spark, tmp_path):

@@ -124,3 +124,22 @@ def test_sustained_alerts_need_every_window(spark):
         F.timestamp_seconds("s").alias("window_start"), "error_rate")
     got = [r["t"] for r in windows.sustained(rates, .5, 3, 60).select(F.unix_timestamp("firing_at").alias("t")).collect()]
     assert got == [180]
+
+
+def test_streams_read_files_and_folders_alike(spark, tmp_path):
+    from quillspark.sources import model
+
+    rows = spark.range(40).selectExpr("id AS event_id", "id % 3 AS user_id")
+    for layout, parts in (("one", 1), ("many", 3)):
+        root = tmp_path / layout
+        rows.repartition(parts).write.parquet(f"{root}/written")
+        (root / "tables").mkdir()
+        if parts == 1:
+            next((root / "written").glob("part-*.parquet")).rename(root / "tables" / "events.parquet")
+        else:
+            (root / "written").rename(root / "tables" / "events.parquet")
+        (root / "tables" / "other.parquet").mkdir()
+        stream = model.stream_table(spark, f"{root}/tables", "events")
+        done = stream.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
+        done.awaitTermination()
+        assert spark.read.parquet(f"{root}/out").count() == 40

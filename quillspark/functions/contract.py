@@ -91,11 +91,32 @@ TASKS = [
     "cross_note_compare", "no_answer", "authorization_boundary",
 ]
 CASE_TEMPLATES = {
-    "semantic_paraphrase": "如果我的情况接近{audience}，关于{subject}最稳妥的结论是什么？记录线索是“{metric}”。",
+    "semantic_paraphrase": "如果我的情况接近{audience}，而且处于{context}，关于{subject}最稳妥的结论是什么？记录线索是“{metric}”。",
     "typo_robustness": "对{audience}来说，材料里提到的“{typo}”最后建议是什么？对应记录线索是“{metric}”。",
     "temporal_conflict": "{subject}中提到“{metric}”，这能否直接外推成长期普遍结论？应保留什么时间边界？",
-    "no_answer": "现有关于{subject}的材料只有“{metric}”，能否证明它对全国所有用户具有确定的长期因果效果？",
+    "cross_note_compare": "比较面向{audience}的“{subject}”（线索：“{metric}”）和面向{peer_audience}的“{peer_subject}”（线索：“{peer_metric}”），不要把两篇材料混为一个来源。",
+    "no_answer": "现有关于{subject}在{context}中的材料只有“{metric}”，能否证明它对全国所有用户具有确定的长期因果效果？",
+    "authorization_boundary": "在有权访问项目 {project} 的前提下，为了{goal}，{subject}中带有“{metric}”线索的核心结论是什么？",
 }
+# Expected answers other than the source's own conclusion.
+CASE_ANSWERS = {
+    "temporal_conflict": "不能直接外推为长期普遍结论；应保留原文观察周期、记录次数和适用条件。",
+    "cross_note_compare": "{subject}：{conclusion}；{peer_subject}：{peer_conclusion}。",
+    "no_answer": "不能。现有材料是有边界的个人记录，无法证明全国范围的长期因果效果。",
+}
+# Words for slots whose value is blank, and where a task has its own.
+CASE_FALLBACKS = {
+    "audience": "原文描述的人群", "context": "原文记录的场景", "metric": "有限样本观察", "goal": "原文目标",
+    "peer_audience": "第二类人群", "peer_metric": "第二份有限样本观察",
+}
+CASE_OWN_FALLBACKS = {
+    "temporal_conflict": {"metric": "有限周期的观察"},
+    "cross_note_compare": {"audience": "第一类人群", "metric": "第一份有限样本观察"},
+    "no_answer": {"context": "原文场景"},
+}
+#: Marks cut from the end of a compared conclusion, and how far ahead the compared source stands.
+CASE_ANSWER_ENDS = "。；; "
+CASE_PEER_DISTANCE = 17
 
 # Sections and figures of templated note bodies.
 SECTIONS = {
@@ -104,7 +125,9 @@ SECTIONS = {
     "budget": "预算约([0-9]+)元",
     "record": "样本记录[ ]*([0-9]+)",
     "conclusion": "(?s)【先说结论】(.*?)【具体过程】",
-    "audience": "(?s)^.*?对(.{0,40}?)而言",
 }
+# The audience stands between the first of each mark, whose distance in bytes is limited.
+AUDIENCE_MARKS = ("对", "而言")
+AUDIENCE_BYTES = 120
 DEFAULT_AUDIENCE = "原文描述的目标读者"
 DRAFT_SHORT_TYPO = "方按"

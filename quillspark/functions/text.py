@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from quillspark.functions.contract import DEFAULT_AUDIENCE, GENERIC_BIGRAMS, PART_SEPARATOR, SECTIONS, SHORT_TEXT_TYPO
+from quillspark.functions.contract import AUDIENCE_BYTES, AUDIENCE_MARKS, DEFAULT_AUDIENCE, GENERIC_BIGRAMS, PART_SEPARATOR, SECTIONS, SHORT_TEXT_TYPO
 
 HAN_RUN = r"^\p{IsHan}"
 WORD_RUNS = r"[\p{L}\p{Nd}]+"
@@ -152,13 +152,15 @@ def _number(text: Column | str, pattern: str) -> Column:
 def body_sections(body: Column | str, title: Column | str, fallback_text: Column | str, note_id: Column | str) -> dict[str, Column]:
     """Figures and sections of templated bodies: days, records, budget, conclusion, audience, record number."""
     conclusion = F.regexp_extract(col(body), SECTIONS["conclusion"], 1)
-    audience = F.trim(F.regexp_extract(col(body), SECTIONS["audience"], 1))
+    begin, end = (F.instr(col(body), mark) for mark in AUDIENCE_MARKS)
+    distance = F.octet_length(F.substring(col(body), begin, end - begin))
+    between = F.substring(col(body), begin + len(AUDIENCE_MARKS[0]), end - begin - len(AUDIENCE_MARKS[0]))
     record = _number(title, SECTIONS["record"])
     return {
         "days": _number(body, SECTIONS["days"]),
         "records": _number(body, SECTIONS["records"]),
         "budget": _number(body, SECTIONS["budget"]),
         "conclusion": F.trim(F.when(F.regexp_like(col(body), F.lit(SECTIONS["conclusion"])), conclusion).otherwise(col(fallback_text))),
-        "audience": F.when(audience != "", audience).otherwise(F.lit(DEFAULT_AUDIENCE)),
+        "audience": F.when((begin > 0) & (end > begin) & (distance < AUDIENCE_BYTES), F.trim(between)).otherwise(F.lit(DEFAULT_AUDIENCE)),
         "record_number": F.when(record > 0, record).otherwise(col(note_id)),
     }

@@ -13,20 +13,44 @@ from quillspark.operators.ordering import running, top_per_group, with_row
 ANCHOR_CHARS = 4
 
 
-def generate_cases(sources: DataFrame, templates: DataFrame) -> DataFrame:
+def with_peer(sources: DataFrame) -> DataFrame:
+    """``sources`` with the columns of the source some places ahead in note order, going round."""
+    ranked = running(sources, [], ["note_id"], rank="place").withColumn("place", F.col("place") - 1)
+    counted = with_row(ranked, sources.agg(F.count("*").alias("total")))
+    ahead = (F.col("place") + C.CASE_PEER_DISTANCE) % F.col("total")
+    ahead = F.when(ahead == F.col("place"), (ahead + 1) % F.col("total")).otherwise(ahead)
+    peers = ranked.select(F.col("place").alias("ahead"), *[F.col(c).alias(f"peer_{c}") for c in ("note_id", "subject", "metric", "audience", "conclusion")])
+    return counted.withColumn("ahead", ahead).join(peers, "ahead").drop("ahead", "place", "total")
+
+
+def generate_cases(sources: DataFrame) -> DataFrame:
     """Each source asked with the template of its task; equal queries keep their lowest note.
 
-    ``sources``: note_id, task_type, subject, metric, audience, conclusion. ``templates``:
-    task_type, pattern with {subject}, {typo}, {metric} and {audience}, few rows.
+    ``sources``: note_id, project_id, task_type, subject, metric, audience, context, goal,
+    conclusion. Blank slots take the task's fallback words. Comparing cases name two gold
+    notes, unanswerable ones none.
     """
-    filled = sources.join(templates, "task_type")
-    text = F.col("pattern")
-    for slot, value in {"{subject}": F.col("subject"), "{typo}": typo_variant("subject"), "{metric}": F.col("metric"), "{audience}": F.col("audience")}.items():
-        text = F.replace(text, F.lit(slot), value)
-    cases = filled.select("note_id", "task_type", text.alias("query"), F.col("conclusion").alias("expected_answer"))
-    return cases.groupBy("query").agg(F.min_by(F.struct("note_id", "task_type", "expected_answer"), "note_id").alias("c")).select(
-        "query", "c.note_id", "c.task_type", "c.expected_answer"
-    )
+    values = {c: F.col(c) for c in ("subject", "metric", "audience", "context", "goal", "peer_subject", "peer_metric", "peer_audience")}
+    values |= {"typo": typo_variant("subject"), "project": F.col("project_id").cast("string")}
+    values |= {c: F.rtrim(F.col(c), F.lit(C.CASE_ANSWER_ENDS)) for c in ("conclusion", "peer_conclusion")}
+
+    def filled(task: str, pattern: str) -> Column:
+        text = F.lit(pattern)
+        for slot, value in values.items():
+            if f"{{{slot}}}" in pattern:
+                instead = (C.CASE_FALLBACKS | C.CASE_OWN_FALLBACKS.get(task, {})).get(slot)
+                value = value if instead is None else F.when(F.trim(value) != "", value).otherwise(F.lit(instead))
+                text = F.replace(text, F.lit(f"{{{slot}}}"), value)
+        return text
+
+    query, answer, gold = F.lit(None).cast("string"), F.col("conclusion"), F.array("note_id")
+    for task, pattern in C.CASE_TEMPLATES.items():
+        query = F.when(F.col("task_type") == task, filled(task, pattern)).otherwise(query)
+    for task, pattern in C.CASE_ANSWERS.items():
+        answer = F.when(F.col("task_type") == task, filled(task, pattern)).otherwise(answer)
+    gold = F.when(F.col("task_type") == "cross_note_compare", F.array("note_id", "peer_note_id")).when(F.col("task_type") == "no_answer", F.array().cast("array<bigint>")).otherwise(gold)
+    cases = with_peer(sources).select("note_id", "task_type", query.alias("query"), answer.alias("expected_answer"), gold.alias("gold_notes")).where("query IS NOT NULL")
+    return cases.groupBy("query").agg(F.min_by(F.struct("note_id", "task_type", "expected_answer", "gold_notes"), "note_id").alias("c")).select("query", "c.*")
 
 
 def stratified_split(cases: DataFrame, quotas: DataFrame, seed: int) -> DataFrame:

@@ -135,14 +135,18 @@ def filter_whitelist(spark, sf):
 @query("body_sections", "F19", """
     SELECT o_orderkey, o_custkey AS days, o_orderkey % 90 AS records, CASE WHEN o_orderkey % 4 = 0 THEN 0 ELSE o_custkey + 3 END AS budget,
            CASE WHEN o_orderkey % 3 = 0 THEN '全文' ELSE o_orderpriority END AS conclusion,
-           CASE WHEN o_orderkey % 5 = 0 THEN '原文描述的目标读者' ELSE '读者' || o_custkey END AS audience,
+           CASE WHEN o_orderkey % 5 = 0 OR o_orderkey % 7 = 0 OR o_orderkey % 11 = 0 THEN '原文描述的目标读者'
+                WHEN o_orderkey % 13 = 0 THEN repeat('x', 60) ELSE '读者' || o_custkey END AS audience,
            CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey + 7 ELSE o_custkey + 1 END AS record_number FROM orders""")
 def body_sections_query(spark, sf):
     """Templated bodies written from orders, then read back; parts are missing here and there."""
     key, cust = F.col("o_orderkey"), F.col("o_custkey")
     number = lambda c: c.cast("string")
     body = F.concat(
-        F.when(key % 5 == 0, F.lit("")).otherwise(F.concat(F.lit("对读者"), number(cust), F.lit("而言，"))), F.lit("做了"), number(cust), F.lit("天记录，共完成"), number(key % 90), F.lit("次记录"),
+        # no audience; one of 120 bytes or more; the second mark first; a long one in few bytes
+        F.when(key % 5 == 0, F.lit("")).when(key % 7 == 0, F.concat(F.lit("对"), F.repeat(F.lit("读"), 39), F.lit("而言，")))
+        .when(key % 11 == 0, F.lit("而言，对读者而言")).when(key % 13 == 0, F.concat(F.lit("对"), F.repeat(F.lit("x"), 60), F.lit("而言对他而言")))
+        .otherwise(F.concat(F.lit("对读者"), number(cust), F.lit("而言，"))), F.lit("做了"), number(cust), F.lit("天记录，共完成"), number(key % 90), F.lit("次记录"),
         F.when(key % 4 == 0, F.lit("。")).otherwise(F.concat(F.lit("，预算约"), number(cust + 3), F.lit("元。"))),
         F.when(key % 3 == 0, F.lit("")).otherwise(F.concat(F.lit("【先说结论】 "), F.col("o_orderpriority"), F.lit(" 【具体过程】略"))))
     title = F.when(key % 2 == 0, F.concat(F.lit("样本记录 "), number(key + 7))).otherwise(F.lit("无编号"))

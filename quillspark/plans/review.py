@@ -311,29 +311,50 @@ def manifest_counts(spark, sf):
 
 SUBJECT = r"^\p{L}+"
 define("subjects", r"""
-    SELECT id AS note_id, regexp_extract(body, '^\p{L}+') AS subject, category AS audience, n_chars || ' chars' AS metric,
-           'seen in ' || source AS conclusion FROM docs""")
+    SELECT id AS note_id, 1 + id % 3 AS project_id, regexp_extract(body, '^\p{L}+') AS subject, CASE WHEN id % 7 = 0 THEN '' ELSE category END AS audience,
+           CASE WHEN id % 8 = 0 THEN ' ' ELSE n_chars || ' chars' END AS metric, CASE WHEN id % 4 = 0 THEN '' ELSE 'the ' || source END AS context,
+           CASE WHEN id % 5 = 0 THEN NULL ELSE 'goal ' || n_chars END AS goal, 'seen in ' || source || '。; ' AS conclusion FROM docs""")
 
 
 def subjects(spark, sf):
+    number = F.col("id")
     return model.documents(spark, sf).select(
-        F.col("id").alias("note_id"), F.regexp_extract("body", SUBJECT, 0).alias("subject"), F.col("category").alias("audience"),
-        F.concat_ws(" ", F.col("n_chars").cast("string"), F.lit("chars")).alias("metric"), F.concat_ws(" ", F.lit("seen in"), "source").alias("conclusion"))
+        number.alias("note_id"), (F.lit(1) + number % 3).alias("project_id"), F.regexp_extract("body", SUBJECT, 0).alias("subject"),
+        F.when(number % 7 == 0, "").otherwise(F.col("category")).alias("audience"),
+        F.when(number % 8 == 0, " ").otherwise(F.concat_ws(" ", F.col("n_chars").cast("string"), F.lit("chars"))).alias("metric"),
+        F.when(number % 4 == 0, "").otherwise(F.concat_ws(" ", F.lit("the"), "source")).alias("context"),
+        F.when(number % 5 != 0, F.concat_ws(" ", F.lit("goal"), F.col("n_chars").cast("string"))).alias("goal"),
+        F.concat(F.lit("seen in "), "source", F.lit("。; ")).alias("conclusion"))
 
 
-TEMPLATE_SQL = ", ".join(f"('{t}', '{p}')" for t, p in C.CASE_TEMPLATES.items())
 TYPO_SQL = ("CASE WHEN length(trim(subject)) < 3 THEN subject || '测式' ELSE substr(trim(subject), 1, length(trim(subject)) // 2) "
             "|| substr(trim(subject), length(trim(subject)) // 2 + 2) END")
 
 
+def filled_sql(task, pattern):
+    text = f"'{pattern}'"
+    fallbacks = C.CASE_FALLBACKS | C.CASE_OWN_FALLBACKS.get(task, {})
+    values = {"typo": TYPO_SQL, "project": "CAST(project_id AS VARCHAR)"} | {c: f"rtrim({c}, '{C.CASE_ANSWER_ENDS}')" for c in ("conclusion", "peer_conclusion")}
+    for slot in ("subject", "metric", "audience", "context", "goal", "peer_subject", "peer_metric", "peer_audience", "typo", "project", "conclusion", "peer_conclusion"):
+        if f"{{{slot}}}" in pattern:
+            value = values.get(slot, slot)
+            value = f"CASE WHEN trim({slot}) <> '' THEN {slot} ELSE '{fallbacks[slot]}' END" if slot in fallbacks else value
+            text = f"replace({text}, '{{{slot}}}', {value})"
+    return f"WHEN '{task}' THEN {text}"
+
+
 @query("generated_cases", "B1 F20 U5", f"""
-    SELECT query, min(note_id) AS note_id, arg_min(task_type, note_id) AS task_type, arg_min(conclusion, note_id) AS expected_answer FROM (
-      SELECT note_id, task_type, conclusion, replace(replace(replace(replace(pattern, '{{subject}}', subject), '{{typo}}', {TYPO_SQL}),
-             '{{metric}}', metric), '{{audience}}', audience) AS query
-      FROM (SELECT *, {task_sql("note_id")} AS task_type FROM subjects) JOIN (VALUES {TEMPLATE_SQL}) t(task_type, pattern) USING (task_type)) GROUP BY 1""")
+    WITH placed AS (SELECT *, {task_sql("note_id")} AS task_type, row_number() OVER (ORDER BY note_id) - 1 AS place, count(*) OVER () AS total FROM subjects),
+    paired AS (
+      SELECT s.*, p.note_id AS peer_note_id, p.subject AS peer_subject, p.metric AS peer_metric, p.audience AS peer_audience, p.conclusion AS peer_conclusion
+      FROM placed s JOIN placed p ON p.place = (s.place + CASE WHEN 17 % s.total = 0 THEN 18 ELSE 17 END) % s.total)
+    SELECT query, min(note_id) AS note_id, arg_min(task_type, note_id) AS task_type, arg_min(answer, note_id) AS expected_answer, arg_min(gold, note_id) AS gold_notes FROM (
+      SELECT note_id, task_type, CASE task_type {" ".join(filled_sql(t, p) for t, p in C.CASE_TEMPLATES.items())} END AS query,
+             CASE task_type {" ".join(filled_sql(t, p) for t, p in C.CASE_ANSWERS.items())} ELSE conclusion END AS answer,
+             CASE task_type WHEN 'cross_note_compare' THEN [note_id, peer_note_id] WHEN 'no_answer' THEN CAST([] AS BIGINT[]) ELSE [note_id] END AS gold
+      FROM paired) GROUP BY 1""")
 def generated_cases(spark, sf):
-    templates = spark.createDataFrame(list(C.CASE_TEMPLATES.items()), "task_type string, pattern string")
-    return benchmark.generate_cases(subjects(spark, sf).withColumn("task_type", F.expr(task_sql("note_id"))), templates)
+    return benchmark.generate_cases(subjects(spark, sf).withColumn("task_type", F.expr(task_sql("note_id"))))
 
 
 @query("stratified_split", "B2", """

@@ -8,8 +8,9 @@
    Sketches estimate the similarity, corrected for chance equality of bits; pairs that may
    reach the threshold are confirmed on the texts' full sets.
 4. Buckets whose members are still in different components are searched completely, across
-   components only, in blocks. So no shared bucket leaves a link unseen, and a bucket of
-   near copies is settled by its star.
+   components only. Their sketches give the clusters in which links may be left (as spanning
+   forests, not as pairs); each cluster is then searched on the full sets through an index of
+   its shingles, block by block. So no shared bucket leaves a link unseen.
 5. The components of all confirmed links give the groups.
 """
 
@@ -30,7 +31,9 @@ BANDS, ROWS, BITS = 24, 4, 4
 HASHES = BANDS * ROWS
 #: Five standard errors of the estimate at a similarity of 0.8 with 96 hashes.
 MARGIN = 0.2
-BLOCK = 2048
+#: Rows of a bucket's block, and shingles of a cluster's block.
+BLOCK, SHINGLES = 2048, 1_000_000
+THRESHOLD = 0.8
 SEED = 20240817
 
 
@@ -161,39 +164,102 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
     return pairs.join(side["a"], "a").join(side["b"], "b").select("a", "b", "text_a", "text_b").mapInArrow(compare, "a long, b long")
 
 
-def across(members: DataFrame) -> DataFrame:
-    """Pairs (a, b) of one bucket but different components that their sketches allow.
+class Forest:
+    """Union-find over positions; ``join`` tells whether two trees became one."""
+
+    def __init__(self, roots: np.ndarray):
+        self.up = roots.tolist()
+
+    def root(self, i: int) -> int:
+        while self.up[i] != i:
+            self.up[i] = i = self.up[self.up[i]]
+        return i
+
+    def join(self, i: int, j: int) -> bool:
+        i, j = self.root(i), self.root(j)
+        self.up[max(i, j)] = min(i, j)
+        return i != j
+
+
+def active(group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows outside the largest group, which alone must be compared, and each row's first of its group."""
+    _, first, back, sizes = np.unique(group, return_index=True, return_inverse=True, return_counts=True)
+    return np.flatnonzero(back != sizes.argmax()), first[back]
+
+
+def in_block_pairs(rows: DataFrame, cluster: str, blocks: str) -> DataFrame:
+    """Every row once per pair of its cluster's blocks that its own block belongs to: ``first, second``."""
+    own = F.pmod(F.xxhash64("node"), F.col(blocks)).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
+    return (
+        rows.withColumn("own", own).withColumn("other", other)
+        .withColumn("first", F.least("own", "other")).withColumn("second", F.greatest("own", "other")).drop("own", "other", blocks)
+    )
+
+
+def likely(members: DataFrame, percent: int) -> DataFrame:
+    """Forests (a, b) of the pairs of one bucket but different components that sketches and sizes allow.
 
-    ``members`` has ``key, node, component_id, sketch, total`` (the bucket's size). A bucket is
-    searched block by block; a block pair holds at most about ``2 * BLOCK`` rows.
+    ``members`` has ``key, node, component_id, sketch, n_shingles, total`` (the bucket's size). A
+    block pair holds about ``2 * BLOCK`` rows at most.
     """
 
     def search(bucket: pd.DataFrame) -> pd.DataFrame:
         bucket = bucket.sort_values("node")
-        node, group = bucket["node"].to_numpy(), bucket["component_id"].to_numpy()
+        node, group, n = (bucket[c].to_numpy() for c in ("node", "component_id", "n_shingles"))
         sketch = np.frombuffer(b"".join(bucket["sketch"]), np.uint8).reshape(-1, HASHES // 2)
-        values, sizes = np.unique(group, return_counts=True)
-        # Of the largest component, members need no comparison with each other.
-        active = np.flatnonzero(group != values[sizes.argmax()])
-        found = []
-        for i in active.tolist():
-            others = np.flatnonzero(group != group[i])
-            near = estimated(equal_nibbles(sketch[others], sketch[i])) >= THRESHOLD - MARGIN
-            found += [(min(node[i], node[j]), max(node[i], node[j])) for j in others[near].tolist()]
+        asking, _ = active(group)
+        forest, found = Forest(np.arange(len(node))), []
+        for i in asking.tolist():
+            others = np.flatnonzero((group != group[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])))
+            near = estimated(equal_nibbles(sketch[others], sketch[i])) >= percent / 100 - MARGIN
+            found += [(node[i], node[j]) for j in others[near].tolist() if forest.join(i, j)]
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    blocks = F.ceil(F.col("total") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    spread = (
-        members.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", other)
-        .withColumn("first", F.least("own", "other")).withColumn("second", F.greatest("own", "other"))
-        .select("key", "first", "second", "node", "component_id", "sketch")
-    )
+    spread = in_block_pairs(members.withColumn("blocks", F.ceil(F.col("total") / BLOCK).cast("int")).drop("total"), "key", "blocks")
     return spread.groupBy("key", "first", "second").applyInPandas(search, "a long, b long").distinct()
 
 
-THRESHOLD = 0.8
+def searched(members: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Forests (a, b) of the confirmed links of one cluster but different components.
+
+    ``members`` has ``cluster, node, component_id, n_shingles``. A block pair holds about
+    ``2 * SHINGLES`` shingles at most; an index of its shingles gives exact intersections.
+    """
+
+    def shingled(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, held in batches(source):
+            sets = [x.tobytes() for x in word_sets(held, words)]
+            names = ["cluster", "node", "component_id", "blocks"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(sets, pa.binary())], names=[*names, "hashes"])
+
+    def search(cluster: pd.DataFrame) -> pd.DataFrame:
+        cluster = cluster.sort_values("node")
+        node, group = cluster["node"].to_numpy(), cluster["component_id"].to_numpy()
+        n = np.array([len(h) // 8 for h in cluster["hashes"]])
+        owner = np.repeat(np.arange(len(n)), n)
+        _, shingle, held = np.unique(np.frombuffer(b"".join(cluster["hashes"]), np.uint64), return_inverse=True, return_counts=True)
+        by_shingle = owner[np.argsort(shingle, kind="stable")]
+        begin, row_begin = np.cumsum(held) - held, np.cumsum(n) - n
+        asking, same = active(group)
+        forest, found = Forest(same), []
+        for i in asking.tolist():
+            own = shingle[row_begin[i]:row_begin[i] + n[i]]
+            own = own[held[own] > 1]
+            counts = held[own]
+            at = np.repeat(begin[own] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+            common = np.bincount(by_shingle[at], minlength=len(n))
+            linked = (group != group[i]) & (common > 0) & (100 * common >= percent * (n + n[i] - common))
+            found += [(node[i], node[j]) for j in np.flatnonzero(linked).tolist() if forest.join(i, j)]
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    total = members.groupBy("cluster").agg(F.ceil(F.sum("n_shingles") / SHINGLES).cast("int").alias("blocks"))
+    sets = (
+        members.join(materialize(total), "cluster").join(texts, F.col("node") == F.col("doc_id"))
+        .select("cluster", "node", "component_id", "blocks", "text")
+        .mapInArrow(shingled, "cluster long, node long, component_id long, blocks int, hashes binary")
+    )
+    return in_block_pairs(sets, "cluster", "blocks").groupBy("cluster", "first", "second").applyInPandas(search, "a long, b long")
 
 
 def deduplicate(docs: DataFrame, words: int = WORDS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -232,8 +298,9 @@ def deduplicate(docs: DataFrame, words: int = WORDS, id_column: str = "doc_id",
         member.groupBy("key").agg(F.min("component_id").alias("lo"), F.max("component_id").alias("hi"), F.first("total").alias("total"))
         .where("lo <> hi").select("key", "total")
     )
-    inside = placed.select(F.explode("bands").alias("key"), "node", "component_id", "sketch").join(open_buckets, "key")
-    more = confirmed(materialize(plausible(across(inside), nodes, percent)), texts, words, percent)
+    inside = placed.select(F.explode("bands").alias("key"), "node", "component_id", "sketch", "n_shingles").join(open_buckets, "key")
+    clusters = components(likely(inside, percent)).withColumnRenamed("component_id", "cluster")
+    more = searched(placed.select("node", "component_id", "n_shingles").join(clusters, "node"), texts, words, percent)
     everything = links.unionByName(more).unionByName(copies)
     grouped = materialize(components(everything))
     return (

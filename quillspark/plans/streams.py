@@ -32,7 +32,9 @@ def write_messages(spark, sf, path):
     events = model.behavior(spark, sf).withColumn("n", F.col("event_id"))
     payload = F.to_json(F.struct(
         F.when(F.col("n") % 50 == 1, 0).otherwise(F.col("user_id")).alias("user_id"), "project_id", "note_id"))
-    kind = F.replace(F.col("event_type"), F.lit("_"), F.lit("."))
+    # likes, repeated likes and unlikes stand in for some of the events
+    planted = F.when(F.col("n") % 9 == 4, "note_liked").when(F.col("n") % 9 == 5, "note_unliked").when(F.col("n") % 9 == 6, "note_uncollected").otherwise(F.col("event_type"))
+    kind = F.replace(planted, F.lit("_"), F.lit("."))
     message = F.to_json(F.struct(
         F.col("source_event_id").alias("event_id"), kind.alias("event_type"), F.when(F.col("n") % 50 == 0, 2).otherwise(1).alias("schema_version"),
         payload.alias("payload"), F.date_format("occurred_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("occurred_at")))
@@ -59,12 +61,17 @@ def run_pipeline(spark, sf):
 
 
 define("accepted", """
-    SELECT *, CASE WHEN event_type = 'note_collected' THEN 'collect' WHEN event_type = 'comment_created' THEN 'comment' END AS kind
+    SELECT * REPLACE (CASE event_id % 9 WHEN 4 THEN 'note_liked' WHEN 5 THEN 'note_unliked' WHEN 6 THEN 'note_uncollected' ELSE event_type END AS event_type)
     FROM behavior WHERE event_id % 50 > 2 AND user_id > 0""")
+define("stream_holders", """
+    SELECT note_id, user_id, replace(event_type, '_un', '_') AS kind, arg_max(event_type NOT LIKE '%_un%', (occurred_at, source_event_id)) AS held
+    FROM accepted WHERE event_type IN ('note_liked', 'note_unliked', 'note_collected', 'note_uncollected') GROUP BY 1, 2, 3""")
 define("stream_counts", f"""
     SELECT note_id, count(*) FILTER (WHERE event_type = 'note_viewed' AND {NOTE_STATUS.format(x="note_id")} = 'published') AS view_count,
-           count(*) FILTER (WHERE kind = 'collect') AS collect_count, count(*) FILTER (WHERE kind = 'comment') AS comment_count
-    FROM accepted WHERE note_id IS NOT NULL GROUP BY 1""")
+           (SELECT count(*) FROM stream_holders h WHERE h.note_id = a.note_id AND kind = 'note_liked' AND held) AS like_count,
+           (SELECT count(*) FROM stream_holders h WHERE h.note_id = a.note_id AND kind = 'note_collected' AND held) AS collect_count,
+           count(*) FILTER (WHERE event_type = 'comment_created') AS comment_count
+    FROM accepted a WHERE note_id IS NOT NULL GROUP BY 1""")
 
 
 @query("stream_behavior_facts", "T1 T2 T3 S5 S6 S9 P7", """
@@ -82,14 +89,14 @@ def stream_dead_letters(spark, sf):
 
 
 @query("stream_note_counters", "T4 T5", """
-    SELECT *, CAST(view_count + 8 * collect_count + 6 * comment_count AS DOUBLE) AS hot_score FROM stream_counts""")
+    SELECT *, CAST(view_count + 3 * like_count + 8 * collect_count + 6 * comment_count AS DOUBLE) AS hot_score FROM stream_counts""")
 def stream_note_counters(spark, sf):
-    return pipeline.current(run_pipeline(spark, sf).counters.read(), "note_id").select("note_id", "view_count", "collect_count", "comment_count", "hot_score")
+    return pipeline.current(run_pipeline(spark, sf).counters.read(), "note_id").select("note_id", "view_count", "like_count", "collect_count", "comment_count", "hot_score")
 
 
 @query("stream_rankings", "T6", f"""
     SELECT category, list(note_id ORDER BY score DESC, note_id DESC) AS ids FROM (
-      SELECT note_id, 'c' || note_id % 4 AS category, view_count + 8 * collect_count + 6 * comment_count AS score FROM stream_counts
+      SELECT note_id, 'c' || note_id % 4 AS category, view_count + 3 * like_count + 8 * collect_count + 6 * comment_count AS score FROM stream_counts
       WHERE {NOTE_STATUS.format(x="note_id")} = 'published'
       QUALIFY row_number() OVER (PARTITION BY note_id % 4 ORDER BY score DESC, note_id DESC) <= 10) GROUP BY 1""")
 def stream_rankings(spark, sf):

@@ -17,12 +17,14 @@ from quillspark.streaming.envelopes import dead_letters, parse, split_attempts
 FACT_COLUMNS = [
     "source_event_id", "project_id", "user_id", "note_id", "comment_id", "event_type", "event_payload", "occurred_at",
 ]
-# event types that raise and lower each counter
+# event types that set and clear what each counter counts
 COUNTED = {
     "like_count": ("note_liked", "note_unliked"), "collect_count": ("note_collected", "note_uncollected"),
     "comment_count": ("comment_created", "comment_deleted"), "share_count": ("note_shared", None),
 }
 COUNTERS = ["view_count", *COUNTED]
+# what a counter counts: one like and one collection per user, every comment, every share
+STATE_KEY = ["note_id", "counter", "holder"]
 UNDATED = "1970-01-01"
 
 
@@ -73,6 +75,7 @@ class EventPipeline:
         self.counters = BatchTable(
             spark, f"{root}/counters", "note_id bigint, " + ", ".join(f"{c} bigint" for c in COUNTERS) + ", hot_score double"
         )
+        self.states = BatchTable(spark, f"{root}/states", "note_id bigint, counter string, holder string, at timestamp, event_id string, held boolean")
         self.rankings = BatchTable(spark, f"{root}/rankings", "category string, ids array<bigint>")
         self.retries = BatchTable(spark, f"{root}/retries", "message_hash string, value string, attempts int")
         self.letters = BatchTable(
@@ -109,11 +112,20 @@ class EventPipeline:
         self.facts.write(rows, batch_id)
 
     def _derive(self, batch_id: int) -> None:
-        """Add this batch's facts to the counters of the notes it touched, then refresh their rankings.
+        """Bring the counters of the notes this batch touched up to date, then refresh their rankings.
 
-        Facts are unique, so sums do not depend on the order or the cut of the batches.
+        A counter moves when the state of one of its holders does: a like repeated counts once,
+        an unlike without a like does nothing, and of late events the newest state stays.
         """
-        added = count_notes(self.facts.of_batch(batch_id), self.notes).persist()
+        facts = self.facts.of_batch(batch_id)
+        seen = latest_states(facts)
+        earlier = current(self.states.read(batch_id).join(seen.select(*STATE_KEY), STATE_KEY, "left_semi"), STATE_KEY)
+        before = earlier.select(*STATE_KEY, F.struct("at", "event_id", "held").alias("before"))
+        moved = seen.join(before, STATE_KEY, "left").where("before IS NULL OR (at, event_id) > (before.at, before.event_id)")
+        self.states.write(moved.drop("before"), batch_id)
+        held_before = F.coalesce("before.held", F.lit(False)).cast("int")
+        changes = moved.select("note_id", "counter", (F.col("held").cast("int") - held_before).alias("change"))
+        added = count_notes(facts, changes, self.notes).persist()
         try:
             if added.isEmpty():
                 return
@@ -145,26 +157,40 @@ class EventPipeline:
         return batch_id
 
 
-def count_notes(facts: DataFrame, notes: DataFrame) -> DataFrame:
-    """What ``facts`` add to each note's counters; views count for published notes only."""
-    kind = F.col("event_type")
-    sums = {
-        name: F.count_if(kind == up) - (F.count_if(kind == down) if down else F.lit(0)) for name, (up, down) in COUNTED.items()
-    }
-    counts = facts.where("note_id IS NOT NULL").groupBy("note_id").agg(
-        F.count_if(kind == "note_viewed").alias("_views"), *[expr.alias(name) for name, expr in sums.items()]
-    )
+def latest_states(facts: DataFrame) -> DataFrame:
+    """The newest state ``facts`` give each holder of a counter: note, counter, holder, at, event_id, held.
+
+    Likes and collections are held by a user, comments by themselves. A comment without id and a
+    share are held by their own event; the deletion of a comment without id cannot be placed.
+    """
+    kind, own = F.col("event_type"), F.concat(F.lit("event:"), "source_event_id")
+    counter, held = F.lit(None).cast("string"), F.lit(None).cast("boolean")
+    for name, (up, down) in COUNTED.items():
+        counter = F.when(kind.isin(*[k for k in (up, down) if k]), F.lit(name)).otherwise(counter)
+        held = F.when(kind == up, True).when(kind == down, False).otherwise(held) if down else F.when(kind == up, True).otherwise(held)
+    comment = F.coalesce(F.col("comment_id").cast("string"), F.when(held, own))
+    holder = F.when(counter == "comment_count", comment).when(counter == "share_count", own).otherwise(F.col("user_id").cast("string"))
+    rows = facts.select("note_id", counter.alias("counter"), holder.alias("holder"), F.struct(F.col("occurred_at").alias("at"), F.col("source_event_id").alias("event_id"), held.alias("held")).alias("state"))
+    return rows.where("note_id IS NOT NULL AND counter IS NOT NULL AND holder IS NOT NULL").groupBy(*STATE_KEY).agg(F.max("state").alias("state")).select(*STATE_KEY, "state.*")
+
+
+def count_notes(facts: DataFrame, changes: DataFrame, notes: DataFrame) -> DataFrame:
+    """What a batch adds to each note's counters; views count for published notes only."""
+    views = facts.where("note_id IS NOT NULL").select("note_id", F.lit("_views").alias("counter"), (F.col("event_type") == "note_viewed").cast("int").alias("change"))
+    sums = [F.coalesce(F.sum(F.when(F.col("counter") == name, F.col("change"))), F.lit(0)).alias(name) for name in ("_views", *COUNTED)]
+    counts = views.unionByName(changes).groupBy("note_id").agg(*sums)
     published = notes.where("status = 'published'").select(F.col("id").alias("note_id"), F.lit(True).alias("_published"))
     return counts.join(published, "note_id", "left").select(
         "note_id", F.when(F.col("_published"), F.col("_views")).otherwise(0).alias("view_count"), *COUNTED
     )
 
 
-def current(rows: DataFrame, key: str) -> DataFrame:
+def current(rows: DataFrame, key: str | list[str]) -> DataFrame:
     """Latest row per key over all batches."""
-    others = [c for c in rows.columns if c not in (key, "batch_id")]
-    picked = rows.groupBy(key).agg(F.max_by(F.struct(*others), "batch_id").alias("r"))
-    return picked.select(key, "r.*")
+    keys = [key] if isinstance(key, str) else key
+    others = [c for c in rows.columns if c not in (*keys, "batch_id")]
+    picked = rows.groupBy(*keys).agg(F.max_by(F.struct(*others), "batch_id").alias("r"))
+    return picked.select(*keys, "r.*")
 
 
 def run_available(messages: DataFrame, sink, checkpoint: str) -> int:

@@ -15,11 +15,15 @@ OCCURRENCE_WEIGHT = 0.1
 REPEAT_NORM = 1.64493406685
 
 
+#: What a query may filter by; postings carry it, so that filters apply before anything is grouped.
+FILTER_COLUMNS = ["document_type", "source_type", "visibility", "project_open"]
+
+
 def occurrences(chunks: DataFrame) -> DataFrame:
-    """Inverted form: one row per token occurrence, positions counted from 1."""
-    return chunks.select(
-        "project_id", "chunk_key", F.posexplode("lexemes").alias("_at", "term")
-    ).select("project_id", "term", "chunk_key", (F.col("_at") + 1).alias("position"))
+    """Inverted form: one row per token occurrence, positions counted from 1, with the chunk's filter columns."""
+    carried = ["project_id", "chunk_key", *FILTER_COLUMNS]
+    return chunks.select(*carried, F.posexplode("lexemes").alias("_at", "term")).select(
+        *carried, "term", (F.col("_at") + 1).alias("position"))
 
 
 def write_occurrences(chunks: DataFrame, table: str, buckets: int) -> None:
@@ -59,20 +63,23 @@ def term_statistics(chunks: DataFrame) -> DataFrame:
     )
 
 
-def scoped_statistics(chunks: DataFrame, projects: DataFrame) -> DataFrame:
+def scoped_statistics(chunks: DataFrame, projects: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
     """Term statistics per access scope: members see all chunks, the public only public ones.
 
     Both scopes come out of one aggregation; the public totals count public chunks only, so
-    private text cannot influence public weights.
+    private text cannot influence public weights. With ``wanted`` (project_id, term) only those
+    terms are counted, not the whole vocabulary.
     """
     open_projects = projects.where("visibility = 'public'").select(F.col("id").alias("project_id"), F.lit(True).alias("_open"))
     marked = chunks.join(open_projects, "project_id", "left").withColumn(
         "_public", F.coalesce("_open", F.lit(False)) & (F.col("visibility") == "public")
     )
     totals = marked.groupBy("project_id").agg(F.count("*").alias("_all"), F.count_if("_public").alias("_open_chunks"))
+    tokens = _counted_tokens(marked, "project_id", "_public")
+    if wanted is not None:
+        tokens = tokens.join(wanted, ["project_id", "term"], "left_semi")
     counted = (
-        _counted_tokens(marked, "project_id", "_public")
-        .groupBy("project_id", "term")
+        tokens.groupBy("project_id", "term")
         .agg(
             F.count_if("_chunk").alias("_df"), F.count_if(~F.col("_chunk")).alias("_cf"),
             F.count_if(F.col("_chunk") & F.col("_public")).alias("_pdf"), F.count_if(~F.col("_chunk") & F.col("_public")).alias("_pcf"),
@@ -236,21 +243,23 @@ def cover_density(hits: Column, term_count: Column) -> Column:
 
 
 def match_candidates(planned: DataFrame, terms: DataFrame, chunks: DataFrame, occurrence_rows: DataFrame | None = None) -> DataFrame:
-    """(query, chunk) pairs that match the query's leading terms or carry a hinted note.
+    """Eligible (query, chunk) pairs that match the query's leading terms or carry a hinted note.
 
     One term must match, of two both, of more any two of the first six. Matching
-    occurrences and hint markers meet in a single aggregation by (query, chunk).
+    occurrences and hint markers meet in a single aggregation by (query, chunk); what a query
+    may not see or does not ask for is dropped before it.
     """
-    leading = terms.where(F.col("term_rank") <= C.MATCH_TERMS)
+    asked = planned.select(*QUERY_COLUMNS)
+    eligible = may_see(F.col("access_scope"), F.col("project_open"), F.col("visibility")) & type_allowed(
+        F.col("document_type"), F.col("source_type"), F.col("preferred_type"), F.col("document_types"), F.col("source_types"))
+    leading = terms.where(F.col("term_rank") <= C.MATCH_TERMS).select("query_id", "project_id", "term", "term_rank").join(asked, "query_id")
     posted = occurrence_rows if occurrence_rows is not None else occurrences(chunks)
-    hits = posted.join(
-        leading.select("query_id", "project_id", "term", "term_rank"), ["project_id", "term"]
-    ).select("query_id", "chunk_key", F.struct("position", "term_rank").alias("hit"), F.lit(False).alias("hinted"))
+    hits = posted.join(leading, ["project_id", "term"]).where(eligible).select("query_id", "chunk_key", F.struct("position", "term_rank").alias("hit"), F.lit(False).alias("hinted"))
     wanted = planned.select(
-        "query_id", "project_id", "preferred_type", "preferred_position", F.explode("hinted_note_ids").alias("note_id")
+        *QUERY_COLUMNS, "project_id", "preferred_position", F.explode("hinted_note_ids").alias("note_id")
     )
     pointed = chunks.where("note_id IS NOT NULL").join(wanted, ["project_id", "note_id"]).where(
-        (F.col("document_type") == F.col("preferred_type"))
+        eligible & (F.col("document_type") == F.col("preferred_type"))
         & (F.col("preferred_position").isNull() | (F.col("media_position") == F.col("preferred_position")))
     ).select("query_id", "chunk_key", F.lit(None).cast("struct<position:int,term_rank:int>").alias("hit"), F.lit(True).alias("hinted"))
     counts = terms.groupBy("query_id").agg(F.least(F.count("*"), F.lit(C.MATCH_TERMS)).cast("int").alias("term_count"))
@@ -271,12 +280,8 @@ QUERY_COLUMNS = ["query_id", "access_scope", "preferred_type", "document_types",
 
 
 def rank_candidates(candidates: DataFrame, planned: DataFrame, chunks: DataFrame, limit: int = C.CANDIDATE_LIMIT) -> DataFrame:
-    """Eligible candidates: the best ``2 * limit`` by frequency, then the best ``limit`` by cover density."""
-    eligible = (
-        candidates.join(chunks.select(*CHUNK_COLUMNS), "chunk_key").join(planned.select(*QUERY_COLUMNS), "query_id")
-        .where(may_see(F.col("access_scope"), F.col("project_open"), F.col("visibility")))
-        .where(type_allowed(F.col("document_type"), F.col("source_type"), F.col("preferred_type"), F.col("document_types"), F.col("source_types")))
-    )
+    """Of the eligible candidates the best ``2 * limit`` by frequency, then the best ``limit`` by cover density."""
+    eligible = candidates.join(chunks.select(*CHUNK_COLUMNS), "chunk_key").join(planned.select(*QUERY_COLUMNS), "query_id")
     preferred = (F.col("document_type") == F.col("preferred_type")).cast("int")
     quick = eligible.withColumn("quick_rank", frequency_rank(F.col("hits"), F.col("term_count")))
     first = top_per_group(quick, ["query_id"], [preferred.desc(), F.desc("quick_rank"), "chunk_key"], 2 * limit)

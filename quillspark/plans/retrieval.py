@@ -82,14 +82,20 @@ def planned_cases(spark, sf, anonymous=False):
     return materialize(lexical.plan_queries(scoped))
 
 
-def statistics(spark, sf, chunks):
-    """Statistics cover all chunks of a project; the searchable ones only decide what is found."""
-    return lexical.scoped_statistics(chunks.select("project_id", "visibility", "lexemes"), model.projects(spark, sf))
+def statistics(spark, sf, chunks, planned=None):
+    """Statistics cover all chunks of a project; the searchable ones only decide what is found.
 
+    With planned queries only their terms are counted, once for all branches.
+    """
+    wanted = None if planned is None else planned.select("project_id", F.explode("terms").alias("term"))
+    stats = lexical.scoped_statistics(chunks.select("project_id", "visibility", "lexemes"), model.projects(spark, sf), wanted)
+    return stats if planned is None else materialize(stats)
 
-def lexical_rows(spark, sf, planned, everything, chunks, hybrid=False):
+
+def lexical_rows(spark, sf, planned, everything, chunks, stats=None):
+    """Scored candidates; ``stats`` makes them one half of a hybrid search."""
     usable = planned.where("access_scope <> 'none' AND valid")
-    return search.lexical_candidates(usable, chunks, statistics(spark, sf, everything), hybrid)
+    return search.lexical_candidates(usable, chunks, statistics(spark, sf, everything, planned) if stats is None else stats, stats is not None)
 
 
 def vector_queries(planned, embedded):
@@ -280,7 +286,7 @@ def scoped_statistics(spark, sf):
 @query("candidate_terms", "R6 K6", "SELECT query_id, term, CAST(term_rank AS BIGINT) AS term_rank FROM cand_terms")
 def candidate_terms(spark, sf):
     planned = planned_cases(spark, sf)
-    terms = lexical.candidate_terms(lexical.query_term_stats(planned, statistics(spark, sf, chunk_table(spark, sf))))
+    terms = lexical.candidate_terms(lexical.query_term_stats(planned, statistics(spark, sf, chunk_table(spark, sf), planned)))
     return terms.select("query_id", "term", F.col("term_rank").cast("bigint").alias("term_rank"))
 
 
@@ -293,7 +299,7 @@ def dead_document_keys(spark, sf):
 def lexical_candidates(spark, sf):
     planned = planned_cases(spark, sf)
     everything, chunks = corpus(spark, sf)
-    terms = lexical.candidate_terms(lexical.query_term_stats(planned, statistics(spark, sf, everything)))
+    terms = lexical.candidate_terms(lexical.query_term_stats(planned, statistics(spark, sf, everything, planned)))
     ranked = lexical.rank_candidates(lexical.match_candidates(planned, terms, chunks), planned, chunks)
     return ranked.select("query_id", "chunk_key", F.round("fts_score", 6).alias("fts_score"))
 
@@ -455,9 +461,10 @@ define("hybrid_scored", """
       {DIVERSE_SQL.format(rows="(SELECT *, 0 AS tie FROM hybrid_scored)", t="0.60::DOUBLE")}) WHERE rank <= 10""")
 def hybrid_search(spark, sf):
     planned, (everything, chunks) = planned_cases(spark, sf), corpus(spark, sf)
-    lex = materialize(lexical_rows(spark, sf, planned, everything, chunks, hybrid=True))
+    stats = statistics(spark, sf, everything, planned)
+    lex = materialize(lexical_rows(spark, sf, planned, everything, chunks, stats))
     vec = search.vector_results(vector_hits(spark, sf, planned, chunks), chunks, planned)
-    rows = search.hybrid_results(lex, vec, planned, chunks, statistics(spark, sf, everything))
+    rows = search.hybrid_results(lex, vec, planned, chunks, stats)
     found = search.select_diverse(rows, C.THRESHOLDS["hybrid"])
     return found.select("query_id", "chunk_key", F.col("rank").cast("bigint").alias("rank"), F.round("confidence", 6).alias("confidence"))
 

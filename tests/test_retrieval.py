@@ -93,14 +93,39 @@ def test_private_text_does_not_move_public_weights(spark):
     assert mixed[("member", "a")][:2] == (4, 5) and ("public", "z") not in mixed
 
 
+CHUNKS = (
+    "chunk_key string, project_id bigint, note_id bigint, document_type string, media_position int, lexemes array<string>, "
+    "source_type string, visibility string, project_open boolean")
+QUERIES = "query_id bigint, query string, project_id bigint, access_scope string, document_types array<string>, source_types array<string>"
+
+
 def test_media_hint_reaches_its_position(spark):
-    schema = "chunk_key string, project_id bigint, note_id bigint, document_type string, media_position int, lexemes array<string>"
-    chunks = spark.createDataFrame([("m1", 1, 12345, "note_media", 1, ["a"]), ("m3", 1, 12345, "note_media", 3, ["b"]), ("n", 1, 12345, "note", None, ["c"])], schema)
-    planned = lexical.plan_queries(spark.createDataFrame([(1, "笔记 12345 图片文字 位置 3", 1)], "query_id bigint, query string, project_id bigint"))
+    rows = [("m1", "note_media", 1, ["a"]), ("m3", "note_media", 3, ["b"]), ("n", "note", None, ["c"])]
+    chunks = spark.createDataFrame([(k, 1, 12345, t, p, w, "note", "public", True) for k, t, p, w in rows], CHUNKS)
+    planned = lexical.plan_queries(spark.createDataFrame([(1, "笔记 12345 图片文字 位置 3", 1, "member", None, None)], QUERIES))
     terms = spark.createDataFrame([(1, 1, "zz", 1.0, 1)], "query_id bigint, project_id bigint, term string, idf double, term_rank int")
     assert [r["chunk_key"] for r in lexical.match_candidates(planned, terms, chunks).collect()] == ["m3"]
 
 
+def test_filters_apply_before_matches_are_grouped(spark):
+    rows = [("open", "note", "note", "public", True), ("media", "note_media", "note", "public", True), ("private", "note", "note", "project", True),
+            ("closed", "note", "note", "public", False), ("source", "note", "comment", "public", True)]
+    chunks = spark.createDataFrame([(k, 1, None, t, None, ["w"], s, v, o) for k, t, s, v, o in rows], CHUNKS)
+    asked = [(1, "w", 1, "public", None, ["note"]), (2, "w", 1, "member", ["note", "note_media"], None), (3, "w", 1, "none", None, None)]
+    planned = lexical.plan_queries(spark.createDataFrame(asked, QUERIES))
+    terms = spark.createDataFrame([(q, 1, "w", 1.0, 1) for q in (1, 2, 3)], "query_id bigint, project_id bigint, term string, idf double, term_rank int")
+    found = sorted((r["query_id"], r["chunk_key"]) for r in lexical.match_candidates(planned, terms, chunks).collect())
+    assert found == [(1, "open"), (2, "closed"), (2, "media"), (2, "open"), (2, "private"), (2, "source")]
+
+
+def test_statistics_of_wanted_terms_only(spark):
+    projects = spark.createDataFrame([(1, "public")], "id bigint, visibility string")
+    chunks = spark.createDataFrame([(1, "public", ["a", "b", "a"]), (1, "project", ["c", "b"])], "project_id bigint, visibility string, lexemes array<string>")
+    wanted = spark.createDataFrame([(1, "b"), (1, "b"), (2, "a"), (1, "zz")], "project_id bigint, term string")
+    every, some = lexical.scoped_statistics(chunks, projects).collect(), lexical.scoped_statistics(chunks, projects, wanted).collect()
+    assert sorted(some) == sorted(r for r in every if r["term"] == "b")
+
+
 def test_fusion_adds_both_ranks(spark):
     lex = spark.createDataFrame([(1, "a", .5, .1), (1, "b", .4, .1)], "query_id bigint, chunk_key string, fts_score double, trigram_score double")
     vec = spark.createDataFrame([(1, "b", .9), (1, "c", .8)], "query_id bigint, chunk_key string, vector_score double")

@@ -75,10 +75,15 @@ def seal(cases: DataFrame, content: list[str]) -> DataFrame:
 
 
 def duplicates(cases: DataFrame, columns: dict[str, Column]) -> DataFrame:
-    """Values that occur more than once, per kind of key."""
+    """Values that occur more than once, per kind of key.
+
+    Values may be whole texts: their hashes are counted, and only repeated values are moved.
+    """
     result = None
     for kind, value in columns.items():
-        rows = cases.groupBy(value.alias("value")).agg(F.count("*").alias("copies")).where("copies > 1")
+        hashed = cases.select(value.alias("value")).withColumn("_hash", F.coalesce(F.sha2("value", 256), F.lit("")))
+        repeated = hashed.groupBy("_hash").agg(F.count("*").alias("copies")).where("copies > 1")
+        rows = hashed.join(repeated, "_hash").groupBy("_hash").agg(F.any_value("value").alias("value"), F.any_value("copies").alias("copies"))
         rows = rows.select(F.lit(kind).alias("kind"), "value", "copies")
         result = rows if result is None else result.unionByName(rows)
     return result

@@ -109,7 +109,7 @@ def corpus_report(notes: DataFrame, media: DataFrame, comments: DataFrame) -> Da
     copies = comments.groupBy(F.sha2("content", 256)).agg(F.count("*").alias("n"))
     copy_part = copies.agg(
         F.sum("n").alias("comments"), round4(F.sum(F.col("n") - 1) / F.sum("n")).alias("duplicate_comment_ratio"))
-    aligned = F.contains(F.lower("content"), F.lower("subject")) & (F.col("subject") != "")
+    aligned = F.contains("content", "subject") & (F.col("subject") != "")
     comment_part = comments.join(notes.select("note_id", "subject"), "note_id", "left").agg(
         F.min(F.char_length("content")).cast("bigint").alias("minimum_comment"),
         round4(F.avg(F.when(F.coalesce(aligned, F.lit(False)), 1.0).otherwise(0.0))).alias("semantic_alignment_ratio"),

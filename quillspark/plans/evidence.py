@@ -184,7 +184,9 @@ define("segments", """
      AND d.source_key = 'note:' || r.note_id || ':comment-cluster:' || lpad(CAST(r.cluster_index AS VARCHAR), 4, '0')""")
 define("citation_rows", """
     SELECT document_key, chunk_key, source_type, source_id, source_version, source_content_hash, document_start_byte,
-           document_end_byte, source_start_byte, source_end_byte, quote, sha256(quote) AS quote_hash
+           document_end_byte, source_start_byte, source_end_byte, quote, sha256(quote) AS quote_hash,
+           sha256(concat_ws(chr(31), chunk_key, source_type, source_id, source_version, document_start_byte, document_end_byte,
+                            source_start_byte, source_end_byte, sha256(quote))) AS citation_key
     FROM (SELECT c.document_key, c.chunk_key, s.source_type, s.source_id, s.source_version,
                  s.content_hash AS source_content_hash,
                  greatest(c.start_byte, s.seg_start) AS document_start_byte, least(c.end_byte, s.seg_end) AS document_end_byte,
@@ -464,9 +466,9 @@ def chunk_tokens(spark, sf):
     SELECT document_key, chunk_key, source_type, source_id, source_version, source_content_hash,
            CAST(document_start_byte AS INTEGER) AS document_start_byte, CAST(document_end_byte AS INTEGER) AS document_end_byte,
            CAST(source_start_byte AS INTEGER) AS source_start_byte, CAST(source_end_byte AS INTEGER) AS source_end_byte,
-           quote, quote_hash FROM citation_rows""")
+           quote, quote_hash, citation_key FROM citation_rows""")
 def chunk_citations(spark, sf):
-    return evidence.citations(all_chunks(spark, sf)).drop("citation_key")
+    return evidence.citations(all_chunks(spark, sf))
 
 
 @query("run_totals", "A10 J16 V14 V16", """
@@ -486,10 +488,15 @@ def run_totals(spark, sf):
 
 @query("output_manifest", "U3 A29", checksum_sql("""
     SELECT 'document' AS item_type, sha256(document_key) AS h FROM built_docs
-    UNION ALL SELECT 'chunk', sha256(chunk_key) FROM chunk_rows""", ["output_v1"], "item_type"))
+    UNION ALL SELECT 'chunk', sha256(chunk_key) FROM chunk_rows
+    UNION ALL SELECT 'citation', sha256(citation_key) FROM citation_rows""", ["output_v1"], "item_type"))
 def output_manifest(spark, sf):
+    from quillspark.session import materialize
+
+    chunks = materialize(all_chunks(spark, sf).select("document_key", "chunk_key", "start_byte", "end_byte", "content", "segments"))
     rows = manifest.union_manifest({
-        "document": built_documents(spark, sf).select("document_key"), "chunk": all_chunks(spark, sf).select("chunk_key")})
+        "document": built_documents(spark, sf).select("document_key"), "chunk": chunks.select("chunk_key"),
+        "citation": evidence.citations(chunks).select("citation_key")})
     return manifest.manifest_checksum(rows, ["item_key"], ["output_v1"], ["item_type"])
 
 

@@ -105,7 +105,7 @@ define("corpus_row", r"""
               min(length(body)) AS minimum_body, round(avg(length(body)), 4) AS average_body FROM corpus_notes) n,
       (SELECT count(*) AS media, min(length(ocr_text)) AS minimum_ocr FROM media) m,
       (SELECT count(*) AS comments, round((count(*) - count(DISTINCT content)) / count(*), 4) AS duplicate_comment_ratio, min(length(content)) AS minimum_comment,
-              round(avg(CASE WHEN subject <> '' AND contains(lower(content), lower(subject)) THEN 1.0::DOUBLE ELSE 0 END), 4) AS semantic_alignment_ratio
+              round(avg(CASE WHEN subject <> '' AND contains(content, subject) THEN 1.0::DOUBLE ELSE 0 END), 4) AS semantic_alignment_ratio
        FROM comments LEFT JOIN corpus_notes USING (note_id)) c""")
 define("corpus_notes", r"SELECT id AS note_id, category, split_part(body, chr(10), 1) AS title, body, regexp_extract(body, '^\p{L}+') AS subject FROM docs")
 

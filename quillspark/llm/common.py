@@ -19,16 +19,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def per_process(key: str, build: Callable[[], Any]) -> Any:
-    """A value built once per Python worker and kept for its later tasks.
+def per_process(name: str, version: str, build: Callable[[], Any]) -> Any:
+    """A value built once per Python worker and kept for its later tasks; a new version replaces the old.
 
     Functions pickled by value get new globals with every task; ``sys.modules`` lives as
     long as the worker.
     """
-    kept = sys.modules.setdefault("_quillspark_kept", types.ModuleType("_quillspark_kept"))
-    if key not in kept.__dict__:
-        kept.__dict__[key] = build()
-    return kept.__dict__[key]
+    kept = sys.modules.setdefault("_quillspark_kept", types.ModuleType("_quillspark_kept")).__dict__
+    if name not in kept or kept[name][0] != version:
+        kept.pop(name, None)
+        kept[name] = version, build()
+    return kept[name][1]
 
 
 def runs(weights: Sequence[int], most: int) -> Iterator[tuple[int, int]]:

@@ -197,7 +197,7 @@ def boundaries(kinds: np.ndarray, follow: np.ndarray, emit: np.ndarray) -> tuple
 
 
 def transducer(path: str) -> Transducer:
-    return per_process(f"transducer:{path}", lambda: Transducer(path))
+    return per_process("transducer", path, lambda: Transducer(path))
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = 2048, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -31,7 +31,7 @@ SEEN = 3
 #: Passes over the sample and steps, each at least.
 EPOCHS, STEPS, BATCH, RATE, SEED = 6, 600, 32, 0.1, 7
 #: Words per scoring step, and words whose filters' parts a worker keeps.
-STEP, KEPT = 1 << 17, 150_000
+STEP, KEPT = 1 << 15, 100_000
 
 #: Function words by which a text's language is guessed.
 FUNCTION_WORDS = {
@@ -246,13 +246,13 @@ def training_sample(docs: DataFrame, labels: DataFrame) -> tuple[list[str], list
 
 
 def fitted(docs: DataFrame, labels: DataFrame) -> tuple[Model, str]:
-    """The model of a table, and a name for it."""
+    """The model of a table, and a version to tell it from others."""
     model = train(*training_sample(docs, labels))
-    return model, f"toxicity:{zlib.crc32(model.embedding.tobytes())}:{model.bias}"
+    return model, f"{zlib.crc32(model.embedding.tobytes())}:{model.bias}"
 
 
-def scores_of(texts: list[str], model: Model, key: str) -> np.ndarray:
-    scorer = per_process(key, lambda: Scorer(model))
+def scores_of(texts: list[str], model: Model, version: str) -> np.ndarray:
+    scorer = per_process("toxicity", version, lambda: Scorer(model))
     logits, langs = scorer.measure([words_of(t) for t in texts])
     return model.score(logits.astype(np.float64), langs)
 
@@ -266,11 +266,11 @@ def score(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
     are constant. An empty table gives an empty result.
     """
     narrow = docs.select(docs[id_column].cast("long").alias("doc_id"), docs[text_column].alias("text"))
-    model, key = fitted(narrow, labels)
+    model, version = fitted(narrow, labels)
 
     def predict(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in batches(source):
-            scores = pa.array(scores_of(texts, model, key), pa.float64())
+            scores = pa.array(scores_of(texts, model, version), pa.float64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), scores], names=["doc_id", "score"])
 
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
@@ -281,10 +281,10 @@ def score(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
 
 def rejecting(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` (with doc_id and text) without the rows predicted toxic; one pass, no shuffle of texts."""
-    model, key = fitted(docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text"), labels)
+    model, version = fitted(docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text"), labels)
 
     def keep(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in batches(source):
-            yield batch.filter(pa.array(scores_of(texts, model, key) < CUT))
+            yield batch.filter(pa.array(scores_of(texts, model, version) < CUT))
 
     return docs.mapInArrow(keep, docs.schema)

@@ -114,6 +114,111 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
     return found.select("doc_id", F.size("ids").cast("long").alias("n_known"), "n_unknown", F.array_join(F.col("ids").cast("array<string>"), ",").alias("sentences"), matched.alias("licenses"))
 
 
+# Standard notices, as their licences word and wrap them --------------------------------------
+
+WARRANTY = "software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"
+FREE = "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version"
+#: Sentences of the standard notices, normalised, and the identifiers of ``SENTENCES`` they stand for in the rules.
+NOTICES: dict[str, tuple[int, ...]] = {s: (i,) for i, s in enumerate(SENTENCES, 1)} | {
+    "all rights reserved": (20,),
+    "licensed under the apache license version 2 0 the license": (1,),
+    "you may obtain a copy of the license at": (3,),
+    "http www apache org licenses license 2 0": (),
+    "https www apache org licenses license 2 0": (),
+    "you may obtain a copy of the license at https www apache org licenses license 2 0": (3,),
+    f"unless required by applicable law or agreed to in writing {WARRANTY}": (),
+    "see the license for the specific language governing permissions and limitations under the license": (),
+    "mit license": (4,),
+    "the mit license": (4,),
+    "the mit license mit": (4,),
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software "
+    "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell "
+    "copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions": (6,),
+    f"{FREE} 3 of the license or at your option any later version": (9, 10),
+    f"{FREE} 2 of the license or at your option any later version": (9, 11),
+    "see the gnu general public license for more details": (),
+    "you should have received a copy of the gnu general public license along with this program": (),
+    "if not see http www gnu org licenses": (),
+    "if not see https www gnu org licenses": (),
+    "you should have received a copy of the gnu general public license along with this program if not see https www gnu org licenses": (),
+    "this work is licensed under a creative commons attribution noncommercial 4 0 international license": (12,),
+    "this work is licensed under a creative commons attribution 4 0 international license": (13,),
+    "this work is licensed under a creative commons attribution sharealike 4 0 international license": (14,),
+    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met": (15,),
+    "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer": (16,),
+    "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer "
+    "in the documentation and or other materials provided with the distribution": (17,),
+    "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products "
+    "derived from this software without specific prior written permission": (18,),
+    "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0": (),
+    "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0": (),
+}
+#: What holds where no other rule does: a reserved right beside a licence is part of its copyright line.
+RESERVED = "Proprietary"
+#: A sentence that speaks of a licence or of reserved rights.
+NOTICE_MENTION = "(^| )(licen[cs]e[sd]?|rights reserved)( |$)"
+#: Known sentences of so many words are also found inside others, as where a copyright line runs into them.
+LONG = 9
+
+
+def spotted(sentences: Sequence[str], edge: str) -> str:
+    """Any of ``sentences`` between two ``edge`` characters, running over soft boundaries; longer ones first."""
+    return f"(?<={edge})(?:" + "|".join(s.replace(" ", "[ ~]") for s in sorted(sentences, key=len, reverse=True)) + f")(?={edge})"
+
+
+NOTICE = spotted([s for s in NOTICES if len(s.split()) >= LONG], "[ ~|]") + "|" + spotted([s for s in NOTICES if len(s.split()) < LONG], "[~|]")
+
+
+def bounded(text: Column) -> Column:
+    """Words in lower case with ``|`` where a sentence ends and ``~`` where it may.
+
+    It ends at marks before white space, blank lines and list labels; it may end at other line
+    ends, colons and semicolons. Every pattern is entered once per run, so time is linear.
+    """
+    out = F.translate(text, UPPER + "|~\u00a0", LOWER + "   ")
+    for pattern, by in (
+        (r"\r\n?|[\f\x0B\x85\u2028\u2029]", "\n"),
+        (r"(?m)^[^a-z0-9\n]*+(?:[0-9]{1,2}|[a-z]|[ivx]{2,5})[.)](?=[ \t])", "|"),
+        (r"(?<![^a-z0-9\s])(?=[^a-z0-9\s.!?]*+[.!?])[^a-z0-9\s]++(?=\s|$)", "|"),
+        (r"\n(?=[^a-z0-9\n]*+\n)", "|"),
+        (r"[\n;:]", "~"),
+        (r"[^a-z0-9|~]+", " "),
+    ):
+        out = F.regexp_replace(out, pattern, by)
+    out = F.concat(F.lit("|"), out, F.lit("|"))
+    out = F.regexp_replace(out, r"(?<![ ~|])(?=[ ~]*+\|)[ ~|]++", "|")
+    return F.regexp_replace(out, r"(?<![ ~])(?= *+~)[ ~]++", "~")
+
+
+def scan_notices(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """Columns and cases of ``scan``, for ``NOTICES`` in texts as they are wrapped.
+
+    Identifiers are places in ``NOTICES``, from 1; the first are those of ``SENTENCES``.
+    """
+    numbers = F.create_map(*[F.lit(x) for i, s in enumerate(NOTICES, 1) for x in (s, i)])
+    stands = F.create_map(*[F.lit(x) for i, ids in enumerate(NOTICES.values(), 1) for x in (i, key(ids))])
+    rules = F.array(*[F.struct(F.lit(name).alias("license"), F.lit(key(ids)).alias("key")) for name, ids in RULES if name != RESERVED])
+    anchored = F.translate("text", UPPER, LOWER).rlike("|".join([*ANCHORS, "licence", "reserved", "mpl", "gnu", "apache"]))
+    read = docs.select(docs[id_column].cast("long").alias("doc_id"), docs[text_column].cast("string").alias("text")).select(
+        "doc_id", F.when(anchored, bounded(F.col("text"))).otherwise(F.lit("")).alias("text")
+    )
+    ids = F.transform(F.regexp_extract_all("text", F.lit(NOTICE), 0), lambda m: F.try_element_at(numbers, F.translate(m, "~", " ")))
+    rest = F.transform(F.split(F.regexp_replace("text", NOTICE, "|"), r"\|"), lambda s: F.trim(F.translate(s, "~", " ")))
+    found = read.select("doc_id", ids.alias("ids"), F.size(F.filter(rest, lambda s: s.rlike(NOTICE_MENTION))).cast("long").alias("n_unknown"))
+    sequence = F.array_join(F.transform("ids", lambda i: F.try_element_at(stands, i)), "")
+    start = F.struct(sequence.alias("left"), F.array().cast("array<string>").alias("found"))
+
+    def apply(state: Column, rule: Column) -> Column:
+        holds = F.instr(state["left"], rule["key"]) > 0
+        return F.when(
+            holds, F.struct(F.replace(state["left"], rule["key"], F.lit("|")).alias("left"), F.array_union(state["found"], F.array(rule["license"])).alias("found"))
+        ).otherwise(state)
+
+    state = F.aggregate(rules, start, apply)
+    licenses = F.when((F.size(state["found"]) == 0) & (F.instr(state["left"], key((20,))) > 0), F.lit(RESERVED)).otherwise(F.array_join(state["found"], ","))
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_known"), "n_unknown", F.array_join(F.col("ids").cast("array<string>"), ",").alias("sentences"), licenses.alias("licenses"))
+
+
 def oracle() -> str:
     known = ", ".join(f"'{s}': {i}" for i, s in enumerate(SENTENCES, 1))
     steps = []

@@ -12,6 +12,8 @@ from quillspark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+#: Whole jobs beside the queries whose SQL holds a shorter one; they have no SQL.
+WHOLE: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
 def query(name: str, oracle: str | None = None):
@@ -84,3 +86,10 @@ def op9_license_sentences(spark, sf):
 @query("op10_packing")
 def op10_packing(spark, sf):
     return packing.pack(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op9_standard_notices(spark, sf):
+    return licenses.scan_notices(table(spark, sf, "documents"))
+
+
+WHOLE["op9_standard_notices"] = op9_standard_notices

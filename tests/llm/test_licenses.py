@@ -33,3 +33,106 @@ def test_awkward_rows(spark):
     assert found.pop(20) == ("4", "MIT", 1)
     assert set(found.values()) == {("", "", 0)} and licenses.scan(documents(spark, texts)).count() == len(texts)
     assert licenses.scan(documents(spark, [])).count() == 0
+
+
+APACHE = """   Copyright 2020 Some One
+
+   Licensed under the Apache License, Version 2.0 (the "License");
+   you may not use this file except in compliance with the License.
+   You may obtain a copy of the License at
+
+       http://www.apache.org/licenses/LICENSE-2.0
+
+   Unless required by applicable law or agreed to in writing, software
+   distributed under the License is distributed on an "AS IS" BASIS,
+   WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+   See the License for the specific language governing permissions and
+   limitations under the License.
+"""
+MIT = """MIT License
+
+Copyright (c) 2020 Some One
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND.
+"""
+BSD = """Copyright (c) 2020, Some One
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+BSD3 = BSD + """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+GPL = """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details.
+
+    You should have received a copy of the GNU General Public License
+    along with this program.  If not, see <https://www.gnu.org/licenses/>.
+"""
+MPL = """/* This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. If a copy of the MPL was not distributed with this
+ * file, You can obtain one at https://mozilla.org/MPL/2.0/. */
+"""
+
+
+def notices(spark, texts):
+    return {r["doc_id"]: (r["licenses"], r["n_unknown"]) for r in collected(licenses.scan_notices(documents(spark, texts)))}
+
+
+def test_standard_notices_as_they_are_wrapped(spark):
+    plain = {"Apache-2.0": APACHE, "MIT": MIT, "BSD-2-Clause": BSD, "BSD-3-Clause": BSD3, "GPL-3.0-or-later": GPL, "GPL-2.0-or-later": GPL.replace("software:", "software;").replace("version 3", "version 2")}
+    names = list(plain)
+    texts = [(i, plain[n]) for i, n in enumerate(names)]
+    texts += [(100 + i, "".join(f" * {line}\r\n" for line in plain[n].splitlines())) for i, n in enumerate(names)]
+    texts += [(200 + i, " ".join(plain[n].replace("MIT License\n", "").split())) for i, n in enumerate(names)]
+    found = notices(spark, texts)
+    assert {i: found[i] for i, _ in texts if i < 200} == {i: (names[i % 100], 0) for i, _ in texts if i < 200}
+    assert {i: found[i][0] for i, _ in texts if i >= 200} == {i: names[i % 100] for i, _ in texts if i >= 200}
+    assert notices(spark, [(1, MPL), (2, MPL.replace("v. 2.0", "v.2.0"))])[2] == ("MPL-2.0", 0)
+
+
+def test_reserved_rights(spark):
+    texts = [
+        (1, "Some words here.\nAll rights reserved."), (2, "A heading\nALL RIGHTS RESERVED\nmore"), (3, "Words***\nAll rights reserved.***\nmore"), (4, "Nearly all rights reserved places were taken."),
+        (5, "All rights reserved.\nReleased under the MIT License."),
+    ]
+    assert notices(spark, texts) == {1: ("Proprietary", 0), 2: ("Proprietary", 0), 3: ("Proprietary", 0), 4: ("", 1), 5: ("MIT", 0)}
+
+
+def test_notices_keep_what_scan_finds(spark):
+    texts = [*AWKWARD, (20, "license " * 20_000 + "\nReleased under the MIT License."), (21, "This file has a strange licence of its own. Nothing more."), (22, "Released under the MIT License! Released under the MIT License.")]
+    found = {r["doc_id"]: r for r in collected(licenses.scan_notices(documents(spark, texts)))}
+    plain = {r["doc_id"]: r for r in collected(licenses.scan(documents(spark, texts)))}
+    assert found == plain and licenses.scan_notices(documents(spark, texts)).count() == len(texts) and licenses.scan_notices(documents(spark, [])).count() == 0
+
+
+def test_notices_take_linear_time(spark):
+    texts = [(i, "license " + x * 200_000 + " license") for i, x in enumerate((".", ";", "\n", "日", " ", "|", "~ ", ".)", "a\n", "1. "))]
+    assert licenses.scan_notices(documents(spark, texts)).where("n_unknown > 0").count() == len(texts)

@@ -88,8 +88,13 @@ def op10_packing(spark, sf):
     return packing.pack(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_whole_text_linking(spark, sf):
+    return toolcalls.link_whole_texts(table(spark, sf, "conversations"))
+
+
 def op9_standard_notices(spark, sf):
     return licenses.scan_notices(table(spark, sf, "documents"))
 
 
+WHOLE["op5_whole_text_linking"] = op5_whole_text_linking
 WHOLE["op9_standard_notices"] = op9_standard_notices

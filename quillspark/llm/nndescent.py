@@ -8,8 +8,9 @@
 4. Close pairs are checked in double precision and give components. Nodes whose whole list is
    close are saturated: they are compared again in fresh orders with lists twice as long,
    until their components stop merging.
-5. Recall is audited: a bounded sample of nodes is searched exactly; while recall is short,
-   another round follows. What the audit finds is kept.
+5. Recall is audited: partners of sampled nodes are counted exactly and averaged node by node,
+   apart for nodes with few and many. While it is short, further rounds follow, then fresh
+   orders and longer lists; if it stays short the query fails. Links of a first sample are kept.
 6. Links are counted inside components. Nodes close enough to the component's centre are all
    linked with each other by the triangle inequality; only the others are compared.
 
@@ -18,6 +19,7 @@ Lists carry vectors as signed bytes; ``SLACK`` covers the rounding.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -31,8 +33,12 @@ from quillspark.session import materialize
 THRESHOLD = 0.93
 LIST, ORDERS, BLOCK, REVERSE, ROUNDS = 8, 3, 32, 48, 3
 SLACK = 0.03
-#: Nodes searched exactly by the audit at most, and the recall it asks for.
+#: Nodes searched exactly by the audit at first, and the recall it asks for.
 AUDITED, RECALL = 512, 0.95
+#: Nodes with few partners the audit's sample should hold, and about the most nodes it grows to for them.
+ENOUGH, MOST_AUDITED = 100, 8192
+#: Rounds and enlargements after which a short recall is an error.
+MOST_ROUNDS = 8
 #: Members of a component compared in one task, at most, on either side.
 MEMBERS = 2048
 EDGE = "u long, v long, s float"
@@ -225,6 +231,70 @@ def audit(nodes: DataFrame, threshold: float) -> DataFrame:
     return nodes.select("node", "label", "unit").mapInArrow(search, "a long, b long").distinct()
 
 
+def partners(placed: DataFrame, sample: list, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Per row of ``sample`` the nodes of its label that reach the threshold, and those of them in its component."""
+    true, same = np.zeros(len(sample), np.int64), np.zeros(len(sample), np.int64)
+    if not sample:
+        return true, same
+    ids, of = (np.array([r[c] for r in sample], np.int64) for c in ("node", "component_id"))
+    labels = np.array([r["label"] for r in sample], object)
+    vectors = np.array([np.frombuffer(r["unit"]) for r in sample]) if len({len(r["unit"]) for r in sample}) == 1 else None
+    groups = {name: np.flatnonzero(labels == name) for name in set(labels)}
+    held = {name: (k, vectors[k] if vectors is not None else np.array([np.frombuffer(sample[i]["unit"]) for i in k])) for name, k in groups.items()}
+    step = max(64, (1 << 21) // len(sample))
+
+    def count(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, inside = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
+        for batch in source:
+            label, unit = np.array(batch.column("label").to_pylist(), object), batch.column("unit").to_pylist()
+            node, component = batch.column("node").to_numpy(), batch.column("component_id").to_numpy()
+            for name, (k, own) in held.items():
+                rows = np.flatnonzero(label == name)
+                for a in range(0, len(rows), step):
+                    part = rows[a:a + step]
+                    near = np.array([np.frombuffer(unit[i]) for i in part]) @ own.T >= threshold
+                    near &= node[part][:, None] != ids[k]
+                    n[k] += near.sum(0)
+                    inside[k] += (near & (component[part][:, None] == of[k])).sum(0)
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (some, n[some], inside[some])], names=["k", "n", "inside"])
+
+    read = placed.select("node", "label", "unit", "component_id").mapInArrow(count, "k long, n long, inside long")
+    for r in read.groupBy("k").agg(F.sum("n").alias("n"), F.sum("inside").alias("inside")).collect():
+        true[r["k"]], same[r["k"]] = r["n"], r["inside"]
+    return true, same
+
+
+class Audit:
+    """Recall per sampled node: its partners in its component over all its partners.
+
+    That is what ``n_links`` has of them, as links are counted exactly inside components. The
+    sample grows until it holds ``ENOUGH`` nodes with few partners, all nodes or the most allowed.
+    """
+
+    def __init__(self, threshold: float):
+        self.threshold, self.size, self.partnered, self.total = threshold, AUDITED, None, None
+
+    def recall(self, placed: DataFrame) -> tuple[float, float]:
+        """The mean over nodes with at most ``LIST`` partners, and over those with more; 1 without such nodes."""
+        self.total = placed.count() if self.total is None else self.total
+        while True:
+            share = F.lit(int(min(1.0, self.size / max(1, self.total)) * (1 << 40)))
+            drawn = placed.select("node", "label", "unit", "component_id").where(F.pmod(F.xxhash64("node", F.lit(2)), F.lit(1 << 40)) < share).collect()
+            sample = [r for r in drawn if self.partnered is None or r["node"] in self.partnered]
+            true, same = partners(placed, sample, self.threshold)
+            few, many = (true > 0) & (true <= LIST), true > LIST
+            if self.partnered is None:
+                partial = self.size < self.total
+                if few.sum() < ENOUGH and partial and self.size < MOST_AUDITED:
+                    self.size = min(4 * self.size, MOST_AUDITED)
+                    continue
+                if few.sum() < ENOUGH and partial:
+                    warnings.warn(f"recall rests on {few.sum()} nodes with few partners among {len(drawn)} audited", stacklevel=2)
+                self.partnered = {r["node"] for r, n in zip(sample, true) if n}
+            return tuple(float((same[x] / true[x]).mean()) if x.any() else 1.0 for x in (few, many))
+
+
 def counted(placed: DataFrame, threshold: float) -> DataFrame:
     """``node, linked``: other rows linked with a node, copies included, inside its component.
 
@@ -302,30 +372,44 @@ def near_duplicates(
     nodes = materialize(groups.select("node", "label", "unit", "copies").mapInArrow(shorten, "node long, label string, unit binary, copies long, q binary"))
     edges = materialize(trimmed(projected(nodes, range(ORDERS), LIST, BLOCK), LIST))
     truth = materialize(audit(nodes, threshold))
-    expected = truth.count()
-    for round_ in range(ROUNDS):
-        edges = materialize(trimmed(edges.unionByName(local_join(edges, nodes, LIST, round_)), LIST))
+    check, keep, order = Audit(threshold), LIST, ORDERS
+
+    def held(grouped: DataFrame) -> DataFrame:
+        return nodes.join(grouped, "node", "left").select("node", "label", "unit", F.coalesce("component_id", "node").alias("component_id"))
+
+    for round_ in range(MOST_ROUNDS):
+        edges = materialize(trimmed(edges.unionByName(local_join(edges, nodes, keep, round_)), keep))
         links = materialize(close(edges, nodes, threshold))
-        grouped = materialize(components(links))
-        of = {x: grouped.select(F.col("node").alias(x), F.col("component_id").alias(f"of_{x}")) for x in "ab"}
-        if truth.join(of["a"], "a").join(of["b"], "b").where("of_a = of_b").count() >= RECALL * expected:
+        few, _ = check.recall(materialize(held(components(links))))
+        if few >= RECALL:
             break
+        if round_ + 1 >= ROUNDS:
+            keep = min(2 * keep, 8 * LIST)
+            fresh = projected(nodes, range(order, order + ORDERS), keep, max(BLOCK, 2 * keep))
+            edges, order = materialize(trimmed(edges.unionByName(fresh), keep)), order + ORDERS
+    else:
+        raise RuntimeError(f"nodes with few partners have a recall of {few:.3f} after {MOST_ROUNDS} rounds, under {RECALL}")
     links = links.unionByName(truth).distinct()
 
     # Nodes whose whole list is close may have more links: longer lists in fresh orders.
     full = materialize(
-        edges.where(F.col("s") >= threshold - SLACK).groupBy("u").agg(F.count("*").alias("n")).where(F.col("n") >= LIST)
+        edges.where(F.col("s") >= threshold - SLACK).groupBy("u").agg(F.count("*").alias("n")).where(F.col("n") >= keep)
         .join(nodes, F.col("u") == F.col("node")).select("node", "label", "q")
     )
-    grouped, keep, order = materialize(components(links)), 2 * LIST, ORDERS
-    apart = full.join(grouped, "node").select("component_id").distinct().count()
-    while apart:
-        wider = projected(full, range(order, order + ORDERS), keep, max(BLOCK, 2 * keep))
-        links = materialize(links.unionByName(close(wider, nodes, threshold)).distinct())
-        grouped, keep, order = materialize(components(links)), 2 * keep, order + ORDERS
-        before, apart = apart, full.join(grouped, "node").select("component_id").distinct().count()
-        if apart == before:
+    grouped, keep = materialize(components(links)), 2 * keep
+    apart, many, enlarged = full.join(grouped, "node").select("component_id").distinct().count(), 0.0, 0
+    while True:
+        before = None
+        while apart and apart != before:
+            wider = projected(full, range(order, order + ORDERS), keep, max(BLOCK, 2 * keep))
+            links = materialize(links.unionByName(close(wider, nodes, threshold)).distinct())
+            grouped, keep, order, enlarged = materialize(components(links)), 2 * keep, order + ORDERS, enlarged + 1
+            before, apart = apart, full.join(grouped, "node").select("component_id").distinct().count()
+        few, many = check.recall(materialize(held(grouped)))
+        if min(few, many) >= RECALL:
             break
+        if not apart or enlarged >= MOST_ROUNDS:
+            raise RuntimeError(f"recall is {few:.3f} for nodes with few partners and {many:.3f} for those with many, under {RECALL}")
 
     placed = nodes.join(grouped, "node", "left").select("node", "unit", "copies", F.coalesce("component_id", "node").alias("component_id"))
     linked = counted(materialize(placed), threshold)

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pytest
 from llm.helpers import collected
 from pyspark.sql import functions as F
 
@@ -75,3 +76,32 @@ def test_audit_finds_true_links_only(spark):
     label = {i: x for i, _, x in rows}
     found = collected(nndescent.audit(units.withColumnRenamed("vec_id", "node"), nndescent.THRESHOLD))
     assert found and all(label[r["a"]] == label[r["b"]] and held[r["a"]] @ held[r["b"]] >= nndescent.THRESHOLD - 1e-12 for r in found)
+
+
+def rare_pairs(monkeypatch) -> list[tuple]:
+    """A tight cluster and a few isolated pairs that the first orders do not bring together."""
+    rng = np.random.default_rng(5)
+    centre, single = rng.normal(size=24), rng.normal(size=(30, 24))
+    vectors = [centre + rng.normal(0, 0.05, 24) for _ in range(1500)] + list(single) + list(single + rng.normal(0, 0.01, (30, 24)))
+    projected = nndescent.projected
+
+    def without_pairs(nodes, orders, keep, block):
+        return projected(nodes, orders, keep, block).where("u < 1500 AND v < 1500" if min(orders) < nndescent.ORDERS else "true")
+
+    monkeypatch.setattr(nndescent, "projected", without_pairs)
+    monkeypatch.setattr(nndescent, "ROUNDS", 1)
+    return [(i, v.tolist(), 1) for i, v in enumerate(vectors)]
+
+
+def test_isolated_pairs_are_missed_by_no_audit(spark, monkeypatch):
+    rows = rare_pairs(monkeypatch)
+    found = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in collected(nndescent.near_duplicates(spark.createDataFrame(rows, SCHEMA)))}
+    assert {i: found[i] for i in range(1500, 1560)} == {i: (1, 1500 + (i - 1500) % 30) for i in range(1500, 1560)}
+    assert {c for i, (_, c) in found.items() if i < 1500} == {0}
+
+
+def test_short_recall_is_an_error(spark, monkeypatch):
+    rows = rare_pairs(monkeypatch)
+    monkeypatch.setattr(nndescent, "MOST_ROUNDS", 1)
+    with pytest.raises(RuntimeError, match="recall"):
+        nndescent.near_duplicates(spark.createDataFrame(rows, SCHEMA))

@@ -39,6 +39,14 @@ IP = re.compile(r"[0-9](?<![0-9]{2})[0-9]*(?:\.[0-9]+){3}")
 CARD = re.compile(r"[0-9](?<![0-9]{2})(?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 IBAN = re.compile(r"[A-Z](?<![A-Za-z0-9][A-Z])[A-Z][0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+#: Letters and digits of an IBAN by country.
+IBAN_LENGTHS = {
+    country: length for length, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH CR HR LI LV", 22: "BG BH DE GB GE IE ME RS VA",
+        23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+        28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items() for country in countries.split()
+}
 SSN = re.compile(r"[0-9](?<![0-9-][0-9])[0-9]{2}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 DIGITS = re.compile(r"[0-9]")
 CONTEXT = re.compile(r"[a-z]+")
@@ -77,6 +85,25 @@ def mod97(iban: str) -> bool:
     return int("".join(str(int(c, 36)) for c in moved)) % 97 == 1
 
 
+def ibans(text: str) -> Iterator[tuple[int, int]]:
+    """Matches cut at their country's length; else whole ones, as of unknown countries."""
+    match = IBAN.search(text)
+    while match:
+        begin, end = match.span()
+        places = [i for i in range(begin, end) if text[i] != " "]
+        length = IBAN_LENGTHS.get(match[0][:2], len(places))
+        cut = places[length - 1] + 1 if length <= len(places) else end
+        if cut < end and text[cut] != " ":
+            cut = end
+        for stop in dict.fromkeys((cut, end)):
+            if mod97(text[begin:stop].replace(" ", "")):
+                yield begin, stop
+                match = IBAN.search(text, stop)
+                break
+        else:
+            match = IBAN.search(text, begin + 2)
+
+
 def octet(part: str) -> bool:
     part = part.lstrip("0")
     return len(part) <= 3 and int(part or 0) <= 255
@@ -98,9 +125,7 @@ def confirmed(text: str) -> Iterator[tuple[str, int, int]]:
     for match in PHONE.finditer(text):
         if 10 <= len(DIGITS.findall(match[0])) <= 15:
             yield "phone", *match.span()
-    for match in IBAN.finditer(text):
-        if mod97(match[0].replace(" ", "")):
-            yield "iban", *match.span()
+    yield from (("iban", *span) for span in ibans(text))
     for match in SSN.finditer(text):
         if match[0][:3] not in ("000", "666") and match[0][4:6] != "00" and match[0][7:] != "0000":
             yield "ssn", *match.span()

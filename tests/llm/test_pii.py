@@ -35,6 +35,17 @@ def test_planted_kinds():
     assert [s.kind for s in pii.find("part 123-45-6789, DE88 3704 0044 0532 0130 00")] == []
 
 
+def test_words_behind_an_iban():
+    numbers = ["AT61 1904 3002 3457 3201", "ES91 2100 0418 4502 0005 1332", "DE89 3704 0044 0532 0130 00", "NO93 8601 1117 947", "GB29NWBK60161331926819"]
+    for number in numbers:
+        for behind in (" BIC GIBAATWW", " BANK", " PAID IN FULL", " A", ", BIC", ".", "", " " + numbers[0], " 1234"):
+            text = f"IBAN {number}{behind}"
+            assert [text[s.start:s.end] for s in pii.find(text) if s.kind == "iban"] == [number] + [numbers[0]] * (numbers[0] in behind), text
+        assert pii.redacted(f"IBAN {number} BIC GIBAATWW") == "IBAN [IBAN] BIC GIBAATWW"
+    for text in ("IBAN AT61 1904 3002 3457 3202 BIC GIBAATWW", "IBAN " + numbers[0] + "X"):
+        assert [s for s in pii.find(text) if s.kind == "iban"] == []
+
+
 def test_context_moves_the_score():
     near, far, against = (next(s for s in pii.find(t) if s.kind == "ip").score for t in ("server 10.0.0.1", "10.0.0.1", "version 10.0.0.1"))
     assert near > far > against

@@ -7,6 +7,7 @@ import types
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from typing import Any
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quillspark.session import materialize
@@ -84,3 +85,23 @@ def components(links: DataFrame) -> DataFrame:
         )
     roots = edges.select("b").distinct().select(F.col("b").alias("node"), F.col("b").alias("component_id"))
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component_id")).unionByName(roots)
+
+
+class Leaders:
+    """The ``k`` best (score, id) of each of ``n`` queries so far; equal scores go to the smaller id."""
+
+    def __init__(self, n: int, k: int):
+        self.k = k
+        self.owner = self.score = self.id = np.empty(0, np.int64)
+        #: A query's k-th score; below it nothing can enter.
+        self.floor = np.full(n, np.iinfo(np.int64).min)
+
+    def offer(self, owner: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
+        able = score >= self.floor[owner]
+        owner, score, ids = (np.concatenate(x) for x in ((self.owner, owner[able]), (self.score, score[able]), (self.id, ids[able])))
+        order = np.lexsort((ids, ~score, owner))
+        owner, score, ids = owner[order], score[order], ids[order]
+        place = np.arange(len(owner)) - np.searchsorted(owner, owner)
+        self.floor[owner[place == self.k - 1]] = score[place == self.k - 1]
+        kept = place < self.k
+        self.owner, self.score, self.id = owner[kept], score[kept], ids[kept]

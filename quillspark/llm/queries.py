@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillspark.llm import licenses, minhash, mixing, nndescent, packing, pii, tokens, toolcalls, topk, toxicity
+from quillspark.llm import lexsearch, licenses, minhash, mixing, nndescent, packing, pii, tokens, toolcalls, topk, toxicity
 from quillspark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,6 +88,11 @@ def op10_packing(spark, sf):
     return packing.pack(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@query("op12_lexical_search", lexsearch.ORACLE)
+def op12_lexical_search(spark, sf):
+    return lexsearch.search(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 def op5_whole_text_linking(spark, sf):
     return toolcalls.link_whole_texts(table(spark, sf, "conversations"))
 

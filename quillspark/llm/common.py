@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 import types
+from collections import OrderedDict
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from typing import Any
 
@@ -87,6 +88,32 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component_id")).unionByName(roots)
 
 
+def carrying(
+    source: Iterable[Any], key: str, block_key: str, start: Callable[[dict], Any], prepare: Callable[[dict], Any],
+    visit: Callable[[Any, dict, Any], None], result: Callable[[Any], Any], most: int = 16,
+) -> Iterator[Any]:
+    """Meets blocks of queries (``key``) with blocks of rows (``block_key``), one pair per row of ``source``.
+
+    What a block of queries has found is carried to its next pair, as a floor for what is still
+    worth looking at; ``most`` of them are kept, and one that leaves hands out its result.
+    """
+    states: OrderedDict[Any, Any] = OrderedDict()
+    block: tuple[Any, Any] | None = None
+    for batch in source:
+        for at in range(len(batch)):
+            row = batch.slice(at, 1).to_pylist()[0]
+            if block is None or block[0] != row[block_key]:
+                block = row[block_key], prepare(row)
+            state = states.pop(row[key], None)
+            state = start(row) if state is None else state
+            visit(state, row, block[1])
+            states[row[key]] = state
+            if len(states) > most:
+                yield result(states.popitem(last=False)[1])
+    for state in states.values():
+        yield result(state)
+
+
 class Leaders:
     """The ``k`` best (score, id) of each of ``n`` queries so far; equal scores go to the smaller id."""
 
@@ -105,3 +132,20 @@ class Leaders:
         self.floor[owner[place == self.k - 1]] = score[place == self.k - 1]
         kept = place < self.k
         self.owner, self.score, self.id = owner[kept], score[kept], ids[kept]
+
+    def offer_table(self, owners: np.ndarray, scores: np.ndarray, fits: np.ndarray, ids: np.ndarray) -> None:
+        """Offers ``scores`` (``owners`` x ``ids``) where ``fits`` holds."""
+        fits = fits & (scores >= self.floor[owners][:, None])
+        if scores.shape[1] > 4 * self.k:
+            lowest = np.where(fits, scores, np.iinfo(np.int64).min)
+            fits &= scores >= np.partition(lowest, -self.k, axis=1)[:, -self.k][:, None]
+        row, column = np.nonzero(fits)
+        self.offer(owners[row], scores[row, column], ids[column])
+
+
+def products(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """``left @ right.T`` of 64-bit integers, by doubles where they hold every sum exactly."""
+    largest = float(np.abs(left).max(initial=0)) * float(np.abs(right).max(initial=0)) * left.shape[1]
+    if largest < 2**53:
+        return (left.astype(np.float64) @ right.T.astype(np.float64)).astype(np.int64)
+    return left @ right.T

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillspark.llm import lexsearch, licenses, minhash, mixing, nndescent, packing, pii, tokens, toolcalls, topk, toxicity
+from quillspark.llm import hardneg, language, lexsearch, licenses, minhash, mixing, nndescent, packing, pii, tokens, toolcalls, topk, toxicity
 from quillspark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,11 +88,23 @@ def op10_packing(spark, sf):
     return packing.pack(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@query("op11_language")
+def op11_language(spark, sf):
+    return language.identify(table(spark, sf, "documents"))
+
+
 @query("op12_lexical_search", lexsearch.ORACLE)
 def op12_lexical_search(spark, sf):
     return lexsearch.search(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
 
+@query("op13_hard_negatives", hardneg.ORACLE)
+def op13_hard_negatives(spark, sf):
+    rows = table(spark, sf, "embeddings")
+    changed = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hardneg.mine(changed, F.col("vec_id") % 100 == 0)
+
+
 def op5_whole_text_linking(spark, sf):
     return toolcalls.link_whole_texts(table(spark, sf, "conversations"))
 

@@ -1,14 +1,16 @@
-"""Exact top-k inner products without random access (NRA).
+"""Exact top-k inner products without random access (NRA), for blocks of queries at once.
 
 Candidates are cut into blocks; a block keeps one list per component, sorted by value. For a
-query the lists are read from their favourable ends, step by step. Every candidate has a
-lower bound (what was read, and the worst of the lists it was not yet seen in) and an upper
-bound (what was read, and the place reading has reached in those lists). Reading stops when
-few candidates can still reach the k-th lower bound; their final scores are then resolved.
+query the lists are read from their favourable ends, to a depth that doubles. Every candidate
+has a lower bound (what was read, and the worst of the lists it was not yet seen in) and an
+upper bound (what was read, and the place reading has reached in those lists). Reading stops
+when few candidates can still reach the k-th lower bound; their final scores are then resolved.
+At one depth the bounds of all queries of a block are four matrix products, as what a list has
+shown depends on the sign of a query's component only.
 
 The query set goes against all rows block by block: query blocks and candidate blocks meet
-through an equi-join on their numbers, spread over salts, and every pair of blocks returns k
-rows per query.
+through an equi-join on their numbers, spread over salts. A block of queries carries its k-th
+scores from one block of candidates to the next, where they are a floor from the start.
 """
 
 from __future__ import annotations
@@ -19,11 +21,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from quillspark.llm.common import Leaders, carrying, products
 from quillspark.session import materialize
 
 SCALE = 256
 CANDIDATES, QUERIES = 4096, 512
-#: Sorted entries read from every list before bounds are compared again.
+#: Sorted entries read from every list before bounds are compared; the depth doubles from there.
 STEP = 256
 BLOCK = "part long, size int, ids binary, numbers binary"
 
@@ -33,35 +36,34 @@ class SortedLists:
 
     def __init__(self, ids: np.ndarray, rows: np.ndarray):
         self.ids, self.rows = ids, rows
-        self.order = np.argsort(rows, axis=0, kind="stable")
-        self.values = np.take_along_axis(rows, self.order, 0)
-
-    def top(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k best candidates but ``own``; ties to the smaller id."""
-        n = len(self.ids)
-        lists = np.flatnonzero(query)
-        weight = query[lists].astype(np.float64)
-        # Contributions along each list, the best first.
-        up = weight > 0
-        order, values = (np.where(up, x[::-1, lists], x[:, lists]) for x in (self.order, self.values))
-        gains = values * weight
-        worst = gains[-1] if n else gains.sum(0)
-        lower = np.full(n, worst.sum())
-        unseen = np.ones((n, len(lists)), bool)
-        allowed = self.ids != own
-        alive = np.flatnonzero(allowed)
-        for begin in range(0, n if len(lists) else 0, STEP):
-            if len(alive) <= max(4 * k, n // 32):
+        self.reals = rows.astype(np.float64)
+        order = np.argsort(rows, axis=0, kind="stable")
+        self.values = np.take_along_axis(self.reals, order, 0)
+        self.places = np.empty_like(order)
+        np.put_along_axis(self.places, order, np.arange(len(rows))[:, None], 0)
+
+    def top(self, queries: np.ndarray, own: np.ndarray, leaders: Leaders) -> int:
+        """Offers the best candidates but ``own`` of every query to ``leaders``; returns the depth read."""
+        n, k = len(self.ids), leaders.k
+        up, down = np.maximum(queries, 0).astype(np.float64), np.minimum(queries, 0).astype(np.float64)
+        # Doubles round sums beyond 2**53; bounds are widened by what that can amount to.
+        slack = ((up - down) @ np.abs(self.reals).max(0, initial=0)) * (queries.shape[1] + 4) * 2.0**-51
+        alive = own[:, None] != self.ids
+        depth = 0
+        while n and alive.sum() > len(queries) * max(4 * k, n // 32):
+            depth = 2 * depth or STEP
+            if depth >= n:
                 break
-            read = slice(begin, begin + STEP)
-            lower += np.bincount(order[read].ravel(), (gains[read] - worst).ravel(), n)
-            unseen[order[read].ravel(), np.tile(np.arange(len(lists)), len(order[read]))] = False
-            upper = lower[alive] + unseen[alive] @ (gains[min(begin + STEP, n) - 1] - worst)
-            sure = np.partition(lower[alive], len(alive) - k)[len(alive) - k] if len(alive) > k else -np.inf
-            alive = alive[upper >= sure]
-        scores = self.rows[alive] @ query
-        best = np.lexsort((self.ids[alive], -scores))[:k]
-        return self.ids[alive][best], scores[best]
+            upper = up @ np.maximum(self.reals, self.values[n - depth]).T + down @ np.minimum(self.reals, self.values[depth - 1]).T
+            from_top, from_bottom = self.places >= n - depth, self.places < depth
+            lower = up @ np.where(from_top, self.reals, self.values[0]).T + down @ np.where(from_bottom, self.reals, self.values[-1]).T
+            floor = leaders.floor.astype(np.float64)
+            if n > k:
+                floor = np.maximum(floor, np.partition(np.where(alive, lower, -np.inf), n - k, axis=1)[:, n - k])
+            alive &= upper + 2 * slack[:, None] >= floor[:, None]
+        some = alive.any(0)
+        leaders.offer_table(np.arange(len(queries)), products(queries, self.rows[some]), alive[:, some], self.ids[some])
+        return min(depth, n)
 
 
 def integers(rows: DataFrame) -> DataFrame:
@@ -117,27 +119,32 @@ def search(vectors: DataFrame, queries: Column, k: int = 5, id_column: str = "ve
     spark = vectors.sparkSession
     salts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     numbers = materialize(integers(vectors.select(vectors[id_column].cast("long").alias("vec_id"), vectors[vector_column].alias("embedding"))))
-    held = blocks(numbers, CANDIDATES).select(F.col("size"), F.col("ids").alias("c_ids"), F.col("numbers").alias("c_numbers"), F.pmod(F.col("part"), F.lit(salts)).alias("salt"))
+    held = materialize(blocks(numbers, CANDIDATES).select(
+        "size", F.col("ids").alias("c_ids"), F.col("numbers").alias("c_numbers"), F.pmod(F.col("part"), F.lit(salts)).alias("salt"), F.monotonically_increasing_id().alias("held_number")
+    ))
     once = materialize(numbers.where(queries).dropDuplicates(["vec_id"]))
-    asked = materialize(blocks(once.repartition(max(1, -(-once.count() // QUERIES)), "vec_id"), QUERIES))
-    spread = asked.select(F.col("size").alias("q_size"), "ids", "numbers", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"))
+    asked = materialize(blocks(once.repartition(max(1, -(-once.count() // QUERIES)), "vec_id"), QUERIES).withColumn("asked_number", F.monotonically_increasing_id()))
+    spread = asked.select(F.col("size").alias("q_size"), "ids", "numbers", "asked_number", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"))
+
+    def start(row: dict) -> tuple[np.ndarray, np.ndarray, Leaders]:
+        ids = np.frombuffer(row["ids"], np.int64)
+        return ids, np.frombuffer(row["numbers"], np.int64).reshape(len(ids), row["size"]), Leaders(len(ids), k)
+
+    def prepare(row: dict) -> SortedLists:
+        ids = np.frombuffer(row["c_ids"], np.int64)
+        return SortedLists(ids, np.frombuffer(row["c_numbers"], np.int64).reshape(len(ids), row["size"]))
+
+    def visit(state: tuple[np.ndarray, np.ndarray, Leaders], row: dict, lists: SortedLists) -> None:
+        lists.top(state[1], state[0], state[2])
+
+    def result(state: tuple[np.ndarray, np.ndarray, Leaders]) -> pa.RecordBatch:
+        ids, _, found = state
+        return pa.RecordBatch.from_arrays([pa.array(ids[found.owner]), pa.array(found.id), pa.array(found.score)], names=["query_id", "vec_id", "score"])
 
     def answer(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        prepared: tuple[bytes, SortedLists] | None = None
-        for batch in source:
-            for row in batch.to_pylist():
-                width = row["size"]
-                if prepared is None or prepared[0] != row["c_ids"]:
-                    ids = np.frombuffer(row["c_ids"], np.int64)
-                    prepared = row["c_ids"], SortedLists(ids, np.frombuffer(row["c_numbers"], np.int64).reshape(len(ids), width))
-                q_ids = np.frombuffer(row["ids"], np.int64)
-                found = [prepared[1].top(q, i, k) for i, q in zip(q_ids.tolist(), np.frombuffer(row["numbers"], np.int64).reshape(len(q_ids), width))]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(q_ids, [len(i) for i, _ in found])), *(pa.array(np.concatenate(c)) for c in zip(*found))],
-                    names=["query_id", "vec_id", "score"],
-                )
-
-    pairs = held.join(spread, (held["salt"] == spread["salt"]) & (held["size"] == spread["q_size"])).select("size", "c_ids", "c_numbers", "ids", "numbers")
+        yield from carrying(source, "asked_number", "held_number", start, prepare, visit, result)
+
+    pairs = held.join(spread, (held["salt"] == spread["salt"]) & (held["size"] == spread["q_size"])).drop("salt", "q_size")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (
         pairs.mapInArrow(answer, "query_id long, vec_id long, score long")

@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from quillspark.llm.common import batches, per_process
 from quillspark.session import materialize
@@ -32,7 +32,7 @@ WORDS, GRAMS, CELLS = 100_000, 50_000, 4_000_000
 #: The score (log10) of a word or n-gram in a language that lacks it.
 ABSENT = -7.0
 #: Distinct words a task counts before it hands them on.
-HELD = 200_000
+HELD = 400_000
 #: Words a Python worker keeps scored.
 KEPT = 400_000
 #: Words of evidence after which further ones no longer raise a text's certainty.
@@ -80,17 +80,30 @@ class Model:
     def __init__(self, languages: list[str], tables: dict[int, tuple[dict[str, int], np.ndarray]], common: int, version: str):
         self.languages, self.tables, self.common, self.version = languages, tables, common, version
 
-    def row(self, word: str) -> np.ndarray | None:
-        """A word's score per language; None where no language holds any part of it."""
+    def rows(self, words: list[str]) -> np.ndarray:
+        """Each word's score per language and a last column of 1, or all 0 where no language holds any part of it."""
+        found = np.zeros((len(words), len(self.languages) + 1), np.float32)
         index, values = self.tables[0]
-        if word in index:
-            return values[index[word]]
+        ids = np.fromiter((index.get(w, -1) for w in words), np.int64, len(words))
+        known = ids >= 0
+        found[known, :-1], found[known, -1] = values[ids[known]], 1
+        rest = np.flatnonzero(~known).tolist()
         for order in ORDERS:
             index, values = self.tables[order]
-            known = [index[g] for g in grams_of(word, order) if g in index]
-            if known:
-                return values[known].mean(0)
-        return None
+            get, hits, flat, ends, left = index.get, [], [], [0], []
+            for at in rest:
+                parts = [i for g in grams_of(words[at], order) if (i := get(g)) is not None]
+                if parts:
+                    hits.append(at)
+                    flat += parts
+                    ends.append(len(flat))
+                else:
+                    left.append(at)
+            if hits:
+                sums = np.add.reduceat(values[flat], ends[:-1], axis=0)
+                found[hits, :-1], found[hits, -1] = sums / np.diff(ends)[:, None], 1
+            rest = left
+        return found
 
 
 class Scorer:
@@ -109,10 +122,9 @@ class Scorer:
             more = np.zeros((2 * (len(self.known) + len(fresh)), self.rows.shape[1]), np.float32)
             more[:len(self.rows)] = self.rows
             self.rows = more
-        for w in fresh:
-            row = self.model.row(w)
-            at = self.known[w] = len(self.known)
-            self.rows[at] = 0 if row is None else [*row, 1]  # the last column counts the words that are scored
+        begin = len(self.known)
+        self.rows[begin:begin + len(fresh)] = self.model.rows(fresh)
+        self.known.update(zip(fresh, range(begin, begin + len(fresh))))
 
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
         split = [words_of(t) for t in texts]
@@ -150,26 +162,30 @@ def train(docs: DataFrame) -> Model:
     totals = {r["lang"]: r["n"] for r in words.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     languages = sorted(totals)
     number = {lang: i for i, lang in enumerate(languages)}
+    # All orders in one pass over the distinct words.
+    ended = F.concat(F.lit(END), "word", F.lit(END))
+
+    def parts_of(order: int) -> Column:
+        places = F.sequence(F.lit(1), F.length(ended) - order + 1)
+        some = F.transform(places, lambda i: F.substring(ended, i, F.lit(order)))
+        return F.when(F.length(ended) >= order, some).otherwise(F.array().cast("array<string>"))
+
+    # An n-gram's length is its order.
+    grams = words.select("lang", F.explode(F.concat(*map(parts_of, ORDERS))).alias("form"), "n").groupBy("lang", "form").agg(F.sum("n").alias("n"))
+    forms = materialize(grams.withColumn("order", F.length("form"))).unionByName(words.select("lang", F.col("word").alias("form"), "n", F.lit(0).alias("order")))
+    sizes = {(r["order"], r["lang"]): r["n"] for r in forms.groupBy("order", "lang").agg(F.sum("n").alias("n")).collect()}
     tables = {}
     for order in (0, *ORDERS):
-        if order:
-            ended = F.concat(F.lit(END), "word", F.lit(END))
-            places = F.sequence(F.lit(1), F.length(ended) - order + 1)
-            grams = F.when(F.length(ended) >= order, F.transform(places, lambda i: F.substring(ended, i, F.lit(order))))
-            forms = words.select("lang", F.explode(grams).alias("form"), "n").groupBy("lang", "form").agg(F.sum("n").alias("n"))
-        else:
-            forms = words.select("lang", F.col("word").alias("form"), "n")
-        forms = materialize(forms) if order else forms
         most = max(1, min(GRAMS if order else WORDS, CELLS // max(1, len(languages))))
-        sizes = {r["lang"]: r["n"] for r in forms.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-        common = forms.groupBy("form").agg(F.sum("n").alias("all")).orderBy(F.desc("all"), "form").limit(most).select("form")
-        kept = forms.join(common, "form").select("lang", "form", "n").toArrow()
+        own = forms.where(F.col("order") == order)
+        common = own.groupBy("form").agg(F.sum("n").alias("all")).orderBy(F.desc("all"), "form").limit(most).select("form")
+        kept = own.join(common, "form").select("lang", "form", "n").toArrow()
         form = kept.column("form").combine_chunks().dictionary_encode()
         index = {f: i for i, f in enumerate(form.dictionary.to_pylist())}
         values = np.full((len(index), len(languages)), ABSENT, np.float32)
-        langs = [number[lang] for lang in kept.column("lang").to_pylist()]
-        share = kept.column("n").to_numpy() / np.array([sizes[languages[i]] for i in langs] or [], np.float64)
-        values[form.indices.to_numpy(), np.array(langs, np.int64)] = np.log10(share)
+        langs = kept.column("lang").to_pylist()
+        total = np.array([sizes[order, lang] for lang in langs], np.float64)
+        values[form.indices.to_numpy(), np.array([number[lang] for lang in langs], np.int64)] = np.log10(kept.column("n").to_numpy() / total)
         tables[order] = index, values
     common = min(range(len(languages)), key=lambda i: (-totals[languages[i]], languages[i]), default=0)
     version = f"{sorted(totals.items())}:{[len(i) for i, _ in tables.values()]}:{[float(v.sum()) for _, v in tables.values()]}"

@@ -10,7 +10,8 @@
    until their components stop merging.
 5. Recall is audited: partners of sampled nodes are counted exactly and averaged node by node,
    apart for nodes with few and many. While it is short, further rounds follow, then fresh
-   orders and longer lists; if it stays short the query fails. Links of a first sample are kept.
+   orders and longer lists; if it stays short, or links are too rare to measure it, components
+   are compared block by block until nothing is left out. Links of a first sample are kept.
 6. Links are counted inside components. Nodes close enough to the component's centre are all
    linked with each other by the triangle inequality; only the others are compared.
 
@@ -19,7 +20,6 @@ Lists carry vectors as signed bytes; ``SLACK`` covers the rounding.
 
 from __future__ import annotations
 
-import warnings
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -37,7 +37,7 @@ SLACK = 0.03
 AUDITED, RECALL = 512, 0.95
 #: Nodes with few partners the audit's sample should hold, and about the most nodes it grows to for them.
 ENOUGH, MOST_AUDITED = 100, 8192
-#: Rounds and enlargements after which a short recall is an error.
+#: Rounds and enlargements after which a short recall is made up for by comparing all blocks.
 MOST_ROUNDS = 8
 #: Members of a component compared in one task, at most, on either side.
 MEMBERS = 2048
@@ -50,21 +50,36 @@ def quantized(vectors: np.ndarray) -> np.ndarray:
 
 
 def matrix(column: pa.Array, kind: str) -> np.ndarray:
-    """Equally long binary values as rows of an array."""
+    """Binary values as rows of an array; shorter ones end in zeros (only rows of one length are compared)."""
     values = column.to_pylist()
+    if len({len(v) for v in values}) > 1:
+        longest = max(map(len, values))
+        values = [v.ljust(longest, b"\0") for v in values]
     return np.frombuffer(b"".join(values), kind).reshape(len(values), -1)
 
 
+def narrowed(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two arrays cut to the columns both have; rows that may be compared have nothing beyond."""
+    width = min(a.shape[1], b.shape[1])
+    return a[:, :width], b[:, :width]
+
+
 def unit_vectors(rows: DataFrame) -> DataFrame:
-    """``vec_id, label, unit`` (doubles, as bytes) of the rows that can have links."""
+    """``vec_id, label, unit`` (doubles, as bytes) of the rows that can have links.
+
+    The label is prefixed by the vector's length, as only equal lengths are compared. Vectors are
+    scaled by their largest component first, so that squares neither overflow nor vanish.
+    """
 
     def normalize(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
             vectors = [np.array([np.nan] if v is None or None in v else v, np.float64) for v in batch.column("embedding").to_pylist()]
-            lengths = [float(np.linalg.norm(v)) for v in vectors]
-            good = [0 < n < np.inf for n in lengths]
-            unit = [(v / n).tobytes() if ok else None for v, n, ok in zip(vectors, lengths, good)]
-            full = pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(unit, pa.binary())], names=["vec_id", "label", "unit"])
+            largest = [float(np.abs(v).max()) for v in vectors]
+            good = [0 < n < np.inf for n in largest]
+            scaled = [v / n if ok else None for v, n, ok in zip(vectors, largest, good)]
+            unit = [None if v is None else (v / np.linalg.norm(v)).tobytes() for v in scaled]
+            labels = [f"{len(v)}:{name}" for v, name in zip(vectors, batch.column("label").to_pylist())]
+            full = pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(labels, pa.string()), pa.array(unit, pa.binary())], names=["vec_id", "label", "unit"])
             yield full.filter(pa.array(good))
 
     usable = rows.where("vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND size(embedding) > 0")
@@ -209,9 +224,9 @@ def audit(nodes: DataFrame, threshold: float) -> DataFrame:
     sample = nodes.orderBy(F.xxhash64("node", F.lit(1)), "node").limit(AUDITED).select("node", "label", "unit").collect()
     ids = np.array([r.node for r in sample], np.int64)
     labels = np.array([r.label for r in sample], object)
-    vectors = np.array([np.frombuffer(r.unit) for r in sample])
     if not sample:
         return nodes.select(F.col("node").alias("a"), F.col("node").alias("b"))
+    vectors = matrix(pa.array([bytes(r.unit) for r in sample], pa.binary()), np.float64)
 
     def search(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
@@ -219,7 +234,8 @@ def audit(nodes: DataFrame, threshold: float) -> DataFrame:
             for k in range(0, batch.num_rows, 4096):
                 part = batch.slice(k, 4096)
                 node = part.column("node").to_numpy()
-                near = matrix(part.column("unit"), np.float64) @ vectors.T >= threshold
+                left, right = narrowed(matrix(part.column("unit"), np.float64), vectors)
+                near = left @ right.T >= threshold
                 near &= np.array(part.column("label").to_pylist(), object)[:, None] == labels
                 near &= node[:, None] != ids
                 i, j = near.argmax(0), np.flatnonzero(near.any(0))
@@ -269,11 +285,12 @@ class Audit:
     """Recall per sampled node: its partners in its component over all its partners.
 
     That is what ``n_links`` has of them, as links are counted exactly inside components. The
-    sample grows until it holds ``ENOUGH`` nodes with few partners, all nodes or the most allowed.
+    sample grows until it holds ``ENOUGH`` nodes with few partners or all nodes; ``measured`` tells
+    whether it got there within the most allowed.
     """
 
     def __init__(self, threshold: float):
-        self.threshold, self.size, self.partnered, self.total = threshold, AUDITED, None, None
+        self.threshold, self.size, self.partnered, self.total, self.measured = threshold, AUDITED, None, None, False
 
     def recall(self, placed: DataFrame) -> tuple[float, float]:
         """The mean over nodes with at most ``LIST`` partners, and over those with more; 1 without such nodes."""
@@ -289,12 +306,36 @@ class Audit:
                 if few.sum() < ENOUGH and partial and self.size < MOST_AUDITED:
                     self.size = min(4 * self.size, MOST_AUDITED)
                     continue
-                if few.sum() < ENOUGH and partial:
-                    warnings.warn(f"recall rests on {few.sum()} nodes with few partners among {len(drawn)} audited", stacklevel=2)
+                self.measured = few.sum() >= ENOUGH or not partial
                 self.partnered = {r["node"] for r, n in zip(sample, true) if n}
             return tuple(float((same[x] / true[x]).mean()) if x.any() else 1.0 for x in (few, many))
 
 
+def left_out(placed: DataFrame, threshold: float) -> DataFrame:
+    """A link (a, b) for every two components that hold linked nodes, found by comparing all blocks of a label.
+
+    ``placed`` has ``node, label, component_id, unit``.
+    """
+    blocks = placed.groupBy("label").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("blocks"))
+    columns = ["label", "node", "component_id", "unit"]
+    dealt = placed.join(blocks, "label").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    left = dealt.select(*columns, F.col("own").alias("i"), F.explode(F.sequence(F.col("own"), F.col("blocks") - 1)).alias("j"), F.lit(True).alias("asks"))
+    right = dealt.select(*columns, F.explode(F.sequence(F.lit(0), F.col("own"))).alias("i"), F.col("own").alias("j"), F.lit(False).alias("asks"))
+
+    def meet(pair: pd.DataFrame) -> pd.DataFrame:
+        asking, asked = pair[pair["asks"]], pair[~pair["asks"]]
+        found = {"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)}
+        if len(asking) and len(asked):
+            a, b = (np.frombuffer(b"".join(x["unit"]), np.float64).reshape(len(x), -1) for x in (asking, asked))
+            of_a, of_b = asking["component_id"].to_numpy(), asked["component_id"].to_numpy()
+            i, j = np.nonzero((a @ b.T >= threshold) & (of_a[:, None] != of_b))
+            _, once = np.unique(np.stack([of_a[i], of_b[j]]), axis=1, return_index=True)
+            found = {"a": asking["node"].to_numpy()[i[once]], "b": asked["node"].to_numpy()[j[once]]}
+        return pd.DataFrame(found).astype("int64")
+
+    return left.unionByName(right).groupBy("label", "i", "j").applyInPandas(meet, "a long, b long")
+
+
 def counted(placed: DataFrame, threshold: float) -> DataFrame:
     """``node, linked``: other rows linked with a node, copies included, inside its component.
 
@@ -354,7 +395,7 @@ def near_duplicates(
 
     Only rows of the same label are linked. Rows whose label or vector is null, empty, zero or
     holds nulls or non-finite numbers have no links and are components of their own; so are
-    rows without id (their component is null). Vectors of a label must be equally long.
+    rows without id (their component is null). Vectors of different lengths are not linked.
     Repeated rows that share an id come back each. An empty table gives an empty result. Other
     columns are neither read nor returned.
     """
@@ -381,14 +422,12 @@ def near_duplicates(
         edges = materialize(trimmed(edges.unionByName(local_join(edges, nodes, keep, round_)), keep))
         links = materialize(close(edges, nodes, threshold))
         few, _ = check.recall(materialize(held(components(links))))
-        if few >= RECALL:
+        if few >= RECALL or not check.measured:
             break
         if round_ + 1 >= ROUNDS:
             keep = min(2 * keep, 8 * LIST)
             fresh = projected(nodes, range(order, order + ORDERS), keep, max(BLOCK, 2 * keep))
             edges, order = materialize(trimmed(edges.unionByName(fresh), keep)), order + ORDERS
-    else:
-        raise RuntimeError(f"nodes with few partners have a recall of {few:.3f} after {MOST_ROUNDS} rounds, under {RECALL}")
     links = links.unionByName(truth).distinct()
 
     # Nodes whose whole list is close may have more links: longer lists in fresh orders.
@@ -406,10 +445,12 @@ def near_duplicates(
             grouped, keep, order, enlarged = materialize(components(links)), 2 * keep, order + ORDERS, enlarged + 1
             before, apart = apart, full.join(grouped, "node").select("component_id").distinct().count()
         few, many = check.recall(materialize(held(grouped)))
-        if min(few, many) >= RECALL:
+        if check.measured and min(few, many) >= RECALL:
+            break
+        if not check.measured or not apart or enlarged >= MOST_ROUNDS:
+            rest = materialize(left_out(materialize(held(grouped)), threshold))
+            grouped = materialize(components(links.unionByName(rest).distinct()))
             break
-        if not apart or enlarged >= MOST_ROUNDS:
-            raise RuntimeError(f"recall is {few:.3f} for nodes with few partners and {many:.3f} for those with many, under {RECALL}")
 
     placed = nodes.join(grouped, "node", "left").select("node", "unit", "copies", F.coalesce("component_id", "node").alias("component_id"))
     linked = counted(materialize(placed), threshold)

@@ -1,7 +1,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pytest
 from llm.helpers import collected
 from pyspark.sql import functions as F
 
@@ -12,11 +11,12 @@ SCHEMA = "vec_id long, embedding array<double>, label int"
 
 def brute(rows: list[tuple]) -> list[tuple]:
     good = [(i, np.array(v, float), label) for i, v, label in rows if i is not None and label is not None and v and None not in v]
-    good = [(i, v / np.linalg.norm(v), label) for i, v, label in good if np.isfinite(v).all() and np.linalg.norm(v) > 0]
+    good = [(i, v / np.abs(v).max(), label) for i, v, label in good if np.isfinite(v).all() and v.any()]
+    good = [(i, v / np.linalg.norm(v), label) for i, v, label in good]
     links: dict[int, set[int]] = {i: set() for i, _, _ in rows if i is not None}
     for n, (i, v, label) in enumerate(good):
         for j, w, other in good[:n]:
-            if i != j and label == other and v @ w >= nndescent.THRESHOLD:
+            if i != j and label == other and len(v) == len(w) and v @ w >= nndescent.THRESHOLD:
                 links[i].add(j)
                 links[j].add(i)
     root = {}
@@ -100,8 +100,28 @@ def test_isolated_pairs_are_missed_by_no_audit(spark, monkeypatch):
     assert {c for i, (_, c) in found.items() if i < 1500} == {0}
 
 
-def test_short_recall_is_an_error(spark, monkeypatch):
+def test_short_recall_is_finished_block_by_block(spark, monkeypatch):
     rows = rare_pairs(monkeypatch)
     monkeypatch.setattr(nndescent, "MOST_ROUNDS", 1)
-    with pytest.raises(RuntimeError, match="recall"):
-        nndescent.near_duplicates(spark.createDataFrame(rows, SCHEMA))
+    monkeypatch.setattr(nndescent, "MEMBERS", 128)
+    found = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in collected(nndescent.near_duplicates(spark.createDataFrame(rows, SCHEMA)))}
+    assert {i: found[i] for i in range(1500, 1560)} == {i: (1, 1500 + (i - 1500) % 30) for i in range(1500, 1560)}
+
+
+def test_links_too_rare_to_audit_are_searched_in_blocks(spark, monkeypatch):
+    for name, value in (("AUDITED", 8), ("MOST_AUDITED", 32), ("MEMBERS", 64)):
+        monkeypatch.setattr(nndescent, name, value)
+    projected = nndescent.projected
+    monkeypatch.setattr(nndescent, "projected", lambda *a: projected(*a).where("false"))
+    rng = np.random.default_rng(7)
+    single = rng.normal(size=(400, 24))
+    rows = [(i, v.tolist(), 1) for i, v in enumerate([*single, single[3] + 0.01])]
+    assert result(nndescent.near_duplicates(spark.createDataFrame(rows, SCHEMA))) == brute(rows)
+
+
+def test_unequal_lengths_and_extreme_sizes(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=8 if i % 3 else 5).tolist(), i % 2) for i in range(60)]
+    rows += [(100 + i, (np.array(v) * f).tolist(), label) for i, (_, v, label) in enumerate(rows) for f in (1.5,)]
+    rows += [(300, [1e200, 1e200], 1), (301, [2e200, 2e200], 1), (302, [1e-200, 1e-200], 1), (303, [1.0, 1.0, 0.0], 1), (304, [5e-324, 5e-324], 1)]
+    assert result(nndescent.near_duplicates(spark.createDataFrame(rows, SCHEMA))) == brute(rows)

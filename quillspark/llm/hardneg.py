@@ -291,8 +291,9 @@ def mine(
     entire = F.array(F.struct(F.lit(0).cast("long").alias("positive_id"), F.lit(0).cast("long").alias("positive_score"),
                               F.lit(ANY.min).alias("low"), F.lit(ANY.max).alias("high")))
     close = best(met(trees, asked.withColumn("open", entire), True, positives), positives, "anchor_id")
-    # Least and largest score of a window: percentages rounded up and down.
-    share = lambda percent: F.expr(f"(score * ({percent}) - pmod(score * ({percent}), 100)) div 100")
+    # Least and largest score of a window: percentages rounded up and down, without products that overflow.
+    rest = "pmod(score, 100)"
+    share = lambda percent: F.expr(f"((score - {rest}) div 100) * ({percent}) + ({rest} * ({percent}) - pmod({rest} * ({percent}), 100)) div 100")
     window = F.struct(F.col("vec_id").alias("positive_id"), F.col("score").alias("positive_score"), (-share(-low)).alias("low"), share(high).alias("high"))
     opened = close.groupBy("anchor_id").agg(F.collect_list(window).alias("open"))  # at most ``positives`` each
     far = met(trees, asked.join(opened, "anchor_id"), False, negatives)

@@ -63,11 +63,14 @@ class Sharing:
             if most < 2:
                 break
             merged: dict[tuple[int, int], int] = {}
+            taken: set[int] = set()  # a node joins one pair a round, so that every new node is used
             for pair, n in sorted(pairs.items(), key=lambda x: (-x[1], x[0])):
                 if n < max(2, most / 2):
                     break
-                merged[pair] = len(order) + len(self.parts)
-                self.parts.append(pair)
+                if taken.isdisjoint(pair):
+                    taken.update(pair)
+                    merged[pair] = len(order) + len(self.parts)
+                    self.parts.append(pair)
             self.roots = [self.replaced(nodes, merged) for nodes in self.roots]
 
     @staticmethod

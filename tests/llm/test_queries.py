@@ -23,5 +23,5 @@ def test_query_matches_its_sql(spark, name):
 def test_one_query_per_operator():
     import __spark_entry__ as entry
 
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
     assert set(queries.QUERIES) | {"pipeline"} <= set(entry.queries())

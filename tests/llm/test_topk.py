@@ -7,6 +7,7 @@ from llm.helpers import collected
 from pyspark.sql import functions as F
 
 from quillspark.llm import topk
+from quillspark.llm.common import Leaders
 
 SCHEMA = "vec_id long, embedding array<double>"
 
@@ -33,17 +34,44 @@ def test_random_vectors_in_small_blocks(spark, monkeypatch):
     assert result(topk.search(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") % 10 == 0)) == brute(rows, 10, 5)
 
 
+def best(rows: np.ndarray, query: int, k: int) -> list[tuple[int, int]]:
+    scores = [(-sum(int(a) * int(b) for a, b in zip(rows[query], row)), i) for i, row in enumerate(rows) if i != query]
+    return [(-s, i) for s, i in sorted(scores)[:k]]
+
+
 def test_reading_stops_early_and_stays_exact(monkeypatch):
     monkeypatch.setattr(topk, "STEP", 16)
     rng = np.random.default_rng(2)
     rows = rng.integers(-5, 5, (500, 4))
     rows[7] = rows[311] = 60
-    lists = topk.SortedLists(np.arange(500), rows)
-    reads = []
-    bincount = np.bincount
-    monkeypatch.setattr(topk.np, "bincount", lambda *a: reads.append(1) or bincount(*a))
-    ids, scores = lists.top(np.array([3, 2, 1, 1]), -1, 2)
-    assert ids.tolist() == [7, 311] and scores.tolist() == [420, 420] and len(reads) < 500 // 16
+    rows[0] = [3, 2, 1, 1]
+    leaders = Leaders(1, 2)
+    depth = topk.SortedLists(np.arange(500), rows).top(rows[:1], np.array([0]), leaders)
+    assert leaders.id.tolist() == [7, 311] and leaders.score.tolist() == [420, 420] and depth < 500
+
+
+def test_scores_carry_from_block_to_block():
+    rng = np.random.default_rng(3)
+    rows = np.floor(256 * rng.normal(size=(900, 8))).astype(np.int64)
+    queries = np.arange(0, 900, 30)
+    leaders = Leaders(len(queries), 5)
+    for begin in range(0, 900, 300):
+        part = slice(begin, begin + 300)
+        topk.SortedLists(np.arange(900)[part], rows[part]).top(rows[queries], queries, leaders)
+    for n, q in enumerate(queries):
+        own = leaders.owner == n
+        assert list(zip(leaders.score[own].tolist(), leaders.id[own].tolist())) == best(rows, q, 5)
+
+
+def test_scores_beyond_doubles_are_exact(monkeypatch):
+    monkeypatch.setattr(topk, "STEP", 8)
+    rng = np.random.default_rng(4)
+    rows = rng.integers(2**29, 2**29 + 4, (200, 5))  # scores of about 2**60 that differ by single units
+    leaders = Leaders(20, 5)
+    topk.SortedLists(np.arange(200), rows).top(rows[:20], np.arange(20), leaders)
+    for q in range(20):
+        own = leaders.owner == q
+        assert list(zip(leaders.score[own].tolist(), leaders.id[own].tolist())) == best(rows, q, 5)
 
 
 def test_awkward_rows(spark):

@@ -6,6 +6,7 @@ PARSER_VERSION = "evidence_parser_v1"
 CHUNKER_VERSION = "utf8_paragraph_1200_160_v1"
 TOKENIZER_VERSION = "zh_unigram_bigram_latin_v1"
 SNAPSHOT_SCHEME = "evidence_source_snapshot_v1"
+LEXICAL_INDEX_VERSION = "bucketed_postings_v1"
 SHORT_TEXT_TYPO = "测式"
 
 # Chunk and cluster sizes.
@@ -30,6 +31,7 @@ LEXICAL_BONUS = {"hint": 0.34, "type": 0.14, "position": 0.08}
 HYBRID_WEIGHTS = {"rrf": 0.45, "vector": 0.35, "lexical": 0.20}
 RRF_BASE = 61
 RRF_SCALE = 30.5
+SEARCHABLE_STATES = ["ready", "superseded"]
 THRESHOLDS = {"lexical": 0.30, "vector": 0.45, "hybrid": 0.60}
 DOCUMENT_TYPES = ["note", "note_media", "note_comment_cluster", "note_daily_fact", "user_daily_fact"]
 
@@ -37,10 +39,11 @@ DOCUMENT_TYPES = ["note", "note_media", "note_comment_cluster", "note_daily_fact
 QUERY_INSTRUCTION = (
     "Instruct: Given a creator-content platform question, retrieve Chinese evidence passages that answer the query\nQuery: "
 )
-GENERIC_BIGRAMS = (
-    "一个 一份 不能 不要 什么 以及 作者 依据 其中 分别 只要 只能 可以 如何 是否 最终 有关 根据 "
-    "样本 每个 没有 然后 现在 相关 笔记 给出 记录 这个 这些 这份 那个 那些 里面 需要 问题"
-).split()
+GENERIC_BIGRAMS = [
+    "一个", "一份", "不能", "不要", "什么", "以及", "作者", "依据", "其中", "分别", "只要", "只能",
+    "可以", "如何", "是否", "最终", "有关", "根据", "样本", "每个", "没有", "然后", "现在", "相关",
+    "笔记", "给出", "记录", "这个", "这些", "这份", "那个", "那些", "里面", "需要", "问题",
+]
 NOTE_WORD = "笔记"
 NOTE_ID_PATTERN = r"(?:笔记|样本记录|记录)\s*([0-9]{1,12})"
 LONG_NUMBER_PATTERN = r"\b([1-9][0-9]{3,11})\b"

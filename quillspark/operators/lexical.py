@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quillspark.functions import contract as C
@@ -26,11 +28,6 @@ def occurrences(chunks: DataFrame) -> DataFrame:
         *carried, "term", (F.col("_at") + 1).alias("position"))
 
 
-def write_occurrences(chunks: DataFrame, table: str, buckets: int) -> None:
-    """Store the inverted form bucketed by term, so later searches join without moving it."""
-    occurrences(chunks).write.bucketBy(buckets, "term").sortBy("term").mode("overwrite").saveAsTable(table)
-
-
 def _counted_tokens(chunks: DataFrame, *columns: str) -> DataFrame:
     """Every token once per occurrence and, flagged ``_chunk``, once per chunk it appears in.
 
@@ -165,7 +162,8 @@ def candidate_terms(term_stats: DataFrame, limit: int = C.MAX_CANDIDATE_TERMS) -
             )
         ),
     )
-    return ordered.where(F.col("term_rank") <= limit).select("query_id", "project_id", "term", "idf", "term_rank")
+    run = [c for c in ("run_id",) if c in term_stats.columns]
+    return ordered.where(F.col("term_rank") <= limit).select("query_id", "project_id", *run, "term", "idf", "term_rank")
 
 
 def dead_documents(document_sources: DataFrame, sources: DataFrame) -> DataFrame:
@@ -185,7 +183,7 @@ def searchable(chunks: DataFrame, projects: DataFrame, dead: DataFrame | None =
     active = projects.where("status = 'active'").select(
         F.col("id").alias("project_id"), (F.col("visibility") == "public").alias("project_open")
     )
-    rows = chunks.where(F.col("lifecycle_status").isin("ready", "superseded")).join(active, "project_id")
+    rows = chunks.where(F.col("lifecycle_status").isin(*C.SEARCHABLE_STATES)).join(active, "project_id")
     return rows if dead is None else rows.join(dead, "document_key", "left_anti")
 
 
@@ -201,10 +199,13 @@ def may_see(query_scope: Column, project_open: Column, visibility: Column) -> Co
 
 
 def type_allowed(document_type: Column, source_type: Column, preferred: Column, document_types: Column, source_types: Column) -> Column:
-    """Explicit filters win; without a document filter the preferred type applies."""
+    """Explicit filters win; without a document filter the preferred type applies.
+
+    Written so that no equality of the two sides becomes a join key, which would move the postings.
+    """
     any_document = F.coalesce(F.size(document_types), F.lit(0)) > 0
     any_source = F.coalesce(F.size(source_types), F.lit(0)) > 0
-    by_document = F.when(any_document, F.array_contains(document_types, document_type)).otherwise(document_type == preferred)
+    by_document = F.when(any_document, F.array_contains(document_types, document_type)).otherwise(F.array_contains(F.array(preferred), document_type))
     return by_document & (~any_source | F.array_contains(source_types, source_type))
 
 
@@ -242,23 +243,28 @@ def cover_density(hits: Column, term_count: Column) -> Column:
     return raw / (raw + 1.0)
 
 
-def match_candidates(planned: DataFrame, terms: DataFrame, chunks: DataFrame, occurrence_rows: DataFrame | None = None) -> DataFrame:
+def match_candidates(
+    planned: DataFrame, terms: DataFrame, chunks: DataFrame, posted: DataFrame | None = None, on: Sequence[str] = ("project_id", "term")
+) -> DataFrame:
     """Eligible (query, chunk) pairs that match the query's leading terms or carry a hinted note.
 
     One term must match, of two both, of more any two of the first six. Matching
     occurrences and hint markers meet in a single aggregation by (query, chunk); what a query
-    may not see or does not ask for is dropped before it.
+    may not see or does not ask for is dropped before it. Stored postings come as ``posted``,
+    with the columns they are joined ``on``, which ``terms`` must have too; a query with a
+    ``run_id`` finds chunks of that run only.
     """
+    run = [c for c in ("run_id",) if c in planned.columns]
     asked = planned.select(*QUERY_COLUMNS)
     eligible = may_see(F.col("access_scope"), F.col("project_open"), F.col("visibility")) & type_allowed(
         F.col("document_type"), F.col("source_type"), F.col("preferred_type"), F.col("document_types"), F.col("source_types"))
-    leading = terms.where(F.col("term_rank") <= C.MATCH_TERMS).select("query_id", "project_id", "term", "term_rank").join(asked, "query_id")
-    posted = occurrence_rows if occurrence_rows is not None else occurrences(chunks)
-    hits = posted.join(leading, ["project_id", "term"]).where(eligible).select("query_id", "chunk_key", F.struct("position", "term_rank").alias("hit"), F.lit(False).alias("hinted"))
+    leading = terms.where(F.col("term_rank") <= C.MATCH_TERMS).select("query_id", *on, "term_rank").join(asked, "query_id")
+    posted = occurrences(chunks) if posted is None else posted
+    hits = posted.join(leading, list(on)).where(eligible).select("query_id", "chunk_key", F.struct("position", "term_rank").alias("hit"), F.lit(False).alias("hinted"))
     wanted = planned.select(
-        *QUERY_COLUMNS, "project_id", "preferred_position", F.explode("hinted_note_ids").alias("note_id")
+        *QUERY_COLUMNS, *run, "project_id", "preferred_position", F.explode("hinted_note_ids").alias("note_id")
     )
-    pointed = chunks.where("note_id IS NOT NULL").join(wanted, ["project_id", "note_id"]).where(
+    pointed = chunks.where("note_id IS NOT NULL").join(wanted, [*run, "project_id", "note_id"]).where(
         eligible & (F.col("document_type") == F.col("preferred_type"))
         & (F.col("preferred_position").isNull() | (F.col("media_position") == F.col("preferred_position")))
     ).select("query_id", "chunk_key", F.lit(None).cast("struct<position:int,term_rank:int>").alias("hit"), F.lit(True).alias("hinted"))
@@ -279,9 +285,16 @@ CHUNK_COLUMNS = [
 QUERY_COLUMNS = ["query_id", "access_scope", "preferred_type", "document_types", "source_types"]
 
 
-def rank_candidates(candidates: DataFrame, planned: DataFrame, chunks: DataFrame, limit: int = C.CANDIDATE_LIMIT) -> DataFrame:
-    """Of the eligible candidates the best ``2 * limit`` by frequency, then the best ``limit`` by cover density."""
+def rank_candidates(
+    candidates: DataFrame, planned: DataFrame, chunks: DataFrame, limit: int = C.CANDIDATE_LIMIT, hidden: DataFrame | None = None
+) -> DataFrame:
+    """Of the eligible candidates the best ``2 * limit`` by frequency, then the best ``limit`` by cover density.
+
+    Documents in ``hidden`` (document_key) are left out.
+    """
     eligible = candidates.join(chunks.select(*CHUNK_COLUMNS), "chunk_key").join(planned.select(*QUERY_COLUMNS), "query_id")
+    if hidden is not None:  # not an anti-join, which would be pushed down to all chunks
+        eligible = eligible.join(hidden.distinct().withColumn("_hidden", F.lit(True)), "document_key", "left").where("_hidden IS NULL").drop("_hidden")
     preferred = (F.col("document_type") == F.col("preferred_type")).cast("int")
     quick = eligible.withColumn("quick_rank", frequency_rank(F.col("hits"), F.col("term_count")))
     first = top_per_group(quick, ["query_id"], [preferred.desc(), F.desc("quick_rank"), "chunk_key"], 2 * limit)

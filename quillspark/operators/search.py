@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quillspark.functions import contract as C
 from quillspark.functions.text import byte_slice, clamp, hash_parts
-from quillspark.operators import lexical
+from quillspark.operators import index, lexical
 from quillspark.operators.ordering import top_per_group
 
 
@@ -43,19 +43,45 @@ def resolve_access(queries: DataFrame, projects: DataFrame, members: DataFrame)
     )
 
 
-def lexical_candidates(planned: DataFrame, chunks: DataFrame, stats: DataFrame, hybrid: bool = False) -> DataFrame:
-    """Scored lexical candidates of every authorized query.
+def in_runs(queries: DataFrame, runs: DataFrame) -> DataFrame:
+    """Queries with the run they are scoped to; those that no completed run answers have none and find nothing."""
+    return queries.join(resolve_scope(queries, runs).select("query_id", "run_id"), "query_id", "left")
 
-    On its own a lexical search needs at least one indexed term; as one half of a hybrid
-    search it may also run on hinted notes alone.
+
+class IndexedSearch:
+    """Planned queries with a ``run_id`` against a stored index.
+
+    ``hidden`` holds the documents no search may return now (document_key): dead sources, or a
+    lifecycle other than ready and superseded. Chunk keys are qualified by their run until
+    ``index.plain_key`` is applied to a result.
     """
-    term_stats = lexical.query_term_stats(planned, stats)
-    terms = lexical.candidate_terms(term_stats)
-    matched = lexical.match_candidates(planned, terms, chunks)
-    if not hybrid:
-        matched = matched.where("term_count > 0")
-    ranked = lexical.rank_candidates(matched, planned, chunks)
-    return lexical.lexical_scores(ranked, lexical.query_profile(planned, term_stats), chunks)
+
+    def __init__(self, planned: DataFrame, stored: index.LexicalIndex, hidden: DataFrame):
+        self.planned = planned.where("access_scope <> 'none' AND valid AND run_id IS NOT NULL")
+        self.stored, self.hidden = stored, hidden
+        self.run_ids = stored.scoped_to(self.planned)
+        #: A public query's project is open, or its scope would be none.
+        self.everything = stored.chunks(self.run_ids).withColumn("project_open", F.lit(True))
+
+    def visible(self) -> DataFrame:
+        return self.everything.join(self.hidden, "document_key", "left_anti")
+
+    def chunks_of(self, found: DataFrame) -> DataFrame:
+        return self.everything.join(found.select("chunk_key").distinct(), "chunk_key", "left_semi")
+
+    def term_statistics(self) -> DataFrame:
+        return index.term_statistics(self.planned, self.stored, self.run_ids)
+
+    def lexical_candidates(self, term_stats: DataFrame, hybrid: bool = False) -> DataFrame:
+        """Scored candidates; on its own a lexical search needs an indexed term, as half of a hybrid one hints suffice."""
+        ranked = self.ranked(lexical.candidate_terms(term_stats), hybrid)
+        return lexical.lexical_scores(ranked, lexical.query_profile(self.planned, term_stats), self.everything)
+
+    def ranked(self, terms: DataFrame, hybrid: bool = False) -> DataFrame:
+        keyed = terms.withColumn("run_term", index.run_term("run_id", "project_id", "term"))
+        matched = lexical.match_candidates(
+            self.planned, keyed, self.everything, self.stored.postings(self.run_ids).withColumn("project_open", F.lit(True)), ["run_term"])
+        return lexical.rank_candidates(matched if hybrid else matched.where("term_count > 0"), self.planned, self.everything, hidden=self.hidden)
 
 
 def fuse(lexical_rows: DataFrame, vector_rows: DataFrame) -> DataFrame:
@@ -136,14 +162,14 @@ def vector_results(hits: DataFrame, chunks: DataFrame, planned: DataFrame) -> Da
         "confidence", clamp(F.col("vector_score"))).withColumn("tiebreak", F.lit(0.0))
 
 
-def hybrid_results(lexical_rows: DataFrame, vector_rows: DataFrame, planned: DataFrame, chunks: DataFrame, stats: DataFrame) -> DataFrame:
+def hybrid_results(lexical_rows: DataFrame, vector_rows: DataFrame, planned: DataFrame, chunks: DataFrame, term_stats: DataFrame) -> DataFrame:
     """Fused list, lexically rescored as a whole, with hybrid confidence."""
     fused = (
         fuse(lexical_rows, vector_rows)
         .join(chunks.select(*lexical.CHUNK_COLUMNS), "chunk_key")
         .join(planned.select(*lexical.QUERY_COLUMNS), "query_id")
     )
-    profile = lexical.query_profile(planned, lexical.query_term_stats(planned, stats))
+    profile = lexical.query_profile(planned, term_stats)
     scored = lexical.lexical_scores(fused, profile, chunks, trigram=False)
     confidence = hybrid_confidence(F.col("rrf"), F.col("vector_score"), F.col("lexical_confidence"))
     return scored.withColumn("score", confidence).withColumn("confidence", clamp(F.col("score"))).withColumn("tiebreak", F.lit(0.0))

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from quillspark.functions import contract as C
 from quillspark.functions.embedding import DIMENSION, hashed_words
-from quillspark.functions.text import round4
-from quillspark.operators import evidence, lexical, search, vector
+from quillspark.functions.text import hash_parts
+from quillspark.operators import evidence, index, lexical, search, vector, versions
 from quillspark.operators.containment import containment
 from quillspark.operators.versions import close_older_versions
 from quillspark.plans import evidence as ev
 from quillspark.plans.registry import REGISTRY
-from quillspark.session import materialize
+from quillspark.session import fingerprint, materialize, scratch_dir
 from quillspark.sources import model
 
 query, define = REGISTRY.query, REGISTRY.define
@@ -20,8 +22,35 @@ query, define = REGISTRY.query, REGISTRY.define
 # Spark side --------------------------------------------------------------------------
 
 
+#: The ingestion run of the corpus, and the tables it is built from.
+RUN = f"run-{ev.DATASET_VERSION_ID}"
+CORPUS_TABLES = ["documents", "pages", "conversations", "region", "nation"]
+
+
+def ingestion_runs(spark, sf):
+    """One completed run per project."""
+    return model.projects(spark, sf).select(
+        F.col("id").alias("project_id"), F.lit(RUN).alias("run_id"), F.lit(ev.DATASET_VERSION_ID).alias("dataset_version_id"),
+        F.to_timestamp(F.lit("2024-03-01")).alias("completed_at"), F.lit("completed").alias("status"))
+
+
+def empty_index(spark, sf, name="lexical"):
+    """The index that belongs to this state of the tables; a later search of the same state finds what an earlier one stored."""
+    state = fingerprint(spark, [f"{sf}/{t}.parquet" for t in CORPUS_TABLES])
+    versions = f"{C.PARSER_VERSION}-{C.CHUNKER_VERSION}-{C.LEXICAL_INDEX_VERSION}"
+    return index.LexicalIndex(spark, f"{scratch_dir(spark)}/quillspark/{name}-{versions}-{state}", int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def stored_index(spark, sf):
+    stored = empty_index(spark, sf)
+    if not stored.has(RUN):
+        stored.add_run(RUN, ev.DATASET_VERSION_ID, F.to_timestamp(F.lit("2024-03-01")), ev.all_chunks(spark, sf), model.projects(spark, sf))
+    return stored
+
+
 def chunk_table(spark, sf):
-    return ev.all_chunks(spark, sf).withColumn("lifecycle_status", F.lit("ready"))
+    """The run's chunks as they are stored, with the keys they have outside the index."""
+    return stored_index(spark, sf).chunks([RUN]).withColumn("chunk_key", index.plain_key("chunk_key"))
 
 
 def dead_documents(spark, sf):
@@ -31,14 +60,6 @@ def dead_documents(spark, sf):
     return lexical.dead_documents(cites, close_older_versions(ev.versioned(spark, sf)))
 
 
-def corpus(spark, sf):
-    """(all chunks, searchable chunks); the chunks are written once because several branches read them."""
-    columns = [c for c in lexical.CHUNK_COLUMNS if c != "project_open"]
-    rows = materialize(chunk_table(spark, sf).select(
-        *columns, "project_id", "lifecycle_status", "content", "lexemes", "content_hash", "segments", "start_byte", "end_byte"))
-    return rows, lexical.searchable(rows, model.projects(spark, sf), dead_documents(spark, sf))
-
-
 def gold_pairs(spark, sf):
     """Published notes that contain a benchmark passage word for word."""
     texts = model.spread(model.documents(spark, sf).where("status = 'published'").select(F.col("id").alias("text_id"), F.col("body").alias("text")))
@@ -79,27 +100,27 @@ def planned_cases(spark, sf, anonymous=False):
             "query_id", F.col("query_id") + ANONYMOUS).withColumn("user_id", F.lit(0).cast("bigint"))
         asked = asked.unionByName(again)
     scoped = search.resolve_access(asked, model.projects(spark, sf), model.members(spark, sf))
-    return materialize(lexical.plan_queries(scoped))
+    latest = scoped.withColumn("wanted_version", F.lit(None).cast("int")).withColumn("wanted_run", F.lit(None).cast("string"))
+    return materialize(lexical.plan_queries(search.in_runs(latest, ingestion_runs(spark, sf)).drop("wanted_version", "wanted_run")))
 
 
-def statistics(spark, sf, chunks, planned=None):
-    """Statistics cover all chunks of a project; the searchable ones only decide what is found.
+def searched(spark, sf, planned):
+    """The planned cases against the stored index; chunks carry their lifecycle in ``hidden`` only."""
+    return search.IndexedSearch(planned, stored_index(spark, sf), dead_documents(spark, sf))
 
-    With planned queries only their terms are counted, once for all branches.
-    """
-    wanted = None if planned is None else planned.select("project_id", F.explode("terms").alias("term"))
-    stats = lexical.scoped_statistics(chunks.select("project_id", "visibility", "lexemes"), model.projects(spark, sf), wanted)
-    return stats if planned is None else materialize(stats)
 
+def plain(rows):
+    """Rows with the chunk keys of the run's output instead of the index's."""
+    return rows.withColumn("chunk_key", index.plain_key("chunk_key"))
 
-def lexical_rows(spark, sf, planned, everything, chunks, stats=None):
-    """Scored candidates; ``stats`` makes them one half of a hybrid search."""
-    usable = planned.where("access_scope <> 'none' AND valid")
-    return search.lexical_candidates(usable, chunks, statistics(spark, sf, everything, planned) if stats is None else stats, stats is not None)
+
+def lexical_rows(spark, sf, planned):
+    session = searched(spark, sf, planned)
+    return session.lexical_candidates(session.term_statistics())
 
 
 def vector_queries(planned, embedded):
-    return planned.where("access_scope <> 'none' AND valid").join(embedded, "query_id").select(
+    return planned.join(embedded, "query_id").select(
         "query_id", "embedding", "project_id", "access_scope",
         F.coalesce("document_types", F.array("preferred_type")).alias("document_types"),
         F.col("hinted_note_ids").alias("hints"), "preferred_position")
@@ -280,13 +301,15 @@ def term_statistics(spark, sf):
 @query("scoped_statistics", "A12 R2", """
     SELECT project_id, access_scope, term, chunk_frequency, occurrence_count, round(idf, 6) AS idf FROM scope_stats""")
 def scoped_statistics(spark, sf):
-    return statistics(spark, sf, chunk_table(spark, sf)).withColumn("idf", F.round("idf", 6))
+    rows = chunk_table(spark, sf).select("project_id", "visibility", "lexemes")
+    return lexical.scoped_statistics(rows, model.projects(spark, sf)).withColumn("idf", F.round("idf", 6))
 
 
 @query("candidate_terms", "R6 K6", "SELECT query_id, term, CAST(term_rank AS BIGINT) AS term_rank FROM cand_terms")
 def candidate_terms(spark, sf):
     planned = planned_cases(spark, sf)
-    terms = lexical.candidate_terms(lexical.query_term_stats(planned, statistics(spark, sf, chunk_table(spark, sf), planned)))
+    stored = stored_index(spark, sf)
+    terms = lexical.candidate_terms(index.term_statistics(planned, stored, stored.scoped_to(planned.where("run_id IS NOT NULL"))))
     return terms.select("query_id", "term", F.col("term_rank").cast("bigint").alias("term_rank"))
 
 
@@ -297,27 +320,25 @@ def dead_document_keys(spark, sf):
 
 @query("lexical_candidates", "R7 R8 R9 F13 F17 K5 U2", "SELECT query_id, chunk_key, round(fts_score, 6) AS fts_score FROM pre_ranked")
 def lexical_candidates(spark, sf):
-    planned = planned_cases(spark, sf)
-    everything, chunks = corpus(spark, sf)
-    terms = lexical.candidate_terms(lexical.query_term_stats(planned, statistics(spark, sf, everything, planned)))
-    ranked = lexical.rank_candidates(lexical.match_candidates(planned, terms, chunks), planned, chunks)
-    return ranked.select("query_id", "chunk_key", F.round("fts_score", 6).alias("fts_score"))
+    session = searched(spark, sf, planned_cases(spark, sf))
+    ranked = session.ranked(lexical.candidate_terms(session.term_statistics()), True)
+    return ranked.select("query_id", index.plain_key("chunk_key").alias("chunk_key"), F.round("fts_score", 6).alias("fts_score"))
 
 
 @query("lexical_rerank", "R10 F16 F22", """
     SELECT query_id, chunk_key, round(coverage, 6) AS coverage, round(trigram_score, 6) AS trigram_score, round(score, 6) AS lexical_score
     FROM lexical_scored""")
 def lexical_rerank(spark, sf):
-    rows = lexical_rows(spark, sf, planned_cases(spark, sf), *corpus(spark, sf))
-    return rows.select("query_id", "chunk_key", *[F.round(c, 6).alias(c) for c in ("coverage", "trigram_score", "lexical_score")])
+    rows = lexical_rows(spark, sf, planned_cases(spark, sf))
+    return rows.select("query_id", index.plain_key("chunk_key").alias("chunk_key"), *[F.round(c, 6).alias(c) for c in ("coverage", "trigram_score", "lexical_score")])
 
 
 @query("lexical_search", "R1 R10 R16 R17 W9", """
     SELECT query_id, chunk_key, note_id, rank, round(confidence, 6) AS confidence FROM lexical_found""")
 def lexical_search(spark, sf):
-    rows = lexical_rows(spark, sf, planned_cases(spark, sf), *corpus(spark, sf))
+    rows = lexical_rows(spark, sf, planned_cases(spark, sf))
     found = search.select_diverse(search.lexical_results(rows), C.THRESHOLDS["lexical"])
-    return found.select("query_id", "chunk_key", "note_id", F.col("rank").cast("bigint").alias("rank"), F.round("confidence", 6).alias("confidence"))
+    return found.select("query_id", index.plain_key("chunk_key").alias("chunk_key"), "note_id", F.col("rank").cast("bigint").alias("rank"), F.round("confidence", 6).alias("confidence"))
 
 
 @query("lexical_decisions", "R16", """
@@ -327,7 +348,7 @@ def lexical_search(spark, sf):
     FROM access a LEFT JOIN lexical_scored s USING (query_id) GROUP BY 1, 2""")
 def lexical_decisions(spark, sf):
     planned = planned_cases(spark, sf)
-    rows = search.lexical_results(lexical_rows(spark, sf, planned, *corpus(spark, sf)))
+    rows = search.lexical_results(lexical_rows(spark, sf, planned))
     return search.decide(planned, rows, C.THRESHOLDS["lexical"]).withColumn("top_confidence", F.round("top_confidence", 6))
 
 
@@ -336,14 +357,122 @@ def lexical_decisions(spark, sf):
            CAST(c.document_end_byte AS INTEGER) AS document_end_byte, c.quote
     FROM lexical_found f JOIN citation_rows c USING (chunk_key)""")
 def result_citations(spark, sf):
-    everything, chunks = corpus(spark, sf)
-    rows = lexical_rows(spark, sf, planned_cases(spark, sf), everything, chunks)
-    found = search.select_diverse(search.lexical_results(rows), C.THRESHOLDS["lexical"])
-    cited = search.attach_citations(found.select("query_id", "rank", "chunk_key"), evidence.citations(chunks))
+    session = searched(spark, sf, planned_cases(spark, sf))
+    rows = session.lexical_candidates(session.term_statistics())
+    found = materialize(search.select_diverse(search.lexical_results(rows), C.THRESHOLDS["lexical"]).select("query_id", "rank", "chunk_key"))
+    cited = search.attach_citations(plain(found), evidence.citations(plain(session.chunks_of(found))))
     return cited.select("query_id", F.col("rank").cast("bigint").alias("rank"), F.inline("citations")).select(
         "query_id", "rank", "source_type", "source_id", "document_start_byte", "document_end_byte", "quote")
 
 
+# Two runs in one index -----------------------------------------------------------------
+
+SECOND_VERSION = 12
+SECOND_RUN = f"run-{SECOND_VERSION}"
+
+
+def second_sources(spark, sf):
+    """The live sources a second ingestion reads: labelled notes were edited, those labelled toxic are gone."""
+    labels = model.table(spark, sf, "labels").select(F.lit("note").alias("source_type"), (F.col("doc_id") + 1).alias("source_id"), "toxic")
+    rows = versions.live_sources(ev.registry(spark, sf)).join(labels, ["source_type", "source_id"], "left").where("toxic IS NULL OR toxic = 0")
+    edited = F.col("toxic").isNotNull()
+    return rows.withColumn("canonical_text", F.when(edited, F.concat(F.lit("revised "), "canonical_text")).otherwise(F.col("canonical_text"))).withColumn(
+        "source_version", F.when(edited, 2).otherwise(F.col("source_version")).cast("bigint")
+    ).withColumn("content_hash", F.when(edited, hash_parts("content_hash", F.lit("edited"))).otherwise(F.col("content_hash"))).drop("toxic")
+
+
+def second_documents(spark, sf):
+    clusters = evidence.comment_clusters(ev.live_comment_sources(spark, sf), ev.DATASET_VERSION, SECOND_VERSION)
+    return evidence.direct_documents(second_sources(spark, sf), SECOND_VERSION).unionByName(clusters)
+
+
+def both_runs(spark, sf):
+    first = ingestion_runs(spark, sf)
+    return first.unionByName(first.withColumn("run_id", F.lit(SECOND_RUN)).withColumn("dataset_version_id", F.lit(SECOND_VERSION)).withColumn(
+        "completed_at", F.to_timestamp(F.lit("2024-04-01"))))
+
+
+def hidden_documents(spark, sf):
+    """Documents of both runs that no search may return: cited sources are gone, or their own state is not searchable.
+
+    The second run's documents superseded the first's of the same key, which stay searchable in
+    their run; some of the second failed.
+    """
+    first, second = ev.direct_docs(spark, sf), evidence.direct_documents(second_sources(spark, sf), SECOND_VERSION)
+    columns = ["document_key", "document_type", "project_id", "source_type", "source_id", "source_key", "source_version"]
+    docs = first.select(*columns, F.lit(1).alias("ingest_order")).unionByName(second.select(*columns, F.lit(2).alias("ingest_order")))
+    failed = (F.col("ingest_order") == 2) & (F.col("source_id") % 31 == 5)
+    states = evidence.supersede(docs.withColumn("lifecycle_status", F.when(failed, "failed").otherwise("ready")))
+    dead = lexical.dead_documents(docs.where("document_type = 'note'"), close_older_versions(ev.versioned(spark, sf)))
+    return dead.unionByName(states.where(~F.col("lifecycle_status").isin(*C.SEARCHABLE_STATES)).select("document_key")).distinct()
+
+
+def scoped_cases(spark, sf):
+    """Requests that name a run, a dataset version, nothing, or a run that does not exist."""
+    q = F.col("query_id")
+    asked = cases(spark, sf).withColumn("query", F.concat(F.lit("revised "), "query")).withColumn(
+        "wanted_run", F.when(q % 10 == 9, "run-99").when(q % 3 == 0, RUN)
+    ).withColumn("wanted_version", F.when((q % 10 != 9) & (q % 3 == 1), SECOND_VERSION))
+    scoped = search.resolve_access(asked, model.projects(spark, sf), model.members(spark, sf))
+    return materialize(lexical.plan_queries(search.in_runs(scoped, both_runs(spark, sf))))
+
+
+def two_run_index(spark, sf):
+    stored = empty_index(spark, sf, "two-runs")
+    if not stored.has(SECOND_RUN):
+        first = chunk_table(spark, sf)
+        stored.add_run(RUN, ev.DATASET_VERSION_ID, F.to_timestamp(F.lit("2024-03-01")), first, model.projects(spark, sf))
+        second = evidence.chunks(second_documents(spark, sf))
+        stored.add_run(SECOND_RUN, SECOND_VERSION, F.to_timestamp(F.lit("2024-04-01")), second, model.projects(spark, sf))
+    return stored
+
+
+define("plain_docs_r", """
+    SELECT 11 AS run_no, * FROM plain_docs
+    UNION ALL
+    SELECT 12, project_id, document_type, source_type, source_id, source_key, CASE WHEN l.toxic IS NULL THEN source_version ELSE 2 END,
+           CASE WHEN l.toxic IS NULL THEN source_content_hash ELSE sha256(source_content_hash || chr(31) || 'edited') END, visibility,
+           CASE WHEN l.toxic IS NULL THEN canonical_text ELSE 'revised ' || canonical_text END, note_id, media_position
+    FROM plain_docs p LEFT JOIN labels l ON p.document_type = 'note' AND l.doc_id + 1 = p.source_id WHERE l.toxic IS NULL OR l.toxic = 0""")
+define("built_docs_r", """
+    SELECT * REPLACE (project_id + 1000 * run_no AS project_id),
+           sha256(concat_ws(chr(31), run_no, document_type, source_key, source_version, source_content_hash, 'evidence_parser_v1', content_hash)) AS document_key
+    FROM (SELECT *, sha256('evidence_parser_v1' || chr(31) || canonical_text) AS content_hash FROM plain_docs_r)""")
+define("projects_r", "SELECT p.* REPLACE (p.id + 1000 * v.r AS id) FROM projects p, (VALUES (11), (12)) v(r)")
+define("access_r", """
+    SELECT * REPLACE ('revised ' || query AS query, project_id + 1000 * (CASE WHEN query_id % 3 = 0 THEN 11 ELSE 12 END) AS project_id)
+    FROM access WHERE query_id % 10 <> 9""")
+define("dead_docs_r", """
+    SELECT b.document_key FROM built_docs_r b JOIN labels l ON l.doc_id + 1 = b.source_id AND l.toxic = 1 WHERE b.document_type = 'note'
+    UNION SELECT document_key FROM built_docs_r WHERE project_id > 12000 AND document_type <> 'note_comment_cluster' AND source_id % 31 = 5""")
+#: The single run's relations over both runs: a project of a run is a project of its own.
+RUN_RELATIONS = [
+    "built_docs", "cut", "chunk_rows", "projects", "access", "toks", "scope_sizes", "scope_stats", "q_terms", "q_stats", "cand_terms", "dead_docs", "hit_rows",
+    "matched", "freq", "pre_ranked", "weights", "grams", "lexical_scored",
+]
+for relation in RUN_RELATIONS:
+    if f"{relation}_r" not in REGISTRY.shared_sql:
+        define(f"{relation}_r", re.sub(rf"\b({'|'.join(RUN_RELATIONS)})\b", r"\1_r", REGISTRY.shared_sql[relation]))
+
+
+@query("run_scoped_search", "R1 R3 R7", f"""
+    SELECT f.query_id, 'run-' || c.project_id // 1000 AS run_id, f.chunk_key, f.rank, round(f.confidence, 6) AS confidence
+    FROM ({DIVERSE_SQL.format(rows="(SELECT *, fts_score AS tie FROM lexical_scored_r)", t="0.30::DOUBLE")}) f JOIN chunk_rows_r c USING (chunk_key) WHERE f.rank <= 10""")
+def run_scoped_search(spark, sf):
+    session = search.IndexedSearch(scoped_cases(spark, sf), two_run_index(spark, sf), hidden_documents(spark, sf))
+    rows = session.lexical_candidates(session.term_statistics())
+    found = search.select_diverse(search.lexical_results(rows), C.THRESHOLDS["lexical"]).join(session.planned.select("query_id", "run_id"), "query_id")
+    return found.select("query_id", "run_id", index.plain_key("chunk_key").alias("chunk_key"), F.col("rank").cast("bigint").alias("rank"), F.round("confidence", 6).alias("confidence"))
+
+
+@query("index_runs", "R1", """
+    SELECT 'run-' || c.run_no AS run_id, c.run_no AS dataset_version_id, c.n AS chunk_count, t.terms AS term_count, t.postings AS posting_count
+    FROM (SELECT project_id // 1000 AS run_no, count(*) AS n FROM chunk_rows_r GROUP BY 1) c
+    JOIN (SELECT project_id // 1000 AS run_no, count(DISTINCT (project_id, term)) AS terms, count(*) AS postings FROM toks_r GROUP BY 1) t USING (run_no)""")
+def index_runs(spark, sf):
+    return two_run_index(spark, sf).runs().select("run_id", "dataset_version_id", "chunk_count", "term_count", "posting_count")
+
+
 # Vectors -----------------------------------------------------------------------------
 
 define("centroids", """
@@ -411,10 +540,10 @@ define("vector_scored", """
     QUALIFY row_number() OVER (PARTITION BY a.query_id ORDER BY round(score, 12) DESC, c.chunk_key) <= 240""")
 
 
-def vector_hits(spark, sf, planned, chunks):
-    asked, stored = text_vectors(planned, chunks)
-    points = chunks.join(stored, "chunk_key")
-    hits = vector.vector_candidates(vector_queries(planned, asked), points)
+def vector_hits(session):
+    chunks = session.visible()
+    asked, stored = text_vectors(session.planned, chunks)
+    hits = vector.vector_candidates(vector_queries(session.planned, asked), chunks.join(stored, "chunk_key"))
     return hits.withColumn("vector_score", F.round("vector_score", 12))
 
 
@@ -431,10 +560,10 @@ def embedding_norms(spark, sf):
     SELECT query_id, chunk_key, rank, round(confidence, 6) AS confidence FROM (
       {DIVERSE_SQL.format(rows="(SELECT *, 0 AS tie FROM (SELECT query_id, chunk_key, document_key, note_id, round(score, 12) AS score FROM vector_scored))", t="0.45::DOUBLE")}) WHERE rank <= 10""")
 def vector_search(spark, sf):
-    planned, (_, chunks) = planned_cases(spark, sf), corpus(spark, sf)
-    rows = search.vector_results(vector_hits(spark, sf, planned, chunks), chunks, planned)
+    session = searched(spark, sf, planned_cases(spark, sf))
+    rows = search.vector_results(vector_hits(session), session.visible(), session.planned)
     found = search.select_diverse(rows, C.THRESHOLDS["vector"])
-    return found.select("query_id", "chunk_key", F.col("rank").cast("bigint").alias("rank"), F.round("confidence", 6).alias("confidence"))
+    return found.select("query_id", index.plain_key("chunk_key").alias("chunk_key"), F.col("rank").cast("bigint").alias("rank"), F.round("confidence", 6).alias("confidence"))
 
 
 define("fused", """
@@ -460,13 +589,13 @@ define("hybrid_scored", """
     SELECT query_id, chunk_key, rank, round(confidence, 6) AS confidence FROM (
       {DIVERSE_SQL.format(rows="(SELECT *, 0 AS tie FROM hybrid_scored)", t="0.60::DOUBLE")}) WHERE rank <= 10""")
 def hybrid_search(spark, sf):
-    planned, (everything, chunks) = planned_cases(spark, sf), corpus(spark, sf)
-    stats = statistics(spark, sf, everything, planned)
-    lex = materialize(lexical_rows(spark, sf, planned, everything, chunks, stats))
-    vec = search.vector_results(vector_hits(spark, sf, planned, chunks), chunks, planned)
-    rows = search.hybrid_results(lex, vec, planned, chunks, stats)
+    session = searched(spark, sf, planned_cases(spark, sf))
+    stats = materialize(session.term_statistics())
+    lex = materialize(session.lexical_candidates(stats, hybrid=True))
+    vec = search.vector_results(vector_hits(session), session.visible(), session.planned)
+    rows = search.hybrid_results(lex, vec, session.planned, session.visible(), stats)
     found = search.select_diverse(rows, C.THRESHOLDS["hybrid"])
-    return found.select("query_id", "chunk_key", F.col("rank").cast("bigint").alias("rank"), F.round("confidence", 6).alias("confidence"))
+    return found.select("query_id", index.plain_key("chunk_key").alias("chunk_key"), F.col("rank").cast("bigint").alias("rank"), F.round("confidence", 6).alias("confidence"))
 
 
 # Vector index upkeep -------------------------------------------------------------------

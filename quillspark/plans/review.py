@@ -20,12 +20,12 @@ query, define = REGISTRY.query, REGISTRY.define
 def evaluated(spark, sf):
     """Case metrics of the lexical search, with the anonymous pass in the same run."""
     planned = rt.planned_cases(spark, sf, anonymous=True)
-    everything, chunks = rt.corpus(spark, sf)
-    found = search.select_diverse(
-        search.lexical_results(rt.lexical_rows(spark, sf, planned, everything, chunks)), C.THRESHOLDS["lexical"]
-    ).select("query_id", "rank", "chunk_key", "note_id", "media_position")
-    found = materialize(found)
-    cites = evidence.citations(chunks).join(found.select("chunk_key").distinct(), "chunk_key", "left_semi")
+    session = rt.searched(spark, sf, planned)
+    rows = session.lexical_candidates(session.term_statistics())
+    found = materialize(search.select_diverse(search.lexical_results(rows), C.THRESHOLDS["lexical"]).select(
+        "query_id", "rank", "chunk_key", "note_id", "media_position"))
+    cites = evidence.citations(rt.plain(session.chunks_of(found)))
+    found = rt.plain(found)
     valid = search.quote_valid(
         F.col("citation_key"), F.col("quote"), F.col("quote_hash"), F.col("document_start_byte"), F.col("document_end_byte"),
         F.col("source_start_byte"), F.col("source_end_byte"))

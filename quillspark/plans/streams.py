@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from quillspark.operators import rankings
 from quillspark.operators.ordering import nearest_rank
 from quillspark.plans.registry import REGISTRY
-from quillspark.session import scratch_dir
+from quillspark.session import materialize, scratch_dir
 from quillspark.sources import model
-from quillspark.streaming import envelopes, pipeline, windows
+from quillspark.streaming import daily, envelopes, limits, pipeline, windows
 
 query, define = REGISTRY.query, REGISTRY.define
 
@@ -27,19 +27,24 @@ def workspace(spark) -> str:
     return f"{scratch_dir(spark)}/quillspark/stream-{uuid.uuid4().hex}"
 
 
+#: Events that stand in for some of the given ones: likes and their ends, comments' likes and ends, notes that come, change and go.
+PLANTED_SQL = """CASE event_id % 9 WHEN 4 THEN 'note_liked' WHEN 5 THEN 'note_unliked' WHEN 6 THEN 'note_uncollected' ELSE
+    CASE event_id % 27 WHEN 7 THEN 'comment_liked' WHEN 16 THEN 'comment_unliked' WHEN 25 THEN 'comment_deleted' ELSE
+    CASE event_id % 81 WHEN 8 THEN 'note_deleted' WHEN 35 THEN 'note_updated' WHEN 62 THEN 'note_created' ELSE event_type END END END"""
+COMMENT_SQL = "CASE WHEN kind LIKE 'comment_%' AND NOT (kind = 'comment_created' AND event_id % 5 = 0) THEN note_id * 100 + user_id % 10 END"
+PARENT_SQL = "CASE WHEN kind IN ('comment_created', 'comment_deleted') AND user_id % 2 = 0 THEN note_id * 100 + 99 END"
+
+
 def write_messages(spark, sf, path):
     """Envelopes of all events in four files; some are repeated, some broken on purpose."""
-    events = model.behavior(spark, sf).withColumn("n", F.col("event_id"))
-    payload = F.to_json(F.struct(
-        F.when(F.col("n") % 50 == 1, 0).otherwise(F.col("user_id")).alias("user_id"), "project_id", "note_id"))
-    # likes, repeated likes and unlikes stand in for some of the events
-    planted = F.when(F.col("n") % 9 == 4, "note_liked").when(F.col("n") % 9 == 5, "note_unliked").when(F.col("n") % 9 == 6, "note_uncollected").otherwise(F.col("event_type"))
-    kind = F.replace(planted, F.lit("_"), F.lit("."))
+    n = F.col("event_id")
+    events = model.behavior(spark, sf).withColumn("kind", F.expr(PLANTED_SQL)).withColumn("comment_id", F.expr(COMMENT_SQL)).withColumn("parent_id", F.expr(PARENT_SQL))
+    payload = F.to_json(F.struct(F.when(n % 50 == 1, 0).otherwise(F.col("user_id")).alias("user_id"), "project_id", "note_id", "comment_id", "parent_id"))
     message = F.to_json(F.struct(
-        F.col("source_event_id").alias("event_id"), kind.alias("event_type"), F.when(F.col("n") % 50 == 0, 2).otherwise(1).alias("schema_version"),
+        F.col("source_event_id").alias("event_id"), F.replace("kind", F.lit("_"), F.lit(".")).alias("event_type"), F.when(n % 50 == 0, 2).otherwise(1).alias("schema_version"),
         payload.alias("payload"), F.date_format("occurred_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("occurred_at")))
-    broken = F.when(F.col("n") % 50 == 2, F.concat(F.lit("{"), F.col("source_event_id"))).otherwise(message)
-    copies = F.explode(F.sequence(F.lit(1), F.when(F.col("n") % 20 == 3, 2).otherwise(1)))
+    broken = F.when(n % 50 == 2, F.concat(F.lit("{"), F.col("source_event_id"))).otherwise(message)
+    copies = F.explode(F.sequence(F.lit(1), F.when(n % 20 == 3, 2).otherwise(1)))
     events.select(broken.alias("value"), copies.alias("copy")).select("value").repartition(4).write.text(path)
 
 
@@ -60,24 +65,32 @@ def run_pipeline(spark, sf):
     return job
 
 
-define("accepted", """
-    SELECT * REPLACE (CASE event_id % 9 WHEN 4 THEN 'note_liked' WHEN 5 THEN 'note_unliked' WHEN 6 THEN 'note_uncollected' ELSE event_type END AS event_type)
-    FROM behavior WHERE event_id % 50 > 2 AND user_id > 0""")
+define("accepted", f"""
+    SELECT *, {COMMENT_SQL} AS comment_id, {PARENT_SQL} AS parent_id FROM (
+      SELECT *, {PLANTED_SQL} AS kind FROM behavior WHERE event_id % 50 > 2 AND user_id > 0)""")
+define("stream_states", """
+    SELECT 'note' AS what, note_id AS id, 'like' AS counter, CAST(user_id AS VARCHAR) AS holder, kind = 'note_liked' AS held, occurred_at, source_event_id FROM accepted WHERE kind IN ('note_liked', 'note_unliked')
+    UNION ALL SELECT 'note', note_id, 'collect', CAST(user_id AS VARCHAR), kind = 'note_collected', occurred_at, source_event_id FROM accepted WHERE kind IN ('note_collected', 'note_uncollected')
+    UNION ALL SELECT 'note', note_id, 'comment', coalesce(CAST(comment_id AS VARCHAR), source_event_id), kind = 'comment_created', occurred_at, source_event_id FROM accepted WHERE kind IN ('comment_created', 'comment_deleted')
+    UNION ALL SELECT 'note', note_id, 'live', 'note', kind <> 'note_deleted', occurred_at, source_event_id FROM accepted WHERE kind IN ('note_created', 'note_updated', 'note_deleted')
+    UNION ALL SELECT 'comment', comment_id, 'like', CAST(user_id AS VARCHAR), kind = 'comment_liked', occurred_at, source_event_id FROM accepted WHERE kind IN ('comment_liked', 'comment_unliked')
+    UNION ALL SELECT 'comment', parent_id, 'reply', coalesce(CAST(comment_id AS VARCHAR), source_event_id), kind = 'comment_created', occurred_at, source_event_id FROM accepted WHERE kind IN ('comment_created', 'comment_deleted')""")
 define("stream_holders", """
-    SELECT note_id, user_id, replace(event_type, '_un', '_') AS kind, arg_max(event_type NOT LIKE '%_un%', (occurred_at, source_event_id)) AS held
-    FROM accepted WHERE event_type IN ('note_liked', 'note_unliked', 'note_collected', 'note_uncollected') GROUP BY 1, 2, 3""")
+    SELECT what, id, counter, holder, arg_max(held, (occurred_at, source_event_id)) AS held FROM stream_states WHERE id > 0 GROUP BY 1, 2, 3, 4""")
 define("stream_counts", f"""
-    SELECT note_id, count(*) FILTER (WHERE event_type = 'note_viewed' AND {NOTE_STATUS.format(x="note_id")} = 'published') AS view_count,
-           (SELECT count(*) FROM stream_holders h WHERE h.note_id = a.note_id AND kind = 'note_liked' AND held) AS like_count,
-           (SELECT count(*) FROM stream_holders h WHERE h.note_id = a.note_id AND kind = 'note_collected' AND held) AS collect_count,
-           count(*) FILTER (WHERE event_type = 'comment_created') AS comment_count
-    FROM accepted a WHERE note_id IS NOT NULL GROUP BY 1""")
+    SELECT v.note_id, v.view_count, coalesce(h.likes, 0) AS like_count, coalesce(h.collects, 0) AS collect_count, coalesce(h.comments, 0) AS comment_count, coalesce(h.live, true) AS live
+    FROM (SELECT note_id, count(*) FILTER (WHERE kind = 'note_viewed' AND {NOTE_STATUS.format(x="note_id")} = 'published') AS view_count
+          FROM accepted WHERE note_id > 0 AND kind IN ('note_viewed', 'note_liked', 'note_unliked', 'note_collected', 'note_uncollected', 'comment_created', 'comment_deleted', 'note_created', 'note_updated', 'note_deleted')
+          GROUP BY 1) v
+    LEFT JOIN (SELECT id, count(*) FILTER (WHERE counter = 'like' AND held) AS likes, count(*) FILTER (WHERE counter = 'collect' AND held) AS collects,
+                      count(*) FILTER (WHERE counter = 'comment' AND held) AS comments, bool_and(held) FILTER (WHERE counter = 'live') AS live
+               FROM stream_holders WHERE what = 'note' GROUP BY 1) h ON h.id = v.note_id""")
 
 
 @query("stream_behavior_facts", "T1 T2 T3 S5 S6 S9 P7", """
-    SELECT source_event_id, project_id, user_id, note_id, CASE WHEN event_type = 'media_viewed' THEN 'media.viewed' ELSE event_type END AS event_type, occurred_at FROM accepted""")
+    SELECT source_event_id, project_id, user_id, note_id, CASE WHEN kind = 'media_viewed' THEN 'media.viewed' ELSE kind END AS event_type, occurred_at FROM accepted""")
 def stream_behavior_facts(spark, sf):
-    return run_pipeline(spark, sf).facts.read().select("source_event_id", "project_id", "user_id", "note_id", "event_type", "occurred_at")
+    return run_pipeline(spark, sf).facts().select("source_event_id", "project_id", "user_id", "note_id", "event_type", "occurred_at")
 
 
 @query("stream_dead_letters", "T7 S7", """
@@ -89,18 +102,25 @@ def stream_dead_letters(spark, sf):
 
 
 @query("stream_note_counters", "T4 T5", """
-    SELECT *, CAST(view_count + 3 * like_count + 8 * collect_count + 6 * comment_count AS DOUBLE) AS hot_score FROM stream_counts""")
+    SELECT * EXCLUDE (live), CAST(view_count + 3 * like_count + 8 * collect_count + 6 * comment_count AS DOUBLE) AS hot_score FROM stream_counts""")
 def stream_note_counters(spark, sf):
     return pipeline.current(run_pipeline(spark, sf).counters.read(), "note_id").select("note_id", "view_count", "like_count", "collect_count", "comment_count", "hot_score")
 
 
+@query("stream_comment_counters", "T4", """
+    SELECT id AS comment_id, count(*) FILTER (WHERE counter = 'like' AND held) AS like_count, count(*) FILTER (WHERE counter = 'reply' AND held) AS reply_count
+    FROM stream_holders WHERE what = 'comment' GROUP BY 1""")
+def stream_comment_counters(spark, sf):
+    return pipeline.current(run_pipeline(spark, sf).comment_counters.read(), "comment_id")
+
+
 @query("stream_rankings", "T6", f"""
     SELECT category, list(note_id ORDER BY score DESC, note_id DESC) AS ids FROM (
       SELECT note_id, 'c' || note_id % 4 AS category, view_count + 3 * like_count + 8 * collect_count + 6 * comment_count AS score FROM stream_counts
-      WHERE {NOTE_STATUS.format(x="note_id")} = 'published'
+      WHERE {NOTE_STATUS.format(x="note_id")} = 'published' AND live
       QUALIFY row_number() OVER (PARTITION BY note_id % 4 ORDER BY score DESC, note_id DESC) <= 10) GROUP BY 1""")
 def stream_rankings(spark, sf):
-    return pipeline.current(run_pipeline(spark, sf).rankings.read(), "category")
+    return pipeline.current(run_pipeline(spark, sf).rankings.read(), "category").where("size(ids) > 0")
 
 
 def event_stream(spark, sf):
@@ -133,6 +153,36 @@ def stream_daily_facts(spark, sf):
     return collect_stream(spark, rows, "update", ["project_id", "note_id", "fact_date"])
 
 
+@query("stream_daily_repair", "T8", """
+    SELECT project_id, note_id, CAST(occurred_at AS DATE) AS fact_date, count(*) FILTER (WHERE event_type IN ('note_viewed', 'media_viewed')) AS view_count,
+           count(*) AS event_count FROM behavior WHERE note_id IS NOT NULL GROUP BY 1, 2, 3""")
+def stream_daily_repair(spark, sf):
+    """Events arrive by day in four files; some come with the last file, days behind the watermark, and some twice."""
+    root = workspace(spark)
+    events = model.behavior(spark, sf).select("event_id", "source_event_id", "project_id", "user_id", "note_id", "event_type", F.col("occurred_at").cast("timestamp").alias("occurred_at"))
+    held_back = F.col("event_id") % 40 == 7
+    quarter = F.ntile(4).over(Window.orderBy("day"))
+    days = events.select(F.to_date("occurred_at").alias("day")).distinct().select("day", quarter.alias("quarter"))
+    dealt = events.withColumn("day", F.to_date("occurred_at")).join(days, "day").withColumn("file", F.when(held_back, 4).otherwise(F.col("quarter"))).drop("day", "quarter")
+    copies = F.explode(F.sequence(F.lit(1), F.when(F.col("event_id") % 25 == 3, 2).otherwise(1)))
+    dealt = materialize(dealt.withColumn("copy", copies).drop("copy"))
+    for n in range(1, 5):  # one write after the other, so that files have an order
+        dealt.where(F.col("file") == n).drop("file").coalesce(1).write.mode("append").parquet(f"{root}/source")
+    source = spark.readStream.schema(dealt.drop("file").schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/source")
+    job = daily.DailyFacts(spark, root, "1 day")
+    counted = windows.daily_note_counts(windows.unique_events(source), delay=None)
+    sinks = [(counted, "update", job.counted.write, "counts"), (source, "append", job.observe, "observed")]
+    started = [
+        rows.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", f"{root}/{name}").trigger(availableNow=True).start()
+        for rows, mode, sink, name in sinks
+    ]
+    for stream in started:
+        stream.awaitTermination()
+    job.settle()
+    job.repair(spark.read.schema(dealt.drop("file").schema).parquet(f"{root}/source"), 0)
+    return job.read()
+
+
 @query("stream_view_counts", "T5", "SELECT note_id, count(*) AS view_count FROM behavior WHERE event_type = 'note_viewed' AND note_id IS NOT NULL GROUP BY 1")
 def stream_view_counts(spark, sf):
     rows = windows.view_counts(event_stream(spark, sf).where("note_id IS NOT NULL"))
@@ -166,7 +216,8 @@ def stream_alert_firing(spark, sf):
 
 
 @query("stream_rate_limit", "T10", """
-    WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) // 1000 AS t, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS rn FROM events),
+    WITH RECURSIVE h AS (SELECT * REPLACE (CASE WHEN event_id % 3 = 0 THEN 1 ELSE user_id END AS user_id) FROM events),
+    e AS (SELECT user_id, event_id, epoch_us(ts) // 1000 AS t, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS rn FROM h),
     walk AS (SELECT user_id, event_id, rn, t AS start_ms, CAST(1 AS BIGINT) AS hits FROM e WHERE rn = 1
              UNION ALL
              SELECT e.user_id, e.event_id, e.rn, CASE WHEN e.t >= w.start_ms + 43200000 THEN e.t ELSE w.start_ms END,
@@ -174,20 +225,13 @@ def stream_alert_firing(spark, sf):
              FROM walk w JOIN e ON e.user_id = w.user_id AND e.rn = w.rn + 1)
     SELECT user_id AS key, event_id, hits, greatest(2 - hits, 0) AS remaining, start_ms + 43200000 AS reset_ms, hits <= 2 AS allowed FROM walk""")
 def stream_rate_limit(spark, sf):
-    """Two events per user and half day, counted from the first one."""
-    events = event_stream(spark, sf).select("user_id", "event_id", F.unix_millis("occurred_at").alias("occurred_ms"))
+    """Two events per user and half day, counted from the first one; every third event is of user 1."""
+    user = F.when(F.col("event_id") % 3 == 0, F.lit(1)).otherwise(F.col("user_id"))
+    events = event_stream(spark, sf).select(user.cast("bigint").alias("key"), "event_id", F.unix_millis("occurred_at").alias("occurred_ms"))
     root = workspace(spark)
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        rows = windows.over_limit(events, "user_id", 2, 12 * 3600 * 1000)
-        started = rows.writeStream.outputMode("append").format("parquet").option("path", f"{root}/out").option(
-            "checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
-        started.awaitTermination()
-    finally:
-        spark.conf.set(key, before)
-    return spark.read.schema(windows.LIMIT_OUTPUT).parquet(f"{root}/out")
+    job = limits.RateLimit(spark, root, 2, 12 * 3600 * 1000)
+    pipeline.run_available(events, job.apply, f"{root}/checkpoint")
+    return job.decisions.read().drop("batch_id")
 
 
 @query("event_lag", "T11 A14", """

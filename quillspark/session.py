@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def local_session(app: str = "quillspark", cpus: str | int = "*", partitions: int = 8) -> SparkSession:
@@ -43,6 +44,14 @@ def scratch_dir(spark: SparkSession) -> str:
     return configured.rstrip("/")
 
 
+def fingerprint(spark: SparkSession, paths: list[str]) -> str:
+    """Tells one state of the files below ``paths`` from another, by their names, sizes and times."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
+    named = files.select(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)").alias("h"))
+    total = named.agg(F.count("*"), F.sum("h")).first()
+    return hashlib.sha256(f"{total[0]}:{total[1]}".encode()).hexdigest()[:16]
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Remove what this library wrote to the shared folder; call it when no result is needed any more."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{scratch_dir(spark)}/quillspark")

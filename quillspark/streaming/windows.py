@@ -2,20 +2,12 @@
 
 from __future__ import annotations
 
-import sys
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark import cloudpickle
-from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql import Column, DataFrame, functions as F
 
 from quillspark.functions.contract import NOTE_VIEW_EVENTS
 from quillspark.operators.ordering import running, shifted
 from quillspark.operators.versions import SOURCE_KEY
 
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
 
 def unique_events(events: DataFrame, delay: str = "1 day") -> DataFrame:
     """First copy of every event id; state lives for the watermark delay only."""
@@ -23,17 +15,20 @@ def unique_events(events: DataFrame, delay: str = "1 day") -> DataFrame:
 
 
 def daily_note_counts(events: DataFrame, delay: str | None = "1 day") -> DataFrame:
-    """Day-grain note counts on a stream; rows later than the delay are left to the batch repair.
+    """Day-grain note counts on a stream; rows behind the watermark are left to ``daily.DailyFacts.repair``.
 
     Pass ``delay=None`` when the events already carry a watermark.
     """
     marked = events.withWatermark("occurred_at", delay) if delay else events
-    return (
-        marked.where("note_id IS NOT NULL")
-        .groupBy("project_id", "note_id", F.window("occurred_at", "1 day").alias("w"))
-        .agg(F.count_if(F.col("event_type").isin(NOTE_VIEW_EVENTS)).alias("view_count"), F.count("*").alias("event_count"))
-        .select("project_id", "note_id", F.to_date("w.start").alias("fact_date"), "view_count", "event_count")
-    )
+    return day_counts(marked, F.window("occurred_at", "1 day").alias("w"), F.to_date("w.start"))
+
+
+def day_counts(events: DataFrame, day: Column | None = None, date: Column | None = None) -> DataFrame:
+    """Day-grain note counts, of a batch or (by a window column and its date) of a stream."""
+    day = F.to_date("occurred_at").alias("w") if day is None else day
+    counts = events.where("note_id IS NOT NULL").groupBy("project_id", "note_id", day).agg(
+        F.count_if(F.col("event_type").isin(NOTE_VIEW_EVENTS)).alias("view_count"), F.count("*").alias("event_count"))
+    return counts.select("project_id", "note_id", (F.col("w") if date is None else date).alias("fact_date"), "view_count", "event_count")
 
 
 def view_counts(events: DataFrame) -> DataFrame:
@@ -66,49 +61,6 @@ def sustained(rates: DataFrame, threshold: float, windows: int, slide_seconds: i
     return high.groupBy("at").agg(F.count("*").alias("n")).where(F.col("n") == windows).select(F.timestamp_seconds("at").alias("firing_at"))
 
 
-class FixedWindowLimit(StatefulProcessor):
-    """Counts hits per key in a fixed window that starts at the first hit.
-
-    A window depends on the hits before it, so a key's rows of one micro-batch are taken in
-    time order together. Their number is bounded by the source's trigger limit
-    (``maxFilesPerTrigger`` or ``maxBytesPerTrigger``), which jobs with hot keys must set.
-    """
-
-    def __init__(self, limit: int, window_ms: int):
-        self.limit, self.window_ms = limit, window_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("window", "start_ms bigint, hits bigint")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows)).sort_values(["occurred_ms", "event_id"])
-        start, hits = self.state.get() if self.state.exists() else (None, 0)
-        out = []
-        for event_id, at in zip(frame["event_id"], frame["occurred_ms"]):
-            if start is None or at >= start + self.window_ms:
-                start, hits = int(at), 0
-            hits += 1
-            out.append((key[0], event_id, hits, max(self.limit - hits, 0), start + self.window_ms, hits <= self.limit))
-        self.state.update((start, hits))
-        yield pd.DataFrame(out, columns=["key", "event_id", "hits", "remaining", "reset_ms", "allowed"])
-
-    def close(self) -> None:
-        pass
-
-
-LIMIT_OUTPUT = "key bigint, event_id bigint, hits bigint, remaining bigint, reset_ms bigint, allowed boolean"
-
-
-def over_limit(events: DataFrame, key: str, limit: int, window_ms: int) -> DataFrame:
-    """Decision per event: hit number in its window, hits left, reset time.
-
-    ``events``: the key column, event_id and occurred_ms. State per key is two numbers.
-    """
-    return events.groupBy(key).transformWithStateInPandas(
-        statefulProcessor=FixedWindowLimit(limit, window_ms), outputStructType=LIMIT_OUTPUT, outputMode="Append", timeMode="None"
-    )
-
-
 def apply_changes(stored: DataFrame, changes: DataFrame) -> DataFrame:
     """New registry rows of one batch of inserts, updates and deletes (SCD-2).
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.operators.merge import snapshot_diff
-from quillspark.streaming import envelopes, pipeline, windows
+from quillspark.streaming import daily, envelopes, limits, pipeline, windows
 
 NOTES = [(1, "c1", "published"), (2, "c1", "published"), (3, "c2", "deleted")]
 KINDS = ["note.viewed", "note.liked", "note.collected", "comment.created", "note.shared", "note.unliked"]
@@ -40,8 +40,8 @@ def run(spark, root, files):
 
 
 def state(job):
-    counters = {r["note_id"]: tuple(r)[1:] for r in pipeline.current(job.counters.read(), "note_id").collect()}
-    facts = sorted(tuple(r)[:8] for r in job.facts.read().collect())
+    counters = {r["note_id"]: tuple(r)[1:] for r in pipeline.current(job.counters.read(), "note_id").drop("live").collect()}
+    facts = sorted(tuple(r)[:8] for r in job.facts().collect())
     return facts, counters, {r["category"]: r["ids"] for r in pipeline.current(job.rankings.read(), "category").collect()}
 
 
@@ -81,6 +81,81 @@ def test_stream_counts_match_the_events(single):
     assert sorted(ranks) == ["c1"] and sorted(ranks["c1"]) == [1, 2]
 
 
+def event(i, kind, day, **payload):
+    return json.dumps({"event_id": f"x{i}", "event_type": kind, "schema_version": 1, "payload": json.dumps({"user_id": 1, "project_id": 1} | payload), "occurred_at": f"2024-02-{day:02d}T00:00:00Z"})
+
+
+def test_comment_counters_follow_likes_and_replies(spark, tmp_path):
+    made = [event(0, "comment.created", 1, note_id=1, comment_id=10), event(1, "comment.created", 2, note_id=1, comment_id=11, parent_id=10),
+            event(2, "comment.created", 3, note_id=1, comment_id=12, parent_id=10), event(3, "comment.liked", 3, note_id=1, comment_id=10, user_id=5)]
+    later = [event(4, "comment.deleted", 4, note_id=1, comment_id=11, parent_id=10), event(5, "comment.liked", 5, note_id=1, comment_id=10, user_id=6),
+             event(6, "comment.unliked", 4, note_id=1, comment_id=10, user_id=5), event(3, "comment.liked", 3, note_id=1, comment_id=10, user_id=5)]
+    job = run(spark, tmp_path, [made, later])
+    counts = {r["comment_id"]: (r["like_count"], r["reply_count"]) for r in pipeline.current(job.comment_counters.read(), "comment_id").collect()}
+    assert counts == {10: (1, 1)}
+    assert state(job)[1][1][3] == 2  # comments of the note that stand
+
+
+def test_rankings_lose_deleted_notes_and_fill_up_again(spark, tmp_path):
+    notes = spark.createDataFrame([(i, "c", "published") for i in range(1, 13)], "id bigint, category string, status string")
+    job = pipeline.EventPipeline(spark, str(tmp_path), notes, F.to_timestamp(F.lit("2024-03-01")), 2)
+    likes = [event(100 * n + u, "note.liked", 1, note_id=n, user_id=u) for n in range(1, 13) for u in range(1, n + 1)]
+    batches = [likes, [event(5000 + n, "note.deleted", 2, note_id=n) for n in (12, 11, 10)], [event(6000, "note.updated", 3, note_id=11)],
+               [event(7000 + u, "note.unliked", 4, note_id=11, user_id=u) for u in range(1, 6)], [event(8000 + n, "note.deleted", 5, note_id=n) for n in (9, 8, 7, 6)]]
+    shown = []
+    for batch_id, lines in enumerate(batches):
+        job.apply(spark.createDataFrame([(m,) for m in lines], "value string"), batch_id)
+        job.advance()
+        shown.append(pipeline.current(job.rankings.read(), "category").first()["ids"])
+    assert shown == [[12, 11], [9, 8], [11, 9], [9, 8], [11, 5]]
+
+
+def test_late_days_are_repaired(spark, tmp_path):
+    rows = [(f"e{d}-{k}", 1, 1 + k % 2, "note_viewed", d) for d in range(1, 9) for k in range(4)]
+    late = [("late1", 1, 1, "note_viewed", 2), ("late2", 1, 2, "note_liked", 3), ("late1", 1, 1, "note_viewed", 2)]
+    schema = "source_event_id string, project_id bigint, note_id bigint, event_type string, day int"
+    timed = lambda part: spark.createDataFrame(part, schema).withColumn("occurred_at", F.to_timestamp(F.concat(F.lit("2024-01-0"), F.col("day").cast("string")))).drop("day")
+    for part in (rows[:16], rows[16:], late):
+        timed(part).coalesce(1).write.mode("append").parquet(f"{tmp_path}/source")
+    source = spark.readStream.schema(timed(rows).schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/source")
+    job = daily.DailyFacts(spark, str(tmp_path), "1 day")
+    counted = windows.daily_note_counts(windows.unique_events(source), delay=None)
+    pipeline.run_available(counted, job.counted.write, f"{tmp_path}/c1", "update")
+    pipeline.run_available(source, job.observe, f"{tmp_path}/c2")
+    job.settle()
+    before = {tuple(r) for r in job.read().select("note_id", F.dayofmonth("fact_date"), "event_count").collect()}
+    assert (1, 2, 2) in before and (2, 3, 2) in before  # what the stream could not count
+    assert sorted(r[0] for r in job.dirty_days().select(F.dayofmonth("fact_date")).collect()) == [2, 3]
+    log = spark.read.schema(timed(rows).schema).parquet(f"{tmp_path}/source")
+    job.repair(log, 0)
+    after = {tuple(r) for r in job.read().select("note_id", F.dayofmonth("fact_date"), "event_count").collect()}
+    assert after == (before - {(1, 2, 2), (2, 3, 2)}) | {(1, 2, 3), (2, 3, 3)}
+    assert job.dirty_days().count() == 0
+
+
+def walked(hits, limit, window):
+    """Fixed windows by walking each key's hits in order."""
+    out, open_ = {}, {}
+    for key, event_id, at in sorted(hits, key=lambda h: (h[0], h[2], h[1])):
+        start, n = open_.get(key, (None, 0))
+        if start is None or at >= start + window:
+            start, n = at, 0
+        open_[key] = start, n + 1
+        out[event_id] = (n + 1, max(limit - n - 1, 0), start + window, n + 1 <= limit)
+    return out
+
+
+def test_rate_limits_equal_a_walk_over_batches_and_hot_keys(spark, tmp_path):
+    rng = random.Random(6)
+    hits = [(1 if rng.random() < .5 else rng.randrange(2, 9), n, n * 10 + rng.randrange(60)) for n in range(400)]
+    job = limits.RateLimit(spark, str(tmp_path), 3, 500)
+    order = sorted(hits, key=lambda h: (h[2], h[1]))
+    for batch_id, (a, b) in enumerate([(0, 150), (150, 151), (151, 400)]):
+        job.apply(spark.createDataFrame(order[a:b], "key bigint, event_id bigint, occurred_ms bigint"), batch_id)
+    got = {r["event_id"]: (r["hits"], r["remaining"], r["reset_ms"], r["allowed"]) for r in job.decisions.read().collect()}
+    assert got == walked(hits, 3, 500)
+
+
 def test_poison_messages_end_as_dead_letters(single):
     letters = {r["original_message"]: (r["deliveries"], r["failure"]) for r in single.letters.read().collect()}
     assert set(letters) == set(POISON)
@@ -103,6 +178,7 @@ def test_a_batch_that_runs_twice_changes_nothing(spark, single, tmp_path):
     messages = spark.createDataFrame([(m,) for m in GOOD], "value string")
     for batch_id in (0, 0, 1, 1):
         job.apply(messages.limit(60), batch_id)
+        job.advance()
     assert state(job) == state(single)
 
 

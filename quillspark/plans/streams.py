@@ -215,6 +215,49 @@ def stream_alert_firing(spark, sf):
     return windows.sustained(alert_stream(spark, sf), 0.2, 3, 7200)
 
 
+define("group_windows", """
+    SELECT event_type, w AS window_start, count(*) AS requests, count(*) FILTER (WHERE value > 50) AS failures, quantile_disc(value, 0.95) AS p95
+    FROM (SELECT event_type, value, ts, time_bucket(INTERVAL 2 HOUR, ts) - to_hours(CAST(i * 2 AS INTEGER)) AS w FROM (SELECT *, unnest(range(0, 3)) AS i FROM events))
+    WHERE ts >= w AND ts < w + INTERVAL 6 HOUR GROUP BY 1, 2""")
+HELD_SQL = """
+    SELECT event_type, window_start AS firing_at FROM (
+      SELECT a.event_type, a.window_start, (SELECT count(*) FROM group_windows x WHERE x.event_type = a.event_type AND {high}
+             AND x.window_start IN (a.window_start, a.window_start - INTERVAL 2 HOUR)) AS n
+      FROM (SELECT event_type, window_start FROM group_windows UNION SELECT event_type, window_start + INTERVAL 2 HOUR FROM group_windows) a) WHERE n = 2"""
+
+
+def group_stream(spark, sf):
+    """Requests per dependency (the event type): slow ones count as failed."""
+    raw = model.stream_table(spark, sf, "events")
+    return raw.select("event_type", F.col("ts").cast("timestamp").alias("occurred_at"), F.col("value").cast("double").alias("latency"), (F.col("value") > 50).alias("failed"))
+
+
+@query("stream_latency_quantiles", "T9 A14", "SELECT event_type, window_start, requests, p95 AS latency FROM group_windows")
+def stream_latency_quantiles(spark, sf):
+    rows = windows.latency_quantiles(group_stream(spark, sf), "6 hours", "2 hours", by=["event_type"])
+    return collect_stream(spark, rows, "update", ["event_type", "window_start"])
+
+
+@query("stream_latency_firing", "T9", HELD_SQL.format(high="x.p95 > 100"))
+def stream_latency_firing(spark, sf):
+    return windows.sustained(stream_latency_quantiles(spark, sf), 100.0, 2, 7200, "latency", ["event_type"])
+
+
+@query("stream_group_firing", "T9", HELD_SQL.format(high="x.failures::DOUBLE / x.requests > 0.4"))
+def stream_group_firing(spark, sf):
+    rates = windows.alert_rates(group_stream(spark, sf), "6 hours", "2 hours", by=["event_type"])
+    return windows.sustained(collect_stream(spark, rates, "update", ["event_type", "window_start"]), 0.4, 2, 7200, by=["event_type"])
+
+
+@query("stream_failure_growth", "T9", """
+    SELECT a.event_type, a.window_start AS firing_at, a.failures - coalesce(b.failures, 0) AS increase
+    FROM group_windows a LEFT JOIN group_windows b ON b.event_type = a.event_type AND b.window_start = a.window_start - INTERVAL 2 HOUR
+    WHERE a.failures > coalesce(b.failures, 0)""")
+def stream_failure_growth(spark, sf):
+    rates = windows.alert_rates(group_stream(spark, sf), "6 hours", "2 hours", by=["event_type"])
+    return windows.increases(collect_stream(spark, rates, "update", ["event_type", "window_start"]), "failures", 7200, by=["event_type"])
+
+
 @query("stream_rate_limit", "T10", """
     WITH RECURSIVE h AS (SELECT * REPLACE (CASE WHEN event_id % 3 = 0 THEN 1 ELSE user_id END AS user_id) FROM events),
     e AS (SELECT user_id, event_id, epoch_us(ts) // 1000 AS t, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS rn FROM h),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quillspark.functions.contract import NOTE_VIEW_EVENTS
@@ -36,29 +38,52 @@ def view_counts(events: DataFrame) -> DataFrame:
     return events.where("event_type = 'note_viewed'").groupBy("note_id").agg(F.count("*").alias("view_count"))
 
 
-def alert_rates(requests: DataFrame, width: str, slide: str, delay: str = "10 minutes") -> DataFrame:
-    """Error share and request count in sliding windows.
+def alert_rates(requests: DataFrame, width: str, slide: str, delay: str = "10 minutes", by: Sequence[str] = ()) -> DataFrame:
+    """Error share and request count in sliding windows, for all requests or per group.
 
-    ``requests``: occurred_at, failed (boolean).
+    ``requests``: occurred_at, failed (boolean) and the columns of ``by``.
     """
     return (
-        requests.withWatermark("occurred_at", delay).groupBy(F.window("occurred_at", width, slide).alias("w"))
+        requests.withWatermark("occurred_at", delay).groupBy(*by, F.window("occurred_at", width, slide).alias("w"))
         .agg(F.count("*").alias("requests"), F.count_if("failed").alias("failures"))
-        .select(F.col("w.start").alias("window_start"), "requests", "failures", (F.col("failures") / F.greatest(F.col("requests"), F.lit(1))).alias("error_rate"))
+        .select(*by, F.col("w.start").alias("window_start"), "requests", "failures", (F.col("failures") / F.greatest(F.col("requests"), F.lit(1))).alias("error_rate"))
     )
 
 
-def sustained(rates: DataFrame, threshold: float, windows: int, slide_seconds: int) -> DataFrame:
-    """Windows at which the rate has been above the threshold for ``windows`` windows in a row.
+def latency_quantiles(
+    requests: DataFrame, width: str, slide: str, share: float = 0.95, delay: str = "10 minutes", by: Sequence[str] = (), size: int = 4096
+) -> DataFrame:
+    """A latency quantile in sliding windows, from a mergeable quantile sketch per group and window in the state.
+
+    ``requests``: occurred_at, latency (double) and the columns of ``by``. A sketch keeps about
+    ``size`` values however many it has seen; up to that number the quantile is exact (the value
+    at position ``ceil(share * n)``), beyond it its rank is off by under 0.1 percent.
+    """
+    sketched = requests.where("latency IS NOT NULL").withWatermark("occurred_at", delay).groupBy(*by, F.window("occurred_at", width, slide).alias("w")).agg(
+        F.count("*").alias("requests"), F.kll_sketch_agg_double("latency", F.lit(size)).alias("sketch"))
+    return sketched.select(*by, F.col("w.start").alias("window_start"), "requests", F.kll_sketch_get_quantile_double("sketch", F.lit(share)).alias("latency"))
+
+
+def sustained(
+    rates: DataFrame, threshold: float, windows: int, slide_seconds: int, value: str = "error_rate", by: Sequence[str] = ()
+) -> DataFrame:
+    """Windows at which a value has been above the threshold for ``windows`` windows in a row, for all or per group.
 
     A window counts for itself and the next ``windows - 1`` window starts; an alert needs all
     of them, so every firing point is the sum of shifted ones. Windows without requests break
     a run.
     """
-    high = rates.where(F.col("error_rate") > threshold).select(
-        F.explode(F.sequence(F.lit(0), F.lit(windows - 1))).alias("k"), "window_start"
-    ).select((F.unix_timestamp("window_start") + F.col("k") * slide_seconds).alias("at"))
-    return high.groupBy("at").agg(F.count("*").alias("n")).where(F.col("n") == windows).select(F.timestamp_seconds("at").alias("firing_at"))
+    high = rates.where(F.col(value) > threshold).select(
+        *by, F.explode(F.sequence(F.lit(0), F.lit(windows - 1))).alias("k"), "window_start"
+    ).select(*by, (F.unix_timestamp("window_start") + F.col("k") * slide_seconds).alias("at"))
+    return high.groupBy(*by, "at").agg(F.count("*").alias("n")).where(F.col("n") == windows).select(*by, F.timestamp_seconds("at").alias("firing_at"))
+
+
+def increases(counts: DataFrame, value: str, slide_seconds: int, least: float = 0, by: Sequence[str] = ()) -> DataFrame:
+    """Windows whose count grew by more than ``least`` over the window one slide before (none counts 0)."""
+    earlier = counts.select(*by, F.timestamp_seconds(F.unix_timestamp("window_start") + slide_seconds).alias("window_start"), F.col(value).alias("_before"))
+    grown = counts.join(earlier, [*by, "window_start"], "left").withColumn("increase", F.col(value) - F.coalesce("_before", F.lit(0)))
+    return grown.where(F.col("increase") > least).select(*by, F.col("window_start").alias("firing_at"), "increase")
 
 
 def apply_changes(stored: DataFrame, changes: DataFrame) -> DataFrame:

@@ -12,8 +12,6 @@ from quillspark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-#: Whole jobs beside the queries whose SQL holds a shorter one; they have no SQL.
-WHOLE: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
 def query(name: str, oracle: str | None = None):
@@ -78,7 +76,7 @@ def op8_personal_data(spark, sf):
     return pii.digest(table(spark, sf, "documents"))
 
 
-@query("op9_license_sentences", licenses.oracle())
+@query("op9_license_sentences")
 def op9_license_sentences(spark, sf):
     return licenses.scan(table(spark, sf, "documents"))
 
@@ -104,14 +102,3 @@ def op13_hard_negatives(spark, sf):
     changed = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
     return hardneg.mine(changed, F.col("vec_id") % 100 == 0)
 
-
-def op5_whole_text_linking(spark, sf):
-    return toolcalls.link_whole_texts(table(spark, sf, "conversations"))
-
-
-def op9_standard_notices(spark, sf):
-    return licenses.scan_notices(table(spark, sf, "documents"))
-
-
-WHOLE["op5_whole_text_linking"] = op5_whole_text_linking
-WHOLE["op9_standard_notices"] = op9_standard_notices

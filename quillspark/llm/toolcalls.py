@@ -9,35 +9,74 @@ as variants, whose JSON form has sorted keys and no spaces.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quillspark.operators.ordering import running
 from quillspark.session import materialize
 
-#: Per tool its fields: type and whether the field is required.
-Schemas = Mapping[str, Mapping[str, tuple[str, bool]]]
-#: Variant types that satisfy a schema type.
+
+
+@dataclass(frozen=True)
+class Field:
+    """What a schema says about one field: its type, and further bounds where they are given."""
+
+    kind: str
+    required: bool = False
+    #: Allowed values, as they are written in JSON without quotes.
+    values: Sequence[str] = ()
+    least: float | None = None
+    most: float | None = None
+    #: Type of the items of an array.
+    items: str | None = None
+    #: Fields of an object; others in it are errors.
+    fields: Mapping[str, "Field"] = field(default_factory=dict)
+
+
+#: Per tool its fields.
+Schemas = Mapping[str, Mapping[str, Field]]
+#: Variant types that satisfy a schema type. Numbers without a fraction are integers, however they are written.
 TYPES = {
-    "integer": "^BIGINT$", "number": r"^(BIGINT|DOUBLE|DECIMAL.*)$", "string": "^STRING$", "boolean": "^BOOLEAN$", "array": "^ARRAY<.*", "object": "^OBJECT<.*",
+    "integer": r"^(BIGINT|DECIMAL\([0-9]+,0\))$", "number": r"^(BIGINT|DOUBLE|DECIMAL.*)$", "string": "^STRING$", "boolean": "^BOOLEAN$", "array": "^ARRAY<.*", "object": "^OBJECT<.*",
 }
 #: The field of the arguments that lists the calls a call needs.
 NEEDS = "after"
 KEY = ["conv_id", "call_id"]
 
 
-def field_errors(name: str, kind: str, required: bool) -> Column:
-    found = F.schema_of_variant(F.try_variant_get("parsed", f"$.{name}", "variant"))
-    missing = F.when(F.lit(required) & found.isNull(), F.lit(f"missing:{name}"))
-    return F.coalesce(missing, F.when(~found.rlike(TYPES[kind]), F.lit(f"type:{name}")))
+def field_errors(path: str, rule: Field) -> list[Column]:
+    """The errors of one field (null where it has none), then those of the fields in it."""
+    value = F.try_variant_get("parsed", f"$.{path}", "variant")
+    found = F.schema_of_variant(value)
+    typed = found.isNotNull() & found.rlike(TYPES[rule.kind])
+    missing = F.when(F.lit(rule.required) & found.isNull(), F.lit(f"missing:{path}"))
+    errors = [F.coalesce(missing, F.when(~found.rlike(TYPES[rule.kind]), F.lit(f"type:{path}")))]
+    if rule.values:
+        errors.append(F.when(typed & ~F.try_variant_get("parsed", f"$.{path}", "string").isin(*rule.values), F.lit(f"value:{path}")))
+    if rule.least is not None or rule.most is not None:
+        number = F.try_variant_get("parsed", f"$.{path}", "double")
+        outside = F.lit(False) if rule.least is None else number < rule.least
+        outside = outside if rule.most is None else outside | (number > rule.most)
+        errors.append(F.when(typed & outside, F.lit(f"range:{path}")))
+    if rule.items:
+        each = F.try_variant_get("parsed", f"$.{path}", "array<variant>")
+        errors.append(F.when(typed & F.exists(each, lambda x: ~F.coalesce(F.schema_of_variant(x).rlike(TYPES[rule.items]), F.lit(False))), F.lit(f"items:{path}")))
+    if rule.fields:
+        keys = F.map_keys(F.try_variant_get("parsed", f"$.{path}", "map<string,variant>"))
+        extra = F.array_sort(F.array_except(keys, F.array(*map(F.lit, rule.fields))))
+        inner = F.array_compact(F.array(*[e for name, r in sorted(rule.fields.items()) for e in field_errors(f"{path}.{name}", r)]))
+        unknown = F.transform(F.coalesce(extra, F.array().cast("array<string>")), lambda k: F.concat(F.lit(f"unknown:{path}."), k))
+        errors.append(F.when(typed & (F.size(F.concat(inner, unknown)) > 0), F.array_join(F.concat(inner, unknown), ",")))
+    return errors
 
 
 def argument_errors(schemas: Schemas) -> Column:
     """The errors of one call's arguments, in a fixed order."""
     checks = F.lit(None).cast("array<string>")
     for tool, fields in schemas.items():
-        own = F.array_compact(F.array(*[field_errors(f, *rule) for f, rule in sorted(fields.items())]))
+        own = F.array_compact(F.array(*[e for name, rule in sorted(fields.items()) for e in field_errors(name, rule)]))
         extra = F.transform(F.array_sort(F.array_except(F.json_object_keys("arguments"), F.array(*map(F.lit, fields)))), lambda k: F.concat(F.lit("unknown:"), k))
         checks = F.when(F.col("tool") == tool, F.concat(own, extra)).otherwise(checks)
     shape = F.schema_of_variant("parsed")
@@ -111,10 +150,13 @@ def link(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFrame:
         F.when(F.col("level").isNull(), F.array(F.lit("cycle"))).otherwise(F.array()),
         F.when(F.col("n").isNull(), F.array(F.lit("no_result"))).otherwise(F.array()),
     )
-    linked = joined.select(
-        *KEY, "turn", "tool", "level", "arguments", F.coalesce("n", F.lit(0)).alias("n_results"), F.array_join(errors, ",").alias("errors"), F.col("answer.content").alias("content")
-    )
-    placed = running(linked, ["conv_id"], [F.col("level").isNull(), F.col("level"), F.col("turn"), F.col("call_id"), F.xxhash64("tool", "arguments")], rank="place")
+    # Places are found on narrow rows; arguments and results join once, by the row's number.
+    linked = materialize(joined.select(
+        F.monotonically_increasing_id().alias("row"), *KEY, "turn", "tool", "level", "arguments", F.coalesce("n", F.lit(0)).alias("n_results"), F.array_join(errors, ",").alias("errors"), F.col("answer.content").alias("content")
+    ))
+    narrow = linked.select("row", "conv_id", "level", "turn", "call_id", F.xxhash64("tool", "arguments").alias("tie"))
+    order = running(narrow, ["conv_id"], [F.col("level").isNull(), F.col("level"), F.col("turn"), F.col("call_id"), "tie", "row"], rank="place")
+    placed = linked.join(order.select("row", "place"), "row")
     message = F.to_json(F.struct(
         F.try_parse_json("arguments").alias("arguments"), F.col("call_id").alias("id"), F.col("level"), F.col("tool").alias("name"), F.col("place"), F.col("content").alias("result"),
     ))
@@ -130,13 +172,14 @@ def link(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFrame:
 
 # The given conversations as tool traffic -------------------------------------------------
 
+NEEDED = {NEEDS: Field("array")}
 SCHEMAS: Schemas = {
-    "search": {"query": ("string", True), "limit": ("integer", True), NEEDS: ("array", False)},
-    "lookup": {"query": ("string", True), "limit": ("integer", False), NEEDS: ("array", False)},
-    "score": {"query": ("string", False), "limit": ("number", True), NEEDS: ("array", False)},
+    "search": {"query": Field("string", True), "limit": Field("integer", True), **NEEDED},
+    "lookup": {"query": Field("string", True), "limit": Field("integer"), **NEEDED},
+    "score": {"query": Field("string"), "limit": Field("number", True), **NEEDED},
 }
 #: Expressions both engines read alike: assistant turns are calls, user turns answer the turn before.
-#: Lengths plant wrong types, missing and unknown fields, cut JSON, unknown tools, cycles and lost ids.
+#: Whole texts are the queries and the results. Lengths plant wrong types, missing and unknown fields, cut JSON, unknown tools, cycles and lost ids.
 CALL_ID = "concat('call_', CAST(turn AS VARCHAR(20)))"
 TOOL = "CASE WHEN length(text) % 29 = 0 THEN 'paint' WHEN turn % 3 = 0 THEN 'search' WHEN turn % 3 = 1 THEN 'lookup' ELSE 'score' END"
 LIMIT = "CASE WHEN length(text) % 11 = 0 THEN '\"many\"' ELSE CAST(length(text) % 20 + 1 AS VARCHAR(20)) END"
@@ -144,46 +187,41 @@ AFTER = (
     "concat('\"call_', CAST((turn - turn % 2) / 2 AS {int}), '\"', "
     "CASE WHEN turn < 6 AND length(text) % 5 = 0 THEN concat(', \"call_', CAST(turn + 2 AS VARCHAR(20)), '\"') ELSE '' END)"
 )
-QUERY = "regexp_replace(substr(text, 1, 60), '[^A-Za-z ]', ''{all})"
-#: The whole text, escaped as the inside of a JSON string (Spark only).
-WHOLE_QUERY = "substr(to_json(array(text)), 3, length(to_json(array(text))) - 4)"
+#: The whole text, escaped as the inside of a JSON string, in either engine.
+QUERY = "substr(to_json(array(text)), 3, length(to_json(array(text))) - 4)"
+QUERY_ORACLE = "substr(CAST(to_json(text) AS VARCHAR), 2, length(CAST(to_json(text) AS VARCHAR)) - 2)"
 
 
-def arguments_sql(int_: str, all_: str, query: str = QUERY) -> str:
+def arguments_sql(int_: str, query: str) -> str:
     return (
-        f"concat('{{ ', CASE WHEN length(text) % 13 = 0 THEN '' ELSE concat('\"query\": \"', {query.format(all=all_)}, '\", ') END, "
+        f"concat('{{ ', CASE WHEN length(text) % 13 = 0 THEN '' ELSE concat('\"query\": \"', {query}, '\", ') END, "
         f"'\"limit\": ', {LIMIT}, CASE WHEN length(text) % 23 = 0 THEN ', \"extra\": null' ELSE '' END, "
         f"', \"{NEEDS}\": [', {AFTER.format(int=int_)}, ']', CASE WHEN length(text) % 17 = 0 THEN '' ELSE ' }}' END)"
     )
 
 
-def calls_of(conversations: DataFrame, query: str = QUERY) -> DataFrame:
+def calls_of(conversations: DataFrame) -> DataFrame:
     return conversations.where("role = 'assistant'").selectExpr(
-        "CAST(conv_id AS BIGINT) AS conv_id", f"{CALL_ID} AS call_id", "CAST(turn AS BIGINT) AS turn", f"{TOOL} AS tool", f"{arguments_sql('INT', '', query)} AS arguments"
+        "CAST(conv_id AS BIGINT) AS conv_id", f"{CALL_ID} AS call_id", "CAST(turn AS BIGINT) AS turn", f"{TOOL} AS tool", f"{arguments_sql('INT', QUERY)} AS arguments"
     )
 
 
-def results_of(conversations: DataFrame, content: str = "md5(text)") -> DataFrame:
+def results_of(conversations: DataFrame) -> DataFrame:
     answers = conversations.where("role = 'user' AND turn > 0").selectExpr(
-        "CAST(conv_id AS BIGINT) AS conv_id", "CAST(turn AS BIGINT) AS turn", f"{content} AS content",
+        "CAST(conv_id AS BIGINT) AS conv_id", "CAST(turn AS BIGINT) AS turn", "text AS content",
         "concat(concat('call_', CAST(turn - 1 AS VARCHAR(20))), CASE WHEN length(text) % 7 = 0 THEN 'x' ELSE '' END) AS call_id",
         "CASE WHEN length(text) % 19 = 0 THEN 2 ELSE 1 END AS times",
     )
     return answers.select("conv_id", "call_id", "turn", "content", F.explode(F.sequence(F.lit(1), F.col("times")))).drop("col")
 
 
-def link_whole_texts(conversations: DataFrame) -> DataFrame:
-    """``link`` over the whole texts of ``conversations`` as query arguments and result contents."""
-    return link(calls_of(conversations, WHOLE_QUERY), results_of(conversations, "text"), SCHEMAS)
-
-
 ORACLE = f"""
     WITH RECURSIVE calls AS (
         SELECT CAST(conv_id AS BIGINT) AS conv_id, {CALL_ID} AS call_id, CAST(turn AS BIGINT) AS turn, {TOOL} AS tool,
-               {arguments_sql('INTEGER', ", 'g'")} AS arguments
+               {arguments_sql('INTEGER', QUERY_ORACLE)} AS arguments
         FROM conversations WHERE role = 'assistant'
     ), results AS (
-        SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, md5(text) AS content,
+        SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, text AS content,
                concat('call_', CAST(turn - 1 AS VARCHAR), CASE WHEN length(text) % 7 = 0 THEN 'x' ELSE '' END) AS call_id
         FROM conversations, range(2) AS again(k) WHERE role = 'user' AND turn > 0 AND (k = 0 OR length(text) % 19 = 0)
     ), parsed AS (
@@ -225,9 +263,9 @@ ORACLE = f"""
                    CASE WHEN len(extra) > 0 THEN '"extra":null' END, concat('"limit":', json_extract(j, '$.limit')),
                    CASE WHEN tq IS NOT NULL THEN concat('"query":', json_extract(j, '$.query')) END), '}}') END,
                concat('"id":"', call_id, '"'), CASE WHEN level IS NOT NULL THEN concat('"level":', level) END, concat('"name":"', tool, '"'),
-               concat('"place":', place), CASE WHEN content IS NOT NULL THEN concat('"result":"', content, '"') END), '}}') AS message
+               concat('"place":', place), CASE WHEN content IS NOT NULL THEN concat('"result":', CAST(to_json(content) AS VARCHAR)) END), '}}') AS message
     FROM placed
     UNION ALL
-    SELECT conv_id, call_id, turn, NULL, NULL, NULL, 0, 'orphan_result', concat('{{"id":"', call_id, '","result":"', content, '"}}')
+    SELECT conv_id, call_id, turn, NULL, NULL, NULL, 0, 'orphan_result', concat('{{"id":"', call_id, '","result":', CAST(to_json(content) AS VARCHAR), '}}')
     FROM results r WHERE NOT EXISTS (SELECT 1 FROM calls c WHERE c.conv_id = r.conv_id AND c.call_id = r.call_id)
 """

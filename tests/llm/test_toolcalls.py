@@ -3,10 +3,18 @@ from __future__ import annotations
 import json
 
 from llm.helpers import collected
+from pyspark.sql import functions as F
 
 from quillspark.llm import toolcalls
 
-SCHEMAS = {"add": {"x": ("integer", True), "y": ("number", False), "after": ("array", False)}}
+Field = toolcalls.Field
+SCHEMAS = {
+    "add": {"x": Field("integer", True), "y": Field("number"), "after": Field("array")},
+    "book": {
+        "kind": Field("string", True, values=["in", "out"]), "count": Field("integer", least=1, most=9), "tags": Field("array", items="string"),
+        "at": Field("object", fields={"day": Field("integer", True, least=1, most=31), "place": Field("object", fields={"name": Field("string", True)})}), "after": Field("array"),
+    },
+}
 CALLS, RESULTS = "conv_id long, call_id string, turn long, tool string, arguments string", "conv_id long, call_id string, turn long, content string"
 
 
@@ -33,6 +41,25 @@ def test_arguments_are_checked(spark):
     assert {k[1]: r["errors"] for k, r in rows.items()} == {c: e for c, (_, e) in cases.items()}
 
 
+def test_bounds_items_and_nested_fields_are_checked(spark):
+    cases = {
+        "a": ('{"kind": "in", "count": 9, "tags": ["x", ""], "at": {"day": 1, "place": {"name": "n"}}}', ""), "b": ('{"kind": "up", "count": 0}', "range:count,value:kind"),
+        "c": ('{"kind": "in", "tags": ["x", 1]}', "items:tags"), "d": ('{"kind": "in", "tags": [null]}', "items:tags"), "e": ('{"kind": "in", "tags": []}', ""),
+        "f": ('{"kind": "in", "at": {"hour": 3}}', "missing:at.day,unknown:at.hour"), "g": ('{"kind": "in", "at": {"day": 32, "place": {"name": 5}}}', "range:at.day,type:at.place.name"),
+        "h": ('{"kind": 1, "count": "3", "at": []}', "type:at,type:count,type:kind"), "i": ('{"kind": "out", "count": 2.0}', ""), "j": ('{"kind": "out", "count": 2.5}', "type:count"),
+    }
+    rows = link(spark, [(1, c, 1, "book", text) for c, (text, _) in cases.items()], [(1, c, 2, "r") for c in cases])
+    assert {k[1]: r["errors"] for k, r in rows.items()} == {c: e for c, (_, e) in cases.items()}
+    assert json.loads(rows[1, "i", 1]["message"])["arguments"]["count"] == 2
+
+
+def test_long_chains_and_clashing_columns(spark):
+    calls = [(1, f"c{i:03d}", i, "add", json.dumps({"x": i, "after": [f"c{i - 1:03d}"] if i else []})) for i in range(25)]
+    extra = lambda df: df.select("*", *[F.lit("x").alias(c) for c in ("level", "place", "errors", "message", "parsed", "need", "needs", "row", "n", "answer", "first", "unknown")])
+    df = toolcalls.link(extra(spark.createDataFrame(calls, CALLS)), extra(spark.createDataFrame([(1, c[1], 99, "r") for c in calls], RESULTS)), SCHEMAS)
+    assert sorted((r["turn"], r["level"], r["place"]) for r in collected(df)) == [(i, i, i + 1) for i in range(25)]
+
+
 def test_awkward_rows(spark):
     calls = [
         (1, "a", 1, "add", '{"x": 1, "after": ["b"]}'), (1, "b", 2, "add", '{"x": 1, "after": ["a"]}'), (1, "c", 3, "add", '{"x": 1, "after": ["a"]}'),  # a cycle, and behind it
@@ -55,7 +82,8 @@ def test_whole_texts_reach_the_messages(spark):
     awkward = ['say "hi"', "back\\slash \\n \\u0041", "line\nend\r\n\ttab", "Ünï 日本語 😀 é", "{}[],:\x01\x1f\x7f", "</script>\u2028", "'quoted' {0} $1 \\1", "x" * 100_000 + '"end']
     rows = [(c, t, "assistant" if t % 2 == 0 else "user", awkward[(c + t) % len(awkward)] * (1 + c % 3) + "." * (c % 11)) for c in range(60) for t in range(6)]
     text = {(c, t): x for c, t, _, x in rows}
-    found = collected(toolcalls.link_whole_texts(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")))
+    conversations = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    found = collected(toolcalls.link(toolcalls.calls_of(conversations), toolcalls.results_of(conversations), toolcalls.SCHEMAS))
     assert sum(r["tool"] is not None for r in found) == 180
     seen = set()
     for r in found:

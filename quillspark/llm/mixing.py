@@ -18,8 +18,8 @@ from quillspark.llm.common import WORD
 from quillspark.operators.ordering import running
 from quillspark.session import materialize
 
-#: Words per block at most; a small corpus gets smaller blocks, so that there are ``SLOTS`` of them.
-BLOCK, SLOTS = 4096, 20_000
+#: Words per block, whatever the corpus; a source's last block is shorter.
+BLOCK = 4096
 #: No document is taken more often.
 EPOCHS = 3
 #: Weights of the sources in code point order, repeating.
@@ -93,8 +93,6 @@ def mix(sized: DataFrame, block: int = BLOCK, weights: Sequence[int] = WEIGHTS,
     extra = [c for c in ("row",) if c in sized.columns]
     sized = materialize(sized.select("doc_id", "source", F.col("size").cast("long").alias("size"), *extra))
     shares = materialize(targets(sized, weights, epochs))
-    total = shares.agg(F.sum("source_size")).first()[0] or 0
-    block = max(1, min(block, total // SLOTS))
     shares = shares.withColumn("stream", F.floor("target")).withColumn("quota", F.ceil(F.col("stream") / block))
     slots = schedule(shares.select("place", "quota"))
 
@@ -127,6 +125,12 @@ def mix(sized: DataFrame, block: int = BLOCK, weights: Sequence[int] = WEIGHTS,
 
 
 def mix_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source") -> DataFrame:
-    """``mix`` over a table of texts: ``doc_id, size, source_size, target, taken``."""
+    """``mix`` over a table of texts: ``doc_id, size, source_size, target, taken, first_slot, slots``.
+
+    ``slots`` are the places in the mixed order at which the document is read, one per reading;
+    ``first_slot`` is the first of them. Both are null for documents that are not taken. Sorting
+    readings by their slot gives the mix.
+    """
     sized = docs.select(docs[id_column].cast("long").alias("doc_id"), docs[source_column].cast("string").alias("source"), words_in(docs[text_column]).alias("size"))
-    return mix(sized).select("doc_id", "size", "source_size", "target", "taken")
+    slots = F.array_sort(F.transform("parts", lambda p: p["slot"]))
+    return mix(sized).select("doc_id", "size", "source_size", "target", "taken", F.array_min(slots).alias("first_slot"), slots.alias("slots"))

@@ -9,13 +9,13 @@ from llm.helpers import AWKWARD, collected, documents
 from quillspark.llm import minhash
 
 
-def shingles(text: str | None) -> frozenset:
+def shingles(text: str | None, size: int = 4) -> frozenset:
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
-    return frozenset(tuple(words[k:k + 4]) for k in range(max(1, len(words) - 3))) if words else frozenset()
+    return frozenset(tuple(words[k:k + size]) for k in range(max(1, len(words) - size + 1))) if words else frozenset()
 
 
-def brute(texts: list[tuple[int | None, str | None]]) -> list[tuple]:
-    sets = [(i, shingles(t)) for i, t in texts]
+def brute(texts: list[tuple[int | None, str | None]], size: int = 4) -> list[tuple]:
+    sets = [(i, shingles(t, size)) for i, t in texts]
     root = {i: i for i, _ in sets}
 
     def find(x):

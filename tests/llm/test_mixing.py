@@ -27,6 +27,60 @@ def words(text: str | None) -> int:
     return len(re.findall(r"[^\x20\x09-\x0D]+", text or ""))
 
 
+def brute_mix(spark, rows: list[tuple], block: int) -> dict:
+    """Words taken and slots of every document (id, source, size; unique ids), source by source, word by word of the schedule."""
+    hashes = {r["id"]: r["h"] for r in collected(spark.createDataFrame([(i,) for i, _, _ in rows], "id long").selectExpr("id", "xxhash64(id) AS h"))}
+    sizes = defaultdict(int)
+    for _, s, n in rows:
+        sizes[s] += n
+    streams = {s: int(t) for s, t in brute_targets(dict(sizes)).items()}
+    order = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [s for s in sizes if s is None]
+    quotas = {s: -(-streams[s] // block) for s in order}
+    total = sum(quotas.values())
+    bits = max(1, (max(total, 1) - 1).bit_length())
+    slot_of, upto = defaultdict(list), {}
+    for s in order:
+        upto[s] = sum(quotas[o] for o in order[:order.index(s)]), sum(quotas[o] for o in order[:order.index(s) + 1])
+    for slot in range(2**bits):
+        point = int(f"{slot:0{bits}b}"[::-1], 2)
+        for s in order:
+            if upto[s][0] <= point < upto[s][1]:
+                slot_of[s].append(slot)
+    out = {i: [0, []] for i, _, _ in rows}
+    for s in order:
+        own = sorted((hashes[i], i, n) for i, o, n in rows if o == s)
+        at = 0
+        for reading in range(3):
+            for _, i, n in own:
+                begin, end = at, min(at + n, streams[s])
+                at += n
+                if n and begin < end:
+                    out[i][0] += end - begin
+                    out[i][1].append(min(slot_of[s][b] for b in range(begin // block, (end - 1) // block + 1)))
+    return {i: (n, sorted(slots)) for i, (n, slots) in out.items()}
+
+
+def test_every_document_equals_the_plain_version(spark, monkeypatch):
+    rng = random.Random(9)
+    rows = [(i, rng.choice(["a", "b", "b", "b", "c", None]), rng.choice([0, 1, 5, 40, 200])) for i in range(200)]
+    monkeypatch.setattr(mixing, "REACHES", 7)
+    sized = spark.createDataFrame(rows, "doc_id long, source string, size long")
+    got = {r["doc_id"]: (r["taken"], sorted(p["slot"] for p in r["parts"] or [])) for r in collected(mixing.mix(sized, block=37))}
+    assert got == brute_mix(spark, rows, 37)
+
+
+def test_the_schedule_decides_the_slots(spark, monkeypatch):
+    texts, sources = [(i, "w " * (50 + i)) for i in range(300)], ["ab"[i % 3 == 0] for i in range(300)]
+    columns = lambda: {r["doc_id"]: (r["taken"], r["first_slot"], tuple(r["slots"] or ())) for r in collected(mixing.mix_documents(documents(spark, texts, sources)))}
+    before = columns()
+    assert any(r["first_slot"] for r in collected(mixing.mix_documents(documents(spark, texts, sources))))
+    schedule = mixing.schedule
+    monkeypatch.setattr(mixing, "schedule", lambda quotas: schedule(quotas).selectExpr("place", "block", "1000000 - slot AS slot"))
+    after = columns()
+    assert {i: r[0] for i, r in after.items()} == {i: r[0] for i, r in before.items()}
+    assert all(after[i][1] != r[1] for i, r in before.items() if r[0])
+
+
 def check(spark, texts, sources) -> None:
     df = mixing.mix_documents(documents(spark, texts, sources))
     rows = collected(df)

@@ -15,6 +15,8 @@ from quillspark.llm import minhash, mixing, packing, pii, toxicity
 from quillspark.llm.common import WORD, table
 from quillspark.session import materialize
 
+#: Words of a shingle in the near-duplicate stage.
+WORDS = 5
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -27,16 +29,20 @@ def with_rows(docs: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Stage 1: documents the classifier rejects go."""
+    """Stage 1: documents the classifier rejects go.
+
+    Only the text decides, so rows without id or text are scored like others; an empty table
+    stays empty. Without labels of both classes nothing is rejected but by a constant score.
+    """
     return toxicity.rejecting(docs.select(*COLUMNS), table(spark, sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Stage 2: of every near-duplicate group the smallest doc_id stays; so does every row without id.
 
-    Rows that share a doc_id are one document; their first text in order stays.
+    Texts are near duplicates at a similarity of 0.8 or more on shingles of ``WORDS`` words. Rows that share a doc_id are one document; their first text in order stays.
     """
-    kept = minhash.deduplicate(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    kept = minhash.deduplicate(docs, words=WORDS).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
     named = docs.select(*COLUMNS).join(kept, "doc_id", "left_semi")
     repeated = docs.groupBy("doc_id").agg(F.count("*").alias("n"), F.min(F.xxhash64("text", "lang", "source", "n_chars")).alias("first")).where("n > 1 AND doc_id IS NOT NULL")
     once = named.join(repeated.select("doc_id", "first"), "doc_id", "left").withColumn("own", F.xxhash64("text", "lang", "source", "n_chars"))
@@ -45,14 +51,18 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Stage 3: personal data in the texts is replaced by its kind; ``n_chars`` follows the text."""
+    """Stage 3: personal data in the texts is replaced by its kind; ``n_chars`` follows the text.
+
+    Null texts stay null and keep their ``n_chars``; ids do not matter; an empty table stays empty.
+    """
     return pii.redact(docs.select(*COLUMNS)).withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Stage 4: each document as often as the mix reads it; the reading a target ends in is cut there.
 
-    A cut reading holds its words joined by single spaces.
+    A cut reading holds its words joined by single spaces. Documents without words, null texts
+    among them, are not taken; a null source is a source of its own; an empty table stays empty.
     """
     numbered = with_rows(docs)
     taken = mixing.mix(numbered.select("doc_id", "source", mixing.words_in("text").alias("size"), "row"))
@@ -65,7 +75,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Stage 5: the mix as pieces of sequences of at most 2,048 tokens."""
+    """Stage 5: the mix as pieces of sequences of at most 2,048 tokens.
+
+    Sequences follow lengths, not the order of the mix. Null ids stay null; an empty table gives
+    an empty result.
+    """
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

@@ -70,6 +70,40 @@ def running(
     )
 
 
+def running_changes(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], watched: Sequence[str], name: str
+) -> DataFrame:
+    """How often a watched column has changed up to each row of its group (ascending ``order``), skew-safe and in one scan.
+
+    Rows are range-partitioned once. What a piece hands to the next is composed: its last watched
+    values and the changes so far, where the step from one piece to the next may be a change
+    itself. As in ``running``, that is at most one row per partition.
+    """
+    order_cols = [F.col(o) for o in order]
+    pieces = materialize(df.withColumn("_w", F.struct(*watched)).repartitionByRange(*[F.col(k) for k in keys], *order_cols).withColumn(PIECE, F.spark_partition_id()))
+    within = Window.partitionBy(*keys, PIECE).orderBy(*order_cols)
+    first = F.row_number().over(within) == 1
+    changed = F.when(~first & ~F.col("_w").eqNullSafe(F.lag("_w").over(within)), 1).otherwise(0).cast("bigint")
+    local = pieces.withColumn("_changed", changed)
+    position = F.struct(*order_cols)
+    # Only groups that go on in another piece hand anything over.
+    several = pieces.groupBy(*keys).agg(F.min(PIECE).alias("_low"), F.max(PIECE).alias("_high")).where("_low < _high").select(*[F.col(k).alias(f"_k_{k}") for k in keys])
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    ends = local.join(several, same, "left_semi").groupBy(*keys, PIECE).agg(
+        F.sum("_changed").alias("_inside"), F.min_by("_w", position).alias("_first"), F.max_by("_w", position).alias("_last"))
+    across = Window.partitionBy(*keys).orderBy(PIECE)
+    stepped = ends.withColumn("_step", F.when(F.lag(PIECE).over(across).isNotNull() & ~F.col("_first").eqNullSafe(F.lag("_last").over(across)), 1).otherwise(0))
+    carried = stepped.select(
+        *[F.col(k).alias(f"_k_{k}") for k in keys], F.col(PIECE).alias("_k_piece"),
+        (F.sum(F.col("_inside") + F.col("_step")).over(across.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_inside")).alias("_carry"),
+    ).where("_carry > 0")
+    condition = (F.col(PIECE) == F.col("_k_piece")) & same
+    summed = local.withColumn("_upto", F.sum("_changed").over(within.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return summed.join(F.broadcast(carried), condition, "left").select(*df.columns, (F.col("_upto") + F.coalesce("_carry", F.lit(0))).alias(name))
+
+
 def shifted(
     ranked: DataFrame, keys: Sequence[str], rank: str, columns: dict[str, str], by: int = 1
 ) -> DataFrame:

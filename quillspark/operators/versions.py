@@ -8,7 +8,7 @@ from quillspark.functions.contract import SNAPSHOT_SCHEME
 from quillspark.functions.text import col, hash_parts
 from quillspark.operators.manifest import manifest_checksum
 from quillspark.operators.merge import replace_by_key
-from quillspark.operators.ordering import running, shifted, with_row
+from quillspark.operators.ordering import running_changes, with_row
 
 SOURCE_KEY = ["project_id", "source_type", "source_id"]
 
@@ -29,20 +29,11 @@ def canonical_note(title, body):
 def content_versions(history: DataFrame, keys: list[str], order: list[str], watched: list[str]) -> DataFrame:
     """Version of every row of a change history: one more whenever a watched column changed.
 
-    The previous row is found by (key, rank) join and the versions by a running sum, so a
-    key with very many changes is spread out.
+    One ordered scan whose carry is the last watched values and the changes so far, so a key
+    with very many changes is spread out.
     """
-    # the rank is materialized once inside ``running``; the join below reads that copy
-    packed = running(history.withColumn("_watched", F.struct(*watched)), keys, order, rank="change_no")
-    with_previous = shifted(packed, keys, "change_no", {"_previous": "_watched"})
-    bumped = F.when(
-        (F.col("change_no") > 1) & ~F.col("_watched").eqNullSafe(F.col("_previous")), 1
-    ).otherwise(0).cast("bigint")
-    versioned = running(
-        with_previous.select(*history.columns, "change_no", bumped.alias("_bump")),
-        keys, ["change_no"], rank=None, sums={"content_version": F.col("_bump")},
-    )
-    return versioned.select(*history.columns, (F.col("content_version") + 1).alias("content_version"))
+    counted = running_changes(history, keys, order, watched, "_changes")
+    return counted.select(*history.columns, (F.col("_changes") + 1).alias("content_version"))
 
 
 def note_sources(notes: DataFrame, default_dataset: DataFrame) -> DataFrame:

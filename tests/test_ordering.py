@@ -79,3 +79,19 @@ def test_empty_window_is_rejected(spark):
 
     with pytest.raises(ValueError):
         in_window(spark.range(1), "id", dt.datetime(2024, 1, 2), dt.datetime(2024, 1, 2))
+
+
+def test_changes_are_counted_across_pieces(spark):
+    rng = random.Random(12)
+    rows = [(rng.choice([1, 1, 1, 2, 3, None]), n, rng.choice("aab"), rng.choice([None, 1])) for n in range(400)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "k int, at int, x string, y int")
+    got = {r["at"]: r["n"] for r in ordering.running_changes(df, ["k"], ["at"], ["x", "y"], "n").collect()}
+    want, last, count = {}, {}, {}
+    for k, at, x, y in sorted(rows, key=lambda r: r[1]):
+        count[k] = count.get(k, 0) + (k in last and last[k] != (x, y))
+        last[k] = x, y
+        want[at] = count[k]
+    assert got == want
+    one = spark.createDataFrame([(1, n, "a" if n < 90 else "b", None) for n in range(100)], "k int, at int, x string, y int")
+    assert {r["at"]: r["n"] for r in ordering.running_changes(one, ["k"], ["at"], ["x", "y"], "n").collect()} == {n: int(n >= 90) for n in range(100)}

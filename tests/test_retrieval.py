@@ -151,6 +151,21 @@ def test_nearest_neighbours_match_brute_force_over_several_blocks(spark, monkeyp
     assert got == want
 
 
+def test_clustered_points_are_mostly_skipped(spark):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(40, 16))
+    vectors = centres[rng.integers(0, 40, 3000)] + 0.05 * rng.normal(size=(3000, 16))
+    points = [(f"c{i:04d}", v.tolist(), 1, True, "public", "note", i, 1) for i, v in enumerate(vectors)] + [("zero", [0.0] * 16, 1, True, "public", "note", 9, 1)]
+    chunk_df = spark.createDataFrame(points, "chunk_key string, embedding array<double>, project_id bigint, project_open boolean, visibility string, document_type string, note_id bigint, media_position int").coalesce(1)
+    queries = [(q, vectors[q * 7].tolist(), 1, "member", None, None, None) for q in range(30)]
+    query_df = spark.createDataFrame(queries, "query_id bigint, embedding array<double>, project_id bigint, access_scope string, document_types array<string>, hints array<bigint>, preferred_position int")
+    told = vector.skipped_share(query_df, chunk_df, 5).first()
+    assert told["clusters"] > 30 * 30 and told["skipped"] > 0.5
+    unit = vectors / np.linalg.norm(vectors, axis=1)[:, None]
+    got = {(r["query_id"], r["chunk_key"]) for r in vector.vector_candidates(query_df, chunk_df, 5).collect()}
+    assert got == {(q, f"c{i:04d}") for q in range(30) for i in np.argsort(-(unit @ unit[q * 7]))[:5]}
+
+
 def test_embedding_errors_become_rows(spark):
     def model(texts):
         return [np.ones(3) if "good" in t else (np.ones(2) if "short" in t else np.array([1, np.nan, 0])) for t in texts]

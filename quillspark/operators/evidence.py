@@ -10,6 +10,7 @@ from quillspark.functions.contract import (
     USER_FACT_TEXT,
 )
 from quillspark.functions.text import byte_slice, hash_parts, normalize_newlines, tokenize
+from quillspark.operators.manifest import manifest_checksum, union_manifest
 from quillspark.operators.ordering import running
 
 DOCUMENT_COLUMNS = [
@@ -17,11 +18,12 @@ DOCUMENT_COLUMNS = [
     "source_content_hash", "visibility", "canonical_text", "note_id", "media_position",
 ]
 SEGMENT_COLUMNS = [
-    "source_type", "source_id", "source_version", "content_hash", "source_order", "start_byte", "end_byte",
+    "source_type", "source_id", "source_version", "content_hash", "source_order", "start_byte", "end_byte", "fact_date",
 ]
 
 
-def _segment(start: Column, end: Column, order: Column | None = None) -> Column:
+def _segment(start: Column, end: Column, order: Column | None = None, fact_date: Column | None = None) -> Column:
+    """What a stretch of a document cites: a source version, or a version of a fact by kind, key and date."""
     return F.struct(
         F.col("source_type").alias("source_type"),
         F.col("source_id").alias("source_id"),
@@ -30,6 +32,7 @@ def _segment(start: Column, end: Column, order: Column | None = None) -> Column:
         (order if order is not None else F.lit(0)).cast("int").alias("source_order"),
         start.cast("int").alias("start_byte"),
         end.cast("int").alias("end_byte"),
+        (fact_date if fact_date is not None else F.lit(None)).cast("date").alias("fact_date"),
     )
 
 
@@ -146,14 +149,21 @@ def fact_documents(facts: DataFrame, fact_type: str, dataset_version_id: int) ->
         "source_version", "content_hash", F.lit("project").alias("visibility"),
         fact_text(fact_type).alias("canonical_text"),
         (subject if fact_type == "note_daily_fact" else F.lit(None).cast("bigint")).alias("note_id"),
-        F.lit(None).cast("int").alias("media_position"),
+        F.lit(None).cast("int").alias("media_position"), "fact_date",
     )
-    with_segment = rows.withColumn("segments", F.array(_segment(F.lit(0), F.octet_length("canonical_text"))))
+    segment = _segment(F.lit(0), F.octet_length("canonical_text"), fact_date=F.col("fact_date"))
+    with_segment = rows.withColumn("segments", F.array(segment)).drop("fact_date")
     return _finish(
         with_segment.withColumnRenamed("content_hash", "source_content_hash"), dataset_version_id
     )
 
 
+def cited_versions(documents: DataFrame) -> DataFrame:
+    """``document_key, project_id, source_type, source_id, source_version, fact_date`` of what documents cite."""
+    return documents.select("document_key", "project_id", F.explode("segments").alias("s")).select(
+        "document_key", "project_id", "s.source_type", "s.source_id", "s.source_version", "s.fact_date")
+
+
 def chunks(documents: DataFrame) -> DataFrame:
     """One row per chunk with exact byte and character ranges, hashes and tokens."""
     passthrough = [c for c in documents.columns if c not in ("content_hash",)]
@@ -186,7 +196,7 @@ def citations(chunk_rows: DataFrame) -> DataFrame:
         .select(
             "document_key", "chunk_key", "start_byte", "content",
             seg["source_type"].alias("source_type"), seg["source_id"].alias("source_id"),
-            seg["source_version"].alias("source_version"), seg["content_hash"].alias("source_content_hash"),
+            seg["source_version"].alias("source_version"), seg["content_hash"].alias("source_content_hash"), seg["fact_date"].alias("fact_date"),
             start.alias("document_start_byte"), end.alias("document_end_byte"),
             (start - seg["start_byte"]).alias("source_start_byte"), (end - seg["start_byte"]).alias("source_end_byte"),
         )
@@ -294,11 +304,12 @@ def mark_indexed(sources: DataFrame, citation_rows: DataFrame) -> DataFrame:
 
 def audit(
     documents: DataFrame, chunk_rows: DataFrame, citation_rows: DataFrame, flags: DataFrame,
-    project_id: Column | None = None, stored_checksum: str | None = None, actual_checksum: str | None = None,
+    project_id: Column | None = None, stored: DataFrame | None = None,
 ) -> DataFrame:
     """Violation counts per check; a run is healthy when every count is zero.
 
-    Chunks and citations are counted per document and per chunk first, then joined once.
+    ``stored`` is the output checksum the run recorded (``item_type, checksum``); it is compared
+    with ``output_checksum`` of what is there now, kind by kind. Chunks and citations are counted per document and per chunk first, then joined once.
     """
     per_doc = chunk_rows.groupBy("document_key").agg(F.count("*").alias("_chunks"))
     texts = documents.select("document_key", F.col("canonical_text").alias("_text"))
@@ -334,8 +345,18 @@ def audit(
         return row.selectExpr(f"stack({len(row.columns)}, {pairs}) AS (check_name, violations)")
 
     result = long_form(doc_checks).unionByName(long_form(chunk_checks)).unionByName(long_form(citation_checks))
-    mismatch = int(stored_checksum is not None and stored_checksum != actual_checksum)
-    last = documents.sparkSession.range(1).select(
-        F.lit("output_checksum_mismatch").alias("check_name"), F.lit(mismatch).cast("bigint").alias("violations")
-    )
-    return result.unionByName(last)
+    if stored is None:
+        return result
+    actual = output_checksum(documents, chunk_rows, citation_rows)
+    agreed = stored.select("item_type", F.col("checksum").alias("_stored")).join(actual, "item_type", "full_outer")
+    return result.unionByName(long_form(agreed.agg(F.count_if(~F.col("_stored").eqNullSafe(F.col("checksum"))).alias("output_checksum_mismatch"))))
+
+
+def output_checksum(documents: DataFrame, chunk_rows: DataFrame, citation_rows: DataFrame) -> DataFrame:
+    """``item_type, row_count, checksum`` over the keys and contents of documents, chunks and citations."""
+    parts = {
+        "document": documents.select(F.concat_ws("\x1f", "document_key", hash_parts("canonical_text"))),
+        "chunk": chunk_rows.select(F.concat_ws("\x1f", "chunk_key", hash_parts("content"))),
+        "citation": citation_rows.select(F.concat_ws("\x1f", "citation_key", hash_parts("quote"))),
+    }
+    return manifest_checksum(union_manifest(parts), ["item_key"], ["output_v1"], ["item_type"])

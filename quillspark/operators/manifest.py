@@ -64,6 +64,49 @@ def compare_manifests(expected: DataFrame, actual: DataFrame, key: str, value: s
     )
 
 
+def digest_tree(rows: DataFrame, key: str, parts: list[Column | str]) -> DataFrame:
+    """``level, bucket, digest, row_count``: digests of a row set in leaves (level 2) and branches of leaves (level 1).
+
+    A row lies in the leaf that the first digits of its key's hash name, so equal sets have equal
+    trees and a changed, missing or added row changes one leaf and its branch. Stored beside a
+    manifest, the tree lets a later comparison read the leaves that differ only.
+    """
+    leaves = rows.select(_leaf_of(key).alias("bucket"), hash_parts(*parts).alias("h")).groupBy("bucket").agg(
+        _digest_of(F.sort_array(F.collect_list("h"))).alias("digest"), F.count("*").alias("row_count"))
+    ordered = F.sort_array(F.collect_list(F.struct("bucket", "digest")))
+    branches = leaves.groupBy(F.substring("bucket", 1, FOLD_DIGITS).alias("branch")).agg(
+        _digest_of(F.transform(ordered, lambda s: s["digest"])).alias("digest"), F.sum("row_count").alias("row_count"))
+    return leaves.select(F.lit(2).alias("level"), "bucket", "digest", "row_count").unionByName(
+        branches.select(F.lit(1).alias("level"), F.col("branch").alias("bucket"), "digest", "row_count"))
+
+
+def _leaf_of(key: str) -> Column:
+    return F.substring(F.sha2(F.col(key).cast("string"), 256), 1, BUCKET_DIGITS)
+
+
+def differing_leaves(stored: DataFrame, actual: DataFrame) -> DataFrame:
+    """``bucket`` of the leaves in which two trees differ, descending from the branches that do."""
+
+    def differing(level: int, within: DataFrame | None = None) -> DataFrame:
+        sides = []
+        for tree, name in ((stored, "_stored"), (actual, "_actual")):
+            side = tree.where(F.col("level") == level).select("bucket", F.col("digest").alias(name))
+            sides.append(side if within is None else side.join(within, F.substring("bucket", 1, FOLD_DIGITS) == F.col("_branch"), "left_semi"))
+        return sides[0].join(sides[1], "bucket", "full_outer").where(~F.col("_stored").eqNullSafe(F.col("_actual"))).select("bucket")
+
+    return differing(2, differing(1).withColumnRenamed("bucket", "_branch"))
+
+
+def compare_by_tree(expected: DataFrame, stored_tree: DataFrame, actual: DataFrame, key: str, value: str) -> DataFrame:
+    """``compare_manifests`` without the exact rows: only leaves whose digest differs are joined row by row.
+
+    ``stored_tree`` is the ``digest_tree`` of ``expected`` over key and value, as it was stored.
+    """
+    leaves = differing_leaves(stored_tree, digest_tree(actual, key, [key, value]))
+    near = lambda rows: rows.join(leaves, _leaf_of(key) == F.col("bucket"), "left_semi")
+    return compare_manifests(near(expected), near(actual), key, value).where("status <> 'exact'")
+
+
 def id_sample(rows: DataFrame, key: str, limit: int = SAMPLE_IDS) -> DataFrame:
     """The lowest ids of a report as one array."""
     first = rows.select(key).orderBy(key).limit(limit)

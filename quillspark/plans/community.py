@@ -49,7 +49,7 @@ def note_daily_facts(spark, sf):
     return facts.note_daily_facts(model.behavior(spark, sf), START, END)
 
 
-@query("user_daily_facts", "A2 P6", f"""
+REGISTRY.define("user_facts", f"""
     SELECT project_id, user_id, CAST(occurred_at AS DATE) AS fact_date,
            count(*) FILTER (WHERE event_type IN ('note_viewed', 'media_viewed', 'comments_viewed')) AS view_count,
            count(*) FILTER (WHERE event_type IN ('note_liked', 'note_unliked', 'note_collected',
@@ -58,6 +58,9 @@ def note_daily_facts(spark, sf):
            count(*) FILTER (WHERE event_type = 'comment_created') AS comment_count,
            count(DISTINCT note_id) AS active_note_count, count(*) AS event_count
     FROM behavior WHERE {WINDOW_SQL} GROUP BY 1, 2, 3""")
+
+
+@query("user_daily_facts", "A2 P6", "SELECT * FROM user_facts")
 def user_daily_facts(spark, sf):
     return facts.user_daily_facts(model.behavior(spark, sf), START, END)
 

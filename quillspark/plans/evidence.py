@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions.contract import SNAPSHOT_SCHEME
 from quillspark.functions.text import hash_parts
-from quillspark.operators import evidence, facts, manifest, merge, versions
+from quillspark.operators import evidence, facts, manifest, merge, ordering, versions
 from quillspark.plans.community import END, START
 from quillspark.plans.registry import REGISTRY
 from quillspark.sources import model
@@ -435,16 +435,71 @@ def cluster_segments(spark, sf):
         "document_key", "s.source_id", "s.start_byte", "s.end_byte")
 
 
-@query("fact_documents", "V12 F8", """
-    SELECT 'note_daily_fact:' || note_id || ':' || fact_date AS source_key,
+def fact_docs(spark, sf):
+    """Documents of the first version of every note and user fact."""
+    kinds = {
+        "note_daily_fact": (facts.note_daily_facts, facts.NOTE_FACT_MEASURES), "user_daily_fact": (facts.user_daily_facts, facts.USER_FACT_MEASURES),
+    }
+    found = None
+    for kind, (build, measures) in kinds.items():
+        rows = build(model.behavior(spark, sf), START, END).withColumn("source_version", F.lit(1).cast("bigint")).withColumn("content_hash", manifest.record_checksum(measures))
+        part = evidence.fact_documents(rows, kind, DATASET_VERSION_ID)
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+def json_sql(measures):
+    """The JSON of some counts, names in order."""
+    return "'{' || " + " || ',' || ".join(f"'\"{m}\":' || {m}" for m in sorted(measures)) + " || '}'"
+
+
+define("fact_docs", f"""
+    SELECT *, sha256(concat_ws(chr(31), '11', document_type, source_key, '1', source_content_hash, 'evidence_parser_v1', sha256('evidence_parser_v1' || chr(31) || canonical_text))) AS document_key
+    FROM (SELECT project_id, 'note_daily_fact' AS document_type, note_id AS source_id, fact_date, 'note_daily_fact:' || note_id || ':' || fact_date AS source_key, sha256({json_sql(facts.NOTE_FACT_MEASURES)}) AS source_content_hash,
            '笔记日事实' || chr(10) || '日期: ' || fact_date || chr(10) || '笔记ID: ' || note_id || chr(10) || '浏览: ' || view_count
            || chr(10) || '点赞: ' || like_count || chr(10) || '收藏: ' || collect_count || chr(10) || '评论: ' || comment_count
            || chr(10) || '分享: ' || share_count || chr(10) || '独立用户: ' || unique_user_count || chr(10) || '事件总数: ' || event_count AS canonical_text
-    FROM note_facts""")
+    FROM note_facts
+    UNION ALL
+    SELECT project_id, 'user_daily_fact', user_id, fact_date, 'user_daily_fact:' || user_id || ':' || fact_date, sha256({json_sql(facts.USER_FACT_MEASURES)}),
+           '用户日事实' || chr(10) || '日期: ' || fact_date || chr(10) || '用户ID: ' || user_id || chr(10) || '浏览: ' || view_count
+           || chr(10) || '互动: ' || interaction_count || chr(10) || '发帖: ' || content_count || chr(10) || '评论: ' || comment_count
+           || chr(10) || '活跃笔记: ' || active_note_count || chr(10) || '事件总数: ' || event_count
+    FROM user_facts)""")
+define("fact_chunk_rows", """
+    SELECT *, strlen(canonical_text) AS n, sha256(canonical_text) AS content_hash,
+           sha256(concat_ws(chr(31), document_key, 0, 0, strlen(canonical_text), sha256(canonical_text), 'utf8_paragraph_1200_160_v1')) AS chunk_key FROM fact_docs""")
+
+
+@query("fact_documents", "V12 F8", "SELECT document_key, source_key, canonical_text FROM fact_docs")
 def fact_documents(spark, sf):
-    rows = facts.note_daily_facts(model.behavior(spark, sf), START, END).withColumn(
-        "source_version", F.lit(1).cast("bigint")).withColumn("content_hash", manifest.record_checksum(facts.NOTE_FACT_MEASURES))
-    return evidence.fact_documents(rows, "note_daily_fact", DATASET_VERSION_ID).select("source_key", "canonical_text")
+    return fact_docs(spark, sf).select("document_key", "source_key", "canonical_text")
+
+
+@query("fact_chunks", "V12 V13", """
+    SELECT document_key, chunk_key, 0 AS chunk_index, 0 AS start_byte, CAST(n AS INTEGER) AS end_byte, content_hash FROM fact_chunk_rows""")
+def fact_chunks(spark, sf):
+    return evidence.chunks(fact_docs(spark, sf)).select("document_key", "chunk_key", "chunk_index", "start_byte", "end_byte", "content_hash")
+
+
+@query("fact_citations", "V13 J10 F26", """
+    SELECT chunk_key, document_type AS source_type, source_id, fact_date, CAST(1 AS BIGINT) AS source_version, source_content_hash, canonical_text AS quote,
+           sha256(concat_ws(chr(31), chunk_key, document_type, source_id, 1, 0, n, 0, n, sha256(canonical_text))) AS citation_key FROM fact_chunk_rows""")
+def fact_citations(spark, sf):
+    return evidence.citations(evidence.chunks(fact_docs(spark, sf))).select(
+        "chunk_key", "source_type", "source_id", "fact_date", "source_version", "source_content_hash", "quote", "citation_key")
+
+
+@query("fact_lifecycle", "V17 V12", """
+    SELECT document_key, CASE WHEN source_id % 3 = 0 THEN 'superseded' ELSE 'ready' END AS new_status FROM fact_docs""")
+def fact_lifecycle(spark, sf):
+    """Every third subject's facts were captured again with other measures."""
+    docs = fact_docs(spark, sf).withColumn("lifecycle_status", F.lit("ready"))
+    cites = evidence.cited_versions(docs)
+    again = cites.where("source_id % 3 = 0").withColumn("source_version", F.col("source_version") + 1)
+    columns = ["project_id", "source_type", "source_id", "fact_date", "source_version"]
+    flags = evidence.source_flags(cites, registry(spark, sf), cites.select(*columns).unionByName(again.select(*columns)))
+    return evidence.reconcile_lifecycle(docs, flags).select("document_key", "new_status")
 
 
 @query("document_chunks", "V13 F4 F5 F6", """
@@ -468,7 +523,7 @@ def chunk_tokens(spark, sf):
            CAST(source_start_byte AS INTEGER) AS source_start_byte, CAST(source_end_byte AS INTEGER) AS source_end_byte,
            quote, quote_hash, citation_key FROM citation_rows""")
 def chunk_citations(spark, sf):
-    return evidence.citations(all_chunks(spark, sf))
+    return evidence.citations(all_chunks(spark, sf)).drop("fact_date")
 
 
 @query("run_totals", "A10 J16 V14 V16", """
@@ -579,7 +634,7 @@ def lifecycle_reconcile(spark, sf):
     SELECT 'invalid_chunk_slice', count(*) FROM chunk_rows WHERE chunk_index = 1 UNION ALL
     SELECT 'chunks_without_citation', 0 UNION ALL
     SELECT 'invalid_citation_slice', 0 UNION ALL
-    SELECT 'output_checksum_mismatch', 0""")
+    SELECT 'output_checksum_mismatch', CASE WHEN EXISTS (SELECT 1 FROM chunk_rows WHERE chunk_index = 1) THEN 1 ELSE 0 END""")
 def evidence_audit(spark, sf):
     """The run's second chunks are damaged, its media claim a wrong chunk count, its scope is project 2."""
     from quillspark.session import materialize
@@ -591,23 +646,68 @@ def evidence_audit(spark, sf):
     stored = docs.join(counted, "document_key").withColumn("lifecycle_status", F.lit("ready")).withColumn(
         "chunk_count", F.when(F.col("document_type") == "note_media", F.col("chunk_count") + 1).otherwise(F.col("chunk_count")))
     damaged = rows.withColumn("content", F.when(F.col("chunk_index") == 1, F.concat("content", F.lit("?"))).otherwise(F.col("content")))
-    cites = stored.select("document_key", "project_id", F.explode("segments").alias("s")).select(
-        "document_key", "project_id", "s.source_type", "s.source_id", "s.source_version", F.lit(None).cast("date").alias("fact_date"))
+    cites = evidence.cited_versions(stored)
     flags = evidence.source_flags(cites, registry(spark, sf), cites.where("fact_date IS NOT NULL"))
-    return evidence.audit(stored, damaged, cited, flags, F.lit(2))
+    recorded = materialize(evidence.output_checksum(stored, rows, cited))
+    return evidence.audit(stored, damaged, cited, flags, F.lit(2), recorded)
 
 
-@query("manifest_compare", "J12 R20", """
-    SELECT chunk_key, CASE WHEN m = 0 THEN 'missing' WHEN m = 1 THEN 'mismatched' ELSE 'exact' END AS status
-    FROM (SELECT chunk_key, start_byte % 3 AS m FROM chunk_rows WHERE document_type = 'note')
-    UNION ALL SELECT 'orphan-' || vec_id, 'orphan' FROM embeddings""")
-def manifest_compare(spark, sf):
-    rows = evidence.chunks(direct_docs(spark, sf).where("document_type = 'note'")).select("chunk_key", "content_hash", "start_byte")
+@query("output_checksum_check", "V18 A29", """
+    SELECT 'intact' AS output, CAST(0 AS BIGINT) AS mismatches
+    UNION ALL SELECT 'one_quote_changed', 1 UNION ALL SELECT 'documents_lost', 3""")
+def output_checksum_check(spark, sf):
+    """A run's output against the checksum it recorded: as it was, with one quote changed, and without its media."""
+    from quillspark.session import materialize
+
+    docs = materialize(direct_docs(spark, sf))
+    rows = materialize(evidence.chunks(docs))
+    cited = materialize(evidence.citations(rows))
+    recorded = materialize(evidence.output_checksum(docs, rows, cited))
+    first = cited.agg(F.min("citation_key").alias("first"))
+    changed = ordering.with_row(cited, first).withColumn("quote", F.when(F.col("citation_key") == F.col("first"), "changed").otherwise(F.col("quote"))).drop("first")
+    kept = docs.where("document_type <> 'note_media'").select("document_key")
+    outputs = {
+        "intact": (docs, rows, cited), "one_quote_changed": (docs, rows, changed),
+        "documents_lost": tuple(x.join(kept, "document_key", "left_semi") for x in (docs, rows, cited)),
+    }
+    found = None
+    for name, output in outputs.items():
+        both = recorded.select("item_type", F.col("checksum").alias("stored")).join(evidence.output_checksum(*output), "item_type", "full_outer")
+        row = both.agg(F.count_if(~F.col("stored").eqNullSafe(F.col("checksum"))).alias("mismatches")).select(F.lit(name).alias("output"), "mismatches")
+        found = row if found is None else found.unionByName(row)
+    return found
+
+
+def stored_points(spark, sf):
+    """Chunks of all document types as points, and what a store holds of them: some lost, some changed, some strays."""
+    from quillspark.session import materialize
+
+    rows = materialize(all_chunks(spark, sf).select("chunk_key", "content_hash", "start_byte"))
     actual = rows.where("start_byte % 3 <> 0").select(
         "chunk_key", F.when(F.col("start_byte") % 3 == 1, F.lit("changed")).otherwise(F.col("content_hash")).alias("content_hash"))
     strays = model.table(spark, sf, "embeddings").select(
         F.concat(F.lit("orphan-"), F.col("vec_id").cast("string")).alias("chunk_key"), F.lit("x").alias("content_hash"))
-    return manifest.compare_manifests(rows, actual.unionByName(strays), "chunk_key", "content_hash")
+    return rows, actual.unionByName(strays)
+
+
+@query("manifest_compare", "J12 R20", """
+    SELECT chunk_key, CASE WHEN m = 0 THEN 'missing' WHEN m = 1 THEN 'mismatched' ELSE 'exact' END AS status
+    FROM (SELECT chunk_key, start_byte % 3 AS m FROM chunk_rows)
+    UNION ALL SELECT 'orphan-' || vec_id, 'orphan' FROM embeddings""")
+def manifest_compare(spark, sf):
+    rows, actual = stored_points(spark, sf)
+    return manifest.compare_manifests(rows, actual, "chunk_key", "content_hash")
+
+
+@query("manifest_tree_compare", "V18 R20 A29", """
+    SELECT chunk_key, CASE WHEN start_byte % 3 = 0 THEN 'missing' ELSE 'mismatched' END AS status FROM chunk_rows WHERE start_byte % 3 <> 2
+    UNION ALL SELECT 'orphan-' || vec_id, 'orphan' FROM embeddings""")
+def manifest_tree_compare(spark, sf):
+    from quillspark.session import materialize
+
+    rows, actual = stored_points(spark, sf)
+    tree = materialize(manifest.digest_tree(rows, "chunk_key", ["chunk_key", "content_hash"]))
+    return manifest.compare_by_tree(rows, tree, actual, "chunk_key", "content_hash")
 
 
 @query("audit_id_sample", "K9", """

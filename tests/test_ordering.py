@@ -95,3 +95,14 @@ def test_changes_are_counted_across_pieces(spark):
     assert got == want
     one = spark.createDataFrame([(1, n, "a" if n < 90 else "b", None) for n in range(100)], "k int, at int, x string, y int")
     assert {r["at"]: r["n"] for r in ordering.running_changes(one, ["k"], ["at"], ["x", "y"], "n").collect()} == {n: int(n >= 90) for n in range(100)}
+
+
+def test_trees_differ_in_the_leaves_that_changed(spark):
+    rows = spark.createDataFrame([(f"k{i}", f"h{i}") for i in range(300)], "k string, h string")
+    tree = manifest.digest_tree(rows, "k", ["k", "h"])
+    same = manifest.digest_tree(rows.repartition(7), "k", ["k", "h"])
+    assert manifest.differing_leaves(tree, same).count() == 0
+    other = rows.where("k <> 'k5'").withColumn("h", F.when(F.col("k") == "k9", "other").otherwise(F.col("h"))).unionByName(spark.createDataFrame([("new", "h")], "k string, h string"))
+    assert 1 <= manifest.differing_leaves(tree, manifest.digest_tree(other, "k", ["k", "h"])).count() <= 3
+    got = {(r["k"], r["status"]) for r in manifest.compare_by_tree(rows, tree, other, "k", "h").collect()}
+    assert got == {("k5", "missing"), ("k9", "mismatched"), ("new", "orphan")}

@@ -134,3 +134,24 @@ AUDIENCE_MARKS = ("对", "而言")
 AUDIENCE_BYTES = 120
 DEFAULT_AUDIENCE = "原文描述的目标读者"
 DRAFT_SHORT_TYPO = "方按"
+
+# Limits of content rows, in bytes.
+NOTE_CAPS = {"title": 255, "body": 20000, "category": 64}
+MEDIA_CAPS = {"media_type": 32, "url": 512}
+VISIBILITIES = ["public", "project"]
+DEFAULT_VISIBILITY = "public"
+DEFAULT_MEDIA_TYPE = "image"
+
+# Gates of a corpus: name, report column, target, condition.
+CORPUS_GATES = [
+    ("unique_titles", "unique_title_ratio", ">= 0.98", "unique_title_ratio >= 0.98"),
+    ("substantive_note_body", "minimum_body", ">= 300 characters", "minimum_body >= 300"),
+    ("substantive_media_ocr", "minimum_ocr", ">= 30 characters", "minimum_ocr >= 30"),
+    ("substantive_comments", "minimum_comment", ">= 35 characters", "minimum_comment >= 35"),
+    ("low_comment_duplication", "duplicate_comment_ratio", "<= 0.01", "duplicate_comment_ratio <= 0.01"),
+    ("semantic_alignment", "semantic_alignment_ratio", ">= 0.98", "semantic_alignment_ratio >= 0.98"),
+]
+MOST_EVAL_TASKS = 8
+
+# Cache counters in a load run's metrics text.
+COUNTER_LINE = r'^(cache_hit_total|cache_miss_total)\{cache="([^"]+)"\}\s+([0-9.eE+-]+)$'

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from quillspark.functions import contract as C
 from quillspark.functions.text import round4
 from quillspark.operators.ordering import nearest_rank, running, shifted, with_row
 
@@ -94,11 +95,12 @@ def distribution_gates(report: DataFrame, organic: bool, burst_fraction: float =
     return checks(report, gates)
 
 
-def corpus_report(notes: DataFrame, media: DataFrame, comments: DataFrame) -> DataFrame:
+def corpus_report(notes: DataFrame, media: DataFrame, comments: DataFrame, cases: DataFrame) -> DataFrame:
     """One-row quality report of a corpus.
 
-    ``notes``: note_id, category, title, body, subject. ``media``: ocr_text. ``comments``:
-    note_id, content.
+    ``notes``: note_id, category, title, body, subject, and the phrases a comment may take up
+    (topics, praise, concerns; arrays). ``media``: ocr_text. ``comments``: note_id, content.
+    ``cases``: task_type. A comment is aligned when it holds its note's subject or one of the phrases.
     """
     note_part = notes.agg(
         F.count("*").alias("notes"), F.count_distinct("category").alias("categories"),
@@ -109,23 +111,31 @@ def corpus_report(notes: DataFrame, media: DataFrame, comments: DataFrame) -> Da
     copies = comments.groupBy(F.sha2("content", 256)).agg(F.count("*").alias("n"))
     copy_part = copies.agg(
         F.sum("n").alias("comments"), round4(F.sum(F.col("n") - 1) / F.sum("n")).alias("duplicate_comment_ratio"))
-    aligned = F.contains("content", "subject") & (F.col("subject") != "")
-    comment_part = comments.join(notes.select("note_id", "subject"), "note_id", "left").agg(
+    phrases = F.concat(*[F.coalesce(c, F.array().cast("array<string>")) for c in ("topics", "praise", "concerns")])
+    taken_up = F.exists(phrases, lambda p: (p != "") & F.contains("content", p))
+    aligned = (F.contains("content", "subject") & (F.col("subject") != "")) | taken_up
+    comment_part = comments.join(notes.select("note_id", "subject", "topics", "praise", "concerns"), "note_id", "left").agg(
         F.min(F.char_length("content")).cast("bigint").alias("minimum_comment"),
         round4(F.avg(F.when(F.coalesce(aligned, F.lit(False)), 1.0).otherwise(0.0))).alias("semantic_alignment_ratio"),
     )
-    return with_row(with_row(with_row(note_part, media_part), copy_part), comment_part)
+    case_part = cases.agg(F.count("*").alias("eval_cases"), F.count_distinct("task_type").alias("eval_tasks"))
+    return with_row(with_row(with_row(with_row(note_part, media_part), copy_part), comment_part), case_part)
 
 
-def corpus_gates(report: DataFrame, expected_categories: int) -> DataFrame:
+def corpus_counts(notes: DataFrame, comments: DataFrame, cases: DataFrame) -> DataFrame:
+    """``kind, value, rows``: notes per category, comments per intent and sentiment, cases per task."""
+    found = None
+    for kind, rows, column in (("category", notes, "category"), ("intent", comments, "intent"), ("sentiment", comments, "sentiment"), ("task", cases, "task_type")):
+        part = rows.groupBy(F.coalesce(F.col(column), F.lit("")).alias("value")).agg(F.count("*").alias("rows")).select(F.lit(kind).alias("kind"), "value", "rows")
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+def corpus_gates(report: DataFrame, expected_categories: int, cases_per_note: int) -> DataFrame:
+    tasks = min(C.MOST_EVAL_TASKS, cases_per_note)
     return checks(report, [
-        ("category_diversity", "categories", f">= {expected_categories}", f"categories >= {expected_categories}"),
-        ("unique_titles", "unique_title_ratio", ">= 0.98", "unique_title_ratio >= 0.98"),
-        ("substantive_note_body", "minimum_body", ">= 300 characters", "minimum_body >= 300"),
-        ("substantive_media_ocr", "minimum_ocr", ">= 30 characters", "minimum_ocr >= 30"),
-        ("substantive_comments", "minimum_comment", ">= 35 characters", "minimum_comment >= 35"),
-        ("low_comment_duplication", "duplicate_comment_ratio", "<= 0.01", "duplicate_comment_ratio <= 0.01"),
-        ("semantic_alignment", "semantic_alignment_ratio", ">= 0.98", "semantic_alignment_ratio >= 0.98"),
+        ("category_diversity", "categories", f">= {expected_categories}", f"categories >= {expected_categories}"), *C.CORPUS_GATES,
+        ("eval_task_diversity", "eval_tasks", f">= {tasks}", f"eval_tasks >= {tasks}"),
     ])
 
 
@@ -159,19 +169,51 @@ def expired(targets: dict[str, tuple[DataFrame, Column]]) -> DataFrame:
     return result
 
 
+def dead_session(now: Column) -> Column:
+    """Whether a login session (revoked, expires_at) can no longer be used."""
+    return F.coalesce(F.col("revoked"), F.lit(False)) | (F.col("expires_at") < now)
+
+
 def purge(rows: DataFrame, condition: Column) -> DataFrame:
     """What an applied retention run keeps; rows of unknown age stay."""
     return rows.where(~F.coalesce(condition, F.lit(False)))
 
 
 def clean_notes(rows: DataFrame) -> DataFrame:
-    """Trimmed text, lowercased tokens, defaults for visibility and media type."""
+    """Trimmed text, lowercased tokens, defaults for project and visibility, and the same for media where there are any.
+
+    ``media`` is an array of (media_type, url, caption, ocr_text, position): types are lowercased and
+    default to images, positions that are not positive become the place in the array, from 1.
+    """
     blank = lambda c: F.nullif(F.trim(c), F.lit(""))
-    return rows.withColumn("title", F.trim("title")).withColumn("body", F.trim("body")).withColumn(
+    cleaned = rows.withColumn("title", F.trim("title")).withColumn("body", F.trim("body")).withColumn(
         "category", F.lower(F.trim("category"))
-    ).withColumn("visibility", F.coalesce(blank("visibility"), F.lit("public"))).withColumn(
+    ).withColumn("visibility", F.lower(F.coalesce(blank("visibility"), F.lit(C.DEFAULT_VISIBILITY)))).withColumn(
         "tags", F.array_distinct(F.filter(F.transform("tags", lambda t: F.lower(F.trim(t))), lambda t: t != ""))
     )
+    if "project_id" in rows.columns:
+        cleaned = cleaned.withColumn("project_id", F.when(F.col("project_id") > 0, F.col("project_id")).otherwise(F.lit(1)))
+    if "media" in rows.columns:
+        cleaned = cleaned.withColumn("media", F.transform("media", lambda m, i: F.struct(
+            F.lower(F.coalesce(blank(m["media_type"]), F.lit(C.DEFAULT_MEDIA_TYPE))).alias("media_type"), F.trim(m["url"]).alias("url"), F.trim(m["caption"]).alias("caption"),
+            F.trim(m["ocr_text"]).alias("ocr_text"), F.when(m["position"] > 0, m["position"]).otherwise(i + 1).cast("int").alias("position"))))
+    return cleaned
+
+
+def note_rules(with_media: bool = False) -> dict[str, Column]:
+    """What a cleaned note must satisfy: required fields, known visibility, lengths in bytes."""
+    rules = {"author_id": F.col("author_id") > 0, "visibility": F.col("visibility").isin(*C.VISIBILITIES)}
+    for name, cap in C.NOTE_CAPS.items():
+        rules[f"{name}_required"] = F.coalesce(F.col(name), F.lit("")) != ""
+        rules[f"{name}_length"] = F.octet_length(F.coalesce(F.col(name), F.lit(""))) <= cap
+    if with_media:
+        for name, cap in C.MEDIA_CAPS.items():
+            rules[f"media_{name}_length"] = _media_fit(name, cap)
+    return rules
+
+
+def _media_fit(name: str, cap: int) -> Column:
+    return F.coalesce(F.forall("media", lambda m: F.octet_length(F.coalesce(m[name], F.lit(""))) <= cap), F.lit(True))
 
 
 def backfill(rows: DataFrame, defaults: dict[str, str]) -> DataFrame:

@@ -102,6 +102,17 @@ def load_run_index(spark, sf):
     return metrics.join(rates, "run")
 
 
+@query("resource_peaks", "S13", """
+    SELECT CAST(s_nationkey AS VARCHAR) AS run, 'box' || s_suppkey % 3 AS container, CAST(max(round(s_suppkey % 97 + 0.25, 2)) AS DOUBLE) AS peak_cpu FROM supplier GROUP BY 1, 2""")
+def resource_peaks(spark, sf):
+    """A sample line per supplier, with broken lines between, in one file per nation."""
+    root, key = workspace(spark), F.col("s_suppkey")
+    sample = F.to_json(F.struct(F.concat(F.lit("box"), (key % 3).cast("string")).alias("Name"), F.format_string("%d.25%%", key % 97).alias("CPUPerc")))
+    lines = F.explode(F.array(F.concat(F.lit("t\t"), sample), F.lit("no tab here"), F.lit("t\t{broken")))
+    model.table(spark, sf, "supplier").select(F.col("s_nationkey").cast("string").alias("run"), lines.alias("value")).repartition("run").write.partitionBy("run").text(f"{root}/stats")
+    return files.resource_peaks(spark, f"{root}/stats/*/*.txt").withColumn("run", F.regexp_extract("run", "=(.*)$", 1))
+
+
 @query("run_records", "S14", """
     SELECT run_id, status, note_facts, error_message FROM (VALUES ('job-1', 'running', CAST(NULL AS BIGINT), ''),
       ('job-1', 'completed', (SELECT count(*) FROM note_facts), ''), ('job-2', 'failed', NULL, 'window is empty')) v(run_id, status, note_facts, error_message)""")

@@ -99,21 +99,33 @@ def session_sequences(spark, sf):
     return quality.sequence_violations(kept, ["note_viewed", "media_viewed", "note_created", "note_collected"])
 
 
-define("corpus_row", r"""
-    SELECT n.*, m.*, c.* FROM
+CASE_TASKS = ["fact", "summary", "compare", "source", "privacy", "time", "typo", "none"]
+TASK_SQL = "CASE item_id % 8 " + " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(CASE_TASKS)) + " END"
+define("corpus_row", f"""
+    SELECT n.*, m.*, c.*, e.* FROM
       (SELECT count(*) AS notes, count(DISTINCT category) AS categories, round(count(DISTINCT title) / count(*), 4) AS unique_title_ratio,
               min(length(body)) AS minimum_body, round(avg(length(body)), 4) AS average_body FROM corpus_notes) n,
       (SELECT count(*) AS media, min(length(ocr_text)) AS minimum_ocr FROM media) m,
       (SELECT count(*) AS comments, round((count(*) - count(DISTINCT content)) / count(*), 4) AS duplicate_comment_ratio, min(length(content)) AS minimum_comment,
-              round(avg(CASE WHEN subject <> '' AND contains(content, subject) THEN 1.0::DOUBLE ELSE 0 END), 4) AS semantic_alignment_ratio
-       FROM comments LEFT JOIN corpus_notes USING (note_id)) c""")
-define("corpus_notes", r"SELECT id AS note_id, category, split_part(body, chr(10), 1) AS title, body, regexp_extract(body, '^\p{L}+') AS subject FROM docs")
+              round(avg(CASE WHEN (subject <> '' AND contains(content, subject)) OR len(list_filter(phrases, lambda p: contains(content, p))) > 0 THEN 1.0::DOUBLE ELSE 0 END), 4) AS semantic_alignment_ratio
+       FROM comments LEFT JOIN corpus_notes USING (note_id)) c,
+      (SELECT count(*) AS eval_cases, count(DISTINCT {TASK_SQL}) AS eval_tasks FROM benchmark) e""")
+define("corpus_notes", r"""SELECT id AS note_id, category, split_part(body, chr(10), 1) AS title, body, regexp_extract(body, '^\p{L}+') AS subject,
+    regexp_extract_all(body, '\p{L}{6,}')[1:6] AS phrases FROM docs""")
 
 
-def corpus(spark, sf):
+def corpus_parts(spark, sf):
+    """Notes whose first long words stand for topics, praise and concerns; media; comments; cases."""
+    long_words = F.regexp_extract_all("body", F.lit(r"\p{L}{6,}"), 0)
     notes = model.documents(spark, sf).select(
-        F.col("id").alias("note_id"), "category", F.substring_index("body", "\n", 1).alias("title"), "body", F.regexp_extract("body", r"^\p{L}+", 0).alias("subject"))
-    return quality.corpus_report(notes, model.media(spark, sf), model.comments(spark, sf).select("note_id", "content"))
+        F.col("id").alias("note_id"), "category", F.substring_index("body", "\n", 1).alias("title"), "body", F.regexp_extract("body", r"^\p{L}+", 0).alias("subject"),
+        F.slice(long_words, 1, 2).alias("topics"), F.slice(long_words, 3, 2).alias("praise"), F.slice(long_words, 5, 2).alias("concerns"))
+    cases = model.table(spark, sf, "benchmark").select(F.expr(TASK_SQL).alias("task_type"))
+    return notes, model.media(spark, sf), model.comments(spark, sf).select("note_id", "content", "intent", "sentiment"), cases
+
+
+def corpus(spark, sf):
+    return quality.corpus_report(*corpus_parts(spark, sf))
 
 
 @query("corpus_report", "A24", "SELECT * FROM corpus_row")
@@ -121,6 +133,15 @@ def corpus_report(spark, sf):
     return corpus(spark, sf)
 
 
+@query("corpus_counts", "A24", f"""
+    SELECT 'category' AS kind, category AS value, count(*) AS rows FROM docs GROUP BY 2 UNION ALL
+    SELECT 'intent', intent, count(*) FROM comments GROUP BY 2 UNION ALL SELECT 'sentiment', sentiment, count(*) FROM comments GROUP BY 2 UNION ALL
+    SELECT 'task', {TASK_SQL}, count(*) FROM benchmark GROUP BY 2""")
+def corpus_counts(spark, sf):
+    notes, _, comments, cases = corpus_parts(spark, sf)
+    return quality.corpus_counts(notes, comments, cases)
+
+
 @query("corpus_gates", "A25", """
     SELECT name, value, target, passed FROM (
       SELECT 'category_diversity' AS name, CAST(categories AS DOUBLE) AS value, '>= 4' AS target, categories >= 4 AS passed FROM corpus_row UNION ALL
@@ -129,9 +150,10 @@ def corpus_report(spark, sf):
       SELECT 'substantive_media_ocr', minimum_ocr, '>= 30 characters', minimum_ocr >= 30 FROM corpus_row UNION ALL
       SELECT 'substantive_comments', minimum_comment, '>= 35 characters', minimum_comment >= 35 FROM corpus_row UNION ALL
       SELECT 'low_comment_duplication', duplicate_comment_ratio, '<= 0.01', duplicate_comment_ratio <= 0.01 FROM corpus_row UNION ALL
-      SELECT 'semantic_alignment', semantic_alignment_ratio, '>= 0.98', semantic_alignment_ratio >= 0.98 FROM corpus_row)""")
+      SELECT 'semantic_alignment', semantic_alignment_ratio, '>= 0.98', semantic_alignment_ratio >= 0.98 FROM corpus_row UNION ALL
+      SELECT 'eval_task_diversity', eval_tasks, '>= 8', eval_tasks >= 8 FROM corpus_row)""")
 def corpus_gates(spark, sf):
-    return quality.corpus_gates(corpus(spark, sf), 4)
+    return quality.corpus_gates(corpus(spark, sf), 4, 10)
 
 
 @query("request_summary", "A32", """
@@ -161,14 +183,31 @@ def contract_violations(spark, sf):
 NOW = dt.datetime(2001, 8, 1)
 
 
+def sessions(spark, sf):
+    """Orders as login sessions of sixty days; low priority means revoked."""
+    return model.table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("session_id"), (F.col("o_orderpriority") == "5-LOW").alias("revoked"),
+        (F.col("o_orderdate") + F.expr("INTERVAL 60 DAY")).alias("expires_at"), F.col("o_orderdate").alias("updated_at"))
+
+
+@query("session_purge", "S12", """
+    SELECT o_orderkey AS session_id FROM orders
+    WHERE NOT ((o_orderpriority = '5-LOW' OR o_orderdate + INTERVAL 60 DAY < TIMESTAMP '2001-08-01') AND o_orderdate < TIMESTAMP '2001-07-02')""")
+def session_purge(spark, sf):
+    old = F.col("updated_at") < F.lit(NOW - dt.timedelta(days=30))
+    return quality.purge(sessions(spark, sf), quality.dead_session(F.lit(NOW)) & old).select("session_id")
+
+
 @query("retention_preview", "S12", """
     SELECT 'outbox' AS target, count(*) AS total, count(*) FILTER (WHERE o_orderstatus = 'F' AND o_orderdate < TIMESTAMP '2001-07-25') AS expired FROM orders UNION ALL
-    SELECT 'processed', count(*), count(*) FILTER (WHERE l_shipdate < TIMESTAMP '2001-07-02') FROM lineitem""")
+    SELECT 'processed', count(*), count(*) FILTER (WHERE l_shipdate < TIMESTAMP '2001-07-02') FROM lineitem UNION ALL
+    SELECT 'sessions', count(*), count(*) FILTER (WHERE (o_orderpriority = '5-LOW' OR o_orderdate + INTERVAL 60 DAY < TIMESTAMP '2001-08-01') AND o_orderdate < TIMESTAMP '2001-07-02') FROM orders""")
 def retention_preview(spark, sf):
     week, month = F.lit(NOW - dt.timedelta(days=7)), F.lit(NOW - dt.timedelta(days=30))
     return quality.expired({
         "outbox": (model.table(spark, sf, "orders"), (F.col("o_orderstatus") == "F") & (F.col("o_orderdate") < week)),
-        "processed": (model.table(spark, sf, "lineitem"), F.col("l_shipdate") < month)})
+        "processed": (model.table(spark, sf, "lineitem"), F.col("l_shipdate") < month),
+        "sessions": (sessions(spark, sf), quality.dead_session(F.lit(NOW)) & (F.col("updated_at") < month))})
 
 
 @query("retention_purge", "S12", "SELECT o_orderkey FROM orders WHERE NOT (o_orderstatus = 'F' AND o_orderdate < TIMESTAMP '2001-07-25')")
@@ -190,6 +229,36 @@ def cleaned_rows(spark, sf):
     return quality.clean_notes(quality.backfill(raw, {"body": "unknown"}))
 
 
+def raw_notes(spark, sf):
+    """Suppliers as notes sent in: some without author, title or category, some too long, with media that lack types and places."""
+    key = F.col("s_suppkey")
+    media = F.array(
+        F.struct(F.lit(" VIDEO ").alias("media_type"), F.concat(F.lit(" u"), key.cast("string")).alias("url"), F.lit(" c ").alias("caption"), F.lit("").alias("ocr_text"), F.lit(7).alias("position")),
+        F.struct(F.lit(" ").alias("media_type"), F.repeat(F.lit("x"), F.when(key % 11 == 4, 600).otherwise(5)).alias("url"), F.lit("").alias("caption"), F.lit(" o ").alias("ocr_text"), F.lit(0).alias("position")))
+    return model.table(spark, sf, "supplier").select(
+        "s_suppkey", (key % 9).alias("author_id"), F.when(key % 5 == 0, 0).otherwise(key % 4 + 1).alias("project_id"),
+        F.when(key % 7 == 2, F.lit("  ")).otherwise(F.concat(F.lit(" "), "s_name")).alias("title"), F.repeat(F.lit("é"), F.when(key % 13 == 1, 10001).otherwise(9)).alias("body"),
+        F.when(key % 6 == 1, F.lit(None)).otherwise(F.lit(" News ")).alias("category"), F.when(key % 8 == 3, F.lit("secret")).otherwise(F.lit("")).alias("visibility"),
+        F.array().cast("array<string>").alias("tags"), media.alias("media"))
+
+
+@query("cleaned_media", "F30", """
+    SELECT s_suppkey, CASE WHEN s_suppkey % 5 = 0 THEN 1 ELSE s_suppkey % 4 + 1 END AS project_id, CAST(place AS INTEGER) AS position,
+           CASE WHEN place = 7 THEN 'video' ELSE 'image' END AS media_type,
+           CASE WHEN place = 7 THEN 'u' || s_suppkey WHEN s_suppkey % 11 = 4 THEN repeat('x', 600) ELSE 'xxxxx' END AS url FROM supplier, (VALUES (7), (2)) v(place)""")
+def cleaned_media(spark, sf):
+    return quality.clean_notes(raw_notes(spark, sf)).select("s_suppkey", "project_id", F.inline("media")).select("s_suppkey", "project_id", "position", "media_type", "url")
+
+
+@query("note_input_violations", "F30 P8", """
+    SELECT s_suppkey, unnest(list_filter([
+      CASE WHEN s_suppkey % 9 = 0 THEN 'author_id' END, CASE WHEN s_suppkey % 8 = 3 THEN 'visibility' END, CASE WHEN s_suppkey % 7 = 2 THEN 'title_required' END,
+      CASE WHEN s_suppkey % 13 = 1 THEN 'body_length' END, CASE WHEN s_suppkey % 6 = 1 THEN 'category_required' END, CASE WHEN s_suppkey % 11 = 4 THEN 'media_url_length' END],
+      lambda v: v IS NOT NULL)) AS violation FROM supplier""")
+def note_input_violations(spark, sf):
+    return quality.violations(quality.clean_notes(raw_notes(spark, sf)), "s_suppkey", quality.note_rules(with_media=True))
+
+
 # Lineage -----------------------------------------------------------------------------
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import StructType
 
+from quillspark.functions.contract import COUNTER_LINE
+
 CORRUPT = "_corrupt_record"
 
 
@@ -50,7 +52,6 @@ def read_run(spark: SparkSession, root: str, table: str, schema: str) -> DataFra
 
 
 METRICS = "map<string,map<string,double>>"
-COUNTER_LINE = r'^(cache_hit_total|cache_miss_total)\{cache="([^"]+)"\}\s+([0-9.eE+-]+)$'
 
 
 def load_run_summaries(spark: SparkSession, pattern: str) -> DataFrame:

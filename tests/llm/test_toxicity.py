@@ -60,3 +60,26 @@ def test_awkward_rows(spark):
     none = collected(toxicity.score(documents(spark, AWKWARD), spark.createDataFrame([], "doc_id long, toxic int")))
     assert {r["predicted"] for r in none} == {0}
     assert toxicity.score(documents(spark, []), spark.createDataFrame([], "doc_id long, toxic int")).count() == 0
+
+
+def plain_logit(model: toxicity.Model, text: str) -> float:
+    """The forward pass word by word: embedding sums, every filter at every place, the largest, a weighted sum."""
+    vectors = [model.embedding[list(toxicity.buckets(w))].sum(0) for w in toxicity.words_of(text)]
+    total, column = float(model.bias), 0
+    for width in toxicity.WIDTHS:
+        for f in range(toxicity.FILTERS):
+            best = 0.0
+            for i in range(len(vectors)):
+                value = sum(float(vectors[i + k] @ model.filters[width][k][:, f]) for k in range(width) if i + k < len(vectors))
+                best = max(best, value + float(model.offsets[column]))
+            total += best * float(model.weights[column])
+            column += 1
+    return total
+
+
+def test_scores_equal_the_plain_forward_pass():
+    texts, y = corpus(150)
+    model = toxicity.train(texts, y)
+    tried = [*texts[:12], "", "vilest", "the of", " ".join(texts[:6]), "x " * 150 + "vilest end"]
+    logits, _ = toxicity.Scorer(model).measure([toxicity.words_of(t) for t in tried])
+    np.testing.assert_allclose(logits, [plain_logit(model, t) for t in tried], atol=2e-3)

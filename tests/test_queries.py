@@ -1,7 +1,4 @@
-"""Registered queries against their SQL on the smallest tables.
-
-Queries that repeat the long search or stream of another one run with ``CHECK_ALL=1`` only.
-"""
+"""All registered queries against their SQL on the smallest tables."""
 
 from __future__ import annotations
 
@@ -13,12 +10,7 @@ from check_queries import compare, duck
 from quillspark.plans import load_all
 
 SF_DIR = os.environ.get("CHECK_SF_DIR", "/root/testdata/sf0.001")
-REPEATING = {
-    "lexical_candidates", "lexical_rerank", "lexical_decisions", "result_citations", "vector_search", "candidate_terms",
-    "aggregate_metrics", "development_gate", "failure_histogram", "stream_dead_letters", "stream_note_counters",
-    "stream_rankings", "dead_letter_replay", "output_manifest", "run_totals", "term_statistics", "stream_alert_firing",
-}
-NAMES = [n for n in load_all().entries if os.environ.get("CHECK_ALL") or n not in REPEATING]
+NAMES = list(load_all().entries)
 
 
 @pytest.fixture(scope="module")

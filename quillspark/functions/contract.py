@@ -155,3 +155,15 @@ MOST_EVAL_TASKS = 8
 
 # Cache counters in a load run's metrics text.
 COUNTER_LINE = r'^(cache_hit_total|cache_miss_total)\{cache="([^"]+)"\}\s+([0-9.eE+-]+)$'
+
+# Status changes of a run that are allowed.
+TRANSITIONS = {"queued": ["running", "failed", "cancelled"], "running": ["succeeded", "failed", "cancelled"]}
+
+# Gates of an event stream: name, report column, target, condition.
+DISTRIBUTION_GATES = [
+    ("multi_step_sessions", "average_events", ">= 2.0", "average_events >= 2"),
+    ("zipf_note_concentration", "note_share", "0.08 to 0.80", "note_share BETWEEN 0.08 AND 0.80"),
+    ("active_user_concentration", "user_share", "0.20 to 0.80", "user_share BETWEEN 0.20 AND 0.80"),
+    ("persona_diversity", "personas", ">= 6", "personas >= 6"),
+    ("event_type_diversity", "event_types", ">= 8", "event_types >= 8"),
+]

@@ -4,11 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from quillspark.functions import contract as C
 from quillspark.operators.ordering import running, shifted
 
-# Allowed run status changes.
-TRANSITIONS = {"queued": ["running", "failed", "cancelled"], "running": ["succeeded", "failed", "cancelled"]}
-
 
 def unsupported_claims(runs: DataFrame, claims: DataFrame, citations: DataFrame) -> DataFrame:
     """Per succeeded run: claims that are not supported or lack a supporting citation."""
@@ -47,7 +45,7 @@ def invalid_transitions(history: DataFrame, keys: list[str], order: list[str]) -
     ranked = running(history.select(*keys, *order, "status"), keys, order, "step")
     stepped = shifted(ranked, keys, "step", {"previous": "status"}).where("previous IS NOT NULL AND previous <> status")
     allowed = F.lit(False)
-    for before, after in TRANSITIONS.items():
+    for before, after in C.TRANSITIONS.items():
         allowed = allowed | ((F.col("previous") == before) & F.col("status").isin(after))
     return stepped.where(~allowed).select(*keys, "step", "previous", "status")
 

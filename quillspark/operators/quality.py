@@ -80,13 +80,7 @@ def checks(row: DataFrame, gates: list[tuple[str, str, str, str]]) -> DataFrame:
 
 def distribution_gates(report: DataFrame, organic: bool, burst_fraction: float = 0.0) -> DataFrame:
     """Limits every simulated or real event stream must keep (one-row report in)."""
-    gates = [
-        ("multi_step_sessions", "average_events", ">= 2.0", "average_events >= 2"),
-        ("zipf_note_concentration", "note_share", "0.08 to 0.80", "note_share BETWEEN 0.08 AND 0.80"),
-        ("active_user_concentration", "user_share", "0.20 to 0.80", "user_share BETWEEN 0.20 AND 0.80"),
-        ("persona_diversity", "personas", ">= 6", "personas >= 6"),
-        ("event_type_diversity", "event_types", ">= 8", "event_types >= 8"),
-    ]
+    gates = list(C.DISTRIBUTION_GATES)
     if organic:
         gates.append(("organic_burst_ratio", "burst_ratio", "= 0", "burst_ratio = 0"))
     else:

@@ -301,7 +301,7 @@ def term_statistics(spark, sf):
 @query("scoped_statistics", "A12 R2", """
     SELECT project_id, access_scope, term, chunk_frequency, occurrence_count, round(idf, 6) AS idf FROM scope_stats""")
 def scoped_statistics(spark, sf):
-    rows = chunk_table(spark, sf).select("project_id", "visibility", "lexemes")
+    rows = ev.all_chunks(spark, sf).select("project_id", "visibility", "lexemes")
     return lexical.scoped_statistics(rows, model.projects(spark, sf)).withColumn("idf", F.round("idf", 6))
 
 

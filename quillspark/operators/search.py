@@ -80,7 +80,7 @@ class IndexedSearch:
     def ranked(self, terms: DataFrame, hybrid: bool = False) -> DataFrame:
         keyed = terms.withColumn("run_term", index.run_term("run_id", "project_id", "term"))
         matched = lexical.match_candidates(
-            self.planned, keyed, self.everything, self.stored.postings(self.run_ids).withColumn("project_open", F.lit(True)), ["run_term"])
+            self.planned, keyed, self.everything, self.stored.posting_blocks(self.run_ids).withColumn("project_open", F.lit(True)), ["run_term"])
         return lexical.rank_candidates(matched if hybrid else matched.where("term_count > 0"), self.planned, self.everything, hidden=self.hidden)
 
 

@@ -234,8 +234,8 @@ def group_stream(spark, sf):
 
 @query("stream_latency_quantiles", "T9 A14", "SELECT event_type, window_start, requests, p95 AS latency FROM group_windows")
 def stream_latency_quantiles(spark, sf):
-    rows = windows.latency_quantiles(group_stream(spark, sf), "6 hours", "2 hours", by=["event_type"])
-    return collect_stream(spark, rows, "update", ["event_type", "window_start"])
+    counts = windows.latency_counts(group_stream(spark, sf), "6 hours", "2 hours", by=["event_type"])
+    return windows.latency_quantiles(collect_stream(spark, counts, "update", ["event_type", "window_start", "latency"]), by=["event_type"])
 
 
 @query("stream_latency_firing", "T9", HELD_SQL.format(high="x.p95 > 100"))

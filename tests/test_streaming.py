@@ -238,3 +238,15 @@ def test_streams_read_files_and_folders_alike(spark, tmp_path):
         done = stream.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
         done.awaitTermination()
         assert spark.read.parquet(f"{root}/out").count() == 40
+
+
+def test_latency_quantiles_are_exact_in_windows_of_many_values(spark, tmp_path):
+    from quillspark.plans import streams
+
+    n = 60_000
+    rows = spark.range(n).selectExpr(
+        "CASE WHEN id % 2 = 0 THEN 'view' ELSE 'click' END AS event_type", "timestamp_seconds(1704074400 + id % 7000) AS ts", "CAST(id * 7919 % 60000 AS double) AS value")
+    rows.unionByName(spark.sql("SELECT 'view' AS event_type, timestamp_seconds(1704074400) AS ts, CAST(NULL AS double) AS value")).write.parquet(f"{tmp_path}/events.parquet")
+    got = {(r["event_type"], r["requests"], r["latency"]) for r in streams.stream_latency_quantiles(spark, str(tmp_path)).collect()}
+    # odd values are clicks, even ones views: the 28,500th of 30,000
+    assert got == {("click", n // 2, 56_999.0), ("view", n // 2 + 1, 56_998.0)}

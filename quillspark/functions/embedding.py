@@ -16,14 +16,18 @@ from pyspark import cloudpickle
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 DIMENSION = 64
-_WORD = re.compile(r"[^\W_]+")
+# Letters and decimal digits, as the tokenizer takes them: \w also has fractions, superscripts and the like.
+_OTHER_NUMBERS = re.escape("".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not (c.isalpha() or c.isdecimal())))
+_WORD = re.compile(rf"[^\W_{_OTHER_NUMBERS}]+")
+#: Capitals that would not become one letter by themselves.
+_SINGLE = str.maketrans("Σİ", "σi")
 
 
 def hashed_words(texts: list[str]) -> np.ndarray:
     vectors = np.zeros((len(texts), DIMENSION), dtype=np.float32)
     slots: dict[str, tuple[int, int]] = {}
     for row, text in enumerate(texts):
-        for word in _WORD.findall(text.lower()):
+        for word in _WORD.findall(text.translate(_SINGLE).lower()):
             if word not in slots:
                 digest = hashlib.sha256(word.encode()).digest()
                 slots[word] = (digest[0] % DIMENSION, 1 if digest[1] % 2 == 0 else -1)

@@ -549,10 +549,11 @@ def vector_hits(session):
 @query("embedding_norms", "R11", """
     SELECT key AS chunk_key, round(norm, 4) AS norm FROM embed_norms WHERE key NOT LIKE 'q%'""")
 def embedding_norms(spark, sf):
-    chunks = chunk_table(spark, sf)
+    """Norms of all chunks with a word; words may cancel each other out, and the norm is 0 then."""
+    chunks = ev.all_chunks(spark, sf).where(F.col("content").rlike(r"[\p{L}\p{Nd}]")).select("chunk_key", "content")
     stored = vector.embed(chunks, "chunk_key", "content", hashed_words, DIMENSION)
     squares = F.aggregate("embedding", F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double"))
-    return stored.where("error IS NULL").select("chunk_key", F.round(F.sqrt(squares), 4).alias("norm")).where("norm > 0")
+    return stored.where("error IS NULL").select("chunk_key", F.round(F.sqrt(squares), 4).alias("norm"))
 
 
 @query("vector_search", "R11 R12 R13 R14 R17", f"""

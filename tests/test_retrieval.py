@@ -213,3 +213,20 @@ def test_containment_of_tiny_anchors(spark):
     texts = spark.createDataFrame([(1, "abc def"), (2, "x"), (3, ""), (4, "éé")], "text_id int, text string")
     anchors = spark.createDataFrame([(1, "abc"), (2, "x"), (3, "é"), (4, "zz"), (5, ""), (6, "c d")], "anchor_id int, anchor string")
     assert {tuple(r) for r in containment(texts, anchors).collect()} == {(1, 1), (2, 2), (4, 3), (1, 6)}
+
+
+def test_norms_keep_chunks_whose_words_cancel_out_and_take_the_words_of_the_sql(spark, monkeypatch):
+    import hashlib
+
+    from quillspark.plans import retrieval as rt
+
+    slots = {}
+    for word in (f"w{i}" for i in range(1000)):
+        digest = hashlib.sha256(word.encode()).digest()
+        slots.setdefault(digest[0] % 64, {}).setdefault(digest[1] % 2, word)
+    pair = next(" ".join(both.values()) for both in slots.values() if len(both) == 2)
+    rows = [("cancelled", pair), ("empty", "... ² !"), ("number", "ten ½ ten"), ("sigma", "ΟΣ οσ")]
+    chunks = spark.createDataFrame(rows, "chunk_key string, content string")
+    for module, name in ((rt.ev, "all_chunks"), (rt, "chunk_table")):
+        monkeypatch.setattr(module, name, lambda spark, sf: chunks)
+    assert {r["chunk_key"]: r["norm"] for r in rt.embedding_norms(spark, "").collect()} == {"cancelled": 0.0, "number": 2.0, "sigma": 2.0}

@@ -5,10 +5,12 @@ from __future__ import annotations
 import json
 import sys
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import functions as F, types as T
 
+from quillspark.functions.chunks import in_slices
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
@@ -26,6 +28,6 @@ def string_leaves(document: str | None) -> list[str]:
     return leaves
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def json_leaves(document: pd.Series) -> pd.Series:
-    return document.map(string_leaves)
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def json_leaves(document: pa.Array) -> pa.Array:
+    return in_slices(document, string_leaves, pa.list_(pa.string()))

@@ -227,6 +227,5 @@ def test_norms_keep_chunks_whose_words_cancel_out_and_take_the_words_of_the_sql(
     pair = next(" ".join(both.values()) for both in slots.values() if len(both) == 2)
     rows = [("cancelled", pair), ("empty", "... ² !"), ("number", "ten ½ ten"), ("sigma", "ΟΣ οσ")]
     chunks = spark.createDataFrame(rows, "chunk_key string, content string")
-    for module, name in ((rt.ev, "all_chunks"), (rt, "chunk_table")):
-        monkeypatch.setattr(module, name, lambda spark, sf: chunks)
+    monkeypatch.setattr(rt.ev, "all_chunks", lambda spark, sf: chunks)
     assert {r["chunk_key"]: r["norm"] for r in rt.embedding_norms(spark, "").collect()} == {"cancelled": 0.0, "number": 2.0, "sigma": 2.0}

@@ -85,3 +85,25 @@ def test_string_leaves_of_nested_json():
 
     assert sorted(string_leaves('{"a:": ["x, \\"y\\"", {"k": "z"}], "n": 3, "e": null}')) == ["x, \"y\"", "z"]
     assert string_leaves(None) == []
+
+
+def test_only_a_few_texts_of_a_batch_are_python_objects_at_a_time():
+    import pyarrow as pa
+
+    from quillspark.functions.chunks import in_slices
+
+    alive, most = [0], [0]
+
+    class Result(list):
+        def __init__(self, items):
+            super().__init__(items)
+            alive[0] += 1
+            most[0] = max(most[0], alive[0])
+
+        def __del__(self):
+            alive[0] -= 1
+
+    kind = pa.list_(pa.int32())
+    texts = pa.array(["abc", None, "é"] * 100)
+    assert in_slices(texts, lambda t: Result(cut_points(t)), kind, 10).to_pylist() == [[0, 3, 0, 3], [], [0, 2, 0, 1]] * 100
+    assert most[0] <= 10 and len(in_slices(texts[:0], cut_points, kind)) == 0

@@ -640,7 +640,7 @@ def evidence_audit(spark, sf):
     from quillspark.session import materialize
 
     docs = built_documents(spark, sf)
-    rows = materialize(evidence.chunks(docs))
+    rows = materialize(evidence.chunks(docs).select("document_key", "chunk_key", "chunk_index", "start_byte", "end_byte", "content", "content_hash", "segments"))
     cited = evidence.citations(rows)
     counted = rows.groupBy("document_key").agg(F.count("*").alias("chunk_count"))
     stored = docs.join(counted, "document_key").withColumn("lifecycle_status", F.lit("ready")).withColumn(
@@ -659,16 +659,16 @@ def output_checksum_check(spark, sf):
     """A run's output against the checksum it recorded: as it was, with one quote changed, and without its media."""
     from quillspark.session import materialize
 
-    docs = materialize(direct_docs(spark, sf))
-    rows = materialize(evidence.chunks(docs))
-    cited = materialize(evidence.citations(rows))
+    docs = materialize(direct_docs(spark, sf).select("document_key", "document_type", "canonical_text", "segments"))
+    rows = materialize(evidence.chunks(docs).select("document_key", "document_type", "chunk_key", "start_byte", "end_byte", "content", "segments"))
+    cited = evidence.citations(rows)
     recorded = materialize(evidence.output_checksum(docs, rows, cited))
     first = cited.agg(F.min("citation_key").alias("first"))
     changed = ordering.with_row(cited, first).withColumn("quote", F.when(F.col("citation_key") == F.col("first"), "changed").otherwise(F.col("quote"))).drop("first")
-    kept = docs.where("document_type <> 'note_media'").select("document_key")
+    docs_kept, rows_kept = (x.where("document_type <> 'note_media'") for x in (docs, rows))
     outputs = {
         "intact": (docs, rows, cited), "one_quote_changed": (docs, rows, changed),
-        "documents_lost": tuple(x.join(kept, "document_key", "left_semi") for x in (docs, rows, cited)),
+        "documents_lost": (docs_kept, rows_kept, evidence.citations(rows_kept)),
     }
     found = None
     for name, output in outputs.items():

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -113,3 +115,13 @@ def test_freeze_reuses_an_unchanged_snapshot(spark, tmp_path):
     grown = rows.withColumn("source_version", F.lit(2).cast("bigint"))
     assert freeze(grown, 2, 9, first.select("dataset_id", "version", "manifest_checksum")).first()["version"] == 2
     assert spark.read.parquet(str(tmp_path / "snap/dataset=9/version=1/members")).count() == 1
+
+
+def test_an_audit_does_not_carry_texts_past_the_join_with_their_chunks(spark):
+    docs = spark.createDataFrame([("d", 1, "note", "ready", 1, "some text")], "document_key string, project_id bigint, document_type string, lifecycle_status string, chunk_count bigint, canonical_text string")
+    rows = spark.createDataFrame([("d", "c", 0, 9, "some text", "x")], "document_key string, chunk_key string, start_byte int, end_byte int, content string, content_hash string")
+    cites = spark.createDataFrame([("d", "c", 0, 9, "x")], "document_key string, chunk_key string, document_start_byte int, document_end_byte int, quote_hash string")
+    flags = spark.createDataFrame([("d", False)], "document_key string, source_gone boolean")
+    plan = evidence.audit(docs, rows, cites, flags)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    after = [plan[at + 1] for at, line in enumerate(plan) if "Join LeftOuter, (chunk_key" in line]
+    assert after and not any(re.search(r"[\[ ]_text#\d+[,\]]", line) for line in after)

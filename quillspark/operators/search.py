@@ -63,8 +63,9 @@ class IndexedSearch:
         #: A public query's project is open, or its scope would be none.
         self.everything = stored.chunks(self.run_ids).withColumn("project_open", F.lit(True))
 
-    def visible(self) -> DataFrame:
-        return self.everything.join(self.hidden, "document_key", "left_anti")
+    def shown(self, rows: DataFrame) -> DataFrame:
+        """``rows`` (document_key) without those of hidden documents; give it narrow rows, which are moved."""
+        return rows.join(self.hidden, "document_key", "left_anti")
 
     def chunks_of(self, found: DataFrame) -> DataFrame:
         return self.everything.join(found.select("chunk_key").distinct(), "chunk_key", "left_semi")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import sys
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -27,19 +27,21 @@ HITS = "query_id bigint, chunk_key string, vector_score double"
 
 def embed(
     rows: DataFrame, key: str, text: str, embedder: Callable[[list[str]], np.ndarray], dimension: int,
-    instruction: str = "", batch: int = 32,
+    instruction: str = "", batch: int = 32, carried: Sequence[str] = (),
 ) -> DataFrame:
     """Vectors of a text column from a pluggable model; a bad vector becomes an error row.
 
-    Queries pass an ``instruction`` prefix, documents none.
+    Queries pass an ``instruction`` prefix, documents none. Columns ``carried`` along spare a join
+    that would move the texts.
     """
+    kept = [key, *carried]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in batches:
-            for start in range(0, len(frame), batch):
-                part = frame.iloc[start:start + batch]
-                vectors = embedder([instruction + t for t in part[text]])
-                good, errors = [], []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            texts = rows.column(text)
+            good, errors = [], []
+            for start in range(0, rows.num_rows, batch):
+                vectors = embedder([instruction + t for t in texts.slice(start, batch).to_pylist()])
                 for v in vectors:
                     v = np.asarray(v, dtype=np.float32)
                     problem = None
@@ -49,10 +51,11 @@ def embed(
                         problem = "vector has a non-finite component"
                     good.append(None if problem else v)
                     errors.append(problem)
-                yield pd.DataFrame({key: part[key].values, "embedding": good, "error": errors})
+            made = [pa.array(good, pa.list_(pa.float32())), pa.array(errors, pa.string())]
+            yield pa.RecordBatch.from_arrays([*[rows.column(c) for c in kept], *made], names=[*kept, "embedding", "error"])
 
-    kind = rows.schema[key].dataType.simpleString()
-    return rows.select(key, text).mapInPandas(run, f"{key} {kind}, embedding array<float>, error string")
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in kept)
+    return rows.select(*dict.fromkeys([*kept, text])).mapInArrow(run, f"{kinds}, embedding array<float>, error string")
 
 
 def _blocks(rows: DataFrame, size: int) -> DataFrame:

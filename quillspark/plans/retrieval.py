@@ -121,9 +121,12 @@ def vector_queries(planned, embedded):
         F.col("hinted_note_ids").alias("hints"), "preferred_position")
 
 
+POINT_COLUMNS = ["document_key", "project_id", "project_open", "visibility", "document_type", "note_id", "media_position"]
+
+
 def text_vectors(planned, chunks):
     asked = vector.embed(planned, "query_id", "query", hashed_words, DIMENSION, C.QUERY_INSTRUCTION)
-    stored = vector.embed(chunks, "chunk_key", "content", hashed_words, DIMENSION)
+    stored = vector.embed(chunks, "chunk_key", "content", hashed_words, DIMENSION, carried=POINT_COLUMNS)
     return asked.where("error IS NULL").drop("error"), stored.where("error IS NULL").drop("error")
 
 
@@ -535,9 +538,9 @@ define("vector_scored", """
 
 
 def vector_hits(session):
-    chunks = session.visible()
-    asked, stored = text_vectors(session.planned, chunks)
-    hits = vector.vector_candidates(vector_queries(session.planned, asked), chunks.join(stored, "chunk_key"))
+    """Best chunks of documents that are not hidden; chunks become vectors where they are stored, only those are moved."""
+    asked, stored = text_vectors(session.planned, session.everything)
+    hits = vector.vector_candidates(vector_queries(session.planned, asked), session.shown(stored))
     return hits.withColumn("vector_score", F.round("vector_score", 12))
 
 
@@ -556,7 +559,7 @@ def embedding_norms(spark, sf):
       {DIVERSE_SQL.format(rows="(SELECT *, 0 AS tie FROM (SELECT query_id, chunk_key, document_key, note_id, round(score, 12) AS score FROM vector_scored))", t="0.45::DOUBLE")}) WHERE rank <= 10""")
 def vector_search(spark, sf):
     session = searched(spark, sf, planned_cases(spark, sf))
-    rows = search.vector_results(vector_hits(session), session.visible(), session.planned)
+    rows = search.vector_results(vector_hits(session), session.everything, session.planned)
     found = search.select_diverse(rows, C.THRESHOLDS["vector"])
     return found.select("query_id", index.plain_key("chunk_key").alias("chunk_key"), F.col("rank").cast("bigint").alias("rank"), F.round("confidence", 6).alias("confidence"))
 
@@ -587,8 +590,8 @@ def hybrid_search(spark, sf):
     session = searched(spark, sf, planned_cases(spark, sf))
     stats = materialize(session.term_statistics())
     lex = materialize(session.lexical_candidates(stats, hybrid=True))
-    vec = search.vector_results(vector_hits(session), session.visible(), session.planned)
-    rows = search.hybrid_results(lex, vec, session.planned, session.visible(), stats)
+    vec = search.vector_results(vector_hits(session), session.everything, session.planned)
+    rows = search.hybrid_results(lex, vec, session.planned, session.everything, stats)
     found = search.select_diverse(rows, C.THRESHOLDS["hybrid"])
     return found.select("query_id", index.plain_key("chunk_key").alias("chunk_key"), F.col("rank").cast("bigint").alias("rank"), F.round("confidence", 6).alias("confidence"))
 

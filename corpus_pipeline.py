@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quillspark.llm import minhash, mixing, packing, pii, toxicity
 from quillspark.llm.common import WORD, table
-from quillspark.session import materialize
+from quillspark.session import materialize, outcome
 
 #: Words of a shingle in the near-duplicate stage.
 WORDS = 5
@@ -42,7 +42,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Texts are near duplicates at a similarity of 0.8 or more on shingles of ``WORDS`` words. Rows that share a doc_id are one document; their first text in order stays.
     """
-    kept = minhash.deduplicate(docs, words=WORDS).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    kept = outcome(spark, lambda: minhash.deduplicate(docs, words=WORDS).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct())
     named = docs.select(*COLUMNS).join(kept, "doc_id", "left_semi")
     repeated = docs.groupBy("doc_id").agg(F.count("*").alias("n"), F.min(F.xxhash64("text", "lang", "source", "n_chars")).alias("first")).where("n > 1 AND doc_id IS NOT NULL")
     once = named.join(repeated.select("doc_id", "first"), "doc_id", "left").withColumn("own", F.xxhash64("text", "lang", "source", "n_chars"))

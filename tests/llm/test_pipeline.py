@@ -80,3 +80,16 @@ def test_awkward_rows(spark):
     for _, stage in pipeline.STAGES:
         nothing = materialize(stage(spark, nothing, SF_DIR))
     assert nothing.count() == 0
+
+
+def test_near_duplicates_leave_only_the_ids_they_keep(spark, stages):
+    """What the search for near duplicates writes on the way is gone when the stage is defined."""
+    from pathlib import Path
+
+    from quillspark.session import scratch_dir
+
+    held = lambda: set(Path(scratch_dir(spark).removeprefix("file://")).glob("quillspark/**/*.parquet"))
+    before = held()
+    rest = pipeline.drop_near_duplicates(spark, stages[1], SF_DIR)
+    assert len({p.parent for p in held() - before}) == 1
+    assert rest.count() == stages[2].count()

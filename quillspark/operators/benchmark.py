@@ -9,6 +9,7 @@ from quillspark.functions.leaves import json_leaves
 from quillspark.functions.text import collapse_spaces, hash_parts, query_fingerprint, stable_index, typo_variant
 from quillspark.operators.containment import containment
 from quillspark.operators.ordering import running, top_per_group, with_row
+from quillspark.session import materialize
 
 ANCHOR_CHARS = 4
 
@@ -254,7 +255,6 @@ def distinguishability(cases: DataFrame, gold: DataFrame, scenarios: DataFrame,
     ``cases``: case_id, query. ``gold``: case_id, note_id, topic. ``scenarios``: note_id,
     subject. ``anchors``: note_id, anchor (distinct).
     """
-    spread = anchors.groupBy("anchor").agg(F.count_distinct("note_id").alias("notes"))
     cohort = scenarios.select("note_id", collapse_spaces("subject").alias("topic")).where("topic <> ''").groupBy("topic").agg(
         F.count_distinct("note_id").alias("cohort"))
     wanted = anchors.join(gold.select("note_id").distinct(), "note_id", "left_semi").select("anchor").distinct()
@@ -263,7 +263,10 @@ def distinguishability(cases: DataFrame, gold: DataFrame, scenarios: DataFrame,
         wanted.select(F.sha2("anchor", 256).alias("anchor_id"), "anchor"),
     )
     named = gold.select("case_id", "note_id").distinct().join(anchors, "note_id").withColumn("anchor_id", F.sha2("anchor", 256))
-    matched = named.join(found.withColumnRenamed("text_id", "case_id"), ["case_id", "anchor_id"]).join(spread, "anchor").groupBy("case_id").agg(
+    # notes are counted for the anchors some query holds, not for every line of the corpus
+    met = materialize(named.join(found.withColumnRenamed("text_id", "case_id"), ["case_id", "anchor_id"]).select("case_id", "anchor").distinct())
+    spread = anchors.join(met.select("anchor").distinct(), "anchor", "left_semi").groupBy("anchor").agg(F.count("*").alias("notes"))
+    matched = met.join(spread, "anchor").groupBy("case_id").agg(
         F.count_distinct("anchor").alias("matched_anchors"), F.count_distinct(F.when(F.col("notes") == 1, F.col("anchor"))).alias("unique_anchors"))
     known = scenarios.select("note_id").distinct().withColumn("_known", F.lit(True))
     per_case = (

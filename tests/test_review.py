@@ -82,6 +82,17 @@ def test_distinguishability_states(spark):
         1: ("pass", 1, 1, 2), 2: ("review", 1, 0, 2), 3: ("pass", 0, 0, 2), 4: ("not_applicable", 0, 0, 0), 5: ("invalid", 0, 0, 0)}
 
 
+def test_notes_are_counted_for_anchors_of_queries_only(spark):
+    """Lines that no query holds are left out before anything is grouped by anchor."""
+    cases = spark.createDataFrame([(1, "see the shared phrase")], "case_id int, query string")
+    gold = spark.createDataFrame([(1, 41, "trees")], "case_id int, note_id bigint, topic string")
+    scenarios = spark.range(41, 61).select(F.col("id").alias("note_id"), F.lit("trees").alias("subject"))
+    anchors = scenarios.select("note_id", F.explode(F.array(F.lit("shared phrase"), F.concat(F.lit("line "), F.col("note_id").cast("string")))).alias("anchor"))
+    got = benchmark.distinguishability(cases, gold, scenarios, anchors)
+    assert "LeftSemi, (anchor#" in got._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r["matched_anchors"], r["unique_anchors"], r["status"]) for r in got.collect()] == [(1, 0, "review")]
+
+
 def test_top_share_takes_part_of_a_level(spark):
     events = spark.createDataFrame([(u,) for u, n in ((1, 5), (2, 3), (3, 3), (4, 1)) for _ in range(n)], "u int")
     size = spark.range(1).select(F.lit(4).alias("size"))

@@ -107,3 +107,26 @@ def test_only_a_few_texts_of_a_batch_are_python_objects_at_a_time():
     texts = pa.array(["abc", None, "é"] * 100)
     assert in_slices(texts, lambda t: Result(cut_points(t)), kind, 10).to_pylist() == [[0, 3, 0, 3], [], [0, 2, 0, 1]] * 100
     assert most[0] <= 10 and len(in_slices(texts[:0], cut_points, kind)) == 0
+
+
+def test_chunk_points_equal_the_plain_cut_points_and_run_no_python(spark):
+    """Cut points come from column expressions: no text is sent to a Python worker, whatever its length."""
+    import random
+
+    from pyspark.sql import functions as F
+    from quillspark.functions.chunks import chunk_points
+
+    rng = random.Random(7)
+    letters = ["a", "b", " ", "é", "字", "😀", "\n", ".", "。", "，", "́", "\x00", "\r", "$", "\\"]
+    texts = [None, "", "a", "。", "😀" * 2000, "x" * 5000, "字" * 3000, ("w" * 700 + "。") * 9, "." * 4000, "\n" * 1201]
+    for plain in range(40):
+        weights = [rng.choice((0, 1, 20)) for _ in letters]
+        texts.append("".join(rng.choices(letters, weights if any(weights) else None, k=rng.choice((5, 400, 1199, 1200, 1201, 6000)))))
+    df = spark.createDataFrame(list(enumerate(texts)), "n int, t string").repartition(4)
+    for size, overlap in ((1200, 160), (9, 3), (40, 39), (7, 0)):
+        got = df.select("n", chunk_points("t", size, overlap).alias("p")).where("n >= 0")
+        if size == 1200:
+            assert "Python" not in got._jdf.queryExecution().executedPlan().toString()
+        some = got if size == 1200 else got.where((F.length("t") < 450) | F.col("t").isNull())
+        for n, points in some.collect():
+            assert points == cut_points(texts[n], size, overlap), (size, overlap, texts[n])

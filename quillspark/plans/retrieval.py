@@ -14,7 +14,7 @@ from quillspark.operators.containment import containment
 from quillspark.operators.versions import close_older_versions
 from quillspark.plans import evidence as ev
 from quillspark.plans.registry import REGISTRY
-from quillspark.session import fingerprint, materialize, scratch_dir
+from quillspark.session import fingerprint, materialize, passing, scratch_dir
 from quillspark.sources import model
 
 query, define = REGISTRY.query, REGISTRY.define
@@ -44,8 +44,9 @@ def empty_index(spark, sf):
 def stored_index(spark, sf):
     stored = empty_index(spark, sf)
     if not stored.has(RUN):
-        stored.add_run(RUN, ev.DATASET_VERSION_ID, F.to_timestamp(F.lit("2024-03-01")),
-                       ev.chunk_parts(ev.direct_docs(spark, sf), ev.cluster_docs(spark, sf)), model.projects(spark, sf))
+        with passing(spark):  # the index holds all that was ranked on the way
+            stored.add_run(RUN, ev.DATASET_VERSION_ID, F.to_timestamp(F.lit("2024-03-01")),
+                           ev.chunk_parts(ev.direct_docs(spark, sf), ev.cluster_docs(spark, sf)), model.projects(spark, sf))
     return stored
 
 
@@ -421,8 +422,9 @@ def two_run_index(spark, sf):
     """The index of the corpus with a second run beside the first."""
     stored = stored_index(spark, sf)
     if not stored.has(SECOND_RUN):
-        second = ev.chunk_parts(*second_documents(spark, sf))
-        stored.add_run(SECOND_RUN, SECOND_VERSION, F.to_timestamp(F.lit("2024-04-01")), second, model.projects(spark, sf))
+        with passing(spark):
+            second = ev.chunk_parts(*second_documents(spark, sf))
+            stored.add_run(SECOND_RUN, SECOND_VERSION, F.to_timestamp(F.lit("2024-04-01")), second, model.projects(spark, sf))
     return stored
 
 

@@ -37,7 +37,7 @@ def content_versions(history: DataFrame, keys: list[str], order: list[str], watc
 
 
 def note_sources(notes: DataFrame, default_dataset: DataFrame) -> DataFrame:
-    """Registry rows of notes: hash over title, body, status and visibility."""
+    """Registry rows of notes: hash over title, body, status and visibility; a note without any text has a null text."""
     live = (F.col("status") != "deleted") & F.col("deleted_at").isNull()
     return notes.join(default_dataset, "project_id", "left").select(
         "project_id", "dataset_id", F.lit("note").alias("source_type"), F.col("id").alias("source_id"),
@@ -45,7 +45,7 @@ def note_sources(notes: DataFrame, default_dataset: DataFrame) -> DataFrame:
         hash_parts("title", "body", "status", "visibility").alias("content_hash"),
         F.when(live, "pending").otherwise("deleted").alias("index_status"),
         F.when(~live, F.coalesce("deleted_at", "updated_at")).alias("deleted_at"),
-        canonical_note("title", "body").alias("canonical_text"),
+        F.nullif(canonical_note("title", "body"), F.lit("")).alias("canonical_text"),
         F.col("id").alias("note_id"), F.lit(None).cast("int").alias("media_position"),
         F.to_json(F.struct("body", "category", "status", "title", "visibility")).alias("source_payload"),
     )

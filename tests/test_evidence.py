@@ -125,3 +125,13 @@ def test_an_audit_does_not_carry_texts_past_the_join_with_their_chunks(spark):
     plan = evidence.audit(docs, rows, cites, flags)._jdf.queryExecution().optimizedPlan().toString().splitlines()
     after = [plan[at + 1] for at, line in enumerate(plan) if "Join LeftOuter, (chunk_key" in line]
     assert after and not any(re.search(r"[\[ ]_text#\d+[,\]]", line) for line in after)
+
+
+def test_a_note_without_text_is_captured_with_a_null_text(spark):
+    from quillspark.operators import versions
+
+    columns = "id bigint, project_id bigint, title string, body string, category string, visibility string, status string, deleted_at timestamp, updated_at timestamp, content_version bigint"
+    notes = spark.createDataFrame([(i, 1, "", body, "en", "public", "published", None, None, 1) for i, body in enumerate(["text", "", None])], columns)
+    dataset = spark.createDataFrame([(1, 7)], "project_id bigint, dataset_id bigint")
+    captured = versions.capture_payloads(versions.note_sources(notes, dataset))
+    assert sorted(tuple(r) for r in captured.select("source_id", "canonical_text").collect()) == [(0, "text"), (1, None), (2, None)]

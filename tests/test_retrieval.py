@@ -229,3 +229,15 @@ def test_norms_keep_chunks_whose_words_cancel_out_and_take_the_words_of_the_sql(
     chunks = spark.createDataFrame(rows, "chunk_key string, content string")
     monkeypatch.setattr(rt.ev, "all_chunks", lambda spark, sf: chunks)
     assert {r["chunk_key"]: r["norm"] for r in rt.embedding_norms(spark, "").collect()} == {"cancelled": 0.0, "number": 2.0, "sigma": 2.0}
+
+
+def test_a_word_is_hashed_once_however_many_batches_hold_it(monkeypatch):
+    from quillspark.functions import embedding
+
+    hashed, sha256 = [], embedding.hashlib.sha256
+    monkeypatch.setattr(embedding.hashlib, "sha256", lambda data: hashed.append(data) or sha256(data))
+    batches = [[f"twice told ÉTÉ{i % 2} Ab²ab ΑΣ İx" for i in range(32)] for _ in range(3)]
+    first, *others = [embedding.hashed_words(texts) for texts in batches]
+    assert len(hashed) == len({w.decode() for w in hashed} | {"ab"}) + 1  # "ab" twice: both words of one run
+    assert {w.decode() for w in hashed} == {"twice", "told", "été0", "été1", "ab", "ασ", "ix"}
+    assert all((first == other).all() for other in others) and first.shape == (32, embedding.DIMENSION)

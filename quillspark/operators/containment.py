@@ -14,13 +14,15 @@ def _words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{Nd}]+"), F.lit(0))
 
 
+def _shingle(words: Column, start: Column) -> Column:
+    """Hash of the ``SHINGLE`` words from 0-based ``start``; the words are not joined, which costs more than the hash."""
+    return F.xxhash64(*[F.get(words, start + i) for i in range(SHINGLE)])
+
+
 def _shingles(words: Column) -> Column:
     return F.when(
         F.size(words) >= SHINGLE,
-        F.transform(
-            F.sequence(F.lit(1), F.size(words) - SHINGLE + 1),
-            lambda i: F.xxhash64(F.array_join(F.slice(words, i, F.lit(SHINGLE)), " ")),
-        ),
+        F.transform(F.sequence(F.lit(0), F.size(words) - SHINGLE), lambda i: _shingle(words, i)),
     ).otherwise(F.array().cast("array<bigint>"))
 
 
@@ -38,6 +40,21 @@ def _checked(pairs: DataFrame, texts: DataFrame, anchors: DataFrame) -> DataFram
     )
 
 
+def _of_short(texts: DataFrame, short_anchors: DataFrame) -> DataFrame:
+    """Pairs of anchors that have a four-character gram but too few words."""
+    # anchors are few against the texts' grams: keep only grams some anchor has, count those
+    anchor_grams = short_anchors.select("anchor_id", F.explode(F.array_distinct(_char_grams(col("anchor")))).alias("key"))
+    text_grams = texts.select("text_id", F.explode(F.array_distinct(_char_grams(col("text")))).alias("key")).join(
+        anchor_grams.select("key").distinct(), "key", "left_semi"
+    )
+    common = text_grams.groupBy("key").agg(F.count("*").alias("n"))
+    rarest = anchor_grams.join(common, "key", "left").groupBy("anchor_id").agg(
+        F.min_by("key", F.struct(F.coalesce("n", F.lit(0)), "key")).alias("key")
+    )
+    proposed_short = text_grams.join(rarest, "key").select("text_id", "anchor_id")
+    return _checked(proposed_short, texts, short_anchors)
+
+
 def containment(texts: DataFrame, anchors: DataFrame) -> DataFrame:
     """All pairs ``(text_id, anchor_id)`` with the anchor inside the text, exactly.
 
@@ -57,24 +74,15 @@ def containment(texts: DataFrame, anchors: DataFrame) -> DataFrame:
     text_words = texts.select("text_id", _words(col("text")).alias("words"))
     text_keys = text_words.select("text_id", F.explode(_shingles(F.col("words"))).alias("key"))
     long_keys = long_anchors.select(
-        "anchor_id", F.xxhash64(F.array_join(F.slice("words", 2, SHINGLE), " ")).alias("key")
+        "anchor_id", _shingle(F.col("words"), F.lit(1)).alias("key")
     )
     long_anchors = long_anchors.drop("words")
     proposed = text_keys.join(long_keys, "key").select("text_id", "anchor_id").distinct()
     found = _checked(proposed, texts, long_anchors)
 
-    # anchors are few against the texts' grams: keep only grams some anchor has, count those
-    anchor_grams = short_anchors.select("anchor_id", F.explode(F.array_distinct(_char_grams(col("anchor")))).alias("key"))
-    text_grams = texts.select("text_id", F.explode(F.array_distinct(_char_grams(col("text")))).alias("key")).join(
-        anchor_grams.select("key").distinct(), "key", "left_semi"
-    )
-    common = text_grams.groupBy("key").agg(F.count("*").alias("n"))
-    rarest = anchor_grams.join(common, "key", "left").groupBy("anchor_id").agg(
-        F.min_by("key", F.struct(F.coalesce("n", F.lit(0)), "key")).alias("key")
-    )
-    proposed_short = text_grams.join(rarest, "key").select("text_id", "anchor_id")
-    found = found.unionByName(_checked(proposed_short, texts, short_anchors))
-    if tiny_anchors.isEmpty():  # spares the texts a pass
+    if not short_anchors.isEmpty():  # spares the texts a pass
+        found = found.unionByName(_of_short(texts, short_anchors))
+    if tiny_anchors.isEmpty():
         return found
     tiny_keys = tiny_anchors.select("anchor_id", F.xxhash64("anchor").alias("key"))
     tiny_grams = F.concat(*[_char_grams(col("text"), size) for size in range(1, GRAM)])

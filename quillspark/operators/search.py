@@ -68,7 +68,8 @@ class IndexedSearch:
         return rows.join(self.hidden, "document_key", "left_anti")
 
     def chunks_of(self, found: DataFrame) -> DataFrame:
-        return self.everything.join(found.select("chunk_key").distinct(), "chunk_key", "left_semi")
+        """The chunks that were found; only their texts are hashed and cut into tokens."""
+        return index.described(self.stored.texts(self.run_ids).join(found.select("chunk_key").distinct(), "chunk_key", "left_semi")).withColumn("project_open", F.lit(True))
 
     def term_statistics(self) -> DataFrame:
         return index.term_statistics(self.planned, self.stored, self.run_ids)

@@ -241,3 +241,14 @@ def test_a_word_is_hashed_once_however_many_batches_hold_it(monkeypatch):
     assert len(hashed) == len({w.decode() for w in hashed} | {"ab"}) + 1  # "ab" twice: both words of one run
     assert {w.decode() for w in hashed} == {"twice", "told", "été0", "été1", "ab", "ασ", "ix"}
     assert all((first == other).all() for other in others) and first.shape == (32, embedding.DIMENSION)
+
+
+def test_texts_are_not_cut_into_grams_without_short_anchors(spark, monkeypatch):
+    from quillspark.operators import containment as c
+
+    texts = spark.createDataFrame([(1, "One two three four five six seven eight."), (2, "one two three four five six")], "text_id int, text string")
+    anchors = spark.createDataFrame([(7, "ne two three four five six seven")], "anchor_id int, anchor string")
+    asked, grams = [], c._char_grams
+    monkeypatch.setattr(c, "_char_grams", lambda text, *size: (asked.append(text), grams(text, *size))[1])
+    assert [tuple(r) for r in c.containment(texts, anchors).select("text_id", "anchor_id").collect()] == [(1, 7)]
+    assert not asked

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from quillspark.llm.common import Leaders, carrying, products
+from quillspark.llm.common import Leaders, carrying, meeting, products
 from quillspark.session import materialize
 
 SCALE = 256
@@ -117,11 +117,12 @@ def search(vectors: DataFrame, queries: Column, k: int = 5, id_column: str = "ve
     An empty table gives an empty result. Other columns are neither read nor returned.
     """
     spark = vectors.sparkSession
-    salts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     numbers = materialize(integers(vectors.select(vectors[id_column].cast("long").alias("vec_id"), vectors[vector_column].alias("embedding"))))
-    held = materialize(blocks(numbers, CANDIDATES).select(
-        "size", F.col("ids").alias("c_ids"), F.col("numbers").alias("c_numbers"), F.pmod(F.col("part"), F.lit(salts)).alias("salt"), F.monotonically_increasing_id().alias("held_number")
+    packed = materialize(blocks(numbers, CANDIDATES).select(
+        "size", F.col("ids").alias("c_ids"), F.col("numbers").alias("c_numbers"), F.monotonically_increasing_id().alias("held_number")
     ))
+    salts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), packed.count()))
+    held = packed.withColumn("salt", F.pmod(F.xxhash64("held_number"), F.lit(salts)))
     once = materialize(numbers.where(queries).dropDuplicates(["vec_id"]))
     asked = materialize(blocks(once.repartition(max(1, -(-once.count() // QUERIES)), "vec_id"), QUERIES).withColumn("asked_number", F.monotonically_increasing_id()))
     spread = asked.select(F.col("size").alias("q_size"), "ids", "numbers", "asked_number", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"))
@@ -144,7 +145,7 @@ def search(vectors: DataFrame, queries: Column, k: int = 5, id_column: str = "ve
     def answer(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from carrying(source, "asked_number", "held_number", start, prepare, visit, result)
 
-    pairs = held.join(spread, (held["salt"] == spread["salt"]) & (held["size"] == spread["q_size"])).drop("salt", "q_size")
+    pairs = meeting(held, spread).drop("salt", "q_size")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (
         pairs.mapInArrow(answer, "query_id long, vec_id long, score long")

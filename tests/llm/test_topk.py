@@ -82,3 +82,14 @@ def test_awkward_rows(spark):
     df = spark.createDataFrame(rows, SCHEMA).select("*", *[F.lit(0).alias(c) for c in ("size", "ids", "numbers", "part", "salt", "rank", "score")])
     assert result(topk.search(df, F.col("vec_id") % 10 == 0)) == brute(rows, 10, 5)
     assert topk.search(spark.createDataFrame([], SCHEMA), F.col("vec_id") % 10 == 0).count() == 0
+
+
+def test_blocks_of_queries_meet_blocks_of_rows_in_a_shuffle(spark, monkeypatch):
+    """However small they are before they are copied for every salt; a broadcast of the copies would go through the driver."""
+    monkeypatch.setattr(topk, "CANDIDATES", 20)
+    rng = np.random.default_rng(3)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(100, 6)))]
+    found = topk.search(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") % 10 == 0)
+    assert result(found) == brute(rows, 10, 5)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from quillspark.llm.common import Leaders, carrying, products
+from quillspark.llm.common import Leaders, carrying, meeting, products
 from quillspark.session import materialize
 
 SCALE = 256
@@ -218,7 +218,7 @@ def met(trees: DataFrame, windows: DataFrame, same: bool, k: int) -> DataFrame:
     positive_score, low, high).
     """
     spark = trees.sparkSession
-    salts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    salts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), trees.count()))
     out = "anchor_id long, positive_id long, positive_score long, vec_id long, score long"
 
     def pack(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,7 +260,7 @@ def met(trees: DataFrame, windows: DataFrame, same: bool, k: int) -> DataFrame:
     def answer(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from carrying(source, "asked_number", "part", start, Tree, visit, result)
 
-    return held.join(spread, (held["salt"] == spread["salt"]) & (held["size"] == spread["q_size"])).drop("salt").mapInArrow(answer, out)
+    return meeting(held, spread).drop("salt").mapInArrow(answer, out)
 
 
 def best(found: DataFrame, k: int, *keys: str) -> DataFrame:

@@ -100,3 +100,16 @@ def test_bounds_hold_and_nodes_are_skipped():
 def test_large_integers_stay_exact(spark):
     rows = [(i, [float(2**20 + i * 3), float(2**21 - i), -float(2**20 + i % 7)], i % 3) for i in range(40)]
     assert result(hardneg.mine(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") % 10 == 0)) == plain(rows, 10)
+
+
+def test_windows_meet_trees_in_a_shuffle(spark, monkeypatch):
+    """Copies of the windows for every salt are not broadcast."""
+    monkeypatch.setattr(hardneg, "CANDIDATES", 20)
+    rows = [(i, v.tolist(), i % 3) for i, v in enumerate(clustered(5, 120, 6))]
+    numbers = hardneg.numbered(spark.createDataFrame(rows, SCHEMA).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), "embedding"))
+    windows = numbers.where("vec_id % 10 = 0").select(F.col("vec_id").alias("anchor_id"), "label", "numbers", F.expr(
+        f"array(struct(0L AS positive_id, 0L AS positive_score, {hardneg.ANY.min + 1}L AS low, {hardneg.ANY.max}L AS high))").alias("open"))
+    found = hardneg.met(hardneg.planted(numbers), windows, True, 5)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert found.select("anchor_id").distinct().count() == 12

@@ -64,9 +64,12 @@ def gold_pairs(spark, sf):
     return containment(texts, anchors).select(F.col("anchor_id").alias("query_id"), F.col("text_id").alias("note_id"))
 
 
-def cases(spark, sf):
-    """One case per passage, asked in a project holding it; private projects test authorization."""
-    homes = gold_pairs(spark, sf).join(
+def cases(spark, sf, gold=None):
+    """One case per passage, asked in a project holding it; private projects test authorization.
+
+    Written once: what resolves scopes reads them several times, and each would look through all texts again.
+    """
+    homes = (gold_pairs(spark, sf) if gold is None else gold).join(
         model.documents(spark, sf).select(F.col("id").alias("note_id"), F.col("project_id").alias("home")), "note_id"
     ).groupBy("query_id").agg(F.min("home").alias("home"))
     private = model.projects(spark, sf).where("visibility <> 'public'").select(F.col("id").alias("project_id"), F.lit(True).alias("private"))
@@ -79,19 +82,19 @@ def cases(spark, sf):
         .otherwise("semantic_paraphrase")
     )
     none = F.lit(None).cast("array<string>")
-    return rows.withColumn("task_type", task).select(
+    return materialize(rows.withColumn("task_type", task).select(
         "query_id", "query", "project_id",
         F.when(F.col("task_type") == C.AUTHORIZATION_TASK, F.col("member_id")).otherwise(F.lit(0)).cast("bigint").alias("user_id"),
         "task_type", none.alias("document_types"), none.alias("source_types"),
-    )
+    ))
 
 
 ANONYMOUS = 1_000_000_000
 
 
-def planned_cases(spark, sf, anonymous=False):
+def planned_cases(spark, sf, anonymous=False, gold=None):
     """Planned requests; with ``anonymous`` every authorization case is asked a second time by nobody."""
-    asked = cases(spark, sf)
+    asked = cases(spark, sf, gold)
     if anonymous:
         again = asked.where(F.col("task_type") == C.AUTHORIZATION_TASK).withColumn(
             "query_id", F.col("query_id") + ANONYMOUS).withColumn("user_id", F.lit(0).cast("bigint"))
@@ -401,7 +404,8 @@ def hidden_documents(spark, sf):
     """
     first, second = ev.direct_docs(spark, sf), evidence.direct_documents(second_sources(spark, sf), SECOND_VERSION)
     columns = ["document_key", "document_type", "project_id", "source_type", "source_id", "source_key", "source_version"]
-    docs = first.select(*columns, F.lit(1).alias("ingest_order")).unionByName(second.select(*columns, F.lit(2).alias("ingest_order")))
+    # Written once, as keys follow from hashes of all texts.
+    docs = materialize(first.select(*columns, F.lit(1).alias("ingest_order")).unionByName(second.select(*columns, F.lit(2).alias("ingest_order"))))
     failed = (F.col("ingest_order") == 2) & (F.col("source_id") % 31 == 5)
     states = evidence.supersede(docs.withColumn("lifecycle_status", F.when(failed, "failed").otherwise("ready")))
     dead = lexical.dead_documents(docs.where("document_type = 'note'"), close_older_versions(ev.versioned(spark, sf)))

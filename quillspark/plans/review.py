@@ -19,7 +19,8 @@ query, define = REGISTRY.query, REGISTRY.define
 
 def evaluated(spark, sf):
     """Case metrics of the lexical search, with the anonymous pass in the same run."""
-    planned = rt.planned_cases(spark, sf, anonymous=True)
+    pairs = materialize(rt.gold_pairs(spark, sf))
+    planned = rt.planned_cases(spark, sf, anonymous=True, gold=pairs)
     session = rt.searched(spark, sf, planned)
     rows = session.lexical_candidates(session.term_statistics())
     found = materialize(search.select_diverse(search.lexical_results(rows), C.THRESHOLDS["lexical"]).select(
@@ -32,7 +33,7 @@ def evaluated(spark, sf):
     cited = found.join(cites.select("chunk_key", "source_type", valid.alias("valid")), "chunk_key").select(
         "query_id", "rank", "source_type", "note_id", F.col("media_position").alias("position"), "valid")
     asked = planned.where(F.col("query_id") < rt.ANONYMOUS).select("query_id", "task_type", "project_id")
-    gold = rt.gold_pairs(spark, sf).join(
+    gold = pairs.join(
         model.documents(spark, sf).select(F.col("id").alias("note_id"), "project_id"), "note_id"
     ).join(asked, ["query_id", "project_id"]).select("query_id", F.lit("note").alias("source_type"), "note_id", F.lit(0).alias("position"))
     leaks = found.where(F.col("query_id") >= rt.ANONYMOUS).groupBy((F.col("query_id") - rt.ANONYMOUS).alias("query_id")).agg(

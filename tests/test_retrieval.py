@@ -252,3 +252,20 @@ def test_texts_are_not_cut_into_grams_without_short_anchors(spark, monkeypatch):
     monkeypatch.setattr(c, "_char_grams", lambda text, *size: (asked.append(text), grams(text, *size))[1])
     assert [tuple(r) for r in c.containment(texts, anchors).select("text_id", "anchor_id").collect()] == [(1, 7)]
     assert not asked
+
+
+def test_texts_are_looked_through_once_for_the_cases(spark):
+    """Scopes are resolved from cases that were written, not from the search for their passages."""
+    from quillspark.plans import retrieval
+
+    sf = "/root/testdata/sf0.001"
+    assert not any("documents.parquet" in path for path in retrieval.cases(spark, sf).inputFiles())
+
+
+def test_an_evaluation_looks_for_its_passages_once(spark, monkeypatch):
+    from quillspark.plans import retrieval, review
+
+    asked, gold_pairs = [], retrieval.gold_pairs
+    monkeypatch.setattr(retrieval, "gold_pairs", lambda *where: (asked.append(where), gold_pairs(*where))[1])
+    review.evaluated(spark, "/root/testdata/sf0.001")
+    assert len(asked) == 1
